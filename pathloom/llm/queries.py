@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, exact_dedup, license_scan, packing, quality
+from pathloom.llm import bpe, exact_dedup, license_scan, lm_score, packing, quality
 from pathloom.llm._common import documents
 
 
@@ -24,6 +24,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(documents(spark, sf_dir)).drop("spans")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_license_scan": op6_license_scan,
+    "op7_lm_score": op7_lm_score,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
