@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What the contracts call white space: space, tab, line feed, VT, FF, CR.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -36,3 +37,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Rows of two integers that may be broadcast (about 32 MB); larger sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it was counted to be small enough; df should be a written table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, exact_dedup, license_scan, lm_score, packing, quality
+from pathloom.llm import bpe, exact_dedup, license_scan, lm_score, ngram_join, packing, quality
 from pathloom.llm._common import documents
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_table(documents(spark, sf_dir)).drop("is_new")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +42,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_lm_score": op7_lm_score,
