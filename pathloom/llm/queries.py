@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, exact_dedup, license_scan, lm_score, ngram_join, packing, quality, suffix_dedup, topk_search
+from pathloom.llm import bpe, exact_dedup, html_extract, license_scan, lm_score, ngram_join, packing, quality, suffix_dedup, topk_search
 from pathloom.llm._common import documents
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_table(documents(spark, sf_dir)).drop("is_new")
 
@@ -49,6 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_suffix_dedup": op4_suffix_dedup,

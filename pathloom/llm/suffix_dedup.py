@@ -316,7 +316,7 @@ def _equal_runs(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int
             asked = {k: rows[k][mine] for k in ("anchor", "doc", "start", "n")}
             yield _packed(kind, _doc_part(asked["doc"], doc_buckets), asked)
 
-    partitions = max(shuffle_partitions(docs.sparkSession), buckets // 8)
+    partitions = max(shuffle_partitions(docs.sparkSession), buckets // 3)
     return docs.mapInArrow(deal, _PACKED).repartition(partitions, "bucket").mapInArrow(meet, _PACKED)
 
 
@@ -351,19 +351,15 @@ def _cut_out(texts: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
 def _earlier(pieces: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
     """Steps 2 and 3: what is removed of the runs and windows that _cut_out has brought together, packed by document."""
 
-    def gone_of(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return _packed(REMOVED, _doc_part(doc, doc_buckets), {"doc": doc, "start": start, "n": n})
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = list(batches)
         if not tables:
             return
         table = pa.Table.from_batches(tables)
         done = _unpacked(table, REMOVED)
-        yield gone_of(done["doc"], done["start"], done["n"])
         rows = _unpacked(table, WINDOWS)
         _, later = _later((rows["anchor"], rows["body_hash"]), rows["doc"], rows["start"])
-        yield gone_of(rows["doc"][later], rows["start"][later], np.ones(len(later), np.uint8))
+        gone = [(done["doc"], done["start"], done["n"]), (rows["doc"][later], rows["start"][later], np.ones(len(later), np.uint8))]
         rows = _unpacked(table, RUN)
         kinds = table["kind"].to_pylist()
         body = b"".join(b.as_py() or b"" for b, k in zip(table["body"], kinds, strict=True) if k == RUN)
@@ -380,9 +376,11 @@ def _earlier(pieces: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
             hit = np.flatnonzero(repeated_windows(b"".join(body[begin[i] : begin[i] + size[i]] for i in mine.tolist()), size[mine]))
             of = np.searchsorted(np.cumsum(size[mine]), hit, side="right")
             start = rows["start"][mine][of] + (hit - (np.cumsum(size[mine]) - size[mine])[of])
-            yield gone_of(rows["doc"][mine][of], start, np.ones(len(hit), np.uint8))
+            gone.append((rows["doc"][mine][of], start, np.ones(len(hit), np.uint8)))
+        doc, start, n = map(np.concatenate, zip(*gone, strict=True))
+        yield _packed(REMOVED, _doc_part(doc, doc_buckets), {"doc": doc, "start": start, "n": n})
 
-    partitions = max(shuffle_partitions(pieces.sparkSession), buckets // 8)
+    partitions = max(shuffle_partitions(pieces.sparkSession), buckets // 3)
     return pieces.repartition(partitions, "bucket").mapInArrow(meet, _PACKED)
 
 
@@ -422,7 +420,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     least = max(MOST_RUNS / 4, HOT_SHARE * total["docs"])
     hot = statistics.filter("anchor is not null").groupBy("anchor").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("anchor").collect()  # at most mean anchors of a document / HOT_SHARE
     hot = np.sort(np.array([r["anchor"] for r in hot], np.int64).view(np.uint64))
-    least_buckets = 8 * shuffle_partitions(spark)
+    least_buckets = 3 * shuffle_partitions(spark)
     buckets = max(least_buckets, total["anchors"] // BUCKET_ANCHORS)
     doc_buckets = max(least_buckets, total["bytes"] // BUCKET_BYTES)
     texts = docs.withColumn("part", F.pmod("doc_id", F.lit(doc_buckets)).cast("int"))
