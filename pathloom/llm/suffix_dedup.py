@@ -39,7 +39,7 @@ MOST_RUNS = 2_000
 #: An anchor with so many different runs in one task, or this share of all documents, is dealt by run from the start.
 HOT_IN_TASK, HOT_SHARE = 8, 0.001
 #: Bytes worked on at once, anchors in one bucket and bytes of text in one bucket, on average.
-CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 2_000_000, 100_000, 4_000_000
+CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 2_000_000, 400_000, 4_000_000
 _NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 30) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public constants of the splitmix64 finaliser
@@ -316,8 +316,7 @@ def _equal_runs(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int
             asked = {k: rows[k][mine] for k in ("anchor", "doc", "start", "n")}
             yield _packed(kind, _doc_part(asked["doc"], doc_buckets), asked)
 
-    partitions = max(shuffle_partitions(docs.sparkSession), buckets // 3)
-    return docs.mapInArrow(deal, _PACKED).repartition(partitions, "bucket").mapInArrow(meet, _PACKED)
+    return docs.mapInArrow(deal, _PACKED).repartitionById(buckets, "bucket").mapInArrow(meet, _PACKED)
 
 
 def _cut_out(texts: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
@@ -380,8 +379,7 @@ def _earlier(pieces: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
         doc, start, n = map(np.concatenate, zip(*gone, strict=True))
         yield _packed(REMOVED, _doc_part(doc, doc_buckets), {"doc": doc, "start": start, "n": n})
 
-    partitions = max(shuffle_partitions(pieces.sparkSession), buckets // 3)
-    return pieces.repartition(partitions, "bucket").mapInArrow(meet, _PACKED)
+    return pieces.repartitionById(buckets, "bucket").mapInArrow(meet, _PACKED)
 
 
 def _kept(texts: DataFrame, removed: DataFrame, with_text: bool) -> DataFrame:
@@ -420,9 +418,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     least = max(MOST_RUNS / 4, HOT_SHARE * total["docs"])
     hot = statistics.filter("anchor is not null").groupBy("anchor").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("anchor").collect()  # at most mean anchors of a document / HOT_SHARE
     hot = np.sort(np.array([r["anchor"] for r in hot], np.int64).view(np.uint64))
-    least_buckets = 3 * shuffle_partitions(spark)
-    buckets = max(least_buckets, total["anchors"] // BUCKET_ANCHORS)
-    doc_buckets = max(least_buckets, total["bytes"] // BUCKET_BYTES)
+    buckets = max(shuffle_partitions(spark), total["anchors"] // BUCKET_ANCHORS)  # each is a partition
+    doc_buckets = max(2 * shuffle_partitions(spark), total["bytes"] // BUCKET_BYTES)
     texts = docs.withColumn("part", F.pmod("doc_id", F.lit(doc_buckets)).cast("int"))
     found = written(_equal_runs(docs, hot, buckets, doc_buckets), "equal-runs")
     pieces = _cut_out(texts, found.filter(F.col("kind").isin(ASKED, ASKED_HOT)), buckets)
