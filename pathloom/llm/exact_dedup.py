@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import SPACE_RUN, shuffle_partitions, written
+from pathloom.llm._common import SPACE_RUN, shuffle_partitions, small, written
 
 #: Digests in one filter at most, on average: a filter is built in one task (about 40 MB while building).
 BUCKET_KEYS = 250_000
@@ -189,7 +189,7 @@ def dedup_batch(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", t
         "doc_id",
         F.coalesce("first_id", "doc_id").alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.coalesce("first_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.coalesce("first_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "is_new",
     )
@@ -199,3 +199,9 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """A whole table: half of its rows (by a hash of the id) stand as the snapshot, the other half as the new batch."""
     late = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 1
     return dedup_batch(docs.filter(~F.coalesce(late, F.lit(False))), docs.filter(late), id_col, text_col)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs without the rows that repeat the text of a row of smaller id; the columns stay as they are."""
+    gone = written(dedup_table(docs).filter("not kept").select("doc_id").distinct(), "copies")
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
