@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import shuffle_partitions, written
+from pathloom.llm._common import short_batches, shuffle_partitions, written
 
 WINDOW, GRAM = 100, 32
 GRAMS = WINDOW - GRAM + 1
@@ -39,7 +39,7 @@ MOST_RUNS = 2_000
 #: An anchor with so many different runs in one task, or this share of all documents, is dealt by run from the start.
 HOT_IN_TASK, HOT_SHARE = 8, 0.001
 #: Bytes worked on at once, anchors in one bucket and bytes of text in one bucket, on average.
-CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 2_000_000, 400_000, 4_000_000
+CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 1_000_000, 400_000, 4_000_000
 _NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 30) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public constants of the splitmix64 finaliser
@@ -71,7 +71,7 @@ class Hashed:
     """Hashes of any stretch of some bytes, from prefix sums."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        size = 1 << max(21, len(data).bit_length())
+        size = 1 << max(20, len(data).bit_length())
         power, self.inverse = _powers(_BASES[which], size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLES[which][data] * power[: len(data)], out=self.sums[1:])
@@ -292,7 +292,7 @@ def _equal_runs(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int
                 held.append([anchor, body, ids[text], start, n])
                 count += len(anchor)
                 done += len(texts)
-                if count > 600_000:
+                if count > 300_000:
                     yield from out()
                     held.clear()
                     count = 0
@@ -412,6 +412,7 @@ def _kept(texts: DataFrame, removed: DataFrame, with_text: bool) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) with with_text."""
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     statistics = written(_statistics(docs), "anchors")
     total = statistics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "bytes", "anchors"))).first()
