@@ -102,7 +102,7 @@ counted AS (SELECT o.items, o.a, o.b, o.weight, x.x1, y.x2,
     (SELECT count(*) FROM ipaths p WHERE p.a = o.a AND p.b = o.b AND p.mp_id = o.items[2] AND greatest(least(floor(round(p.score * 100, 9)), 100), 0) >= y.x2) AS n2
   FROM o2 o, (VALUES (0), (30), (60)) x(x1), (VALUES (0), (30), (60)) y(x2))"""
 _SCORED = "scored AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, ((l_partkey * 37 + l_orderkey * 11) % 1000) / 1000.0 AS score, l_quantity AS weight, l_linenumber AS fold FROM lineitem)"
-_BY_SCORE = "at AS (SELECT fold, score, coalesce(sum(weight) FILTER (label = 1), 0) AS p, coalesce(sum(weight) FILTER (label = 0), 0) AS n FROM scored GROUP BY fold, score)"
+_BY_SCORE = "by_score AS (SELECT fold, score, coalesce(sum(weight) FILTER (label = 1), 0) AS p, coalesce(sum(weight) FILTER (label = 0), 0) AS n FROM scored GROUP BY fold, score)"
 
 GRAPH = ",".join((_NODES, _EDGES))
 WALKED = ",".join((GRAPH, _ADJ))
@@ -150,6 +150,10 @@ SQL: dict[str, str] = {
     "positive_pairs": f"WITH {_SAMPLES.lstrip()} SELECT a, b, level, round(level / 3.0, 6) AS weight FROM samples WHERE label = 1 AND level >= 1",
     "max_scaled_weights": f"WITH {_SAMPLES.lstrip()} SELECT a, b, round(raw_weight / (SELECT max(raw_weight) FROM evidence), 6) AS weight FROM evidence",
     "minmax_scaled_weights": f"WITH {_SAMPLES.lstrip()} SELECT a, b, round((weight - (SELECT min(weight) FROM samples)) / (SELECT max(weight) - min(weight) FROM samples), 6) AS weight FROM samples",
+    "trainset_union": f"WITH {_SAMPLES.lstrip()} SELECT a, b, round(weight, 6) AS weight, label, CASE WHEN label = 1 AND level >= 3 THEN 'held-out' ELSE 'train' END AS part FROM samples",
+    "path_networks": f"""WITH {INTERNED}, t AS (SELECT mp_id, list_concat(edges, nodes) AS types FROM dictionary)
+        SELECT mp_id, 'trade' AS network FROM t WHERE list_has_all(['Customer', 'Part', 'purchases', 'resembles'], types)
+        UNION ALL SELECT mp_id, 'no-places' FROM t WHERE NOT list_has_any(types, ['Nation', 'Region', 'Segment']) UNION ALL SELECT mp_id, 'people' FROM t WHERE list_has_all(['Customer', 'refers'], types)""",
     "evidence_level_stats": f"""WITH {_SAMPLES.lstrip()}, g AS (SELECT CAST(level AS VARCHAR) AS grp, a, b FROM samples WHERE label = 1 UNION ALL SELECT 'selected', a, b FROM samples WHERE label = 1 AND level >= 1),
         e AS (SELECT grp, count(DISTINCT entity) AS n_entities FROM (SELECT grp, unnest([a, b]) AS entity FROM g) GROUP BY grp) SELECT grp, count(*) AS n_rows, count(DISTINCT a || '|' || b) AS n_pairs, any_value(n_entities) AS n_entities FROM g JOIN e USING (grp) GROUP BY grp""",
     "stratified_folds": f"WITH {_SAMPLES.lstrip()} SELECT a, b, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || a || '|' || b)) - 1) % 10 AS INTEGER) AS fold FROM samples",
@@ -187,10 +191,10 @@ SQL: dict[str, str] = {
     "set_weight": f"WITH {RULED}, c AS (SELECT DISTINCT a, b, label, weight FROM coverage) SELECT round(0.5 * (1 - sum(weight) FILTER (label = 1) / any_value(wp)) + 0.5 * sum(weight) FILTER (label = 0) / any_value(wn), 6) AS set_weight FROM c, tot",
     "default_probability": f"WITH {RULED} SELECT round(p, 6) AS default_probability FROM dflt",
     "predict_proba": f"WITH {RULED}, m AS (SELECT a, b, max(probability) AS p FROM matches JOIN prob USING (rule_id) GROUP BY a, b) SELECT a, b, round(coalesce(m.p, dflt.p), 6) AS probability, CASE WHEN coalesce(m.p, dflt.p) > 0.5 THEN 1 ELSE 0 END AS predicted FROM samples LEFT JOIN m USING (a, b), dflt",
-    "weighted_roc_auc": f"WITH {_SCORED}, {_BY_SCORE}, c AS (SELECT *, sum(p) OVER (PARTITION BY fold ORDER BY score DESC) AS tp FROM at) SELECT fold, round(sum(n * (tp - p / 2)) / (sum(p) * sum(n)), 6) AS roc_auc FROM c GROUP BY fold",
-    "pr_auc": f"""WITH {_SCORED}, {_BY_SCORE}, c AS (SELECT fold, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY fold) AS all_p FROM at WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
+    "weighted_roc_auc": f"WITH {_SCORED}, {_BY_SCORE}, c AS (SELECT *, sum(p) OVER (PARTITION BY fold ORDER BY score DESC) AS tp FROM by_score) SELECT fold, round(sum(n * (tp - p / 2)) / (sum(p) * sum(n)), 6) AS roc_auc FROM c GROUP BY fold",
+    "pr_auc": f"""WITH {_SCORED}, {_BY_SCORE}, c AS (SELECT fold, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY fold) AS all_p FROM by_score WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
         r AS (SELECT fold, score, tp / all_p AS recall, tp / (tp + fp) AS precision FROM c), s AS (SELECT fold, (recall - lag(recall, 1, 0) OVER w) * (precision + lag(precision, 1, 1) OVER w) / 2 AS step FROM r WINDOW w AS (PARTITION BY fold ORDER BY score DESC)) SELECT fold, round(sum(step), 6) AS pr_auc FROM s GROUP BY fold""",
-    "roc_curve_points": f"WITH {_SCORED}, {_BY_SCORE} SELECT fold, score, round(sum(p) OVER w / sum(p) OVER (PARTITION BY fold), 6) AS tpr, round(sum(n) OVER w / sum(n) OVER (PARTITION BY fold), 6) AS fpr FROM at WINDOW w AS (PARTITION BY fold ORDER BY score DESC)",
+    "roc_curve_points": f"WITH {_SCORED}, {_BY_SCORE} SELECT fold, score, round(sum(p) OVER w / sum(p) OVER (PARTITION BY fold), 6) AS tpr, round(sum(n) OVER w / sum(n) OVER (PARTITION BY fold), 6) AS fpr FROM by_score WINDOW w AS (PARTITION BY fold ORDER BY score DESC)",
     "best_threshold": f"""WITH {_SCORED}, k AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM scored GROUP BY score),
         r AS (SELECT score, sum(p) OVER w / sum(p) OVER () AS tpr, sum(n) OVER w / sum(n) OVER () AS fpr FROM k WINDOW w AS (ORDER BY score DESC)) SELECT round(score, 6) AS score, round(sqrt(tpr * (1 - fpr)), 6) AS g_mean, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round((tpr + 1 - fpr) / 2, 6) AS balanced_accuracy FROM r ORDER BY round(sqrt(tpr * (1 - fpr)), 12) DESC, score DESC LIMIT 1""",
     "param_study_topk": "WITH s AS (SELECT l_linenumber, l_returnflag, l_linestatus, avg(l_discount) AS mean FROM lineitem GROUP BY ALL), m AS (SELECT *, max(mean) OVER (PARTITION BY l_returnflag) AS best FROM s) SELECT l_linenumber, l_returnflag, l_linestatus, round(mean, 6) AS mean FROM m WHERE round(best - mean, 12) <= 0.0005",
