@@ -39,7 +39,7 @@ MOST_RUNS = 2_000
 #: An anchor with so many different runs in one task, or this share of all documents, is dealt by run from the start.
 HOT_IN_TASK, HOT_SHARE = 8, 0.001
 #: Bytes worked on at once, anchors in one bucket and bytes of text in one bucket, on average.
-CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 1_000_000, 400_000, 4_000_000
+CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 500_000, 400_000, 2_000_000
 _NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 30) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public constants of the splitmix64 finaliser
@@ -71,7 +71,7 @@ class Hashed:
     """Hashes of any stretch of some bytes, from prefix sums."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        size = 1 << max(20, len(data).bit_length())
+        size = 1 << max(19, len(data).bit_length())
         power, self.inverse = _powers(_BASES[which], size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLES[which][data] * power[: len(data)], out=self.sums[1:])
@@ -292,7 +292,7 @@ def _equal_runs(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int
                 held.append([anchor, body, ids[text], start, n])
                 count += len(anchor)
                 done += len(texts)
-                if count > 300_000:
+                if count > 200_000:
                     yield from out()
                     held.clear()
                     count = 0
@@ -366,8 +366,8 @@ def _earlier(pieces: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
         begin = np.cumsum(size) - size
         order = np.lexsort((rows["start"], rows["doc"], rows["anchor"]))
         lo = 0
-        while lo < len(order):  # whole anchors, about 8,000 runs (1 MB) at a time
-            hi = min(lo + 8_000, len(order))
+        while lo < len(order):  # whole anchors, about 2,500 runs (350 kB) at a time
+            hi = min(lo + 2_500, len(order))
             while hi < len(order) and rows["anchor"][order[hi]] == rows["anchor"][order[hi - 1]]:
                 hi += 1
             mine = order[lo:hi]
