@@ -31,6 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not among columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Whole texts go to Python in batches of so many rows: batches of 10,000, the default, hold too many long ones."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

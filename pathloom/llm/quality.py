@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm._common import unused
+
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 80, 512, 3e-3, 7
 
@@ -136,8 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(sets[0], sets[1], prior) if len(sets[0]) and len(sets[1]) else None
 
 
-def score_documents(docs: DataFrame, model: PUModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _score added; all its columns stay."""
+def score_documents(docs: DataFrame, model: PUModel | None, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """docs with score_col added; all its columns stay."""
     names, types = docs.columns, docs.schema
     at = names.index(text_col)
 
@@ -147,9 +149,9 @@ def score_documents(docs: DataFrame, model: PUModel | None, id_col: str = "doc_i
                 score = np.full(b.num_rows, 0.5)
             else:
                 score = model.scores(np.array([features(t.as_py()) for t in b.column(at)])) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*names, score_col])
 
-    return docs.mapInArrow(run, types.__class__([*types.fields]).add("_score", "double"))
+    return docs.mapInArrow(run, types.__class__([*types.fields]).add(score_col, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,4 +164,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject, with the same columns."""
-    return score_documents(docs, train(docs, labels)).filter("_score >= 0.5").drop("_score")
+    name = unused("_score", docs.columns)
+    return score_documents(docs, train(docs, labels), score_col=name).filter(F.col(name) >= 0.5).drop(name)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import short_batches, shuffle_partitions, written
+from pathloom.llm._common import short_batches, shuffle_partitions, unused, written
 
 WINDOW, GRAM = 100, 32
 GRAMS = WINDOW - GRAM + 1
@@ -440,9 +440,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], names=["_id", "_kept"])
 
-    lost = dedup(docs, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept").dropDuplicates(["_id"]).mapInArrow(decode, "_id long, _kept string")
-    out = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left")
-    new = {"text": F.coalesce("_kept", "text")}
+    key, kept = unused("_id", docs.columns), unused("_kept", docs.columns)
+    lost = dedup(docs, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept").dropDuplicates(["_id"]).mapInArrow(decode, "_id long, _kept string").toDF(key, kept)
+    out = docs.join(lost, docs["doc_id"].eqNullSafe(lost[key]), "left")
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.char_length(kept).cast(docs.schema["n_chars"].dataType))
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -10,7 +10,7 @@ import pytest
 
 from pathloom.llm import components, exact_dedup, ngram_join, suffix_dedup
 
-DOCS = "doc_id long, text string, n_chars long, node long, kind string"
+DOCS = "doc_id long, text string, n_chars long, node long, _id string"
 
 
 def table(spark, rows):
@@ -49,7 +49,7 @@ def test_exact(spark, corpus):
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.dedup_table(table(spark, corpus)).collect()}
     assert got == want
     kept = exact_dedup.keep_first(table(spark, corpus))
-    assert kept.columns == ["doc_id", "text", "n_chars", "node", "kind"] and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[2]}
+    assert kept.columns == ["doc_id", "text", "n_chars", "node", "_id"] and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[2]}
     assert exact_dedup.dedup_table(table(spark, [])).count() == 0
 
 
@@ -164,7 +164,7 @@ def test_passages(spark, corpus, monkeypatch, most_runs):
 
 def test_passages_cleaned(spark, corpus):
     clean = suffix_dedup.cleaned(table(spark, corpus))
-    assert clean.columns == ["doc_id", "text", "n_chars", "node", "kind"]
+    assert clean.columns == ["doc_id", "text", "n_chars", "node", "_id"]
     want = removed(corpus)
     for r in clean.collect():
         assert (r["text"] or "") == want[r["doc_id"]][4].decode("utf-8", "ignore")

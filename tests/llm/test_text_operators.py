@@ -19,7 +19,7 @@ TEXTS = [None, "", " ", "Hello world", "The GNU General Public License, and MIT
 
 
 def docs(spark, texts=TEXTS):
-    return spark.createDataFrame([(i, t, 3, "w") for i, t in enumerate(texts)], "doc_id long, text string, word long, tf string")
+    return spark.createDataFrame([(i, t, 3, "w") for i, t in enumerate(texts)], "doc_id long, text string, word long, _score string")
 
 
 # ---------------------------------------------------------------- html
@@ -245,7 +245,7 @@ def test_classifier_edges(spark):
     assert {r["score"] for r in quality.classify(docs(spark), labels).collect()} == {0.5}
     assert quality.classify(docs(spark, []), labels).count() == 0
     kept = quality.keep_good(docs(spark), labels)
-    assert kept.columns == ["doc_id", "text", "word", "tf"] and kept.count() == len(TEXTS)
+    assert kept.columns == ["doc_id", "text", "word", "_score"] and kept.count() == len(TEXTS)
 
 
 def test_risk_is_not_negative_and_learns():
