@@ -56,10 +56,14 @@ def _three(prefix: DataFrame, adj: DataFrame, far: DataFrame, done: list[str], m
     return _finished(out, hops, [*mids, "y"])
 
 
-def enumerate_paths(graph: Graph, pairs: DataFrame, cutoff: int = 3, excluded: Sequence[str] = (), use_context: bool = True) -> DataFrame:
-    """a, b, mp (edges, nodes, dirs), mids, score: all simple paths of at most cutoff edges; of equal paths the best score."""
+def enumerate_paths(graph: Graph, pairs: DataFrame, cutoff: int = 3, excluded: Sequence[str] = (), use_context: bool = True, adj: DataFrame | None = None) -> DataFrame:
+    """a, b, mp (edges, nodes, dirs), mids, score: all simple paths of at most cutoff edges; of equal paths the best score.
+
+    adj: the graph's adjacency as a written table, since the plan reads it several times.
+    """
     ends = pairs.select("a", "b").distinct()
-    adj = adjacency(graph, excluded)
+    adj = adjacency(graph) if adj is None else adj
+    adj = adj.filter(~F.col("v_type").isin(*excluded)) if excluded else adj
     sources = ends.select(F.col("a").alias("u")).distinct()
     from_a = adj.join(sources, "u", "left_semi")
     first = _hop(from_a, "1", "a", "x")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators import cover, evaluation, labels, matching, mining, paths, thresholds
+from pathloom.operators.graph import adjacency
 from pathloom.sources.store import StageStore
 from pathloom.sources.tables import Graph
 
@@ -66,7 +67,7 @@ class Engine:
     def __init__(self, graph: Graph, parameters: Parameters | None = None, store: StageStore | None = None):
         self.graph, self.parameters = graph, parameters or Parameters()
         self.store = store or StageStore(graph.nodes.sparkSession)
-        self._stage = 0
+        self._stage, self._adjacency = 0, None
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         """df as a written table: later steps start from it, and a lost executor costs no more than its tasks."""
@@ -75,7 +76,9 @@ class Engine:
 
     def paths(self, pairs: DataFrame) -> DataFrame:
         p = self.parameters
-        return self._kept("paths", paths.enumerate_paths(self.graph, pairs, p.path_cutoff, p.excluded_types, p.use_context))
+        if self._adjacency is None:
+            self._adjacency = self._kept("adjacency", adjacency(self.graph))
+        return self._kept("paths", paths.enumerate_paths(self.graph, pairs, p.path_cutoff, p.excluded_types, p.use_context, self._adjacency))
 
     def mine(self, found: DataFrame, positives: DataFrame) -> DataFrame:
         """pat_id, items, clause, thr: candidate patterns of positive pairs (a, b, weight); found: their paths with mp_id."""

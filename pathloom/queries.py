@@ -39,13 +39,27 @@ def clause_text(name: str = "clause") -> Column:
 # ---------------------------------------------------------------- stages that many queries share
 
 
+def stage_graph(spark: SparkSession, d: str) -> tables.Graph:
+    """The projected graph, as written tables."""
+    store = StageStore(spark)
+    return tables.Graph(store.get_or_make("nodes", lambda: tables.nodes(spark, d), tables=d), store.get_or_make("edges", lambda: tables.edges(spark, d), tables=d))
+
+
+def stage_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return StageStore(spark).get_or_make("adjacency", lambda: graph.adjacency(stage_graph(spark, d)), tables=d)
+
+
+def walked(spark: SparkSession, d: str, cutoff: int = 3, excluded: tuple[str, ...] = (), use_context: bool = True) -> DataFrame:
+    return paths.enumerate_paths(stage_graph(spark, d), stage_samples(spark, d), cutoff, excluded, use_context, stage_adjacency(spark, d))
+
+
 def stage_samples(spark: SparkSession, d: str) -> DataFrame:
     return StageStore(spark).get_or_make("samples", lambda: tables.samples(spark, d), tables=d)
 
 
 def stage_paths(spark: SparkSession, d: str) -> DataFrame:
     """a, b, mp, mids, score of all pairs, up to three edges."""
-    return StageStore(spark).get_or_make("paths", lambda: paths.enumerate_paths(tables.graph(spark, d), stage_samples(spark, d), 3), tables=d, cutoff=3)
+    return StageStore(spark).get_or_make("paths", lambda: walked(spark, d), tables=d, cutoff=3)
 
 
 def interned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -122,70 +136,70 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def node_type_counts(spark, d):
-    return graph.node_type_counts(tables.graph(spark, d))
+    return graph.node_type_counts(stage_graph(spark, d))
 
 
 @query
 def edge_type_dictionary(spark, d):
-    return graph.edge_types(tables.graph(spark, d))
+    return graph.edge_types(stage_graph(spark, d))
 
 
 @query
 def metaedge_stats(spark, d):
-    return graph.metaedge_stats(tables.graph(spark, d))
+    return graph.metaedge_stats(stage_graph(spark, d))
 
 
 @query
 def node_degree_stats(spark, d):
-    return graph.node_statistics(tables.graph(spark, d)).withColumn("max_score", r6("max_score"))
+    return graph.node_statistics(stage_graph(spark, d)).withColumn("max_score", r6("max_score"))
 
 
 @query
 def max_degree_per_metaedge(spark, d):
-    return graph.largest_degrees(tables.graph(spark, d))
+    return graph.largest_degrees(stage_graph(spark, d))
 
 
 @query
 def nodes_filtered(spark, d):
-    return graph.get_nodes(tables.graph(spark, d), "type", ["Customer", "Supplier"], F.col("orient_val") > 5000).select("id", "type")
+    return graph.get_nodes(stage_graph(spark, d), "type", ["Customer", "Supplier"], F.col("orient_val") > 5000).select("id", "type")
 
 
 @query
 def typed_subgraph(spark, d):
-    return graph.typed_subgraph(tables.graph(spark, d), ["Customer", "Part"], ["purchases", "refers"]).edges.select("src", "dst", "label")
+    return graph.typed_subgraph(stage_graph(spark, d), ["Customer", "Part"], ["purchases", "refers"]).edges.select("src", "dst", "label")
 
 
 @query
 def subgraph_dropped(spark, d):
-    return graph.typed_subgraph(tables.graph(spark, d), ["Part"], ["locatedIn"], keep=False).edges.select("src", "dst", "label")
+    return graph.typed_subgraph(stage_graph(spark, d), ["Part"], ["locatedIn"], keep=False).edges.select("src", "dst", "label")
 
 
 @query
 def subgraph_by_nodes(spark, d):
-    g = tables.graph(spark, d)
+    g = stage_graph(spark, d)
     return graph.induced(g, g.nodes.filter("orient_val < 1500"), g.edges).edges.select("src", "dst", "label")
 
 
 @query
 def oriented_pairs(spark, d):
     key = lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
-    return graph.orient(tables.graph(spark, d), tables.raw_pairs(spark, d).select(key("x").alias("id1"), key("y").alias("id2")))
+    return graph.orient(stage_graph(spark, d), tables.raw_pairs(spark, d).select(key("x").alias("id1"), key("y").alias("id2")))
 
 
 @query
 def resolved_names(spark, d):
-    return graph.resolve(tables.graph(spark, d), tables.table(spark, d, "customer").select(F.col("c_name").alias("key")), "name").select("key", "node_id")
+    return graph.resolve(stage_graph(spark, d), tables.table(spark, d, "customer").select(F.col("c_name").alias("key")), "name").select("key", "node_id")
 
 
 @query
 def neighbor_coverage(spark, d):
     ends = positives(spark, d).select(F.explode(F.array("a", "b")).alias("id"))
-    return graph.neighbour_coverage(tables.graph(spark, d), ends).withColumn("coverage", r6("coverage"))
+    return graph.neighbour_coverage(stage_graph(spark, d), ends).withColumn("coverage", r6("coverage"))
 
 
 @query
 def neighbor_jaccard(spark, d):
-    return graph.neighbour_jaccard(tables.graph(spark, d), stage_samples(spark, d), "Part").withColumn("similarity", r6("similarity"))
+    return graph.neighbour_jaccard(stage_graph(spark, d), stage_samples(spark, d), "Part").withColumn("similarity", r6("similarity"))
 
 
 # ---------------------------------------------------------------- paths
@@ -197,27 +211,27 @@ def _flat(df: DataFrame, *more: Column) -> DataFrame:
 
 @query
 def paths_len1(spark, d):
-    return _flat(paths.enumerate_paths(tables.graph(spark, d), stage_samples(spark, d), 1), r6("score"))
+    return _flat(walked(spark, d, 1), r6("score"))
 
 
 @query
 def paths_len2(spark, d):
-    return _flat(paths.enumerate_paths(tables.graph(spark, d), stage_samples(spark, d), 2), r6("score"))
+    return _flat(walked(spark, d, 2), r6("score"))
 
 
 @query
 def paths_len3(spark, d):
-    return _flat(paths.enumerate_paths(tables.graph(spark, d), stage_samples(spark, d), 3), r6("score"))
+    return _flat(walked(spark, d, 3), r6("score"))
 
 
 @query
 def paths_excluded_types(spark, d):
-    return _flat(paths.enumerate_paths(tables.graph(spark, d), stage_samples(spark, d), 3, ["Nation", "Segment"]))
+    return _flat(walked(spark, d, 3, ("Nation", "Segment")))
 
 
 @query
 def paths_any_context(spark, d):
-    return paths.keyed(paths.enumerate_paths(tables.graph(spark, d), stage_samples(spark, d), 3, use_context=False)).groupBy("metapath").agg(F.count("*").alias("n_paths"))
+    return paths.keyed(walked(spark, d, 3, (), False)).groupBy("metapath").agg(F.count("*").alias("n_paths"))
 
 
 @query
@@ -243,7 +257,7 @@ def metapath_dictionary(spark, d):
 
 @query
 def metapath_abbreviations(spark, d):
-    return graph.abbreviate(tables.graph(spark, d), interned(spark, d)[1]).select("mp_id", "notation")
+    return graph.abbreviate(stage_graph(spark, d), interned(spark, d)[1]).select("mp_id", "notation")
 
 
 def _reversed(spark: SparkSession, d: str, compat: bool) -> DataFrame:
@@ -263,7 +277,7 @@ def reversed_metapaths_compat(spark, d):
 
 @query
 def reachability_by_network(spark, d):
-    return paths.reachability(paths.distances(tables.graph(spark, d), stage_samples(spark, d), 3, ["Segment", "Nation", "Region", "Brand"]), 3)
+    return paths.reachability(paths.distances(stage_graph(spark, d), stage_samples(spark, d), 3, ["Segment", "Nation", "Region", "Brand"]), 3)
 
 
 @query
@@ -477,7 +491,7 @@ def significant_rules(spark, d):
 @query
 def explanation_subgraph(spark, d):
     p, ids = interned(spark, d)
-    return matching.explanation_edges(tables.graph(spark, d), matching.matching_paths(rules(spark, d), p), ids)
+    return matching.explanation_edges(stage_graph(spark, d), matching.matching_paths(rules(spark, d), p), ids)
 
 
 @query
