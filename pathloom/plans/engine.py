@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import cover, evaluation, labels, matching, mining, paths, thresholds
 from pathloom.operators.graph import adjacency
+from pathloom.plans.tuning import tuned
 from pathloom.sources.store import StageStore
 from pathloom.sources.tables import Graph
 
@@ -66,7 +67,7 @@ class Model:
 class Engine:
     def __init__(self, graph: Graph, parameters: Parameters | None = None, store: StageStore | None = None):
         self.graph, self.parameters = graph, parameters or Parameters()
-        self.store = store or StageStore(graph.nodes.sparkSession)
+        self.store = store or StageStore(tuned(graph.nodes.sparkSession))
         self._stage, self._adjacency = 0, None
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:

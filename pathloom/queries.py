@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import cover, evaluation, graph, labels, matching, mining, paths, studies, thresholds
 from pathloom.operators.mining import CLAUSE
 from pathloom.oracles import SQL
+from pathloom.plans.tuning import tuned
 from pathloom.sources import tables
 from pathloom.sources.store import StageStore
 
@@ -41,7 +42,7 @@ def clause_text(name: str = "clause") -> Column:
 
 def stage_graph(spark: SparkSession, d: str) -> tables.Graph:
     """The projected graph, as written tables."""
-    store = StageStore(spark)
+    store = StageStore(tuned(spark))
     return tables.Graph(store.get_or_make("nodes", lambda: tables.nodes(spark, d), tables=d), store.get_or_make("edges", lambda: tables.edges(spark, d), tables=d))
 
 
