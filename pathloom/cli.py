@@ -12,6 +12,7 @@ from pathloom.operators import labels
 from pathloom.plans.engine import Engine, Model, Parameters
 from pathloom.sources import graphml
 from pathloom.sources.pairs import one_pair, prediction_table, read_pairs, write_delimited, write_predictions
+from pathloom.sources.sinks import append_run, explanation_graphs, held_out_table, write_explanation_graphs
 from pathloom.sources.tables import Graph
 
 
@@ -62,6 +63,7 @@ def explained(engine: Engine, model: Model, pairs: DataFrame, out: str) -> None:
     """Ranked rules, and the edges of their sub-graphs, as delimited files."""
     ranked, edges = engine.explain(model, pairs)
     write_delimited(ranked, f"{out}/explanations")
+    write_explanation_graphs(explanation_graphs(engine.graph, ranked, edges), f"{out}/explanation_graphs")
     write_delimited(edges.join(engine.graph.edges.select("eid", "src", "dst", "label", "score", "target_id"), "eid"), f"{out}/explanation_edges")
 
 
@@ -73,10 +75,15 @@ def main(argv: list[str] | None = None) -> None:
     if args.action in ("train", "test", "evaluate"):
         train, held = samples(spark, graph, args)
     if args.action == "train":
-        engine.train(train).save(args.model, args.overwrite)
+        model = engine.train(train)
+        model.save(args.model, args.overwrite)
+        append_run(spark, f"{args.output}/runs", args.model, model.parameters, model.seconds)
+        write_delimited(held_out_table(graph, held, args.id_format), f"{args.output}/held_out")
     elif args.action == "evaluate":
         areas, scored = engine.evaluate(train, args.folds)
         write_delimited(areas, f"{args.output}/performance")
+        for r in areas.collect():  # a row a fold
+            append_run(spark, f"{args.output}/runs", "evaluate", engine.parameters, {k: r[k] for k in ("roc_auc", "pr_auc") if r[k] is not None}, r["fold"])
         write_delimited(scored, f"{args.output}/fold_predictions")
     else:
         model = Model.load(spark, args.model)

@@ -65,3 +65,38 @@ def rule_study(coverage: DataFrame, rules: DataFrame, wp: float, r: float) -> Da
 
     c = confidences(coverage, r)
     return c.join(rules.select("rule_id", (F.size("clause") > 0).alias("has_unification")), "rule_id").select("rule_id", (F.col("tp") / wp).alias("support"), "confidence", "has_unification")
+
+
+def best_mean_rates(mean_tpr: DataFrame) -> DataFrame:
+    """One row: the largest mean TPR (1 - FPR) of a mean curve (at: FPR, mean: TPR), and where it is."""
+    value = F.round(F.col("mean") * (1 - F.col("at")), 12).alias("value")
+    return mean_tpr.agg(F.max(F.struct(value, F.col("at").alias("fpr"), F.col("mean").alias("tpr"))).alias("m")).select("m.value", "m.fpr", "m.tpr")
+
+
+def baseline_scores(samples: DataFrame, columns: list[str], n_folds: int) -> DataFrame:
+    """samples (label, weight, fold, columns) with a score each: a logistic regression learned on the other folds."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(samples)
+    out = None
+    for k in range(n_folds):
+        model = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y").fit(rows.filter(F.col("fold") != k))
+        scored = model.transform(rows.filter(F.col("fold") == k)).withColumn("score", F.get(vector_to_array("_p"), 1)).select(*samples.columns, "score")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def compared(methods: dict[str, DataFrame], neighbours: DataFrame, rules: DataFrame, matches: DataFrame, kind: str) -> DataFrame:
+    """a, b, a probability per method, whether a matching rule passes a node type, and neighbour counts; a pair may lack any of them.
+
+    methods: name -> (a, b, probability); neighbours: a, b, n_a, n_b, similarity; rules: rule_id, mps; matches: rule_id, a, b.
+    """
+    out = None
+    for name, df in methods.items():
+        mine = df.select("a", "b", F.col("probability").alias(name))
+        out = mine if out is None else out.join(mine, ["a", "b"], "full")
+    passes = rules.select("rule_id", F.exists("mps", lambda m: F.array_contains(m["nodes"], kind)).alias("passes"))
+    flags = matches.join(F.broadcast(passes), "rule_id").groupBy("a", "b").agg(F.max("passes").alias("passes_type"))  # rules of the chosen set
+    return out.join(neighbours, ["a", "b"], "left").join(flags, ["a", "b"], "left").withColumn("min_neighbours", F.least("n_a", "n_b")).withColumn("passes_type", F.coalesce("passes_type", F.lit(False)))

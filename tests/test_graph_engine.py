@@ -11,6 +11,7 @@ from pathloom.operators import cover, evaluation, graph, labels, matching, minin
 from pathloom.plans.engine import Engine, Model, Parameters
 from pathloom.sources import graphml
 from pathloom.sources.pairs import one_pair, prediction_table, read_pairs, read_scored_folds, read_tuple_index, write_predictions
+from pathloom.sources.sinks import append_run, explanation_graphs, held_out_table, read_runs
 from pathloom.sources.tables import Graph
 
 NODES = [("A", "Gene", 1.0), ("B", "Gene", 2.0), ("D", "Gene", 2.0), ("E", "Gene", float("nan")), ("X", "T1", 0.0), ("Y", "T2", 0.0), ("Z", "T1", 0.0), ("W", "Bad", 0.0)]
@@ -273,6 +274,8 @@ def test_engine_end_to_end(spark, learned, tmp_path):
     with pytest.raises(Exception):
         model.save(str(tmp_path / "model"))
     ranked, edges = engine.explain(model, samples.filter("a = 'a0'"))
+    graphs = explanation_graphs(graph_, ranked, edges).collect()
+    assert len(graphs) == ranked.count() and graphs[0]["name"].startswith("a0-b0-1-1.000-") and graphs[0]["xml"].count("<edge ") == 3
     assert ranked.first()["n_nodes"] == 3 and {r["eid"] for r in edges.collect()} == {"d0", "h0", "k0"}
     areas, scored = engine.evaluate(samples, 3)
     assert [round(r["roc_auc"], 6) for r in areas.collect()] == [1.0] * 3 and scored.count() == 24
@@ -323,3 +326,27 @@ def test_result_tables(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in read_scored_folds(spark, str(tmp_path / "f.tsv")).collect()) == [(0.1, 0, 1.0), (0.9, 1, 0.5)]
     (tmp_path / "t.tsv").write_text("\tvalue\n('A', 'B')\t0.25\n")
     assert [tuple(r) for r in read_tuple_index(spark, str(tmp_path / "t.tsv"), "value").collect()] == [("A", "B", 0.25)]
+
+
+def test_run_tables(spark, g, tmp_path):
+    for fold in (0, 1):
+        append_run(spark, str(tmp_path / "runs"), "one", Parameters(alpha=0.25), {"roc_auc": 0.5 + fold / 4, "seconds": 2}, fold)
+    rows = read_runs(spark, str(tmp_path / "runs"))
+    assert rows.count() == 4 and rows.filter("figure = 'roc_auc'").agg(F.avg("value")).first()[0] == 0.625
+    held = spark.createDataFrame([("A", "B", 1.0)], "a string, b string, weight double")
+    assert tuple(held_out_table(g, held).first()) == ("a", "b", 1.0) and tuple(held_out_table(g, held, "id").first())[:2] == ("A", "B")
+
+
+def test_baseline_and_comparison(spark):
+    rows = [(f"a{i}", f"b{i}", int(i % 4 < 2), 1.0, i % 3, float(i % 4 < 2) + (i % 5) / 10) for i in range(60)]
+    s = spark.createDataFrame(rows, "a string, b string, label int, weight double, fold int, walk double")
+    scored = studies.baseline_scores(s, ["walk"], 3)
+    assert scored.count() == 60 and evaluation.roc_auc(scored).first()["roc_auc"] == 1.0
+    p = scored.select("a", "b", F.col("score").alias("probability"))
+    near = spark.createDataFrame([("a0", "b0", 2, 0, 0.0)], "a string, b string, n_a int, n_b int, similarity double")
+    mps = spark.createDataFrame([(1, [(["e"], ["Gene", "T1"], [0])])], "rule_id int, mps array<struct<edges:array<string>,nodes:array<string>,dirs:array<int>>>")
+    out = studies.compared({"ours": p, "other": p.filter("a <> 'a0'")}, near, mps, spark.createDataFrame([(1, "a1", "b1")], "rule_id int, a string, b string"), "T1")
+    by = {r["a"]: r for r in out.collect()}
+    assert len(by) == 60 and by["a0"]["other"] is None and by["a0"]["min_neighbours"] == 0 and by["a1"]["passes_type"] and not by["a2"]["passes_type"]
+    curve = spark.createDataFrame([(0.0, 0.2), (0.25, 0.8), (1.0, 1.0)], "at double, mean double")
+    assert studies.best_mean_rates(curve).first()["fpr"] == 0.25
