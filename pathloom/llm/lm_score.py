@@ -1,16 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root holds the counts of all training tokens.  A context of one or two words is a candidate if it makes up at least
-P_MIN of the training tokens, and so is a next word after it; a candidate context stays in the tree only if its
-next-word distribution diverges from that of its suffix (Kullback-Leibler, in nats, at least MIN_DIVERGENCE).  With
-c(s) the count of a context, c(s,x) that of a stored next word and r(s) the sum of those,
+The root holds the counts of all training tokens.  A context of one to DEPTH words is a candidate if it stands in the
+training rows at least LEAST times, and so is a next word after it; neither count follows the size of the corpus.  A
+candidate stays in the tree if its next-word distribution diverges from that of its suffix (Kullback-Leibler, in nats, at
+least MIN_DIVERGENCE), or if it is the suffix of one that stays.  With c(s) the count of a context, c(s,x) that of a stored
+next word and r(s) the sum of those,
 
     P(x|s) = (c(s,x) + (c(s) - r(s) + SMOOTHING) * P(x|suffix of s)) / (c(s) + SMOOTHING),   P(x) = (c(x)+1) / (N+V+1),
 
 so every distribution sums to one.  A token is scored in the longest context of the tree that ends just before it.
 
-P_MIN bounds the tree (at most 1/P_MIN contexts and next words of either order), so it can go to every task.  The root
-has no bound: words below P_MIN stay in Spark, and meet their counts in a join on the word's hash.
+The tree grows with the corpus, so it is a set of Spark tables and no task holds it.  A gram is a word with the words before
+it, known by a 64-bit hash.  Its probability depends on nothing else, so the levels are worked out gram by gram from
+the root down, each by a join with the level above and one with the contexts; the tokens of all rows then meet the grams
+in one join.
 
 Defined results: a null text counts as empty and has the end token alone; without training rows N, V and all counts are
 0, so every token scores log10(1) = 0; a row with a null id is a training row; repeated rows are scored each; other
@@ -19,9 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 from pathloom.llm._common import written
 from pathloom.llm.bpe import chunks
 
-P_MIN, MIN_DIVERGENCE, SMOOTHING = 2e-5, 0.02, 1.0
-#: Distinct words that one task counts before it hands its counts on.
-HELD_WORDS = 400_000
+DEPTH, LEAST, MIN_DIVERGENCE, SMOOTHING = 3, 2, 0.02, 1.0
+#: Characters of text worked on at once.
+CHUNK = 2_000_000
 
 #: No word holds white space, so this one is free to stand for the end.
 END = b"\n"
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public constants of the splitmix64 finaliser
+_STEP, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -55,207 +59,208 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (hash), c over the rows of texts (text)."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(map(word_hash, held), pa.int64()), pa.array(held.values(), pa.int64())], names=["word", "c"])
 
-        for batch in batches:
-            for part in chunks(batch.column(0)):
-                for text in part:
-                    held.update(tokens(text))
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Of a word after a context; after no words (0) the word's own hash."""
+    return np.where(context == 0, word, _mixed(context * _NEXT + word))
 
-    return texts.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context with one more word in front."""
+    return _mixed((context + _STEP) * _STEP + word) | np.uint64(1)
 
-class Words:
-    """Numbers the frequent words of texts; the rest are -1.  Keeps spellings of frequent words only."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.number = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
-        self.known: dict[bytes, int] = {}
+class Grams:
+    """The grams of some texts: hashes of words and contexts, order by order."""
 
-    def lists(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, dict[bytes, int]]:
-        """All tokens, their numbers, where each text starts, and the hashes of the rare words."""
+    def __init__(self, texts: list[str], depth: int):
         split = [tokens(t) for t in texts]
         flat = [w for s in split for w in s]
-        rare = {}
-        for w in set(flat).difference(self.known):
-            h = word_hash(w)
-            if (n := self.number.get(h)) is None:
-                rare[w] = h
-            else:
-                self.known[w] = n
-        numbers = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        return flat, numbers, np.cumsum([0, *map(len, split)])[:-1], rare
-
-
-def _before(numbers: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-    """The number of the word so many places earlier in the same text, or -1."""
-    out = np.full(len(numbers), -1, np.int64)
-    out[steps:] = numbers[:-steps] if steps < len(numbers) else 0
-    for k in range(steps):
-        at = starts + k
-        out[at[at < len(out)]] = -1
-    return out
+        known = {w: xxhash.xxh3_64_intdigest(w) for w in set(flat)}
+        self.word = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        self.row = np.repeat(np.arange(len(split)), sizes)
+        self.place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.contexts = [np.zeros(len(flat), np.uint64)]
+        for k in range(1, depth + 1):
+            at = np.flatnonzero(self.place >= k)
+            context = np.zeros(len(flat), np.uint64)
+            context[at] = longer(self.contexts[-1][at], self.word[at - k])
+            self.contexts.append(context)
+
+    def order(self, k: int) -> tuple[np.ndarray, ...]:
+        """Of the tokens with k words before them: their places, hash of the gram, of its context, of the gram one word shorter, of the context's suffix."""
+        at = np.flatnonzero(self.place >= k)
+        context, suffix = self.contexts[k][at], self.contexts[max(0, k - 1)][at]
+        return at, gram_hash(context, self.word[at]), context, gram_hash(suffix, self.word[at]), suffix
+
+    def whole(self) -> np.ndarray:
+        """Of each token, the gram with all words before it that depth allows."""
+        depth = len(self.contexts) - 1
+        context = np.select([self.place >= k for k in range(depth, 0, -1)], self.contexts[:0:-1], np.uint64(0))
+        return gram_hash(context, self.word)
+
+
+def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """k, gram, context, lower (the gram one word shorter), suffix (of the context), c (in training rows), asked (as some token's longest), over docs (train, text)."""
+    schema = "k int, gram long, context long, lower long, suffix long, c long, asked boolean"
 
-
-def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places of asked in sorted keys, -1 where absent."""
-    if not len(keys):
-        return np.full(len(asked), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, at, -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, train = 0, batch.column(0).to_numpy(zero_copy_only=False)
+            for part in chunks(batch.column(1), CHUNK):
+                mine = train[done : done + len(part)]
+                done += len(part)
+                g = Grams(part, depth)
+                for k in range(depth + 1):
+                    at, gram, context, lower, suffix = g.order(k)
+                    _, first, of = np.unique(gram, return_index=True, return_inverse=True)
+                    c = np.bincount(of, mine[g.row[at]], len(first)).astype(np.int64)
+                    asked = np.bincount(of, (g.place[at] == k) | (k == depth), len(first)) > 0
+                    hashes = (pa.array(x[first].view(np.int64)) for x in (gram, context, lower, suffix))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), *hashes, pa.array(c), pa.array(asked)], names=[x.split()[0] for x in schema.split(", ")])
+
+    grams = docs.select("train", "text").mapInArrow(run, schema)
+    return grams.groupBy("k", "gram").agg(*(F.min(x).alias(x) for x in ("context", "lower", "suffix")), F.sum("c").alias("c"), F.max("asked").alias("asked"))
+
+
+def _contexts(level: DataFrame) -> DataFrame:
+    """context, suffix, total, rest, keep of the candidates among the contexts of a level (context, suffix, c, below)."""
+    stored = lambda x: F.coalesce(F.sum(F.when(F.col("c") >= LEAST, x)), F.lit(0.0))
+    sums = level.groupBy("context").agg(
+        F.min("suffix").alias("suffix"),
+        F.sum("c").alias("total"),
+        stored(F.col("c").cast("double")).alias("r"),
+        stored(F.col("c") * F.log(F.col("c") / F.col("below"))).alias("a"),
+        stored(F.col("below")).alias("q"),
+    )
+    total, r = F.col("total"), F.col("r")
+    clipped = lambda x: F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0))
+    mine, theirs = clipped(1 - r / total), clipped(1 - F.col("q"))  # next words that are not stored count as one
+    divergence = (F.col("a") - r * F.log(total)) / total + mine * F.log(mine / theirs)
+    return sums.filter(total >= LEAST).select("context", "suffix", "total", ((total - r + SMOOTHING) / (total + SMOOTHING)).alias("rest"), (divergence >= MIN_DIVERGENCE).alias("keep"))
 
 
-def _followers(texts: DataFrame, hashes: np.ndarray, pairs: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of frequent (context, next word): contexts are words, or with pairs the pairs of words."""
-    size = len(hashes)
+def _below(grams: DataFrame, k: int, lower: DataFrame) -> DataFrame:
+    """The grams of order k with below, the probability in the context one word shorter, and word_c, the count of the word."""
+    return grams.filter(F.col("k") == k).join(lower.select(F.col("gram").alias("lower"), F.col("p").alias("below"), "word_c"), "lower")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(hashes)
-        for batch in batches:
-            for part in chunks(batch.column(0), 8_000_000):
-                _, now, starts, _ = words.lists(part)
-                context = _before(now, starts, 1)
-                if pairs is not None:
-                    first = _before(now, starts, 2)
-                    both = np.flatnonzero((first >= 0) & (context >= 0) & (now >= 0))
-                    context, now = _find(pairs, first[both] * size + context[both]), now[both]
-                keep = (context >= 0) & (now >= 0)
-                keys, counts = np.unique(context[keep] * size + now[keep], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["k", "c"])
 
-    rows = texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).orderBy("k").collect()  # at most 1/P_MIN rows
-    return np.array([r["k"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.float64)
+def _level(level: DataFrame, contexts: DataFrame) -> DataFrame:
+    """gram, p, word_c, asked."""
+    kept = contexts.filter("keep").select("context", "total", "rest")
+    stored = F.when(F.col("c") >= LEAST, F.col("c") / (F.col("total") + SMOOTHING)).otherwise(0.0)
+    p = F.when(F.col("total").isNull(), F.col("below")).otherwise(stored + F.col("rest") * F.col("below"))
+    return level.join(kept, "context", "left").select("gram", p.alias("p"), "word_c", "asked")
 
 
 class SuffixTree:
-    """The bounded part of the model, as sorted arrays."""
-
-    def __init__(self, total: int, distinct: int, hashes: np.ndarray, counts: np.ndarray, keys2: np.ndarray, n2: np.ndarray, keys3: np.ndarray, n3: np.ndarray):
-        self.hashes, self.counts, self.size = hashes, counts.astype(np.float64), len(hashes)
-        self.keys2, self.n2, self.keys3, self.n3 = keys2, n2, keys3, n3
-        self.norm = total + distinct + 1
-        self.root = (self.counts + 1) / self.norm
-        lam, size = SMOOTHING, max(1, self.size)
-        of2, next2 = keys2 // size, keys2 % size
-        self.rest1 = (self.counts - np.bincount(of2, n2, self.size) + lam) / (self.counts + lam)
-        self.p2 = n2 / (self.counts[of2] + lam) + self.rest1[of2] * self.root[next2]
-        self.keep1 = self._divergence(of2, n2, self.counts, self.root[next2]) >= MIN_DIVERGENCE
-        of3, next3 = keys3 // size, keys3 % size
-        held3 = np.bincount(of3, n3, len(keys2))
-        self.rest2 = (n2 - held3 + lam) / (n2 + lam)
-        lower = self.given1(next2[of3], next3) if len(keys3) else np.zeros(0)
-        self.p3 = n3 / (n2[of3] + lam) + self.rest2[of3] * lower
-        self.keep2 = self._divergence(of3, n3, n2, lower) >= MIN_DIVERGENCE
-        keep1 = self.keep1.copy()
-        keep1[next2[self.keep2]] = True  # a suffix tree holds the suffixes of its contexts
-        if (keep1 != self.keep1).any():
-            self.keep1 = keep1
-            if len(keys3):
-                self.p3 = n3 / (n2[of3] + lam) + self.rest2[of3] * self.given1(next2[of3], next3)
-
-    @staticmethod
-    def _divergence(of: np.ndarray, n: np.ndarray, totals: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Of each context from its suffix, all next words that are not stored taken as one."""
-        if not len(totals):
-            return np.zeros(0)
-        share = n / totals[of] if len(of) else np.zeros(0)
-        part = np.bincount(of, share * np.log(share / lower), len(totals)) if len(of) else np.zeros(len(totals))
-        mine, theirs = (np.clip(1 - (np.bincount(of, x, len(totals)) if len(of) else np.zeros(len(totals))), 1e-12, 1) for x in (share, lower))
-        return part + mine * np.log(mine / theirs)
+    """The model as tables: levels[k] has gram, p, word_c, asked; contexts[k] (from 1 on) has context, suffix, total, rest, keep."""
+
+    def __init__(self, grams: DataFrame, depth: int):
+        root = grams.filter("k = 0")
+        stats = root.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+        self.total, self.distinct = int(stats["n"] or 0), int(stats["v"])
+        self.norm = self.total + self.distinct + 1
+        self.counts = root.filter("c > 0").select(F.col("gram").alias("word"), "c")
+        first = root.select("gram", ((F.col("c") + 1) / F.lit(float(self.norm))).alias("p"), F.col("c").alias("word_c"), "asked")
+        self.levels, self.contexts = [first], [None]
+        for k in range(1, depth + 1):
+            level = written(_below(grams, k, self.levels[-1]), "level")
+            self.contexts.append(written(_contexts(level), "contexts"))
+            self.levels.append(written(_level(level, self.contexts[k]), "probabilities"))
+        changed = False  # a suffix tree holds the suffixes of its contexts
+        for k in range(depth - 1, 0, -1):
+            needed = self.contexts[k + 1].filter("keep").select(F.col("suffix").alias("context")).distinct().withColumn("needed", F.lit(True))
+            with_needed = self.contexts[k].join(needed, "context", "left")
+            self.contexts[k] = written(with_needed.select("context", "suffix", "total", "rest", (F.col("keep") | F.coalesce("needed", F.lit(False))).alias("keep"), (~F.col("keep") & F.coalesce("needed", F.lit(False))).alias("late")), "contexts")
+            changed |= not self.contexts[k].filter("late").isEmpty()
+        for k in range(1, depth + 1) if changed else ():
+            self.levels[k] = written(_level(_below(grams, k, self.levels[k - 1]), self.contexts[k]), "probabilities")
+
+    def probabilities(self) -> DataFrame:
+        """gram, p, word_c of every gram that is some token's longest."""
+        out = self.levels[0]
+        for level in self.levels[1:]:
+            out = out.unionByName(level)
+        return out.filter("asked").select("gram", "p", "word_c")
+
+    # What follows brings the contexts of one word to the driver, to look at small models; scoring has no use for it.
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = sorted((r["word"], r["c"]) for r in self.counts.collect())
+        return np.array([w for w, _ in rows], np.int64).view(np.uint64), np.array([c for _, c in rows], np.float64)
+
+    @property
+    def size(self) -> int:
+        return len(self.words[0])
+
+    @property
+    def root(self) -> np.ndarray:
+        return (self.words[1] + 1) / self.norm
+
+    @cached_property
+    def _ones(self) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+        context = longer(np.zeros(self.size, np.uint64), self.words[0]).view(np.int64).tolist()
+        found = {r["context"]: r for r in self.contexts[1].collect()}
+        rest = np.array([found[x]["rest"] if x in found else 1.0 for x in context])
+        keep = np.array([x in found and found[x]["keep"] for x in context], bool)
+        return rest, keep, {r["gram"]: r["p"] for r in self.levels[1].collect()}
+
+    @property
+    def rest1(self) -> np.ndarray:
+        return self._ones[0]
+
+    @property
+    def keep1(self) -> np.ndarray:
+        return self._ones[1]
 
     def given1(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """P(word | one word of context), for frequent words."""
-        at = _find(self.keys2, context * self.size + word)
-        p = np.where(at >= 0, self.p2[at] if len(self.p2) else 0, self.rest1[context] * self.root[word])
-        return np.where(self.keep1[context], p, self.root[word])
-
-    def logs(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 P of each token; of a rare word, without the factor P(x) that the root gives."""
-        one, two = _before(numbers, starts, 1), _before(numbers, starts, 2)
-        p = np.where(numbers >= 0, self.root[numbers] if self.size else 1.0, 1.0)
-        has1 = np.flatnonzero((one >= 0) & (self.keep1[one] if self.size else False))
-        rare = numbers[has1] < 0
-        p[has1[rare]] = self.rest1[one[has1[rare]]]
-        p[has1[~rare]] = self.given1(one[has1[~rare]], numbers[has1[~rare]])
-        pair = np.full(len(numbers), -1, np.int64)
-        both = np.flatnonzero((one >= 0) & (two >= 0))
-        pair[both] = _find(self.keys2, two[both] * self.size + one[both])
-        has2 = np.flatnonzero((pair >= 0) & (self.keep2[pair] if len(self.keep2) else False))
-        if len(has2):
-            at = np.where(numbers[has2] >= 0, _find(self.keys3, pair[has2] * self.size + numbers[has2]), -1)
-            p[has2] = np.where(at >= 0, self.p3[at] if len(self.p3) else 0, self.rest2[pair[has2]] * p[has2])
-        return np.log10(p)
-
-
-def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[SuffixTree, DataFrame, int, int]:
+        """P(word | one word of context), by their places among all words."""
+        rest, keep, p = self._ones
+        grams = gram_hash(longer(np.zeros(len(context), np.uint64), self.words[0][context]), self.words[0][word]).view(np.int64)
+        other = np.where(keep[context], rest[context], 1.0) * self.root[word]
+        return np.array([p.get(g, o) for g, o in zip(grams.tolist(), other.tolist(), strict=True)])
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame, int, int]:
     """The tree, the root's counts (word, c), N and V."""
-    texts = docs.filter(~held_out(id_col)).select(F.col(text_col).alias("text"))
-    counts = written(word_counts(texts), "word-counts")
-    stats = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(stats["n"] or 0), int(stats["v"])
-    least = max(1.0, P_MIN * total)
-    frequent = sorted((r["word"], r["c"]) for r in counts.filter(F.col("c") >= least).collect())  # at most 1/P_MIN rows
-    hashes, c1 = np.array([x[0] for x in frequent], np.int64), np.array([x[1] for x in frequent], np.float64)
-    keys2, n2 = _followers(texts, hashes, None, least)
-    keys3, n3 = _followers(texts, hashes, keys2, least) if len(keys2) else (keys2, n2)
-    return SuffixTree(total, distinct, hashes, c1, keys2, n2, keys3, n3), counts, total, distinct
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    texts = docs.select((~held_out(id_col)).alias("train"), F.col(text_col).alias("text"))
+    tree = SuffixTree(written(gram_counts(texts, depth), "grams"), depth)
+    return tree, tree.counts, tree.total, tree.distinct
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    tree, counts, total, _ = train(docs, id_col, text_col)
-    log_norm = float(np.log10(tree.norm))
-    log_c = np.log10(tree.counts + 1)
-    schema = "row_key long, doc_id long, word long, tf long, n_tokens long, n_known long, known double, part double"
+    tree, _, total, _ = train(docs, id_col, text_col, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tree.hashes)
         for batch in batches:
             keys, ids, done = batch.column(0).to_numpy(), batch.column(1), 0
-            for part in chunks(batch.column(2)):
-                flat, numbers, starts, rare = words.lists(part)
-                row = np.repeat(np.arange(len(part)), np.diff([*starts, len(flat)]))
-                often = numbers >= 0
-                sums = [np.bincount(row, x, len(part)) for x in (np.ones(len(row)), often, np.where(often, log_c[numbers] if len(log_c) else 0, 0), tree.logs(numbers, starts))]
-                found: Counter[tuple[int, int]] = Counter(zip(row[~often].tolist(), (rare[flat[i]] for i in np.flatnonzero(~often).tolist()), strict=True))
-                at = np.array([k[0] for k in found], np.int64)
-                mine, theirs = keys[done : done + len(part)], ids.slice(done, len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([mine, mine[at]])),
-                        pa.concat_arrays([theirs, theirs.take(pa.array(at))]),
-                        pa.array(np.concatenate([mine * 0x9E3779B1 % (1 << 62), np.array([k[1] for k in found], np.int64)])),
-                        pa.array(np.concatenate([np.zeros(len(part), np.int64), np.fromiter(found.values(), np.int64, len(found))])),
-                        *(pa.array(np.concatenate([s, np.zeros(len(found))]).astype(t)) for s, t in zip(sums, (np.int64, np.int64, np.float64, np.float64), strict=True)),
-                    ],
-                    names=[x.split()[0] for x in schema.split(", ")],
-                )
+            for part in chunks(batch.column(2), CHUNK):
+                g = Grams(part, depth)
+                gram = g.whole()
+                _, first, tf = np.unique(_mixed(gram + g.row.astype(np.uint64) * _STEP), return_index=True, return_counts=True)
+                at = done + g.row[first]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), ids.take(pa.array(at)), pa.array(gram[first].view(np.int64)), pa.array(tf.astype(np.int64))], names=["row_key", "doc_id", "gram", "tf"])
                 done += len(part)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    rare_c = F.when(F.col("tf") > 0, F.coalesce("c", F.lit(0)))  # rows of tf 0 stand for a text's own sums, dealt by its key
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "row_key long, doc_id long, gram long, tf long")
+    tf = F.col("tf")
     sums = (
-        rows.join(counts, "word", "left")
+        rows.join(tree.probabilities(), "gram")
         .groupBy("row_key", "doc_id")
         .agg(
-            F.sum("n_tokens").alias("n_tokens"),
-            (F.sum("n_known") + F.sum(F.when(rare_c > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-            F.sum("tf").alias("n_rare"),
-            F.sum("known").alias("known"),
-            F.sum("part").alias("part"),
-            F.coalesce(F.sum(F.col("tf") * F.log10(rare_c + 1)), F.lit(0.0)).alias("rare"),
+            F.sum("tf").alias("n_tokens"),
+            F.sum(F.when(F.col("word_c") > 0, tf).otherwise(0)).alias("n_known"),
+            F.sum(tf * F.log10(F.col("word_c") + 1)).alias("base"),
+            F.sum(tf * F.log10("p")).alias("score"),
         )
     )
     return sums.select(
@@ -264,6 +269,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_tokens",
         "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("known") + F.col("rare") - F.col("n_tokens") * F.lit(log_norm)).alias("base_score"),
-        (F.col("part") + F.col("rare") - F.col("n_rare") * F.lit(log_norm)).alias("score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(tree.norm)))).alias("base_score"),
+        "score",
     )

@@ -173,6 +173,49 @@ def test_lm_distributions_sum_to_one(spark):
         assert p + unseen == pytest.approx(1, abs=1e-9)
 
 
+def test_lm_rare_and_deep_contexts(spark):
+    """Contexts and next words count from two on, however large the corpus is; three words of context are told apart."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcdefghij", k=rng.randint(0, 30))) for _ in range(60)]
+    texts += ["q1 q2 q3 q4"] * 3 + ["z2 q2 q3 q5"] * 3 + [" ".join(f"fill{rng.randrange(30_000)}" for _ in range(2_500)) for _ in range(70)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs(spark, texts)).collect()}
+    toks = {i: t.split() + [None] for i, t in enumerate(texts)}
+    seen: dict = {}
+    for i, ts in toks.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for at, x in enumerate(ts):
+                for k in range(min(at, 3) + 1):
+                    after = seen.setdefault(tuple(ts[at - k : at]), {})
+                    after[x] = after.get(x, 0) + 1
+    norm = sum(seen[()].values()) + len(seen[()]) + 1
+    assert sum(seen[()].values()) * 2e-5 > 3  # so these contexts are below that share of the corpus
+
+    def p(s, x, kept):
+        if not s:
+            return (seen[()].get(x, 0) + 1) / norm
+        if s not in kept:
+            return p(s[1:], x, kept)
+        total, stored = sum(seen[s].values()), {y: c for y, c in seen[s].items() if c >= 2}
+        return (stored.get(x, 0) + (total - sum(stored.values()) + 1) * p(s[1:], x, kept)) / (total + 1)
+
+    kept: set = set()
+    for k in (1, 2, 3):
+        more = set()
+        for s, after in seen.items():
+            total = sum(after.values())
+            if len(s) == k and total >= 2:
+                stored = {x: (c / total, p(s[1:], x, kept)) for x, c in after.items() if c >= 2}
+                mine, theirs = (min(1.0, max(1e-12, 1 - sum(v[j] for v in stored.values()))) for j in (0, 1))
+                if sum(a * math.log(a / b) for a, b in stored.values()) + mine * math.log(mine / theirs) >= 0.02:
+                    more.add(s)
+        kept |= more
+    kept |= {s[j:] for s in kept for j in range(1, len(s))}
+    assert {len(s) for s in kept} == {1, 2, 3}
+    for i, ts in toks.items():
+        want = sum(math.log10(p(tuple(ts[max(0, at - 3) : at]), x, kept)) for at, x in enumerate(ts))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
 # ---------------------------------------------------------------- packing
 
 
