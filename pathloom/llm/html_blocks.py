@@ -38,12 +38,32 @@ class _Page:
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.out.append(Block(text, tuple(names for _, names, _ in self.stack), min(self.linked, len(text))))
+            self.out.append(Block(text, tuple(names for tag, names, _ in self.stack if tag not in INLINE), min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
     def shown(self) -> bool:
         return not self.stack or self.stack[-1][2]
 
+    def inline(self) -> bool:
+        """Whether the innermost open element is a hidden inline one or stands in one."""
+        return bool(self.stack) and self.stack[-1][0] in INLINE
+
+    def close_inline(self, name: str) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] not in INLINE:
+                return
+            if self.stack[k][0] == name:
+                del self.stack[k:]
+                return
+
+    def close_paragraph(self) -> None:
+        """Closes an open p with the hidden inline elements that are open in it."""
+        k = len(self.stack) - 1
+        while k >= 0 and self.stack[k][0] in INLINE:
+            k -= 1
+        if k >= 0 and self.stack[k][0] == "p":
+            del self.stack[k:]
+
     def close(self, name: str, barrier: set[str] | frozenset[str] = frozenset()) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
@@ -86,8 +106,11 @@ def blocks(html: str) -> list[Block]:
             page.parts.append(" ")
         elif tag == "a":
             page.links = 0 if end else 1
-        elif tag in INLINE and not (attributes and _HIDDEN.search(attributes)):
-            continue
+        elif tag in INLINE:  # those that are shown leave no trace; a hidden one, with what stands in it, is kept open without cutting the block
+            if end:
+                page.close_inline(tag)
+            elif tag not in VOID and not attributes.rstrip().endswith("/") and (page.inline() or attributes and _HIDDEN.search(attributes)):
+                page.stack.append((tag, (), False))
         elif end:
             page.flush()
             if tag == "body" or tag == "html":
@@ -95,8 +118,7 @@ def blocks(html: str) -> list[Block]:
             page.close(tag, {"td", "th", "table"} if tag == "p" else frozenset())
         else:
             page.flush()
-            if page.stack and page.stack[-1][0] == "p" and tag not in INLINE:
-                page.stack.pop()
+            page.close_paragraph()
             if tag == "body":
                 page.close("head")
             for members, holders in GROUPS:

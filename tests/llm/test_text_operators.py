@@ -66,6 +66,16 @@ def test_blocks_survive_bad_markup():
     assert [b.text for b in blocks("<div>a<p>b<p>c</div>d")] == ["a", "b", "c", "d"]
 
 
+def test_hidden_inline_elements_end():
+    texts = lambda html: [b.text for b in blocks(html)]
+    assert texts('<article><i class="icon" aria-hidden="true"></i><p>one</p><p>two</p></article>') == ["one", "two"]
+    assert texts('<p>a <span hidden>no</span> b <i aria-hidden="true">no</i>c</p><p>d</p>') == ["a b c", "d"]
+    assert texts('<p>a <span style="display: none">no <span>no</span> no <b>no</b></span> b</p>') == ["a b"]
+    assert texts("<div>a <span hidden>no <div>no <span>no</span></div> no</span> b</div>c") == ["a", "b", "c"]
+    assert texts("<p>a <span hidden>no<p>b</p><div>c <em hidden>no</div>d") == ["a", "b", "c", "d"]
+    assert texts('<div hidden><span hidden>no</span> no <i>no</i></div>a<wbr hidden>b<i aria-hidden="true"/>c') == ["abc"]
+
+
 # ---------------------------------------------------------------- bpe
 
 
