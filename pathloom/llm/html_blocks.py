@@ -79,7 +79,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
             found += [f".{w.lower()}" for w in _NAME.findall(m[2] or m[3] or m[4] or "")]
-    return tuple(found[:12])
+    return tuple(found)
 
 
 def blocks(html: str) -> list[Block]:

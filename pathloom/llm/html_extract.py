@@ -56,8 +56,8 @@ def vectors(page: list[Block]) -> np.ndarray:
             known[b.path] = row
         x[i, : len(row)] = row
         words = b.text.split()
-        for w in set(words[:40]):  # a vector of shares; further words change it little
-            x[i, len(row) + crc32(w.lower().encode("utf-8", "replace")) % WORD_SLOTS] += 0.5 / min(40, len(words))
+        for w in set(words):  # a vector of shares
+            x[i, len(row) + crc32(w.lower().encode("utf-8", "replace")) % WORD_SLOTS] += 0.5 / len(words)
         n = len(b.text)
         x[i, -SHARES:] = (
             min(1, n / 100), min(1, n / 400), min(1, len(words) / 8), b.linked / n, len(_PUNCTUATION.findall(b.text)) / max(1, len(words)),
@@ -209,7 +209,12 @@ class PageMaker:
         return f"<{wrap}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{wrap}>" if self.chance(0.7) else " | ".join(items)
 
     def named(self, tag: str, *names: str) -> str:
-        return f'<{tag} {self.pick("class", "class", "id")}="{self.pick(*names)}{self.pick("", "", "-" + self.word(), " " + self.word())}">'
+        name = f'{self.pick(*names)}{self.pick("", "", "-" + self.word(), " " + self.word())}'
+        if self.chance(0.15):  # among many class words that tell nothing
+            around = self.words(3, 16).split()
+            at = int(self.rng.integers(0, len(around) + 1))
+            return f'<{tag} class="{" ".join([*around[:at], name, *around[at:]])}">'
+        return f'<{tag} {self.pick("class", "class", "id")}="{name}">'
 
     def main(self) -> str:
         """Blocks of an article."""

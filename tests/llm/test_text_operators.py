@@ -76,6 +76,17 @@ def test_hidden_inline_elements_end():
     assert texts('<div hidden><span hidden>no</span> no <i>no</i></div>a<wbr hidden>b<i aria-hidden="true"/>c') == ["abc"]
 
 
+def test_html_reads_all_names_and_words():
+    classes = "flex flex-col md:flex-row items-center justify-between px-4 py-2 sidebar"
+    body = "".join(f"<p>Some words of a story that goes on, part {k}, for a while.</p>" for k in range(4))
+    html = f'<html><body><article><h1>A title</h1>{body}</article><div class="{classes}"><p>Read more of what others like here.</p></div><footer>&copy; x</footer></body></html>'
+    assert ".sidebar" in blocks(html)[5].path[-2]
+    assert html_extract.texts_of([html], html_extract.trained())[0].count("\n") == 4
+    long = " ".join(f"w{k}" for k in range(40))
+    a, b = (html_extract.vectors(blocks(f"<p>{long} {more}</p>"))[0] for more in ("x1 " * 9, "y1 " * 9))
+    assert (a != b).any()
+
+
 # ---------------------------------------------------------------- bpe
 
 
