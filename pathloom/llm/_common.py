@@ -59,3 +59,18 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it was counted to be small enough; df should be a written table."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs from a written table, each row with a key of its own in the order of id_col (null ids first), and the key's name.
+
+    Rows that share an id, or have none, differ in their keys.  Only ids are sorted; texts stay where they are.
+    """
+    spark = docs.sparkSession
+    key = unused("_key", docs.columns)
+    at = unused("_at", [*docs.columns, key])
+    rows = written(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
+    by = F.col(id_col).cast("long").alias("_by")
+    ordered = rows.select(by, at).repartitionByRange(shuffle_partitions(spark), "_by", at).sortWithinPartitions("_by", at)
+    keys = written(ordered.select(at, F.monotonically_increasing_id().alias(key)), "row-keys")
+    return rows.join(small(keys), at).drop(at), key

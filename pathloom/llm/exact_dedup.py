@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import SPACE_RUN, shuffle_partitions, small, written
+from pathloom.llm._common import numbered, SPACE_RUN, shuffle_partitions, small, written
 
 #: Digests in one filter at most, on average: a filter is built in one task (about 40 MB while building).
 BUCKET_KEYS = 250_000
@@ -202,6 +202,7 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat the text of a row of smaller id; the columns stay as they are."""
-    gone = written(dedup_table(docs).filter("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that repeat the text of a row of smaller id, or of the same id; the columns stay as they are."""
+    rows, key = numbered(docs)
+    gone = written(dedup_table(rows, key).filter("not kept").select(F.col("doc_id").alias(key)), "copies")
+    return rows.join(small(gone), key, "left_anti").select(docs.columns)

@@ -15,8 +15,8 @@ comparing.  Three steps, all over packed arrays that are dealt by a hash:
 The same text exchange serves the cutting of runs and the final removal.
 
 Defined results: a null text counts as empty; texts under 100 bytes lose nothing; of equal windows the one of the smallest
-id stays, in one document the earliest; a null id sorts first; rows that share an id are taken as one document (what goes
-from one goes from the same places of the other); an empty table gives no rows; other columns are ignored.
+id stays, in one document the earliest; a null id sorts first; rows that share an id, or have none, are documents of their
+own, in any order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import short_batches, shuffle_partitions, unused, written
+from pathloom.llm._common import numbered, short_batches, shuffle_partitions, small, unused, written
 
 WINDOW, GRAM = 100, 32
 GRAMS = WINDOW - GRAM + 1
@@ -40,7 +40,6 @@ MOST_RUNS = 2_000
 HOT_IN_TASK, HOT_SHARE = 8, 0.001
 #: Bytes worked on at once, anchors in one bucket and bytes of text in one bucket, on average.
 CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 500_000, 400_000, 2_000_000
-_NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 30) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public constants of the splitmix64 finaliser
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -409,11 +408,10 @@ def _kept(texts: DataFrame, removed: DataFrame, with_text: bool) -> DataFrame:
     return texts.groupBy("part").cogroup(removed.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(finish, schema)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) with with_text."""
+def _dedup(docs: DataFrame, with_text: bool) -> DataFrame:
+    """Per row of docs (doc_id, text), of which no two share a doc_id: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
     spark = docs.sparkSession
     short_batches(spark)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     statistics = written(_statistics(docs), "anchors")
     total = statistics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "bytes", "anchors"))).first()
     least = max(MOST_RUNS / 4, HOT_SHARE * total["docs"])
@@ -425,8 +423,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     found = written(_equal_runs(docs, hot, buckets, doc_buckets), "equal-runs")
     pieces = _cut_out(texts, found.filter(F.col("kind").isin(ASKED, ASKED_HOT)), buckets)
     removed = found.filter(F.col("kind") == REMOVED).unionByName(_earlier(pieces, buckets, doc_buckets))
-    out = _kept(texts, removed, with_text)
-    out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    return _kept(texts, removed, with_text)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) with with_text."""
+    rows, key = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    out = _dedup(rows.select(F.col(key).alias("doc_id"), "text"), with_text).withColumnRenamed("doc_id", key)
+    out = out.join(small(rows.select(key, "doc_id")), key).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return out if with_text else out.drop("kept")
 
 
@@ -440,9 +444,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], names=["_id", "_kept"])
 
-    key, kept = unused("_id", docs.columns), unused("_kept", docs.columns)
-    lost = dedup(docs, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept").dropDuplicates(["_id"]).mapInArrow(decode, "_id long, _kept string").toDF(key, kept)
-    out = docs.join(lost, docs["doc_id"].eqNullSafe(lost[key]), "left")
+    rows, key = numbered(docs)
+    kept = unused("_kept", rows.columns)
+    texts = rows.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    lost = _dedup(texts, True).filter("n_removed > 0").select("doc_id", "kept").mapInArrow(decode, "_id long, _kept string").toDF(key, kept)
+    out = rows.join(lost, key, "left")
     new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.char_length(kept).cast(docs.schema["n_chars"].dataType))

@@ -173,6 +173,25 @@ def test_passages_cleaned(spark, corpus):
     assert suffix_dedup.dedup(table(spark, [(None, "y" * 150), (3, "y" * 150)])).filter("doc_id is null").first()["n_removed"] == 149
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Rows that share an id, or have none, and differ in text."""
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    rows = [(None, a), (None, b), (4, "short"), (7, c), (7, a), (7, "of its own"), (9, f"{b} and more"), (9, None)]
+    texts = lambda df: sorted(str(r["text"]) for r in df.collect())
+    first = exact_dedup.keep_first(table(spark, [*rows, (None, b), (7, c)]))
+    assert texts(first) == sorted(str(t) for i, t in rows if (i, t) != (7, a)) and {r["doc_id"] for r in first.collect() if r["text"] in (a, b)} == {None}
+    assert texts(ngram_join.keep_one(table(spark, rows))) == sorted(str(t) for i, t in rows if (i, t) not in ((7, a), rows[6]))
+    rows = [(None, a), (None, f"{b} {a}"), (5, "short"), (5, f"{c} {a} and more"), (6, f"xy {c}"), (6, b), (6, c[:50])]
+    want = {k: w for k, w in removed([(k, t) for k, (_, t) in enumerate(rows)]).items()}
+    # rows of one id come in any order, so the two that repeat each other are told by their sums
+    got = suffix_dedup.dedup(table(spark, rows)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"]) for r in got) == sorted((-1 if i is None else i, w[0]) for (i, _), w in zip(rows, want.values(), strict=True))
+    assert [sum(r["n_removed"] for r in got if r["doc_id"] == i) for i in (None, 5, 6)] == [sum(w[1] for (j, _), w in zip(rows, want.values(), strict=True) if j == i) for i in (None, 5, 6)]
+    clean = texts(suffix_dedup.cleaned(table(spark, rows)))
+    assert len(clean) == len(rows) and "short" in clean and c[:50] in clean and sum(map(len, clean)) == sum(w[0] - w[1] for w in want.values())
+
+
 def test_longest_previous_factors():
     rng = random.Random(0)
     for t in range(40):
