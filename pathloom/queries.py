@@ -516,7 +516,7 @@ def set_weight(spark, d):
 
 @query
 def set_cover_steps(spark, d):
-    chosen = cover.set_cover(coverage(spark, d), cover.totals(stage_samples(spark, d)), most=3)
+    chosen = cover.set_cover(coverage(spark, d), cover.totals(stage_samples(spark, d)))
     return spark.createDataFrame([(i + 1, r, round(m, 6)) for i, (r, m) in enumerate(chosen)], "step int, rule_id int, marginal double")
 
 

@@ -42,3 +42,27 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_set_cover_goes_on_while_it_gains(spark, monkeypatch):
+    """Five rules are needed here; a brute-force greedy cover says which, in which order."""
+    matched = {r: {*range(10 * r, 10 * r + 8 - r)} | {100 + k for k in range(r % 3)} for r in range(5)} | {5: {0, 1, 10, 100, 101, 102}}
+    labels = {k: 1 for k in range(50)} | {100 + k: 0 for k in range(20)}
+    samples = spark.createDataFrame([(k, -k, y, 1.0) for k, y in labels.items()], "a long, b long, label int, weight double")
+    rows = [(r, k, -k, labels[k], 1.0) for r, m in matched.items() for k in m]
+    coverage = spark.createDataFrame(rows, "rule_id int, a long, b long, label int, weight double")
+    monkeypatch.setattr(queries, "stage_samples", lambda spark, d: samples)
+    monkeypatch.setattr(queries, "coverage", lambda spark, d: coverage)
+    positive, negative = ({k for k, y in labels.items() if y == v} for v in (1, 0))
+    weight = lambda covered: 0.5 * (1 - len(covered & positive) / 50) + 0.5 * len(covered & negative) / 20 if covered else 1.0
+    confidence = {r: len(m & positive) / len(m) for r, m in matched.items()}
+    want, covered = [], set()
+    while left := [r for r in matched if r not in [x[1] for x in want]]:
+        gain = {r: round(weight(covered | matched[r]) - weight(covered), 12) for r in left}
+        best = min(left, key=lambda r: (gain[r], -confidence[r], -r))
+        if gain[best] >= 0:
+            break
+        covered |= matched[best]
+        want.append((len(want) + 1, best, round(gain[best], 6)))
+    assert len(want) > 3
+    assert [tuple(r) for r in queries.QUERIES["set_cover_steps"](spark, "").orderBy("step").collect()] == want
