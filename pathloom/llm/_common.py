@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What the contracts call white space: space, tab, line feed, VT, FF, CR.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -14,10 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests).
+
+    A local folder would not do on a cluster, so there an unset folder is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
@@ -52,17 +59,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows of two integers that may be broadcast (about 32 MB); larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast, by its row count and the width of its columns; larger sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(schema: T.StructType) -> int | None:
+    """The width of a row whose columns all have a known one; None where some grow with their content."""
+    total = 8
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            inner = row_bytes(f.dataType)
+            if inner is None:
+                return None
+            total += 8 + inner
+        elif isinstance(f.dataType, T.BinaryType) and f.name == "digest":  # SHA-256
+            total += 40
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+            return None
+        else:
+            total += 8
+    return total
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it was counted to be small enough; df should be a written table."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if it was counted to fit BROADCAST_BYTES; df should be a written table.
+
+    Where a column's width is not known, its bytes are summed first.
+    """
+    width = row_bytes(df.schema)
+    if width is not None:
+        most = BROADCAST_BYTES // width
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if len(wide) < sum(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields):
+        return df
+    size = df.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, wide) + F.lit(16 + 16 * len(df.columns))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
-    """docs from a written table, each row with a key of its own in the order of id_col (null ids first), and the key's name.
+    """docs from a written table, each row with a key of its own in the order of id_col (null ids last), and the key's name.
 
     Rows that share an id, or have none, differ in their keys.  Only ids are sorted; texts stay where they are.
     """
@@ -71,6 +107,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
     at = unused("_at", [*docs.columns, key])
     rows = written(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
     by = F.col(id_col).cast("long").alias("_by")
-    ordered = rows.select(by, at).repartitionByRange(shuffle_partitions(spark), "_by", at).sortWithinPartitions("_by", at)
+    order = [F.col("_by").asc_nulls_last(), F.col(at).asc()]
+    ordered = rows.select(by, at).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     keys = written(ordered.select(at, F.monotonically_increasing_id().alias(key)), "row-keys")
     return rows.join(small(keys), at).drop(at), key

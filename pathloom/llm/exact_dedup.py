@@ -1,26 +1,29 @@
 """Exact deduplication against an immutable snapshot.
 
-A snapshot is a set of earlier rows, reduced to one digest per distinct text.  Its digests are dealt to buckets, and
-each bucket gets one static binary-fuse filter (8-bit fingerprints, about 1.13 bytes a digest).  The digests of a new
-batch are first grouped among themselves, then screened by the filter of their bucket.  Only positives are joined with
-the snapshot's exact rows; what the filter rules out never takes part in that join.  Rows of digests that occur more
-than once are compared byte by byte before a copy is called a copy.
-
-Defined results: a null text counts as empty; empty texts equal one another; repeated ids are separate rows that share
-an id; ties cannot arise (the smallest id stays); empty tables give no rows; other columns are ignored.  Should two
-different texts ever share a SHA-256 digest, the job stops with an error and merges nothing.
+A snapshot is a set of earlier rows.  It is written once: its members (key, id, digest), its exact buckets (each distinct
+text under its digest, with the first of its rows and their number) and, per bucket, one static binary-fuse filter over the
+digests (8-bit fingerprints, about 1.13 bytes a digest).  All three can be loaded again for later batches.
+
+The rows of a new batch are first grouped among themselves, then screened by the filter of their bucket.  Only positives
+are joined with the exact buckets, where the texts themselves are compared; what the filter rules out never takes part in
+that join.  Texts are grouped under digest and whole text, so equal digests of different texts stop the job: nothing is
+merged on the word of a digest.
+
+Defined results: a null text counts as empty; empty texts equal one another; of equal texts the row of the smallest id
+stays, a null id coming after all others, and of rows that share that id one, so each group keeps exactly one row; keep_id
+is the id of that row; very long texts are read whole; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import numbered, SPACE_RUN, shuffle_partitions, small, written
+from pathloom.llm._common import SPACE_RUN, shuffle_partitions, small, unused, written
 
 #: Digests in one filter at most, on average: a filter is built in one task (about 40 MB while building).
 BUCKET_KEYS = 250_000
@@ -114,18 +117,18 @@ def _keys(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(d)[:8] for d in digests), np.uint64)
 
 
-def build_filters(snapshot: DataFrame) -> DataFrame:
-    """One filter per bucket of a snapshot (bucket, digest): bucket, seed, segment, segments, prints."""
+def build_filters(exact: DataFrame) -> DataFrame:
+    """One filter per bucket of (bucket, digest): bucket, seed, segment, segments, prints."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         f = BinaryFuse.build(_keys(pdf["digest"]))
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "seed": [f.seed], "segment": [f.segment], "segments": [f.segments], "prints": [f.prints.tobytes()]})
 
-    return snapshot.select("bucket", "digest").groupBy("bucket").applyInPandas(build, "bucket int, seed int, segment int, segments int, prints binary")
+    return exact.select("bucket", "digest").groupBy("bucket").applyInPandas(build, "bucket int, seed int, segment int, segments int, prints binary")
 
 
 def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
-    """The rows of batch (bucket, digest, keep_id, n) with maybe: false where the snapshot surely lacks the digest."""
+    """bucket, digest, maybe of a batch (bucket, digest): false where the snapshot surely lacks the digest."""
 
     def ask(new: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if len(new) and len(found):
@@ -135,74 +138,129 @@ def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
             new["maybe"] = False
         return new
 
-    return batch.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, "bucket int, digest binary, keep_id long, n long, maybe boolean")
+    return batch.select("bucket", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, "bucket int, digest binary, maybe boolean")
 
 
-# ---------------------------------------------------------------- the operator
+# ---------------------------------------------------------------- rows and texts
+
+
+def _digested(docs: DataFrame, id_col: str, text_col: str, key_col: str | None, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: key, id, bucket, digest; texts: bucket, digest, body) of docs.
+
+    Without key_col, a row's key is made while rows is written.  Read rows from a written table.
+    """
+    key = F.monotonically_increasing_id() if key_col is None else F.col(key_col)
+    body = docs.select(key.cast("long").alias("key"), F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("body"))
+    known = body.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
+    known = known.withColumn("bucket", F.pmod(F.crc32("digest"), F.lit(buckets)).cast("int"))
+    return known.select("key", "id", "bucket", "digest"), known.select("bucket", "digest", "body")
+
+
+def _first() -> F.Column:
+    """Of some rows, the one of the smallest id (null ids last), then of the smallest key."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("bucket", "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    """bucket, digest, first, n: groups of rows, summed before they travel."""
+    return rows.groupBy("bucket", "digest").agg(_first().alias("first"), F.count("*").alias("n"))
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("digest")).withColumn(
-        "bucket", F.pmod(F.crc32("digest"), F.lit(buckets)).cast("int")
-    )
+def _distinct(texts: DataFrame) -> DataFrame:
+    """bucket, digest, body: each distinct text once; the job stops where two of them share a digest."""
+    once = written(texts.groupBy("bucket", "digest", "body").agg(F.count("*").alias("n")).select("bucket", "digest", "body"), "texts")
+    clash = once.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    if not clash.isEmpty():
+        raise ValueError("two texts share a SHA-256 digest")
+    return once
+
+
+@dataclass
+class Snapshot:
+    """members: key, id, bucket, digest; groups: bucket, digest, first, n; texts: bucket, digest, body; filters: one a bucket."""
 
+    members: DataFrame
+    groups: DataFrame
+    texts: DataFrame
+    filters: DataFrame
+    buckets: int
 
-def dedup_batch(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of snapshot and batch: doc_id, keep_id, group_size, kept, text_sha256, is_new.
+    PARTS = ("members", "groups", "texts", "filters")
 
-    The smallest id of equal texts stays, wherever it came from.
+    @classmethod
+    def create(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, buckets: int | None = None) -> Snapshot:
+        if buckets is None:
+            buckets = max(shuffle_partitions(docs.sparkSession), -(-docs.select(id_col).count() // BUCKET_KEYS))
+        rows, texts = _digested(docs, id_col, text_col, key_col, buckets)
+        members, texts = written(rows, "members"), _distinct(texts)
+        groups = written(_grouped(members), "groups")
+        return cls(members, groups, texts, written(build_filters(groups), "filters"), buckets)
+
+    def save(self, path: str) -> None:
+        for part in self.PARTS:
+            getattr(self, part).write.parquet(f"{path.rstrip('/')}/{part}")
+        self.members.sparkSession.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.parquet(f"{path.rstrip('/')}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Snapshot:
+        read = lambda part: spark.read.parquet(f"{path.rstrip('/')}/{part}")
+        return cls(*(read(p) for p in cls.PARTS), read("meta").first()["buckets"])
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def repeated(snapshot: Snapshot, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """digest, first, n of the texts that snapshot and batch (rows: written; texts: distinct, written) hold more than once together."""
+    new = written(_grouped(rows), "new-groups")
+    maybe = written(screen(new, snapshot.filters).filter("maybe").select("bucket", "digest"), "positives")
+    hits, key = small(maybe), ["bucket", "digest"]
+    old = snapshot.texts.join(hits, key, "left_semi").select(*key, F.col("body").alias("old_body"))
+    same = F.when(F.col("body") != F.col("old_body"), F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("boolean")).otherwise(True)
+    met = written(texts.join(hits, key, "left_semi").join(old, key).filter(same).select(*key), "met")
+    met_hits = small(met)
+    held = snapshot.groups.join(met_hits, key, "left_semi").select(*key, F.col("first").alias("old_first"), F.col("n").alias("old_n"))
+    both = new.join(met_hits, key, "left_semi").join(small(held), key).select("digest", F.least("first", "old_first").alias("first"), (F.col("n") + F.col("old_n")).alias("n"))
+    alone = lambda groups: groups.filter("n > 1").join(met_hits, key, "left_anti").select("digest", "first", "n")
+    return written(both.unionByName(alone(new)).unionByName(alone(snapshot.groups)), "repeated")
+
+
+def dedup_batch(snapshot: Snapshot, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """One row per row of snapshot and batch: key, doc_id, keep_id, group_size, kept, text_sha256, is_new.
+
+    The row of the smallest id of equal texts stays, wherever it came from.  Keys tell rows apart within either side.
     """
-    spark = batch.sparkSession
-    total = snapshot.select(id_col).count()
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_KEYS))
-    both = written(
-        digests(snapshot, id_col, text_col, buckets).withColumn("is_new", F.lit(False)).unionByName(digests(batch, id_col, text_col, buckets).withColumn("is_new", F.lit(True))),
-        "digests",
-    )
-    old = _grouped(both.filter("not is_new"))
-    new = screen(_grouped(both.filter("is_new")), build_filters(old))
-    new = written(new.select("digest", "keep_id", "n", "maybe"), "screened")
-    hits = new.filter("maybe").select("digest", F.col("keep_id").alias("new_id"), F.col("n").alias("new_n"))
-    joined = old.select("digest", "keep_id", "n").join(hits, "digest", "left").select("digest", (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"))
-    fresh = new.filter("not maybe").select("digest", "n").unionByName(hits.join(old, "digest", "left_anti").select("digest", F.col("new_n").alias("n")))
-    repeated = joined.unionByName(fresh).filter("n > 1").select("digest")
-
-    # Byte check: rows of repeated digests, grouped by digest and whole text; map-side sums keep a large group small.
-    suspects = both.join(repeated, "digest").select("doc_id", "digest")
-    texts = snapshot.select(F.col(id_col).cast("long").alias("doc_id"), text_col).unionByName(batch.select(F.col(id_col).cast("long").alias("doc_id"), text_col))
-    checked = (
-        suspects.distinct()
-        .join(texts, "doc_id")
-        .select("doc_id", "digest", normalised(text_col).alias("body"))
-        .filter(F.unhex(F.sha2(F.col("body").cast("binary"), 256)) == F.col("digest"))
-        .groupBy("digest", "body")
-        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-        .groupBy("digest")
-        .agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"), F.count("*").alias("texts"))
-        .select("digest", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("first_id")).alias("first_id"), "n")
-    )
-    return both.join(checked, "digest", "left").select(
-        "doc_id",
-        F.coalesce("first_id", "doc_id").alias("keep_id"),
+    rows, texts = _digested(batch, id_col, text_col, key_col, snapshot.buckets)
+    if key_col is None:  # past the keys of the snapshot
+        most = snapshot.members.agg(F.coalesce(F.max("key"), F.lit(-1))).first()[0]
+        rows = rows.withColumn("key", F.col("key") + F.lit(most + 1))
+    rows = written(rows, "rows")
+    found = repeated(snapshot, rows, _distinct(texts))
+    every = snapshot.members.withColumn("is_new", F.lit(False)).unionByName(rows.withColumn("is_new", F.lit(True)))
+    alone = F.col("first").isNull()
+    return every.join(small(found), "digest", "left").select(
+        "key",
+        F.col("id").alias("doc_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce("first_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        (alone | (F.col("first.key") == F.col("key"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "is_new",
     )
 
 
-def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """A whole table: half of its rows (by a hash of the id) stand as the snapshot, the other half as the new batch."""
-    late = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 1
-    return dedup_batch(docs.filter(~F.coalesce(late, F.lit(False))), docs.filter(late), id_col, text_col)
+    late = F.coalesce(F.pmod(F.xxhash64(F.col(key_col or id_col)), F.lit(2)) == 1, F.lit(False))
+    return dedup_batch(Snapshot.create(docs.filter(~late), id_col, text_col, key_col), docs.filter(late), id_col, text_col, key_col)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat the text of a row of smaller id, or of the same id; the columns stay as they are."""
-    rows, key = numbered(docs)
-    gone = written(dedup_table(rows, key).filter("not kept").select(F.col("doc_id").alias(key)), "copies")
+    """docs with one row of each text: that of the smallest id (null ids last), and one where rows share it; the columns stay as they are.
+
+    Rows are known by keys of a written copy, so rows that share an id, or have none, keep texts of their own.
+    """
+    key = unused("_key", docs.columns)
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    gone = written(dedup_table(rows, key_col=key).filter("not kept").select(F.col("key").alias(key)), "copies")
     return rows.join(small(gone), key, "left_anti").select(docs.columns)

@@ -15,7 +15,7 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup_table(documents(spark, sf_dir)).drop("is_new")
+    return exact_dedup.dedup_table(documents(spark, sf_dir)).drop("key", "is_new")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ comparing.  Three steps, all over packed arrays that are dealt by a hash:
 The same text exchange serves the cutting of runs and the final removal.
 
 Defined results: a null text counts as empty; texts under 100 bytes lose nothing; of equal windows the one of the smallest
-id stays, in one document the earliest; a null id sorts first; rows that share an id, or have none, are documents of their
+id stays, in one document the earliest; a null id comes after all others; rows that share an id, or have none, are documents of their
 own, in any order; an empty table gives no rows; other columns are ignored.
 """
 
