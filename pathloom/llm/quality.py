@@ -9,7 +9,9 @@ What it learns from is bounded: at most MAX_POSITIVE trusted rows and MAX_UNLABE
 hash of their id.  Scores are computed for every row from its whole text.
 
 Defined results: a null text counts as empty and gets the score of the empty text; equal texts get equal scores; without
-any labelled training row every score is 0.5 (predicted 1); repeated rows are scored each; other columns are ignored.
+any labelled training row every score is 0.5 (predicted 1); repeated rows are scored each, and of rows that share an id one
+is learned from; rows with a null id are scored and not learned from; very long texts are read whole; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,6 +72,25 @@ class PUModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
 
 
+def risk_gradient(z: np.ndarray, n: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of some logits (n of positives, then those of unlabelled rows), and the step's gradient.
+
+    With the logistic loss, calling a row bad costs softplus(z) and calling it good softplus(-z).  The negative part, mean
+    over unlabelled less prior times mean over positives, counts as zero where it falls below, and is then stepped back up.
+    """
+    s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    bad = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
+    good = prior * np.logaddexp(0, -z[:n]).mean()
+    g = np.zeros(len(z))
+    if bad >= 0:
+        g[:n] = prior * ((s[:n] - 1) - s[:n]) / n
+        g[n:] = s[n:] / (len(z) - n)
+    else:
+        g[:n] = prior * s[:n] / n
+        g[n:] = -s[n:] / (len(z) - n)
+    return good + max(0.0, bad), g
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> PUModel:
     """Adam on the non-negative risk with the logistic loss; the same input gives the same model."""
     rng = np.random.default_rng(SEED)
@@ -88,17 +109,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> PUModel:
             x = np.concatenate([p, u])
             h = np.tanh(x @ params[0] + params[1])
             z = h @ params[2] + params[3]
-            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            np_, nu = len(p), len(u)
-            softplus = np.logaddexp(0, z)  # loss of calling a row bad when the label is good is softplus(-z), and the reverse
-            bad = softplus[np_:].mean() - prior * softplus[:np_].mean()
-            g = np.zeros(len(x))
-            if bad >= 0:
-                g[:np_] = prior * ((s[:np_] - 1) - s[:np_]) / np_
-                g[np_:] = s[np_:] / nu
-            else:
-                g[:np_] = prior * s[:np_] / np_
-                g[np_:] = -s[np_:] / nu
+            g = risk_gradient(z, len(p), prior)[1]
             gh = np.outer(g, params[2]) * (1 - h * h)
             grads = [x.T @ gh + 1e-4 * params[0], gh.sum(0), h.T @ g + 1e-4 * params[2], g.sum()]
             step += 1
@@ -115,24 +126,28 @@ def held_out(id_col: str) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> PUModel | None:
-    """Learns from rows that are not held out; None if none of those is labelled 1."""
-    known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(~held_out("_id") & F.col("quality").isNotNull()).groupBy("_id").agg(F.max("quality").alias("quality"))
+    """Learns from rows that are not held out; None if none of those is labelled 1.
+
+    What comes to the driver is at most MAX_POSITIVE and MAX_UNLABELLED rows of numbers, however many rows share an id.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(~held_out("_id") & F.col("_id").isNotNull() & F.col("quality").isNotNull()).groupBy("_id").agg(F.max("quality").alias("quality"))
     stats = known.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
     if not stats["n"] or not stats["good"]:
         return None
     prior = min(0.99, max(0.01, stats["good"] / stats["n"]))
     order = F.xxhash64("_id")
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(~held_out("_id"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(~held_out("_id") & F.col("_id").isNotNull())
     # Ids first, texts after: the sort for the sample moves no texts.
     good = known.filter("quality = 1").select("_id").orderBy(order, "_id").limit(MAX_POSITIVE).withColumn("trusted", F.lit(1))
-    plain = base.select("_id").orderBy(order, "_id").limit(MAX_UNLABELLED).withColumn("trusted", F.lit(0))
+    plain = base.select("_id").distinct().orderBy(order, "_id").limit(MAX_UNLABELLED).withColumn("trusted", F.lit(0))
     asked = good.unionByName(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["_id", "trusted", "x"])
 
-    rows = base.join(F.broadcast(asked), "_id").select("_id", "trusted", "_text").mapInArrow(run, "_id long, trusted int, x binary").collect()
+    # Of rows that share an id, one counts: that of the smallest features.
+    rows = base.join(F.broadcast(asked), "_id").select("_id", "trusted", "_text").mapInArrow(run, "_id long, trusted int, x binary").groupBy("_id", "trusted").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["trusted"], r["_id"]))
     sets = [np.array([np.frombuffer(r["x"]) for r in rows if r["trusted"] == t]) for t in (1, 0)]
     return fit(sets[0], sets[1], prior) if len(sets[0]) and len(sets[1]) else None

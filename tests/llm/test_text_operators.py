@@ -271,9 +271,9 @@ def test_packing(spark):
 # ---------------------------------------------------------------- search
 
 
-@pytest.mark.parametrize("group,dims", [(50_000, 8), (3, 8), (50_000, 1)])
+@pytest.mark.parametrize("group,dims", [(8 << 20, 8), (200, 8), (8 << 20, 1)])
 def test_topk(spark, monkeypatch, group, dims):
-    monkeypatch.setattr(topk_search, "QUERY_GROUP", group)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", group)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, dims)]) for i in range(400)]
     rows += [(1000 + 10 * i, [0.5] * dims) for i in range(40)] + [(5000, None), (5050, [float("nan")] * dims), (5100, [None] * dims), (None, [0.1] * dims), (5150, [float("inf")] * dims)]
@@ -293,6 +293,33 @@ def test_topk_few(spark):
     assert topk_search.search(few.limit(0)).count() == 0
 
 
+def brute_topk(rows, k=5, every=50):
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, (i, v) in enumerate(ok):
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(ok) if c != q)[:k]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("large", [2.0, 1e5, 1e6])
+def test_topk_repeated_ids_and_large_components(spark, large):
+    """Rows that share an id are candidates and queries of their own; no component and no score is rounded."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 12)) * 25, [float(x) for x in rng.normal(0, large, 3)]) for _ in range(90)]
+    rows += [(50, [large, 0.0, 1.0]), (50, [large, 0.0, 1.0]), (50, [large, 0.0, 1.0]), (7, [2e7, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == brute_topk(rows)
+    assert large < 1e6 or math.floor(256 * large) ** 2 > 2**53  # doubles would not do
+
+
+def test_topk_stops_at_64_bits(spark):
+    for rows in ([(0, [1e300]), (1, [1.0])], [(0, [1e12]), (1, [1e12])]):
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
 # ---------------------------------------------------------------- classifier
 
 
@@ -312,6 +339,36 @@ def test_classifier_edges(spark):
     assert kept.columns == ["doc_id", "text", "word", "_score"] and kept.count() == len(TEXTS)
 
 
+def test_classifier_rows_that_share_an_id(spark, monkeypatch):
+    """What is learned from stays within its bound, however often ids and rows are repeated."""
+    sizes = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: sizes.append((len(p), len(u))) or fit(p, u, prior))
+    monkeypatch.setattr(quality, "MAX_UNLABELLED", 20)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], f"text {k} of one id", 3, "w") for k in range(300)] + [(i, f"some words {i}", 3, "w") for i in ids] + [(None, "none", 3, "w"), (None, "x" * 300_000, 3, "w")]
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)] + [(ids[1], 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string, word long, _score string"), labels).collect()
+    assert len(got) == len(rows) and sizes == [(len(ids) // 2, 20)]
+
+
+def test_risk_by_hand():
+    """The risk and its gradient against plain sums and finite differences, on both sides of zero."""
+    rng = np.random.default_rng(3)
+    for shift in (0.0, -4.0):
+        z = rng.normal(0, 1, 30)
+        z[12:] += shift
+        cost = lambda z: [0.4 * np.mean([math.log1p(math.exp(-x)) for x in z[:12]]), np.mean([math.log1p(math.exp(x)) for x in z[12:]]) - 0.4 * np.mean([math.log1p(math.exp(x)) for x in z[:12]])]
+        good, bad = cost(z)
+        risk, g = quality.risk_gradient(z, 12, 0.4)
+        assert risk == pytest.approx(good + max(0.0, bad)) and (bad < 0) == (shift < 0)
+        of = (lambda z: sum(cost(z))) if bad >= 0 else (lambda z: -cost(z)[1])
+        for k in (0, 5, 12, 29):
+            step = np.zeros(30)
+            step[k] = 1e-6
+            assert g[k] == pytest.approx((of(z + step) - of(z - step)) / 2e-6, abs=1e-7)
+
+
 def test_risk_is_not_negative_and_learns():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (900, 4)), rng.normal(-1, 1, (900, 4))
