@@ -170,9 +170,12 @@ def removed(corpus):
     return out
 
 
-@pytest.mark.parametrize("most_runs", [2_000, 2])
-def test_passages(spark, corpus, monkeypatch, most_runs):
+@pytest.mark.parametrize("most_runs,local,block", [(2_000, 2_500_000, 700_000), (2, 2_500_000, 700_000), (2_000, 3_000, 2_000), (2, 1_000, 600), (2_000, 0, 500)])
+def test_passages(spark, corpus, monkeypatch, most_runs, local, block):
+    """However much meets in a task, in a block or only by way of the chains, the result is that of brute force."""
     monkeypatch.setattr(suffix_dedup, "MOST_RUNS", most_runs)
+    monkeypatch.setattr(suffix_dedup, "LOCAL_BYTES", local)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup(table(spark, corpus)).collect()}
     want = removed(corpus)
     assert got == {i: w[:4] for i, w in want.items()} and any(w[1] for w in want.values())
@@ -208,6 +211,18 @@ def test_rows_without_an_id_of_their_own(spark):
     assert len(clean) == len(rows) and "short" in clean and c[:50] in clean and sum(map(len, clean)) == sum(w[0] - w[1] for w in want.values())
 
 
+@pytest.mark.parametrize("local", [2_500_000, 500])
+def test_passages_of_repeated_rows(spark, monkeypatch, local):
+    """A row that stands several times loses its text but once; periodic and very long texts."""
+    monkeypatch.setattr(suffix_dedup, "LOCAL_BYTES", local)
+    rng = random.Random(4)
+    a, b = prose(rng, 200), prose(rng, 1_500)
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, b), (3, "ab" * 400), (4, (b[:333] + "|") * 12), (5, "x" * 99), (6, b[700:900] + a[:150]), (7, prose(rng, 40_000) + b)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(table(spark, rows)).collect())
+    want = removed([(k, t) for k, (_, t) in enumerate(rows)])
+    assert got == sorted((i, *want[k][:4]) for k, (i, _) in enumerate(rows))
+
+
 def test_longest_previous_factors():
     rng = random.Random(0)
     for t in range(40):
@@ -222,3 +237,4 @@ def test_longest_previous_factors():
                     k += 1
                 best = max(best, k)
             assert got[i] == best
+        assert (suffix_dedup.longest_previous(a, bound, True) == np.where(got == bound, bound, 0)).all()
