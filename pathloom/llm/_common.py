@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,14 +32,38 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+#: Per open step (see settled), the paths of the tables written in it.
+_STEPS: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _STEPS:
+        _STEPS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, as a written table; the tables written on the way to it are deleted."""
+    _STEPS.append([])
+    try:
+        df = make()
+        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    finally:
+        passing = _STEPS.pop()
+    for p in passing:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if _STEPS:
+        _STEPS[-1].append(path)
+    return out
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A column name that is not among columns, whatever their case."""
     taken = {c.lower() for c in columns}
@@ -97,15 +123,37 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def keyed(docs: DataFrame, taken: list[str] | None = None) -> tuple[DataFrame, str]:
+    """docs, each row with a number of its own that is the same whenever it is read, and the number's name.
+
+    Rows of files are known by file and place.  What does not come straight from files is written first.
+    """
+    spark = docs.sparkSession
+    key = unused("_row", [*docs.columns, *(taken or [])])
+    try:
+        if "_metadata" in (c.lower() for c in docs.columns):
+            raise ValueError("a column hides the files' own")
+        rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")).toDF(*docs.columns, f"{key}_file", f"{key}_index")
+        files = sorted(docs.inputFiles())
+    except (AnalysisException, ValueError):
+        return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    paths = written(spark.createDataFrame(list(enumerate(files)), f"{key}_n long, {key}_file string"), "files")  # a row a file
+    name = lambda c: F.regexp_replace(F.col(c), "^[^:/]+:/*", "/")  # noqa: E731  schemes are spelled in several ways
+    numbers = paths.select(F.col(f"{key}_n"), name(f"{key}_file").alias(f"{key}_path"))
+    found = rows.withColumn(f"{key}_path", name(f"{key}_file")).join(F.broadcast(numbers), f"{key}_path", "left")
+    number = F.col(f"{key}_n") * F.lit(1 << 36) + F.col(f"{key}_index")
+    checked = F.when(number.isNull(), F.raise_error(F.lit("a row's file is not among those of its table")).cast("long")).otherwise(number)
+    return found.select(*docs.columns, checked.alias(key)), key
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
-    """docs from a written table, each row with a key of its own in the order of id_col (null ids last), and the key's name.
+    """docs, each row with a key of its own in the order of id_col (null ids last), and the key's name.
 
     Rows that share an id, or have none, differ in their keys.  Only ids are sorted; texts stay where they are.
     """
     spark = docs.sparkSession
     key = unused("_key", docs.columns)
-    at = unused("_at", [*docs.columns, key])
-    rows = written(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
+    rows, at = keyed(docs, [key])
     by = F.col(id_col).cast("long").alias("_by")
     order = [F.col("_by").asc_nulls_last(), F.col(at).asc()]
     ordered = rows.select(by, at).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import SPACE_RUN, shuffle_partitions, small, unused, written
+from pathloom.llm._common import SPACE_RUN, keyed, settled, shuffle_partitions, small, written
 
 #: Digests in one filter at most, on average: a filter is built in one task (about 40 MB while building).
 BUCKET_KEYS = 250_000
@@ -222,7 +222,7 @@ def repeated(snapshot: Snapshot, rows: DataFrame, texts: DataFrame) -> DataFrame
     held = snapshot.groups.join(met_hits, key, "left_semi").select(*key, F.col("first").alias("old_first"), F.col("n").alias("old_n"))
     both = new.join(met_hits, key, "left_semi").join(small(held), key).select("digest", F.least("first", "old_first").alias("first"), (F.col("n") + F.col("old_n")).alias("n"))
     alone = lambda groups: groups.filter("n > 1").join(met_hits, key, "left_anti").select("digest", "first", "n")
-    return written(both.unionByName(alone(new)).unionByName(alone(snapshot.groups)), "repeated")
+    return both.unionByName(alone(new)).unionByName(alone(snapshot.groups))
 
 
 def dedup_batch(snapshot: Snapshot, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
@@ -235,7 +235,7 @@ def dedup_batch(snapshot: Snapshot, batch: DataFrame, id_col: str = "doc_id", te
         most = snapshot.members.agg(F.coalesce(F.max("key"), F.lit(-1))).first()[0]
         rows = rows.withColumn("key", F.col("key") + F.lit(most + 1))
     rows = written(rows, "rows")
-    found = repeated(snapshot, rows, _distinct(texts))
+    found = settled(rows.sparkSession, "repeated", lambda: repeated(snapshot, rows, _distinct(texts)))
     every = snapshot.members.withColumn("is_new", F.lit(False)).unionByName(rows.withColumn("is_new", F.lit(True)))
     alone = F.col("first").isNull()
     return every.join(small(found), "digest", "left").select(
@@ -258,9 +258,8 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row of each text: that of the smallest id (null ids last), and one where rows share it; the columns stay as they are.
 
-    Rows are known by keys of a written copy, so rows that share an id, or have none, keep texts of their own.
+    Rows are known by keys of their own, so rows that share an id, or have none, keep texts of their own.
     """
-    key = unused("_key", docs.columns)
-    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    gone = written(dedup_table(rows, key_col=key).filter("not kept").select(F.col("key").alias(key)), "copies")
+    rows, key = keyed(docs)
+    gone = settled(docs.sparkSession, "copies", lambda: dedup_table(rows, key_col=key).filter("not kept").select(F.col("key").alias(key)))
     return rows.join(small(gone), key, "left_anti").select(docs.columns)

@@ -582,9 +582,10 @@ def _dedup(docs: DataFrame, with_text: bool) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) with with_text."""
-    rows, key = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    out = _dedup(rows.select(F.col(key).alias("doc_id"), "text"), with_text).withColumnRenamed("doc_id", key)
-    out = out.join(small(rows.select(key, "doc_id")), key).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    rows, key = numbered(docs, id_col)
+    out = _dedup(rows.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), with_text).withColumnRenamed("doc_id", key)
+    ids = written(rows.select(key, F.col(id_col).cast("long").alias("doc_id")), "ids")
+    out = out.join(small(ids), key).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return out if with_text else out.drop("kept")
 
 
