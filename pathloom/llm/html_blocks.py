@@ -20,7 +20,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     path: tuple[tuple[str, ...], ...]
@@ -34,11 +34,13 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     linked: int = 0
+    known: dict[tuple, tuple] = field(default_factory=dict)  # blocks of one path share it
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.out.append(Block(text, tuple(names for tag, names, _ in self.stack if tag not in INLINE), min(self.linked, len(text))))
+            path = tuple(names for tag, names, _ in self.stack if tag not in INLINE)
+            self.out.append(Block(text, self.known.setdefault(path, path), min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
     def shown(self) -> bool:

@@ -6,8 +6,8 @@ model is trained on pages that a seeded generator makes up: articles in several
 sidebars, notices, adverts, forms and comments, with invented words.  Training takes seconds, on the driver, once for each
 process; the weights (under 1 MB) go to the tasks.
 
-Defined results: null and empty pages give an empty text; very long pages are read whole; repeated rows are read each;
-unclosed tags and open quotes end with the page; white space is what Python's split takes for it; other columns are ignored.
+Defined results: null and empty pages give an empty text; very long pages are read whole, a bounded number of blocks at a
+time with the states of both networks handed on; repeated rows are read each; an empty table gives no rows; unclosed tags and open quotes end with the page; white space is what Python's split takes for it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pathloom.llm._common import short_batches
 from pathloom.llm.html_blocks import Block, blocks
 
 PATH_SLOTS, LEAF_SLOTS, WORD_SLOTS, SHARES = 512, 32, 32, 9
 WIDTH = PATH_SLOTS + LEAF_SLOTS + WORD_SLOTS + SHARES
 HIDDEN, EPOCHS, PAGES, BATCH, RATE, SEED = 16, 9, 3000, 64, 0.01, 11
-#: Pages labelled at once, and blocks in all of them at most (a page of more blocks goes alone).
+#: Pages labelled at once, and blocks in all of them at most (a page of more blocks goes alone, so many at a time).
 LABEL_PAGES, LABEL_BLOCKS = 256, 20_000
+#: Paths whose vectors are kept while a page is read.
+KEPT_PATHS = 2_000
 
 
 @lru_cache(maxsize=100_000)
@@ -38,14 +41,17 @@ def _slot(name: str, probe: int, slots: int) -> int:
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row per block."""
-    x = np.zeros((len(page), WIDTH), np.float32)
-    total = max(1, sum(len(b.text) for b in page))
+def vectors(page: list[Block], low: int = 0, high: int | None = None, total: int | None = None) -> np.ndarray:
+    """One row per block, of those from low to high; total: characters of the page."""
+    mine = page[low:high]
+    x = np.zeros((len(mine), WIDTH), np.float32)
+    total = max(1, sum(len(b.text) for b in page)) if total is None else total
     known: dict[tuple, np.ndarray] = {}
-    for i, b in enumerate(page):
+    for i, b in enumerate(mine):
         row = known.get(b.path)
         if row is None:
+            if len(known) >= KEPT_PATHS:
+                known.clear()
             row = np.zeros(PATH_SLOTS + LEAF_SLOTS, np.float32)
             for element in b.path:
                 for name in element:
@@ -61,7 +67,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         n = len(b.text)
         x[i, -SHARES:] = (
             min(1, n / 100), min(1, n / 400), min(1, len(words) / 8), b.linked / n, len(_PUNCTUATION.findall(b.text)) / max(1, len(words)),
-            b.text[-1] in ".!?…", len(b.path) / 10, i / len(page), n / total,
+            b.text[-1] in ".!?…", len(b.path) / 10, (low + i) / len(page), n / total,
         )
     return x
 
@@ -89,12 +95,12 @@ class Labeller:
         w["out"], w["bias"] = rng.normal(0, 0.3, 2 * HIDDEN), np.zeros(1)
         return cls({k: v.astype(np.float32) for k, v in w.items()})
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States (time, page, HIDDEN); padding leaves a state as it is."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool, state: list[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """States (time, page, HIDDEN); padding leaves a state as it is.  state: what to start from, replaced by where it ends."""
         wx, wh, c0 = (self.weights[k + d] for k in "xhc")
         steps, n = mask.shape
         inner = x @ wx + c0
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, tape = np.zeros((steps, n, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = inner[t] + h @ wh
@@ -106,6 +112,8 @@ class Labeller:
                 tape.append((t, i, f, o, g, tanh, c, h, m))
             h, c = np.where(m, o * tanh, h), np.where(m, c_new, c)
             out[t] = h
+        if state is not None:
+            state[:] = [h, c]
         return out, tape
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -149,6 +157,32 @@ class Labeller:
         return out
 
 
+    def label_long(self, page: list[Block], size: int = LABEL_BLOCKS) -> np.ndarray:
+        """Whether each block of a page is main text, with the vectors of size blocks in memory at a time."""
+        total = max(1, sum(len(b.text) for b in page))
+        logits = np.full(len(page), self.weights["bias"][0], np.float32)
+        for k, d in enumerate("fb"):
+            weight, state = self.weights["out"][k * HIDDEN : (k + 1) * HIDDEN], [np.zeros((1, HIDDEN), np.float32)] * 2
+            lows = range(0, len(page), size)
+            for low in lows if d == "f" else reversed(lows):
+                x = vectors(page, low, low + size, total)[:, None]
+                logits[low : low + size] += self._run(d, x, np.ones(x.shape[:2], bool), False, state)[0][:, 0] @ weight
+        return logits > 0
+
+    def label_blocks(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """label for pages as blocks; no more than LABEL_BLOCKS vectors are made at a time."""
+        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+        while order:
+            most = len(pages[order[-1]])
+            take = max(1, min(LABEL_PAGES, LABEL_BLOCKS // most))
+            mine, order = order[-take:], order[:-take]
+            found = [self.label_long(pages[mine[0]])] if most > LABEL_BLOCKS else self.label([vectors(pages[i]) for i in mine])
+            for i, good in zip(mine, found, strict=True):
+                out[i] = good
+        return out
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
     x, mask = np.zeros((steps, len(pages), WIDTH), np.float32), np.zeros((steps, len(pages)), bool)
@@ -280,6 +314,10 @@ class PageMaker:
             body = self.pick("<article>", "<article>", self.named("article", "post", "entry", self.word())) + body + inside + "</article>"
         elif shell < 0.65:
             body = f"<main>{body}</main>"
+        elif shell < 0.7:  # a layout table, its cells without names
+            side = self.pick(self.links(), self.links("ol"), f"<h3>{self.words(1, 3)}</h3>{self.links()}")
+            cells = [f"<td>{side}</td>", f"<td>{body}</td>"]
+            body = "<table><tr>" + "".join(cells if self.chance(0.7) else cells[::-1]) + "</tr></table>"
         elif shell < 0.92:
             body = self.named("div", "content", "post", "entry-content", "article-body", "main-content", "post-body", "story", "text", "article", "main") + body + "</div>"
         else:
@@ -333,11 +371,12 @@ def trained() -> Labeller:
 
 def texts_of(pages: list[str | None], model: Labeller) -> list[str]:
     found = [blocks(p) if p else [] for p in pages]
-    return ["\n".join(b.text for b, ok in zip(page, good, strict=True) if ok) for page, good in zip(found, model.label([vectors(p) for p in found]), strict=True)]
+    return ["\n".join(b.text for b, ok in zip(page, good, strict=True) if ok) for page, good in zip(found, model.label_blocks(found), strict=True)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
+    short_batches(pages.sparkSession, 2 * LABEL_PAGES)
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
