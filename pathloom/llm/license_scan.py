@@ -6,8 +6,8 @@ Runs that cannot be extended and are long enough become anchors; per template, a
 alike, with small gaps, are chained, and the best chain gives a covered span of the template.
 
 Defined results: a null text counts as empty; without words all counts are 0, first_word and last_word null, labels
-empty and score 0; repeated rows are scanned each; of equally good spans the first in the text counts; other columns
-are ignored.
+empty and score 0; very long texts are streamed whole; repeated rows are scanned each; of equally good spans the first in
+the text counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +37,49 @@ TEMPLATES = [
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("lgpl", "licensed under the GNU Lesser General Public License"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("agpl", "licensed under the GNU Affero General Public License"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
 ]
 
-#: Words in an anchor at least; words skipped inside a chain at most; share of a template that makes a label.
-MIN_ANCHOR, MAX_GAP, MIN_COVER = 3, 12, 0.6
+# Identifiers of the SPDX licence list, by label.
+SPDX = {
+    "mit": "MIT MIT-0",
+    "apache": "Apache-2.0 Apache-1.1",
+    "gpl": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later",
+    "lgpl": "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later",
+    "agpl": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later",
+    "mpl": "MPL-1.1 MPL-2.0",
+    "epl": "EPL-1.0 EPL-2.0",
+    "bsd": "BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD",
+    "isc": "ISC",
+    "zlib": "Zlib",
+    "boost": "BSL-1.0",
+    "unlicense": "Unlicense",
+    "cc0": "CC0-1.0",
+    "cc-by": "CC-BY-3.0 CC-BY-4.0",
+    "cc-by-sa": "CC-BY-SA-3.0 CC-BY-SA-4.0",
+    "cc-by-nc": "CC-BY-NC-3.0 CC-BY-NC-4.0",
+}
+TEMPLATES += [(label, f"SPDX-License-Identifier: {name}") for label, names in SPDX.items() for name in names.split()]
+
+#: Words in an anchor at least; words skipped inside a chain at most; share of a template that makes a label, all of it where
+#: the template has fewer than SHORT words.
+MIN_ANCHOR, MAX_GAP, MIN_COVER, SHORT = 3, 12, 0.6, 12
 
 #: Bytes 0-9, a-z and those over 0x7F are parts of words; all others part them.
 _WORDS = bytes(i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i > 0x7F else 0x20 for i in range(256))
@@ -151,6 +189,20 @@ class LicenceAutomaton:
         return out
 
 
+def told_apart(spans: list[tuple[str, int, int, int, float]], sizes: list[int]) -> list[tuple[str, int, int, int, float]]:
+    """Spans that cover enough of their template, in the order of the text.
+
+    Licences share wordings: where two spans overlap by half of the shorter one, the one that covers more of its template
+    counts, of equal shares that of the longer template.
+    """
+    enough = [s for s in spans if s[4] >= (MIN_COVER if sizes[s[1]] >= SHORT else 1)]
+    out: list[tuple[str, int, int, int, float]] = []
+    for s in sorted(enough, key=lambda s: (-s[4], -sizes[s[1]], s[2], s[1])):
+        if all(2 * (min(s[3], o[3]) - max(s[2], o[2])) < min(s[3] - s[2], o[3] - o[2]) for o in out):
+            out.append(s)
+    return sorted(out, key=lambda s: (s[2], s[1]))
+
+
 @lru_cache(maxsize=1)
 def automaton() -> LicenceAutomaton:
     return LicenceAutomaton(TEMPLATES)
@@ -179,7 +231,7 @@ _ARROW = pa.schema(
 
 def scan_text(text: str | None) -> dict:
     words = words_of(text or "")
-    base, spans = base_places(words), [s for s in automaton().spans(words) if s[4] >= MIN_COVER]
+    base, spans = base_places(words), told_apart(automaton().spans(words), automaton().sizes)
     mine = {label for _, label in base}
     return {
         "n_words": len(words),

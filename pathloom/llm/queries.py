@@ -33,7 +33,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_documents(documents(spark, sf_dir)).drop("spans")
+    return license_scan.scan_documents(documents(spark, sf_dir))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
