@@ -11,13 +11,13 @@ next word and r(s) the sum of those,
 so every distribution sums to one.  A token is scored in the longest context of the tree that ends just before it.
 
 The tree grows with the corpus, so it is a set of Spark tables and no task holds it.  A gram is a word with the words before
-it, known by a 64-bit hash.  Its probability depends on nothing else, so the levels are worked out gram by gram from
+it, known by a 64-bit hash; words carry a second one, and the job stops where two words share the first.  Its probability depends on nothing else, so the levels are worked out gram by gram from
 the root down, each by a join with the level above and one with the contexts; the tokens of all rows then meet the grams
 in one join.
 
 Defined results: a null text counts as empty and has the end token alone; without training rows N, V and all counts are
-0, so every token scores log10(1) = 0; a row with a null id is a training row; repeated rows are scored each; other
-columns are ignored.
+0, so every token scores log10(1) = 0; a row with a null id is a training row; repeated rows are scored each; very long
+texts are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +83,7 @@ class Grams:
         flat = [w for s in split for w in s]
         known = {w: xxhash.xxh3_64_intdigest(w) for w in set(flat)}
         self.word = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        self.words = {h: w for w, h in known.items()}
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         self.row = np.repeat(np.arange(len(split)), sizes)
         self.place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -122,11 +123,18 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
                     _, first, of = np.unique(gram, return_index=True, return_inverse=True)
                     c = np.bincount(of, mine[g.row[at]], len(first)).astype(np.int64)
                     asked = np.bincount(of, (g.place[at] == k) | (k == depth), len(first)) > 0
+                    if not k:  # words carry a second digest in the place of the suffix that they lack
+                        seconds = [xxhash.xxh3_64_intdigest(g.words[h], 1) for h in gram[first].tolist()]
+                        suffix = np.zeros(len(gram), np.uint64)
+                        suffix[first] = np.array(seconds, np.uint64)
                     hashes = (pa.array(x[first].view(np.int64)) for x in (gram, context, lower, suffix))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), *hashes, pa.array(c), pa.array(asked)], names=[x.split()[0] for x in schema.split(", ")])
 
     grams = docs.select("train", "text").mapInArrow(run, schema)
-    return grams.groupBy("k", "gram").agg(*(F.min(x).alias(x) for x in ("context", "lower", "suffix")), F.sum("c").alias("c"), F.max("asked").alias("asked"))
+    sums = grams.groupBy("k", "gram").agg(*(F.min(x).alias(x) for x in ("context", "lower", "suffix")), F.max("suffix").alias("other"), F.sum("c").alias("c"), F.max("asked").alias("asked"))
+    clash = (F.col("k") == 0) & (F.col("suffix") != F.col("other"))
+    suffix = F.when(clash, F.raise_error(F.lit("two words share a digest")).cast("long")).otherwise(F.col("suffix"))
+    return sums.select("k", "gram", "context", "lower", suffix.alias("suffix"), "c", "asked")
 
 
 def _contexts(level: DataFrame) -> DataFrame:
