@@ -116,6 +116,22 @@ def test_near(spark, corpus, monkeypatch, block, bitmaps, anchors):
     assert got == near(corpus)
 
 
+def test_signatures_meet():
+    """Any two sets that link share a signature: of all sizes, with and without frequent elements, as far apart as they may be."""
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 3, 4, 5, 7, 9, 14, 25, 60, 61, 150, 400, 1_000, 3_000):
+        for _ in range(30 if size < 500 else 5):
+            pool = np.unique(rng.integers(0, 1 << 62, 2 * size + 8).astype(np.uint64))
+            rng.shuffle(pool)
+            n = int(rng.integers(size, size * 100 // 80 + 1))  # the larger set
+            gone = (100 * size - 80 * n) // 180  # elements of the smaller one that the larger lacks
+            shared = size - gone
+            x, y = np.sort(pool[:size]), np.sort(np.concatenate([pool[gone:size], pool[size : size + n - shared]]))
+            assert 100 * shared >= 80 * (size + n - shared)
+            for common in (np.zeros(0, np.uint64), np.sort(x[: size // 2]), x):
+                assert len(np.intersect1d(ngram_join.signatures(x, common), ngram_join.signatures(y, common))), (size, n, shared, len(common))
+
+
 def test_near_edges(spark, corpus):
     assert ngram_join.join(table(spark, [])).count() == 0
     one = [tuple(r) for r in ngram_join.join(table(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (5, None), (4, "a b c d e f")])).collect()]

@@ -34,6 +34,23 @@ def test_all_operators_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in found) for k in range(1, 11)) and "pipeline" in found
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, repeated and missing ids, empty and long texts, columns with names that the operators use, an empty table."""
+    rows = [(1, "A b c d e f g h.", "en", "w", 9), (1, "A b c d e f g h.", "en", "w", 9), (None, None, None, None, None), (None, "Some words of their own, not seen before.", "en", "w", 1), (2, "", "en", "w", 0), (3, "Long text of many words. " * 20_000, "en", "w", 7)]
+    schema = "doc_id long, text string, lang string, _key string, n_chars int"
+    spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for data in (rows, []):
+        at = spark.createDataFrame(data, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, str(tmp_path))
+            assert out.columns == at.columns
+            at = spark.createDataFrame(out.collect(), at.schema)
+        texts = sorted(r["text"] or "" for r in at.collect())
+        assert len(texts) == (4 if data else 0) and all(len(t) < 200 for t in texts)
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+        assert len(packed) == len(texts)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows, at = docs.count(), docs

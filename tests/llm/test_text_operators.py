@@ -87,6 +87,26 @@ def test_html_reads_all_names_and_words():
     assert (a != b).any()
 
 
+def test_html_long_pages():
+    """A page read in slices, with the states handed on, has the labels of the page read at once."""
+    maker, model = html_extract.PageMaker(77), html_extract.trained()
+    for _ in range(20):
+        page = blocks(maker.page().replace(maker.MARK, ""))
+        if page:
+            whole = model.label([html_extract.vectors(page)])[0]
+            assert (model.label_long(page, 3) == whole).all() and (model.label_blocks([page, [], page])[2] == whole).all()
+    body = "".join(f"<p id='p{k}'>Part {k} of a story that goes on.</p>" for k in range(30_000))
+    assert html_extract.texts_of([f"<html><body><nav><a href=x>Home</a></nav><article>{body}</article><footer>&copy; Somebody</footer></body></html>"], model)[0].count("\n") > 29_990
+
+
+def test_html_layout_tables():
+    """A menu in a cell without a name beside the article."""
+    side = "".join(f'<li><a href="/{k}">{w}</a></li>' for k, w in enumerate("Home News Sports Weather Contact".split()))
+    body = "".join(f"<p>Some words of a story that goes on, part {k}, for a while longer.</p>" for k in range(4))
+    got = html_extract.texts_of([f"<html><body><table><tr><td><ul>{side}</ul></td><td><h1>A title of it</h1>{body}</td></tr></table><footer>&copy; x</footer></body></html>"], html_extract.trained())[0]
+    assert got.startswith("A title of it\nSome words") and got.count("\n") == 4
+
+
 # ---------------------------------------------------------------- bpe
 
 
@@ -141,6 +161,26 @@ def test_license_spans_of_templates():
         assert max((s for s in license_scan.automaton().spans(words) if s[0] == label), key=lambda s: s[4])[4] > 0.7
 
 
+def test_license_templates_are_told_apart():
+    """Each wording gives its own label and no other, also between words of its own and with a word changed; tags are read whole."""
+    for label, text in license_scan.TEMPLATES:
+        for form in (text, f"some words before {text} and some after", text.upper()):
+            got = license_scan.scan_text(form)
+            assert label in got["labels"].split(",") and set(got["labels"].split(",")) <= {label, *filter(None, got["base_labels"].split(","))}, (label, text, got["labels"])
+            assert got["score"] == 1.0 and any(s["label"] == label and s["covered"] == 1.0 for s in got["spans"])
+    for text in ("SPDX-License-Identifier: Nothing-1.0", "spdx license identifier", "this program is free software", "", "you may not use this file"):
+        assert license_scan.scan_text(text)["labels"] == "" and license_scan.scan_text(text)["score"] == 0.0
+    two = license_scan.scan_text("SPDX-License-Identifier: ISC " + "x " * 50 + "SPDX-License-Identifier: MPL-2.0")
+    assert two["labels"] == "isc,mpl" and [s["first_word"] for s in two["spans"]] == [0, 54]
+
+
+def test_license_edges(spark):
+    assert license_scan.scan_documents(docs(spark, [])).count() == 0
+    long = "word " * 400_000 + "mit license " + "w " * 400_000
+    rows = license_scan.scan_documents(docs(spark, [long, "mit license", "mit license"])).collect()
+    assert [(r["n_base"], r["first_word"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(1, 400_000), (1, 0), (1, 0)]
+
+
 def test_matching_statistics():
     a = license_scan.LicenceAutomaton([("x", "a b c a b d"), ("y", "b c e")])
     words = [w.encode() for w in "b c a b d q a b c e".split()]
@@ -268,6 +308,50 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [256, 1024])
+def test_packing_is_best_fit(capacity):
+    """With one permitted length, the filling of the bins is that of best-fit decreasing item by item."""
+    rng = random.Random(capacity)
+    for _ in range(30):
+        sizes = [rng.choice([1, 2, 5, 33, 90, 120, 128, 129, 200, 255, 256, rng.randint(1, 256)]) for _ in range(rng.randint(1, 150))]
+        plan = packing.PackingPlan({n: sizes.count(n) for n in set(sizes)}, (capacity,))
+        rooms: list[int] = []
+        for n in sorted(sizes, reverse=True):
+            fit = [r for r in rooms if r >= n]
+            if fit:
+                rooms.remove(min(fit))
+            rooms.append((min(fit) if fit else capacity) - n)
+        assert sorted(capacity - r for r in rooms) == sorted(used for _, n, _, used in plan.runs for _ in range(n))
+
+
+def test_packing_opens_the_cheapest_length():
+    """The permitted length of least cost a token, the items of this length first, shorter ones as far as they go."""
+    rng = random.Random(3)
+    plan = packing.PackingPlan({})
+    for _ in range(200):
+        length, count, mass = rng.randint(1, 4096), rng.randint(1, 50), rng.choice([0, 100, 10_000, 10**7])
+        costs = {}
+        for c in (x for x in packing.CAPACITIES if x >= length):
+            bins, each = math.ceil(count / (c // length)), min(c // length, count)
+            costs[c] = packing.bin_cost(c) / (each * length + min(c - each * length, mass / bins))
+        assert plan._opened(length, count, mass) == min(costs, key=costs.get)
+
+
+def test_repeated_rows(spark):
+    """Rows that stand twice get a result each, in every operator over texts."""
+    rows = [(1, "the same words here"), (1, "the same words here"), (None, None), (None, None), (2, "long " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokenizers = pytest.importorskip("public_tokenizers")
+    encoded = bpe.encode_documents(df, "byte_bpe_50k.tiktoken", tokenizers.PATTERN)
+    for out in (encoded, lm_score.score_documents(df), license_scan.scan_documents(df)):
+        got = [tuple(str(x) for x in r) for r in out.collect()]
+        assert len(got) == 5 and len(set(got)) == 3
+    packed = packing.pack(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in packed if r["doc_id"] != 2) == [(0, 1), (0, 1), (1, 5), (1, 5)] and sum(r["n_tokens"] for r in packed) == 60_013
+    assert len({(r["bin_id"], r["bin_offset"]) for r in packed}) == len(packed)
+    assert bpe.encode_documents(df.limit(0), "byte_bpe_50k.tiktoken", tokenizers.PATTERN).count() == 0
+
+
 # ---------------------------------------------------------------- search
 
 
