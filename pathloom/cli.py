@@ -12,7 +12,7 @@ from pathloom.operators import labels
 from pathloom.plans.engine import Engine, Model, Parameters
 from pathloom.sources import graphml
 from pathloom.sources.pairs import one_pair, prediction_table, read_pairs, write_delimited, write_predictions
-from pathloom.sources.sinks import append_run, explanation_graphs, held_out_table, write_explanation_graphs
+from pathloom.sources.sinks import append_run, explanation_graphs, held_out_table, write_explanation_graphs, write_graph_files
 from pathloom.sources.tables import Graph
 
 
@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--kg", required=True, help="GraphML file")
     p.add_argument("--model", help="folder of the model")
     p.add_argument("--input", help="file of pairs (predict) or one pair (explain)")
-    p.add_argument("--positives", help="file of positive pairs with header first, second, weight")
+    p.add_argument("--positives", help="file of positive pairs with header first, second, weight; without, they come from the evidence nodes of the graph")
     p.add_argument("--negatives", help="file of negative pairs with header first, second, weight")
     p.add_argument("--id_format", choices=["id", "name"], default="name")
     p.add_argument("--delimiter", default="\t")
@@ -48,22 +48,28 @@ def parameters(args: argparse.Namespace) -> Parameters:
 def samples(spark: SparkSession, graph: Graph, args: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     """(training samples, held-out positives).  Files have the columns first, second and weight; all pairs must be known."""
     both = []
-    for path in (args.positives, args.negatives):
+    for path in filter(None, (args.positives, args.negatives)):
         pairs, unresolved = read_pairs(spark, graph, path, args.id_format, args.delimiter, ("first", "second"))
         if not unresolved.isEmpty():
             raise SystemExit(f"{path} has pairs that the graph lacks")
         both.append(pairs)
-    positives, negatives = both[0], labels.max_scaled(both[1], "weight")
-    held = labels.recent_distinct(positives.withColumn("ts", F.col("weight")), args.holdout).drop("ts")
+    negatives = labels.max_scaled(both[-1], "weight")
+    if args.positives:
+        positives = both[0]
+        held = labels.recent_distinct(positives.withColumn("ts", F.col("weight")), args.holdout).drop("ts")
+    else:
+        rest, held = (df.select("a", "b", "weight") for df in labels.graph_positives(labels.evidence_index(graph), n_held_out=args.holdout))
+        positives = rest.unionByName(held)
     rows = labels.training_set(positives, negatives, held)
     return rows.filter("part = 'train'").drop("part"), rows.filter("part = 'held-out'").drop("part")
 
 
-def explained(engine: Engine, model: Model, pairs: DataFrame, out: str) -> None:
-    """Ranked rules, and the edges of their sub-graphs, as delimited files."""
+def explained(engine: Engine, model: Model, pairs: DataFrame, out: str, single: bool) -> None:
+    """Ranked rules, and the edges of their sub-graphs, as delimited files; the sub-graphs of a single pair also as files of their own."""
     ranked, edges = engine.explain(model, pairs)
     write_delimited(ranked, f"{out}/explanations")
-    write_explanation_graphs(explanation_graphs(engine.graph, ranked, edges), f"{out}/explanation_graphs")
+    write = write_graph_files if single else write_explanation_graphs
+    write(explanation_graphs(engine.graph, ranked, edges), f"{out}/explanation_graphs")
     write_delimited(edges.join(engine.graph.edges.select("eid", "src", "dst", "label", "score", "target_id"), "eid"), f"{out}/explanation_edges")
 
 
@@ -98,7 +104,7 @@ def main(argv: list[str] | None = None) -> None:
             pairs = held
         write_predictions(prediction_table(graph, engine.predict(model, pairs), unresolved), f"{args.output}/predictions")
         if args.action != "predict":
-            explained(engine, model, pairs, args.output)
+            explained(engine, model, pairs, args.output, args.action == "explain")
 
 
 if __name__ == "__main__":

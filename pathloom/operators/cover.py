@@ -57,6 +57,7 @@ def set_cover(coverage: DataFrame, t: dict, alpha: float = 0.5, most: int | None
         chosen.append((best["rule_id"], best["marginal"]))
         covered = coverage.filter(F.col("rule_id").isin([r for r, _ in chosen])).select("a", "b").distinct()
         left = coverage.filter(~F.col("rule_id").isin([r for r, _ in chosen])).join(covered, ["a", "b"], "left_anti")
+    quality.unpersist()
     return chosen
 
 

@@ -29,10 +29,24 @@ def roc_points(scored: DataFrame, *by: str) -> DataFrame:
     return c.select(*by, "score", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_n").alias("fpr"))
 
 
+def _segments(points: DataFrame, x: str, y: str, start: tuple[float, float], by: tuple[str, ...]) -> DataFrame:
+    """by, x0, y0, x1, y1: each point with the one of the next higher score, start where there is none.
+
+    A point finds the one before it inside its range of scores, the first of a range takes the last of the range before: no
+    task sees all points.
+    """
+    here = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    dealt = points.select(*by, "score", here.alias("p"), F.floor(F.col("score") * 100).alias("_range"))
+    ends = dealt.groupBy(*by, "_range").agg(F.min_by("p", "score").alias("end"))
+    ends = ends.select(*by, "_range", F.lag("end").over(Window.partitionBy(*by).orderBy(F.desc("_range"))).alias("_before"))
+    inside = F.lag("p").over(Window.partitionBy(*by, "_range").orderBy(F.desc("score")))
+    first = F.struct(F.lit(float(start[0])).alias("x"), F.lit(float(start[1])).alias("y"))
+    both = dealt.withColumn("_inside", inside).join(ends, [*by, "_range"]).withColumn("q", F.coalesce("_inside", "_before", first))
+    return both.select(*by, F.col("q.x").alias("x0"), F.col("q.y").alias("y0"), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"))
+
+
 def _area(points: DataFrame, x: str, y: str, start: tuple[float, float], by: tuple[str, ...]) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    px, py = F.coalesce(F.lag(x).over(order), F.lit(start[0])), F.coalesce(F.lag(y).over(order), F.lit(start[1]))
-    steps = points.select(*by, ((F.col(x) - px) * (F.col(y) + py) / 2).alias("step"))
+    steps = _segments(points, x, y, start, by).select(*by, ((F.col("x1") - F.col("x0")) * (F.col("y1") + F.col("y0")) / 2).alias("step"))
     return steps.groupBy(*by).agg(F.sum("step").alias("area"))
 
 
@@ -70,11 +84,9 @@ def best_threshold(scored: DataFrame) -> DataFrame:
     return best.select("m.score", "m.g_mean", "m.tpr", "m.fpr", ((F.col("m.tpr") + 1 - F.col("m.fpr")) / 2).alias("balanced_accuracy"))
 
 
-def interpolated(points: DataFrame, x: str, y: str, grid: int, *by: str) -> DataFrame:
-    """by, at, value: y on an even grid of x from 0 to 1, straight lines between points; points in the order of falling score."""
-    spark = points.sparkSession
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    segments = points.select(*by, F.coalesce(F.lag(x).over(order), F.lit(0.0)).alias("x0"), F.coalesce(F.lag(y).over(order), F.lit(0.0)).alias("y0"), F.col(x).alias("x1"), F.col(y).alias("y1"))
+def interpolated(points: DataFrame, x: str, y: str, grid: int, *by: str, start: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """by, at, value: y on an even grid of x from 0 to 1, straight lines between points from start on; points in the order of falling score."""
+    segments = _segments(points, x, y, start, by)
     last = F.floor(F.col("x1") * (grid - 1)).cast("int")
     first = F.when(F.col("x0") == 0, 0).otherwise(F.floor(F.col("x0") * (grid - 1)).cast("int") + 1)
     each = segments.filter("x1 > x0").withColumn("k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))

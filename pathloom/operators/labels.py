@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.expressions import evidence_level
+from pathloom.functions.expressions import evidence_level, first_of_pair
+from pathloom.operators.graph import adjacency
+from pathloom.sources.tables import Graph
 
 
 def with_level(evidence: DataFrame) -> DataFrame:
@@ -19,6 +21,35 @@ def positive_pairs(evidence: DataFrame, least: int = 1, top: float = 3.0) -> Dat
     return best.filter(F.col("level") >= least).withColumn("weight", F.col("level") / F.lit(top))
 
 
+def evidence_index(graph: Graph, evidence_type: str = "OligogenicCombination", entity_type: str = "Gene", context_type: str = "Disease") -> DataFrame:
+    """evidence_id, a, b, fam, smeta, smanual, ts, contexts: evidence nodes with exactly two entity neighbours, oriented.
+
+    contexts: ids of the neighbours of context_type.  Numbers come from the nodes' props; one that is missing counts as 0.
+    """
+    near = adjacency(graph).filter(F.col("u_type") == evidence_type).filter(F.col("v_type").isin(entity_type, context_type))
+    mine = lambda kind: F.collect_list(F.when(F.col("v_type") == kind, F.col("v")))  # noqa: E731  neighbours of one node of evidence
+    ends = near.groupBy(F.col("u").alias("evidence_id")).agg(F.count_if(F.col("v_type") == entity_type).alias("n"), F.min(F.when(F.col("v_type") == entity_type, F.col("v"))).alias("id1"), F.max(F.when(F.col("v_type") == entity_type, F.col("v"))).alias("id2"), F.array_distinct(mine(context_type)).alias("contexts"))
+    value = graph.nodes.select("id", "orient_val")
+    both = ends.filter("n = 2").join(value.select(F.col("id").alias("id1"), F.col("orient_val").alias("v1")), "id1").join(value.select(F.col("id").alias("id2"), F.col("orient_val").alias("v2")), "id2")
+    first = first_of_pair(F.col("id1"), F.col("v1"), F.col("id2"), F.col("v2"))
+    number = lambda name, kind: F.coalesce(F.try_element_at("props", F.lit(name)).try_cast(kind), F.lit(0).cast(kind))
+    known = graph.nodes.filter(F.col("type") == evidence_type).select(F.col("id").alias("evidence_id"), number("FAMmanual", "int").alias("fam"), number("STATmeta", "int").alias("smeta"), number("STATmanual", "int").alias("smanual"), number("timestamp", "double").cast("long").alias("ts"))
+    a, b = F.when(first, F.col("id1")).otherwise(F.col("id2")), F.when(first, F.col("id2")).otherwise(F.col("id1"))
+    return both.join(known, "evidence_id").select("evidence_id", a.alias("a"), b.alias("b"), "fam", "smeta", "smanual", "ts", "contexts")
+
+
+def graph_positives(index: DataFrame, least: int = 1, n_held_out: int = 15, least_held_out: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(positives, those held out), both a, b, weight, ts, contexts: pairs of the evidence index whose level is at least least.
+
+    The most recent pairs of a higher level that share no entity are held out; contexts is the union over a pair's evidence.
+    """
+    seen = index.select("a", "b", F.explode_outer("contexts").alias("c")).groupBy("a", "b").agg(F.sort_array(F.collect_set("c")).alias("contexts"))
+    found = positive_pairs(index, least).join(seen, ["a", "b"])
+    held = recent_distinct(found.filter(F.col("level") >= least_held_out).select("a", "b", "ts"), n_held_out).select("a", "b")
+    columns = ["a", "b", "weight", "ts", "contexts"]
+    return found.join(held, ["a", "b"], "left_anti").select(columns), found.join(held, ["a", "b"], "left_semi").select(columns)
+
+
 def recent_distinct(candidates: DataFrame, n: int) -> DataFrame:
     """The n most recent pairs (a, b, ts) that share no entity with a more recent one of them; ties by id.
 

@@ -46,6 +46,13 @@ def match(rules: DataFrame, paths: DataFrame) -> DataFrame:
     return plain.unionByName(shared)
 
 
+def folded(matches: DataFrame, pairs: DataFrame, *more: str) -> DataFrame:
+    """rule_id, a, b (and more) of pairs or turned pairs, all as rows of the pairs (a, b) themselves."""
+    known = pairs.select("a", "b").distinct()
+    back = matches.withColumns({"a": F.col("b"), "b": F.col("a")})
+    return matches.unionByName(back).join(known, ["a", "b"], "left_semi").select("rule_id", "a", "b", *more).distinct()
+
+
 def matching_paths(rules: DataFrame, paths: DataFrame) -> DataFrame:
     """rule_id, a, b, node, slot, mp_id, mids, score: the paths of each match, per qualifying node where there is a clause.
 

@@ -6,6 +6,8 @@ pair; patterns (items, clause), where a clause lists (mp, pos): the same node st
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +29,39 @@ def directed(paths: DataFrame, direction: int, compat: bool = False) -> DataFram
     return paths.withColumn("mp", reversed_metapath(F.col("mp"), compat)).withColumn("mids", F.reverse("mids"))
 
 
+def turned(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) and, beside them, the same with a and b in turn."""
+    swapped = pairs.withColumns({"a": F.col("b"), "b": F.col("a")})
+    return pairs.unionByName(swapped)
+
+
+def both_ways(paths: DataFrame, compat: bool = False) -> DataFrame:
+    """Paths (with mp), and each of them as walked from its end, as a path of the turned pair.
+
+    A set of items then holds a pair in one direction if it holds the pair or the turned pair: items never mix directions.
+    """
+    back = directed(paths, -1, compat)
+    return paths.unionByName(back.withColumns({"a": F.col("b"), "b": F.col("a")}).select(paths.columns))
+
+
 def items_of(paths: DataFrame, weights: DataFrame) -> DataFrame:
     return paths.select("a", "b", "mp_id").distinct().join(weights.select("a", "b", "weight"), ["a", "b"])
 
 
-def supported(occurrences: DataFrame, least: float, *keys: str) -> DataFrame:
-    """Sets whose weight reaches least, up to rounding of the sum."""
+def once(occurrences: DataFrame, *keys: str) -> DataFrame:
+    """Occurrences of a pair and of the turned pair as one."""
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return occurrences.groupBy(*keys, *ends).agg(F.max("weight").alias("weight"))
+
+
+def supported(occurrences: DataFrame, least: float, *keys: str, turning: bool = False) -> DataFrame:
+    """Sets whose weight reaches least, up to rounding of the sum; turning: a pair counts once, whichever way it is held."""
+    occurrences = once(occurrences, *keys) if turning else occurrences
     return occurrences.groupBy(*keys).agg(F.sum("weight").alias("support"), F.count("*").alias("n_matches")).filter(F.round("support", 9) >= round(least, 9))
 
 
-def frequent_metapaths(items: DataFrame, least: float) -> DataFrame:
-    return supported(items, least, "mp_id")
+def frequent_metapaths(items: DataFrame, least: float, turning: bool = False) -> DataFrame:
+    return supported(items, least, "mp_id", turning=turning)
 
 
 def candidates(previous: DataFrame, known: DataFrame) -> DataFrame:
@@ -57,15 +81,18 @@ def all_subsets_frequent(sets: DataFrame, known: DataFrame) -> DataFrame:
     return hit.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") == n).select("items")
 
 
-def apriori(items: DataFrame, least: float, longest: int = 3) -> list[tuple[DataFrame, DataFrame]]:
-    """Per size from 1, (patterns: items, support, n_matches; their occurrences).  Ends early when a level has fewer than two sets."""
-    single = frequent_metapaths(items, least)
+def apriori(items: DataFrame, least: float, longest: int = 3, turning: bool = False, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[tuple[DataFrame, DataFrame]]:
+    """Per size from 1, (patterns: items, support, n_matches; their occurrences).  Ends early when a level has fewer than two sets.
+
+    kept: writes a level's candidates, which are read for their support and for the occurrences of the next level.
+    """
+    single = frequent_metapaths(items, least, turning)
     level = single.select(F.array("mp_id").alias("items"), "support", "n_matches")
     occurrences = items.join(F.broadcast(single.select("mp_id")), "mp_id").select("a", "b", "weight", F.array("mp_id").alias("items"))  # metapaths of the schema
     out = [(level, occurrences)]
     for _ in range(2, longest + 1):
-        found = candidates(occurrences, level).persist()  # read for the support and for the occurrences of the next level
-        level = supported(found, least, "items")
+        found = kept(candidates(occurrences, level))
+        level = supported(found, least, "items", turning=turning)
         occurrences = found.join(level.select("items"), "items", "left_semi")
         out.append((level, occurrences))
         if level.limit(2).count() < 2:
@@ -111,10 +138,9 @@ def unifications(occurrences: DataFrame, places: DataFrame) -> DataFrame:
     return out.select("items", "clause", "a", "b", "weight").distinct()
 
 
-def with_unifications(occurrences: DataFrame, places: DataFrame, least: float) -> DataFrame:
-    """Occurrences (items, clause, a, b, weight) of the sets as they are (clause empty) and of their frequent unifications."""
-    found = unifications(occurrences, places).persist()  # read for the support and for the rows
-    kept = found.join(supported(found, least, "items", "clause").select("items", "clause"), ["items", "clause"], "left_semi")
+def with_unifications(occurrences: DataFrame, found: DataFrame, least: float, turning: bool = False) -> DataFrame:
+    """Occurrences (items, clause, a, b, weight) of the sets as they are (clause empty) and of the frequent ones of their unifications (found; it is read twice)."""
+    kept = found.join(supported(found, least, "items", "clause", turning=turning).select("items", "clause"), ["items", "clause"], "left_semi")
     return occurrences.select("items", F.array().cast(CLAUSE).alias("clause"), "a", "b", "weight").unionByName(kept.select("items", F.col("clause").cast(CLAUSE).alias("clause"), "a", "b", "weight"))
 
 
@@ -136,7 +162,8 @@ def closed(patterns: DataFrame, strict: bool = False) -> DataFrame:
     return keyed.join(most, ["level", "mp"], "left").filter(F.col("up_n").isNull() | (F.col("up_n") < F.col("n_matches"))).select(patterns.columns)
 
 
-def pattern_table(occurrences: DataFrame) -> DataFrame:
+def pattern_table(occurrences: DataFrame, turning: bool = False) -> DataFrame:
+    occurrences = once(occurrences, "items", "clause") if turning else occurrences
     return occurrences.groupBy("items", "clause").agg(F.count("*").alias("n_matches"), F.sum("weight").alias("support"))
 
 

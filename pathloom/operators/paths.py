@@ -18,12 +18,30 @@ from pathloom.operators.graph import adjacency
 from pathloom.sources.tables import Graph
 
 
+class Steps:
+    """The kinds of steps of a graph (types of both ends, label, direction), numbered from 0: a path carries these numbers
+    until it is finished.  They are those of the schema, some hundreds at most."""
+
+    def __init__(self, adj: DataFrame):
+        kinds = adj.groupBy("u_type", "label", "dir", "v_type").agg(F.lit(1)).select("u_type", "label", "dir", "v_type")
+        self.kinds = sorted(tuple(r) for r in kinds.collect())
+        rows = [(*k, i) for i, k in enumerate(self.kinds)]
+        self.table = adj.sparkSession.createDataFrame(rows, "u_type string, label string, dir int, v_type string, step int")
+
+    def coded(self, adj: DataFrame) -> DataFrame:
+        """u, v, v_type, u_type, step, s (log score), ctx."""
+        return adj.join(F.broadcast(self.table), ["u_type", "label", "dir", "v_type"]).select("u", "v", "u_type", "v_type", "step", log_score(F.col("score")).alias("s"), "ctx")
+
+    def metapath(self, steps: Column) -> Column:
+        column = lambda i: F.array(*(F.lit(k[i]) for k in self.kinds))
+        named = lambda i: F.transform(steps, lambda s: F.get(column(i), s))
+        nodes = F.concat(F.array(F.get(column(0), F.get(steps, 0))), named(3))
+        return F.struct(named(1).alias("edges"), nodes.alias("nodes"), named(2).alias("dirs"))
+
+
 def _hop(adj: DataFrame, k: str, start: str, end: str) -> DataFrame:
-    """adj with its columns named for hop k, walked from column start to column end."""
-    return adj.select(
-        F.col("u").alias(start), F.col("v").alias(end), F.col("v_type").alias(f"t{k}"), F.col("u_type").alias(f"f{k}"), F.col("label").alias(f"l{k}"), F.col("dir").alias(f"d{k}"),
-        log_score(F.col("score")).alias(f"s{k}"), F.col("ctx").alias(f"c{k}"),
-    )
+    """Coded adjacency with its columns named for hop k, walked from column start to column end."""
+    return adj.select(F.col("u").alias(start), F.col("v").alias(end), F.col("step").alias(f"e{k}"), F.col("s").alias(f"s{k}"), F.col("ctx").alias(f"c{k}"))
 
 
 def _joined_ctx(hops: Sequence[str]) -> Column:
@@ -31,11 +49,9 @@ def _joined_ctx(hops: Sequence[str]) -> Column:
 
 
 def _finished(df: DataFrame, hops: Sequence[str], mids: Sequence[str]) -> DataFrame:
-    mp = F.struct(
-        F.array(*(F.col(f"l{k}") for k in hops)).alias("edges"), F.array(F.col(f"f{hops[0]}"), *(F.col(f"t{k}") for k in hops)).alias("nodes"), F.array(*(F.col(f"d{k}") for k in hops)).alias("dirs")
-    )
+    steps = F.array(*(F.col(f"e{k}") for k in hops))
     score = F.exp(sum((F.col(f"s{k}") for k in hops[1:]), F.col(f"s{hops[0]}")) / len(hops))
-    return df.select("a", "b", mp.alias("mp"), (F.array(*mids) if mids else F.array().cast("array<string>")).alias("mids"), score.alias("score"))
+    return df.select("a", "b", steps.alias("steps"), (F.array(*mids) if mids else F.array().cast("array<string>")).alias("mids"), score.alias("score"))
 
 
 def _three(prefix: DataFrame, adj: DataFrame, far: DataFrame, done: list[str], mids: list[str], use_context: bool) -> DataFrame:
@@ -43,7 +59,7 @@ def _three(prefix: DataFrame, adj: DataFrame, far: DataFrame, done: list[str], m
     width = adj.groupBy("u", "v_type").agg(F.count("*").alias("n"))
     reach = far.groupBy("b", "tz_from").agg(F.count("*").alias("m"))
     ways = prefix.join(width.select(F.col("u").alias("x"), F.col("v_type").alias("y_type"), "n"), "x").join(reach.select("b", F.col("tz_from").alias("y_type"), "m"), ["b", "y_type"])
-    middle = _hop(adj, "y", "x", "y").withColumn("y_type", F.col("ty"))
+    middle = adj.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("step").alias("ey"), F.col("s").alias("sy"), F.col("ctx").alias("cy"), F.col("v_type").alias("y_type"))
     ends = far.withColumn("y_type", F.col("tz_from"))
     by_x = ways.filter("n <= m").drop("n", "m").join(middle, ["x", "y_type"]).join(ends.drop("y_type"), ["b", "y"])
     by_b = ways.filter("n > m").drop("n", "m").join(ends, ["b", "y_type"]).join(middle.drop("y_type"), ["x", "y"])
@@ -64,6 +80,10 @@ def enumerate_paths(graph: Graph, pairs: DataFrame, cutoff: int = 3, excluded: S
     ends = pairs.select("a", "b").distinct()
     adj = adjacency(graph) if adj is None else adj
     adj = adj.filter(~F.col("v_type").isin(*excluded)) if excluded else adj
+    # Without parallel edges of one kind no two paths are equal, and the last aggregation can go.
+    parallel = not adj.groupBy("u", "v", "label", "dir").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    steps = Steps(adj)
+    adj = steps.coded(adj)
     sources = ends.select(F.col("a").alias("u")).distinct()
     from_a = adj.join(sources, "u", "left_semi")
     first = _hop(from_a, "1", "a", "x")
@@ -75,8 +95,7 @@ def enumerate_paths(graph: Graph, pairs: DataFrame, cutoff: int = 3, excluded: S
     if cutoff >= 3:
         sinks = ends.select(F.col("b").alias("v")).distinct()
         far = adj.join(sinks, "v", "left_semi").select(
-            F.col("v").alias("b"), F.col("u").alias("y"), F.col("v_type").alias("tz"), F.col("u_type").alias("tz_from"), F.col("label").alias("lz"), F.col("dir").alias("dz"),
-            log_score(F.col("score")).alias("sz"), F.col("ctx").alias("cz"),
+            F.col("v").alias("b"), F.col("u").alias("y"), F.col("u_type").alias("tz_from"), F.col("step").alias("ez"), F.col("s").alias("sz"), F.col("ctx").alias("cz"),
         )
         if excluded:
             far = far.filter(~F.col("tz_from").isin(*excluded))
@@ -93,7 +112,9 @@ def enumerate_paths(graph: Graph, pairs: DataFrame, cutoff: int = 3, excluded: S
                 prefix = prefix.filter(consistent(_joined_ctx(done)))
             found.append(_three(prefix, adj, far, done, mids, use_context))
     both = reduce(DataFrame.unionByName, found)
-    return both.groupBy("a", "b", "mp", "mids").agg(F.max("score").alias("score"))
+    if parallel:
+        both = both.groupBy("a", "b", "steps", "mids").agg(F.max("score").alias("score"))
+    return both.select("a", "b", steps.metapath(F.col("steps")).alias("mp"), "mids", "score")
 
 
 def keyed(paths: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS = 100
-#: Population, generations, and the weight range and crossover rate of differential evolution.
-POPULATION, GENERATIONS, F_LOW, F_HIGH, CROSSOVER, TOLERANCE = 50, 12, 0.5, 1.0, 0.7, 0.01
+#: Population, most generations, and the weight range and crossover rate of differential evolution.
+POPULATION, GENERATIONS, F_LOW, F_HIGH, CROSSOVER, TOLERANCE = 50, 1000, 0.5, 1.0, 0.7, 0.01
 
 
 def slot_scores(found: DataFrame) -> DataFrame:
@@ -56,30 +56,79 @@ def n_after(counts: Column, thresholds: Column) -> Column:
     return F.when(F.exists(left, lambda n: n == 0), F.lit(0).cast("long")).otherwise(F.aggregate(left, F.lit(0).cast("long"), lambda s, n: s + n))
 
 
-def base_values(matches: DataFrame) -> DataFrame:
+def _better_way(counted: DataFrame, *keys: str) -> DataFrame:
+    """Counts n of pairs and turned pairs (a, b, weight, n), the larger of the two for each pair."""
+    return counted.groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").alias("weight"), F.max("n").alias("n"))
+
+
+def base_values(matches: DataFrame, turning: bool = False) -> DataFrame:
     """pat_id, s0 (weight) and p0 (weighted mean of paths) without thresholds."""
     n = n_after(F.col("counts"), F.transform("counts", lambda c: F.lit(0)))
-    return matches.groupBy("pat_id").agg(F.sum("weight").alias("s0"), (F.sum(F.col("weight") * n) / F.sum("weight")).alias("p0"))
+    counted = matches.select("pat_id", "a", "b", "weight", n.alias("n"))
+    counted = _better_way(counted, "pat_id") if turning else counted
+    return counted.groupBy("pat_id").agg(F.sum("weight").alias("s0"), (F.sum(F.col("weight") * F.col("n")) / F.sum("weight")).alias("p0"))
+
+
+def _cost(sums: DataFrame, base: DataFrame, least: float, *keys: str) -> DataFrame:
+    """pat_id, keys, cost from s (weight that survives) and wn (weight times paths)."""
+    cost = ((1 - F.try_divide("s", "s0")) + F.try_divide(F.try_divide("wn", "s"), "p0")) / 2
+    known = F.when(F.round("s", 9) < round(least, 9), 1.0).otherwise(F.coalesce(cost, F.lit(1.0)))
+    return sums.join(base, "pat_id").select("pat_id", *keys, known.alias("cost"))
 
 
-def costs(matches: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
-    """pat_id, candidate, cost of candidates (pat_id, candidate, x: array<int>)."""
+def costs(matches: DataFrame, candidates: DataFrame, least: float, turning: bool = False) -> DataFrame:
+    """pat_id, candidate, cost of candidates (pat_id, candidate, x: array<int>).
+
+    turning: matches hold pairs and turned pairs, of which the one with more paths left counts.
+    """
     lists = candidates.groupBy("pat_id").agg(F.collect_list(F.struct("candidate", "x")).alias("asked"))  # some hundreds a pattern, whatever the data
-    each = matches.join(lists, "pat_id").select("pat_id", "weight", "counts", F.explode("asked").alias("c")).select("pat_id", "c.candidate", "weight", n_after(F.col("counts"), F.col("c.x")).alias("n"))
+    each = matches.join(lists, "pat_id").select("pat_id", "a", "b", "weight", "counts", F.explode("asked").alias("c")).select("pat_id", "c.candidate", "a", "b", "weight", n_after(F.col("counts"), F.col("c.x")).alias("n"))
+    each = _better_way(each, "pat_id", "candidate") if turning else each
     sums = each.groupBy("pat_id", "candidate").agg(F.sum(F.when(F.col("n") > 0, F.col("weight")).otherwise(0.0)).alias("s"), F.sum(F.col("weight") * F.col("n")).alias("wn"))
-    both = sums.join(base_values(matches), "pat_id")
-    cost = ((1 - F.try_divide("s", "s0")) + F.try_divide(F.try_divide("wn", "s"), "p0")) / 2
-    return both.select("pat_id", "candidate", F.when(F.round("s", 9) < round(least, 9), 1.0).otherwise(F.coalesce(cost, F.lit(1.0))).alias("cost"))
+    return _cost(sums, base_values(matches, turning), least, "candidate")
+
 
+def slot_costs(matches: DataFrame, state: DataFrame, least: float) -> DataFrame:
+    """pat_id, slot, v, cost of every value v of each free item while the others stay as they are, where the cost changes.
 
-def greedy(matches: DataFrame, least: float) -> DataFrame:
+    state: pat_id, x, free (a row a pattern).  A match keeps all of its paths of an item up to the highest score among them,
+    so each match adds one row per score that it has, not one per value: with o the paths of the other items, the surviving
+    weight at v is that of the matches whose highest score reaches v, and weight times paths is the sum over the scores from
+    v on and o times that weight.  Both are sums from above over at most 101 scores.
+    """
+    each = matches.join(F.broadcast(state), "pat_id").select("pat_id", "weight", "counts", "x", F.explode("free").alias("slot"))
+    others = F.filter(F.zip_with("counts", "x", lambda c, v: F.get(c, v)), lambda n, k: k != F.col("slot"))
+    each = each.select("pat_id", "slot", "weight", F.get("counts", F.col("slot")).alias("c"), others.alias("others")).filter(~F.exists("others", lambda n: n == 0))
+    o = F.aggregate("others", F.lit(0).cast("long"), lambda s, n: s + n)
+    after = lambda v: F.coalesce(F.get("c", v + 1), F.lit(0).cast("long"))
+    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda v: F.struct(v.alias("v"), (F.get("c", v) - after(v)).alias("n"), (after(v) == 0).alias("last"))), lambda s: s["n"] > 0)
+    rows = each.select("pat_id", "slot", "weight", o.alias("o"), F.explode(steps).alias("e")).select("pat_id", "slot", "weight", "o", "e.v", "e.n", "e.last")
+    last = F.when(F.col("last"), F.col("weight")).otherwise(0.0)
+    by = rows.groupBy("pat_id", "slot", "v").agg(F.sum(last).alias("s"), F.sum(F.col("weight") * F.col("n") + last * F.col("o")).alias("wn"))
+    of = Window.partitionBy("pat_id", "slot")  # at most 101 rows
+    above = of.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.coalesce(F.lag("v").over(of.orderBy("v")) + 1, F.lit(0))  # costs are the same from here to v, and the first of equal ones counts
+    sums = by.select("pat_id", "slot", first.alias("v"), F.sum("s").over(above).alias("s"), F.sum("wn").over(above).alias("wn"))
+    return _cost(sums, base_values(matches), least, "slot", "v")
+
+
+def _slot_candidates(matches: DataFrame, state: list[tuple], least: float, turning: bool) -> DataFrame:
+    """pat_id, candidate (slot and value in one number), cost."""
+    spark = matches.sparkSession
+    if turning:  # the larger of two ways is no sum, so every value of every free item is tried
+        asked = [(p, j * (STEPS + 1) + v, [v if k == j else x[k] for k in range(n)]) for p, n, x, free, _ in state for j in free for v in range(STEPS + 1)]
+        return costs(matches, spark.createDataFrame(asked, "pat_id int, candidate int, x array<int>"), least, True)
+    at = spark.createDataFrame([(p, x, list(free)) for p, _, x, free, _ in state], "pat_id int, x array<int>, free array<int>")
+    return slot_costs(matches, at, least).select("pat_id", (F.col("slot") * (STEPS + 1) + F.col("v")).alias("candidate"), "cost")
+
+
+def greedy(matches: DataFrame, least: float, turning: bool = False) -> DataFrame:
     """pat_id, x, cost: in each round, the best value of the best free item is fixed; the first of equal costs wins."""
     patterns = matches.groupBy("pat_id").agg(F.max(F.size("counts")).alias("n"))
     state = [(r["pat_id"], r["n"], [0] * r["n"], tuple(range(r["n"])), None) for r in patterns.collect()]  # a row a pattern
     spark = matches.sparkSession
     for _ in range(max((s[1] for s in state), default=0)):
-        asked = [(p, j * (STEPS + 1) + v, [v if k == j else x[k] for k in range(n)]) for p, n, x, free, _ in state for j in free for v in range(STEPS + 1)]
-        best = costs(matches, spark.createDataFrame(asked, "pat_id int, candidate int, x array<int>"), least).groupBy("pat_id").agg(F.min(F.struct(F.round("cost", 12).alias("cost"), "candidate")).alias("m"))
+        best = _slot_candidates(matches, state, least, turning).groupBy("pat_id").agg(F.min(F.struct(F.round("cost", 12).alias("cost"), "candidate")).alias("m"))
         found = {r["pat_id"]: (r["m"]["cost"], r["m"]["candidate"]) for r in best.collect()}
         after = []
         for p, n, x, free, cost in state:
@@ -92,11 +141,12 @@ def greedy(matches: DataFrame, least: float) -> DataFrame:
     return spark.createDataFrame([(p, x, c) for p, _, x, _, c in state], "pat_id int, x array<int>, cost double")
 
 
-def evolve(matches: DataFrame, least: float, seed: int = 0) -> DataFrame:
+def evolve(matches: DataFrame, least: float, seed: int = 0, turning: bool = False, generations: int = GENERATIONS) -> DataFrame:
     """pat_id, x, cost by differential evolution (best/1/bin) over whole hundredths, seeded per pattern.
 
-    All patterns go through a generation together: one Spark job scores all trial vectors.  The first vector is all
-    zeros, so no cost exceeds that of no thresholds.
+    All patterns go through a generation together: one Spark job scores all trial vectors of those that have not settled.
+    The first vector is all zeros, so no cost exceeds that of no thresholds.  At the end each item's value is polished: while
+    it gains, the best value of the best item is taken, all others as they are.
     """
     spark = matches.sparkSession
     sizes = {r["pat_id"]: r["n"] for r in matches.groupBy("pat_id").agg(F.max(F.size("counts")).alias("n")).collect()}  # a row a pattern
@@ -112,7 +162,7 @@ def evolve(matches: DataFrame, least: float, seed: int = 0) -> DataFrame:
     def score(vectors: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         asked = [(p, k, [int(v) for v in x]) for p, xs in vectors.items() for k, x in enumerate(xs)]
         out = {p: np.ones(len(xs)) for p, xs in vectors.items()}
-        for r in costs(matches, spark.createDataFrame(asked, "pat_id int, candidate int, x array<int>"), least).collect():  # POPULATION rows a pattern
+        for r in costs(matches, spark.createDataFrame(asked, "pat_id int, candidate int, x array<int>"), least, turning).collect():  # POPULATION rows a pattern
             out[r["pat_id"]][r["candidate"]] = r["cost"]
         return out
 
@@ -120,7 +170,7 @@ def evolve(matches: DataFrame, least: float, seed: int = 0) -> DataFrame:
         return spark.createDataFrame([], "pat_id int, x array<int>, cost double")
     x = {p: first(p) for p in sizes}
     cost = score(x)
-    for _ in range(GENERATIONS):
+    for _ in range(generations):
         open_ = [p for p in x if cost[p].std() > TOLERANCE * abs(cost[p].mean())]
         if not open_:
             break
@@ -136,16 +186,33 @@ def evolve(matches: DataFrame, least: float, seed: int = 0) -> DataFrame:
         for p, c in score(trial).items():
             better = c <= cost[p]
             x[p][better], cost[p][better] = trial[p][better], c[better]
-    return spark.createDataFrame([(p, [int(v) for v in x[p][cost[p].argmin()]], float(cost[p].min())) for p in x], "pat_id int, x array<int>, cost double")
-
-
-def optimise(matches: DataFrame, least: float, strategy: str | None = "DE") -> DataFrame | None:
+    found = {p: ([int(v) for v in x[p][cost[p].argmin()]], float(cost[p].min())) for p in x}
+    return spark.createDataFrame([(p, v, c) for p, (v, c) in _polished(matches, found, least, turning).items()], "pat_id int, x array<int>, cost double")
+
+
+def _polished(matches: DataFrame, found: dict[int, tuple[list[int], float]], least: float, turning: bool) -> dict[int, tuple[list[int], float]]:
+    """Vectors (pattern: x, cost) of which no single value could change for the better."""
+    open_, done = dict(found), dict(found)
+    while open_:
+        state = [(p, len(x), x, tuple(range(len(x))), c) for p, (x, c) in open_.items()]
+        best = _slot_candidates(matches, state, least, turning).groupBy("pat_id").agg(F.min(F.struct(F.round("cost", 12).alias("cost"), "candidate")).alias("m"))
+        gained = {}
+        for r in best.collect():  # a row a pattern
+            (x, c), (j, v) = open_[r["pat_id"]], divmod(r["m"]["candidate"], STEPS + 1)
+            if r["m"]["cost"] < round(c, 12):
+                gained[r["pat_id"]] = ([v if k == j else x[k] for k in range(len(x))], r["m"]["cost"])
+        done |= gained
+        open_ = gained
+    return done
+
+
+def optimise(matches: DataFrame, least: float, strategy: str | None = "DE", turning: bool = False) -> DataFrame | None:
     if not strategy:
         return None
     if strategy == "DE":
-        return evolve(matches, least)
+        return evolve(matches, least, turning=turning)
     if strategy == "GREEDY":
-        return greedy(matches, least)
+        return greedy(matches, least, turning)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

@@ -104,6 +104,62 @@ counted AS (SELECT o.items, o.a, o.b, o.weight, x.x1, y.x2,
 _SCORED = "scored AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, ((l_partkey * 37 + l_orderkey * 11) % 1000) / 1000.0 AS score, l_quantity AS weight, l_linenumber AS fold FROM lineitem)"
 _BY_SCORE = "by_score AS (SELECT fold, score, coalesce(sum(weight) FILTER (label = 1), 0) AS p, coalesce(sum(weight) FILTER (label = 0), 0) AS n FROM scored GROUP BY fold, score)"
 
+#: Evidence of the positives dated by the earliest order of either customer, and their pairs of level 2 and more.
+_DATED = """
+first_order AS (SELECT 'C' || o_custkey AS id, min(CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT)) AS ts FROM orders GROUP BY o_custkey),
+dated AS (SELECT s.a, s.b, s.level, coalesce(least(x.ts, y.ts), x.ts, y.ts, 0) AS ts FROM samples s LEFT JOIN first_order x ON x.id = s.a LEFT JOIN first_order y ON y.id = s.b WHERE label = 1),
+left0 AS (SELECT a, b, ts FROM dated WHERE level >= 2)"""
+
+
+def _recent(n: int) -> str:
+    """The n most recent pairs that share no customer with a more recent one of them, a step each."""
+    out = []
+    for k in range(1, n + 1):
+        out.append(f"pick{k} AS MATERIALIZED (SELECT a, b, ts FROM left{k - 1} ORDER BY ts DESC, a, b LIMIT 1)")
+        out.append(f"left{k} AS (SELECT l.* FROM left{k - 1} l WHERE NOT EXISTS (SELECT 1 FROM pick{k} p WHERE l.a IN (p.a, p.b) OR l.b IN (p.a, p.b)))")
+    return ", ".join(out) + ", recent AS (" + " UNION ALL ".join(f"SELECT * FROM pick{k}" for k in range(1, n + 1)) + ")"
+
+
+#: Scores of either item of each match of a frequent pair, in bins, and the cost of a pair of thresholds from s and wn.
+_BINS = """
+bins AS MATERIALIZED (SELECT o.items, o.a, o.b, o.weight, x.bins AS b1, y.bins AS b2 FROM o2 o
+  JOIN (SELECT a, b, mp_id, list(greatest(least(floor(round(score * 100, 9)), 100), 0)) AS bins FROM ipaths GROUP BY ALL) x ON x.a = o.a AND x.b = o.b AND x.mp_id = o.items[1]
+  JOIN (SELECT a, b, mp_id, list(greatest(least(floor(round(score * 100, 9)), 100), 0)) AS bins FROM ipaths GROUP BY ALL) y ON y.a = o.a AND y.b = o.b AND y.mp_id = o.items[2]),
+plain AS (SELECT items, sum(weight) AS s0, sum(weight * (len(b1) + len(b2))) / sum(weight) AS p0 FROM bins GROUP BY items)"""
+_COST = "round(CASE WHEN round(s, 9) < (SELECT s FROM least) THEN 1 ELSE ((1 - s / s0) + wn / s / p0) / 2 END, 12)"
+
+
+def _tried(source: str, own: str, other: str, v: str) -> str:
+    """s and wn of each value v of an item (its bins in own) while the paths of the other are those in other."""
+    n = f"len(list_filter({own}, lambda z: z >= {v}))"
+    kept = f"{n} > 0 AND {other} > 0"
+    return f"sum(CASE WHEN {kept} THEN weight ELSE 0 END) AS s, sum(CASE WHEN {kept} THEN weight * ({n} + {other}) ELSE 0 END) AS wn FROM {source}"
+
+
+_GREEDY = f"""
+one AS (SELECT items, 0 AS slot, CAST(v AS INTEGER) AS v, {_tried("bins, range(0, 101) t(v)", "b1", "len(b2)", "v")} GROUP BY items, v
+  UNION ALL SELECT items, 1, CAST(v AS INTEGER), {_tried("bins, range(0, 101) t(v)", "b2", "len(b1)", "v")} GROUP BY items, v),
+first AS MATERIALIZED (SELECT items, slot, v, cost FROM (SELECT items, slot, v, {_COST} AS cost FROM one JOIN plain USING (items)) QUALIFY row_number() OVER (PARTITION BY items ORDER BY cost, slot, v) = 1),
+fixed AS (SELECT b.items, weight, f.slot, CASE f.slot WHEN 0 THEN b2 ELSE b1 END AS open_bins, len(list_filter(CASE f.slot WHEN 0 THEN b1 ELSE b2 END, lambda z: z >= f.v)) AS n_fixed FROM bins b JOIN first f USING (items)),
+two AS (SELECT items, CAST(v AS INTEGER) AS v, {_tried("fixed, range(0, 101) t(v)", "open_bins", "n_fixed", "v")} GROUP BY items, v),
+second AS (SELECT items, v, cost FROM (SELECT items, v, {_COST} AS cost FROM two JOIN plain USING (items)) QUALIFY row_number() OVER (PARTITION BY items ORDER BY cost, v) = 1),
+chosen AS (SELECT f.items, f.slot, f.v AS v1, CASE WHEN s.cost <= f.cost THEN s.v ELSE 0 END AS v2, least(s.cost, f.cost) AS cost FROM first f JOIN second s USING (items))"""
+
+#: Steps that the cover's twin goes at most; it ends by itself where no rule gains.
+COVER_STEPS = 40
+
+
+def _cover(steps: int) -> str:
+    """step k: the rule of least marginal weight over what is not yet covered, as long as that is below zero."""
+    out = ["conf AS (SELECT rule_id, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS confidence FROM rt)", "open0 AS (SELECT * FROM coverage)"]
+    for k in range(1, steps + 1):
+        empty = "- 0.5" if k == 1 else ""  # the empty set weighs 1, not alpha
+        out.append(f"""gain{k} AS MATERIALIZED (SELECT * FROM (SELECT o.rule_id, any_value(confidence) AS confidence, round(0.5 * coalesce(sum(weight) FILTER (label = 0), 0) / any_value(wn) - 0.5 * coalesce(sum(weight) FILTER (label = 1), 0) / any_value(wp) {empty}, 12) AS marginal
+            FROM open{k - 1} o JOIN conf USING (rule_id), tot GROUP BY o.rule_id) ORDER BY marginal, confidence DESC, rule_id DESC LIMIT 1)""")
+        out.append(f"step{k} AS MATERIALIZED (SELECT {k} AS step, rule_id, marginal FROM gain{k} WHERE marginal < 0)")
+        out.append(f"open{k} AS MATERIALIZED (SELECT o.* FROM open{k - 1} o, step{k} p WHERE o.rule_id <> p.rule_id AND (o.a, o.b) NOT IN (SELECT (c.a, c.b) FROM coverage c JOIN step{k} q ON q.rule_id = c.rule_id))")
+    return ", ".join(out) + ", steps AS (" + " UNION ALL ".join(f"SELECT * FROM step{k}" for k in range(1, steps + 1)) + ")"
+
 GRAPH = ",".join((_NODES, _EDGES))
 WALKED = ",".join((GRAPH, _ADJ))
 PAIRED = ",".join((WALKED, _SAMPLES))
@@ -117,6 +173,13 @@ def _text(items: str) -> str:
     return f"array_to_string({items}, ',')"
 
 
+def _curve(x: str, y: str, start: int) -> str:
+    """grid (fold, k, value): y at x = k / 100 on straight lines between the points of falling score, from (0, start) on."""
+    return f"""cum AS (SELECT fold, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY fold) AS all_p, sum(n) OVER (PARTITION BY fold) AS all_n FROM by_score WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
+        pts AS (SELECT fold, score, {x} AS x1, {y} AS y1 FROM cum), seg AS (SELECT fold, x1, y1, lag(x1, 1, 0) OVER w AS x0, lag(y1, 1, {start}) OVER w AS y0 FROM pts WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
+        grid AS (SELECT fold, k, y0 + (y1 - y0) * (k / 100.0::DOUBLE - x0) / (x1 - x0) AS value FROM seg, range(0, 101) t(k) WHERE x1 > x0 AND k <= floor(x1 * 100) AND (x0 = 0 OR k >= floor(x0 * 100) + 1))"""
+
+
 SQL: dict[str, str] = {
     "node_type_counts": f"WITH {_NODES} SELECT type, count(*) AS n_nodes FROM nodes GROUP BY type",
     "edge_type_dictionary": f"WITH {GRAPH}, l AS (SELECT DISTINCT label FROM edges) SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS edge_type_idx FROM l",
@@ -204,4 +267,15 @@ SQL: dict[str, str] = {
         s AS (SELECT grp, sum(m) AS n1, sum(t) - sum(m) AS n2, sum(rank * m) AS r1 FROM r GROUP BY grp) SELECT grp, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(r1 - n1 * (n1 + 1) / 2, 6) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) AS effect FROM s""",
     "cross_table": "SELECT l_returnflag, count(*) FILTER (l_quantity > 25) AS n_true, count(*) FILTER (NOT l_quantity > 25) AS n_false FROM lineitem GROUP BY l_returnflag",
     "melted_means": "WITH l AS (SELECT p_partkey, 'p_retailprice' AS variable, p_retailprice AS value FROM part UNION ALL SELECT p_partkey, 'p_size', p_size FROM part) SELECT p_partkey, variable, round(value, 6) AS value, round(avg(value) OVER (PARTITION BY variable), 6) AS mean FROM l",
+    "metapath_abbreviations": f"""WITH {INTERNED}, ab AS (SELECT type, min(abbrev) AS abbrev FROM nodes GROUP BY type),
+        st AS (SELECT d.mp_id, i, CASE WHEN d.nodes[i] = d.nodes[i + 1] AND d.dirs[i] = -1 THEN '<' ELSE '' END || d.edges[i][1] || regexp_replace(d.edges[i][2:], '[^A-Z]', '', 'g') || CASE WHEN d.nodes[i] = d.nodes[i + 1] AND d.dirs[i] = 1 THEN '>' ELSE '' END || ab.abbrev AS part
+          FROM dictionary d, range(1, 4) t(i) JOIN ab ON ab.type = d.nodes[i + 1] WHERE i <= len(d.edges))
+        SELECT d.mp_id, any_value(ab.abbrev) || string_agg(part, '' ORDER BY i) AS notation FROM dictionary d JOIN st USING (mp_id) JOIN ab ON ab.type = d.nodes[1] GROUP BY d.mp_id""",
+    "holdout_greedy": f"WITH {_SAMPLES.lstrip()}, {_DATED}, {_recent(5)} SELECT a, b, ts FROM recent",
+    "holdout_details": f"""WITH {_NODES}, {_SAMPLES}, {_DATED}, {_recent(5)} SELECT r.a, r.b, x.name AS name_a, y.name AS name_b, s.level, strftime(to_timestamp(r.ts) AT TIME ZONE 'UTC', '%d/%m/%Y') AS date
+        FROM recent r JOIN samples s USING (a, b) JOIN nodes x ON x.id = r.a JOIN nodes y ON y.id = r.b""",
+    "threshold_greedy": f"WITH {MINED}, {_BINS}, {_GREEDY} SELECT {_text('items')} AS items, CASE slot WHEN 0 THEN v1 || ',' || v2 ELSE v2 || ',' || v1 END AS x, round(cost, 6) AS cost FROM chosen",
+    "set_cover_steps": f"WITH {RULED}, {_cover(COVER_STEPS)} SELECT CAST(step AS INTEGER) AS step, rule_id, round(marginal, 6) AS marginal FROM steps",
+    "roc_mean_curve": f"""WITH {_SCORED}, {_BY_SCORE}, {_curve("fp / all_n", "tp / all_p", 0)} SELECT round(k / 100.0, 6) AS at, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM grid GROUP BY k""",
+    "pr_mean_curve": f"""WITH {_SCORED}, {_BY_SCORE}, {_curve("tp / all_p", "tp / (tp + fp)", 1)} SELECT round(k / 100.0, 6) AS at, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM grid GROUP BY k""",
 }

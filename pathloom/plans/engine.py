@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 
@@ -33,6 +34,8 @@ class Parameters:
     max_fpr: float = 1.0
     closed_mode: str = "compat"
     use_context: bool = True
+    orient_pairs: bool = True  # False: a pattern may hold a pair as walked from either end
+    reversal: str = "strict"  # how metapaths are reversed: strict or compat
 
     @classmethod
     def from_json(cls, text: str) -> Parameters:
@@ -68,51 +71,65 @@ class Engine:
     def __init__(self, graph: Graph, parameters: Parameters | None = None, store: StageStore | None = None):
         self.graph, self.parameters = graph, parameters or Parameters()
         self.store = store or StageStore(tuned(graph.nodes.sparkSession))
-        self._stage, self._adjacency = 0, None
+        #: No two engines have the same, so none reads the tables of another, nor two steps those of each other.
+        self._key, self._stage, self._adjacency = uuid.uuid4().hex, 0, None
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         """df as a written table: later steps start from it, and a lost executor costs no more than its tasks."""
         self._stage += 1
-        return self.store.get_or_make(name, lambda: df, engine=id(self), step=self._stage)
+        return self.store.get_or_make(name, lambda: df, engine=self._key, step=self._stage)
 
-    def paths(self, pairs: DataFrame) -> DataFrame:
-        p = self.parameters
+    def adjacency(self) -> DataFrame:
         if self._adjacency is None:
             self._adjacency = self._kept("adjacency", adjacency(self.graph))
-        return self._kept("paths", paths.enumerate_paths(self.graph, pairs, p.path_cutoff, p.excluded_types, p.use_context, self._adjacency))
+        return self._adjacency
+
+    def paths(self, pairs: DataFrame) -> DataFrame:
+        """a, b, mp, mids, score; without orientation, each path also as walked from its end, with a and b in turn."""
+        p = self.parameters
+        found = self._kept("paths", paths.enumerate_paths(self.graph, pairs, p.path_cutoff, p.excluded_types, p.use_context, self.adjacency()))
+        return found if p.orient_pairs else mining.both_ways(found, p.reversal == "compat")
+
+    def _both(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.parameters.orient_pairs else mining.turned(pairs)
+
+    def _folded(self, matches: DataFrame, pairs: DataFrame) -> DataFrame:
+        return matches if self.parameters.orient_pairs else matching.folded(matches, pairs)
 
     def mine(self, found: DataFrame, positives: DataFrame) -> DataFrame:
         """pat_id, items, clause, thr: candidate patterns of positive pairs (a, b, weight); found: their paths with mp_id."""
-        p, spark = self.parameters, found.sparkSession
-        least = mining.least_support(positives, p.minsup_ratio)
-        occurrences = self._kept("sets", mining.mined(mining.apriori(mining.items_of(found, positives), least, p.max_rule_length)))
+        p, turning = self.parameters, not self.parameters.orient_pairs
+        least, weighed = mining.least_support(positives, p.minsup_ratio), self._both(positives.select("a", "b", "weight"))
+        levels = mining.apriori(mining.items_of(found, weighed), least, p.max_rule_length, turning, lambda df: self._kept("candidates", df))
+        occurrences = self._kept("sets", mining.mined(levels))
         if p.compute_unifications:
-            occurrences = self._kept("unified", mining.with_unifications(occurrences, mining.path_nodes(found), least))
+            shared = self._kept("unifications", mining.unifications(occurrences, mining.path_nodes(found)))
+            occurrences = self._kept("unified", mining.with_unifications(occurrences, shared, least, turning))
         else:
             occurrences = occurrences.withColumn("clause", F.array().cast(mining.CLAUSE))
-        patterns = mining.closed(mining.pattern_table(occurrences), p.closed_mode == "strict")
+        patterns = mining.closed(mining.pattern_table(occurrences, turning), p.closed_mode == "strict")
         patterns = self._kept("patterns", mining.with_ids(patterns).withColumn("thr", F.lit(None).cast("array<double>")))
         if not p.optimise_thresholds:
             return patterns
         rules = patterns.select(F.col("pat_id").alias("rule_id"), "items", "clause", "thr")
-        shown = matching.matching_paths(rules, found.join(positives.select("a", "b"), ["a", "b"], "left_semi"))
-        counts = self._kept("counts", thresholds.count_arrays(thresholds.slot_scores(shown), positives))
-        chosen = thresholds.optimise(counts, least, p.optimise_thresholds) if not patterns.isEmpty() else None
+        shown = matching.matching_paths(rules, found.join(weighed.select("a", "b"), ["a", "b"], "left_semi"))
+        counts = self._kept("counts", thresholds.count_arrays(thresholds.slot_scores(shown), weighed))
+        chosen = thresholds.optimise(counts, least, p.optimise_thresholds, turning) if not patterns.isEmpty() else None
         if chosen is None:
             return patterns
         found_thr = chosen.select("pat_id", F.transform("x", lambda v: v / 100.0).alias("thr"))
         return self._kept("thresholds", patterns.drop("thr").join(found_thr, "pat_id", "left"))
 
-    def train(self, samples: DataFrame) -> Model:
-        """samples: a, b, label, weight."""
+    def train(self, samples: DataFrame, walked: DataFrame | None = None) -> Model:
+        """samples: a, b, label, weight; walked: their paths, if they are at hand."""
         p, took, clock = self.parameters, {}, time.perf_counter()
-        walked = self.paths(samples)
+        walked = self.paths(samples) if walked is None else walked
         found, dictionary = paths.intern(walked)
         positives, negatives = samples.filter("label = 1"), samples.filter("label = 0")
         patterns = self.mine(found, positives)
         took["mining"], clock = time.perf_counter() - clock, time.perf_counter()
         rules = patterns.select(F.col("pat_id").alias("rule_id"), "items", "clause", "thr")
-        matches = self._kept("matches", matching.match(rules, found))
+        matches = self._kept("matches", self._folded(matching.match(rules, found), samples))
         kept = self._kept("rules", matching.low_fpr(rules, matches.join(negatives.select("a", "b"), ["a", "b"], "left_semi"), negatives, p.max_fpr))
         coverage = self._kept("coverage", matches.join(kept.select("rule_id"), "rule_id", "left_semi").join(samples.select("a", "b", "label", "weight"), ["a", "b"]))
         t = cover.totals(samples)
@@ -128,17 +145,18 @@ class Engine:
         took["training"] = time.perf_counter() - clock
         return Model(rules, float(default), p, took)
 
-    def _matches(self, model: Model, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(matches, paths with the model's mp_id) of new pairs."""
+    def _matches(self, model: Model, pairs: DataFrame, walked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(matches, paths with the model's mp_id) of new pairs; walked: their paths, if they are at hand."""
+        walked = self.paths(pairs) if walked is None else walked
         known = model.rules.select(F.explode(F.arrays_zip("items", "mps")).alias("e")).select(F.col("e.items").alias("mp_id"), F.col("e.mps").alias("mp")).distinct()
-        found = self._kept("new-paths", self.paths(pairs).join(F.broadcast(known), "mp").select("a", "b", "mp_id", "mids", "score"))  # metapaths of the schema
-        return self._kept("new-matches", matching.match(model.rules, found)), found
+        found = self._kept("new-paths", walked.join(F.broadcast(known), "mp").select("a", "b", "mp_id", "mids", "score"))  # metapaths of the schema
+        return self._kept("new-matches", self._folded(matching.match(model.rules, found), pairs)), found
 
     def _default(self, model: Model) -> DataFrame:
         return model.rules.sparkSession.createDataFrame([(model.default,)], "default_probability double")
 
-    def predict(self, model: Model, pairs: DataFrame) -> DataFrame:
-        return cover.predict(pairs, self._matches(model, pairs)[0], model.rules.select("rule_id", "probability"), self._default(model))
+    def predict(self, model: Model, pairs: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+        return cover.predict(pairs, self._matches(model, pairs, walked)[0], model.rules.select("rule_id", "probability"), self._default(model))
 
     def explain(self, model: Model, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(a, b, rule_id, probability, rank, n_paths, n_nodes; the edges rule_id, a, b, eid of each explanation)."""
@@ -146,16 +164,24 @@ class Engine:
         shown = matching.matching_paths(model.rules, found)
         ranked = cover.explanations(matches, model.rules.select("rule_id", "probability"))
         known = model.rules.select(F.explode(F.arrays_zip("items", "mps")).alias("e")).select(F.col("e.items").alias("mp_id"), F.col("e.mps").alias("mp")).distinct()
-        return ranked.join(matching.subgraph_sizes(shown), ["rule_id", "a", "b"]), matching.explanation_edges(self.graph, shown, known)
+        sizes, edges = matching.subgraph_sizes(shown), matching.explanation_edges(self.graph, shown, known)
+        if not self.parameters.orient_pairs:  # of both ways of a pair, the one with more paths counts
+            sizes = matching.folded(sizes, pairs, "n_paths", "n_nodes").groupBy("rule_id", "a", "b").agg(F.max(F.struct("n_paths", "n_nodes")).alias("m")).select("rule_id", "a", "b", "m.n_paths", "m.n_nodes")
+            edges = matching.folded(edges, pairs, "eid")
+        return ranked.join(sizes, ["rule_id", "a", "b"]), edges
 
     def evaluate(self, samples: DataFrame, n_folds: int = 10, seed: int = 42, chosen: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(per fold: fold, roc_auc, pr_auc; predictions: fold, a, b, label, weight, probability)."""
+        """(per fold: fold, roc_auc, pr_auc; predictions: fold, a, b, label, weight, probability).
+
+        Paths are walked once, for all samples; each fold takes those of its own pairs.
+        """
         dealt = self._kept("folds", labels.folds(samples, n_folds, seed))
-        scored = None
+        walked, scored = self.paths(dealt), None
+        of = lambda pairs: walked.join(self._both(pairs.select("a", "b")), ["a", "b"], "left_semi")
         for k in chosen if chosen is not None else range(n_folds):
-            model = self.train(dealt.filter(F.col("fold") != k))
-            test = dealt.filter(F.col("fold") == k)
-            found = self.predict(model, test).join(test.select("a", "b", "label", "weight", "fold"), ["a", "b"])
+            rest, test = dealt.filter(F.col("fold") != k), dealt.filter(F.col("fold") == k)
+            model = self.train(rest, of(rest))
+            found = self.predict(model, test, of(test)).join(test.select("a", "b", "label", "weight", "fold"), ["a", "b"])
             scored = found if scored is None else scored.unionByName(found)
         scored = self._kept("scored", scored.withColumn("score", F.col("probability")))
         return evaluation.roc_auc(scored, "fold").join(evaluation.pr_auc(scored, "fold"), "fold"), scored.drop("score", "predicted")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,20 @@ def clause_text(name: str = "clause") -> Column:
 # ---------------------------------------------------------------- stages that many queries share
 
 
+def stage(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame], **made_from: object) -> DataFrame:
+    """A table that is written once for the tables in d as they are now."""
+    store = StageStore(spark)
+    return store.get_or_make(name, make, tables=d, version=store.version(d), **made_from)
+
+
 def stage_graph(spark: SparkSession, d: str) -> tables.Graph:
     """The projected graph, as written tables."""
-    store = StageStore(tuned(spark))
-    return tables.Graph(store.get_or_make("nodes", lambda: tables.nodes(spark, d), tables=d), store.get_or_make("edges", lambda: tables.edges(spark, d), tables=d))
+    tuned(spark)
+    return tables.Graph(stage(spark, d, "nodes", lambda: tables.nodes(spark, d)), stage(spark, d, "edges", lambda: tables.edges(spark, d)))
 
 
 def stage_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return StageStore(spark).get_or_make("adjacency", lambda: graph.adjacency(stage_graph(spark, d)), tables=d)
+    return stage(spark, d, "adjacency", lambda: graph.adjacency(stage_graph(spark, d)))
 
 
 def walked(spark: SparkSession, d: str, cutoff: int = 3, excluded: tuple[str, ...] = (), use_context: bool = True) -> DataFrame:
@@ -55,12 +62,12 @@ def walked(spark: SparkSession, d: str, cutoff: int = 3, excluded: tuple[str, ..
 
 
 def stage_samples(spark: SparkSession, d: str) -> DataFrame:
-    return StageStore(spark).get_or_make("samples", lambda: tables.samples(spark, d), tables=d)
+    return stage(spark, d, "samples", lambda: tables.samples(spark, d))
 
 
 def stage_paths(spark: SparkSession, d: str) -> DataFrame:
     """a, b, mp, mids, score of all pairs, up to three edges."""
-    return StageStore(spark).get_or_make("paths", lambda: walked(spark, d), tables=d, cutoff=3)
+    return stage(spark, d, "paths", lambda: walked(spark, d), cutoff=3)
 
 
 def interned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -74,12 +81,13 @@ def positives(spark: SparkSession, d: str) -> DataFrame:
 def levels(spark: SparkSession, d: str) -> tuple[list[tuple[DataFrame, DataFrame]], float]:
     p, _ = interned(spark, d)
     least = mining.least_support(positives(spark, d), RATIO)
-    return mining.apriori(mining.items_of(p, positives(spark, d)), least, 3), least
+    kept = lambda df: StageStore(spark).get_or_make("candidates", lambda: df, run=uuid.uuid4().hex)
+    return mining.apriori(mining.items_of(p, positives(spark, d)), least, 3, kept=kept), least
 
 
 def stage_sets(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences (items, a, b, weight) of the frequent sets of two and three metapaths."""
-    return StageStore(spark).get_or_make("sets", lambda: mining.mined(levels(spark, d)[0]), tables=d, ratio=RATIO)
+    return stage(spark, d, "sets", lambda: mining.mined(levels(spark, d)[0]), ratio=RATIO)
 
 
 def pair_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +96,8 @@ def pair_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def unified(spark: SparkSession, d: str) -> DataFrame:
     least = mining.least_support(positives(spark, d), RATIO)
-    return mining.with_unifications(pair_sets(spark, d), mining.path_nodes(interned(spark, d)[0]), least)
+    found = stage(spark, d, "unifications", lambda: mining.unifications(pair_sets(spark, d), mining.path_nodes(interned(spark, d)[0])), ratio=RATIO)
+    return mining.with_unifications(pair_sets(spark, d), found, least)
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +107,7 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_matches(spark: SparkSession, d: str) -> DataFrame:
-    return StageStore(spark).get_or_make("matches", lambda: matching.match(rules(spark, d), interned(spark, d)[0]), tables=d, ratio=RATIO)
+    return stage(spark, d, "matches", lambda: matching.match(rules(spark, d), interned(spark, d)[0]), ratio=RATIO)
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +127,7 @@ def pair_counts(spark: SparkSession, d: str) -> DataFrame:
         found = matching.matching_paths(rules(spark, d), interned(spark, d)[0].join(positives(spark, d).select("a", "b"), ["a", "b"], "left_semi"))
         return thresholds.count_arrays(thresholds.slot_scores(found), positives(spark, d))
 
-    return StageStore(spark).get_or_make("counts", make, tables=d, ratio=RATIO)
+    return stage(spark, d, "counts", make, ratio=RATIO)
 
 
 def named(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +231,7 @@ def paths_len2(spark, d):
 
 @query
 def paths_len3(spark, d):
-    return _flat(walked(spark, d, 3), r6("score"))
+    return _flat(stage_paths(spark, d), r6("score"))
 
 
 @query
@@ -554,6 +563,13 @@ def roc_mean_curve(spark, d):
     return evaluation.mean_curve(evaluation.interpolated(evaluation.roc_points(scored(spark, d), "fold"), "fpr", "tpr", 101, "fold")).select(r6("at"), r6("mean"), r6("std"))
 
 
+@query
+def pr_mean_curve(spark, d):
+    """Precision on an even grid of recall, from (0, 1) on, over the folds."""
+    points = evaluation.pr_points(scored(spark, d), "fold")
+    return evaluation.mean_curve(evaluation.interpolated(points, "recall", "precision", 101, "fold", start=(0.0, 1.0))).select(r6("at"), r6("mean"), r6("std"))
+
+
 @query
 def best_threshold(spark, d):
     return evaluation.best_threshold(scored(spark, d)).select(*(r6(c) for c in ("score", "g_mean", "tpr", "fpr", "balanced_accuracy")))

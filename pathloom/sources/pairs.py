@@ -9,12 +9,24 @@ from pathloom.functions.expressions import first_of_pair
 from pathloom.sources.tables import Graph
 
 
-def read_delimited(spark: SparkSession, path: str, header: bool = True, sep: str = "\t", comment: str | None = None, schema: str | None = None) -> DataFrame:
-    """A delimited file; with comment, lines that start with it are left out."""
+def read_delimited(spark: SparkSession, path: str, header: bool = True, sep: str = "\t", comment: str | None = None, schema: str | None = None, leading_only: bool = False) -> DataFrame:
+    """A delimited file; with comment, lines that start with it are left out: all, or (leading_only) those before the first other line."""
     reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-    if comment:
+    if comment and not leading_only:
         reader = reader.option("comment", comment)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    reader = reader.schema(schema) if schema else reader
+    if not comment or not leading_only:
+        return reader.csv(path)
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    first = lines.filter(~F.col("value").startswith(comment)).groupBy("file").agg(F.min("at").alias("first"))  # a row a file
+    rest = lines.join(F.broadcast(first), "file").filter(F.col("at") >= F.col("first"))
+    top = rest.filter(F.col("at") == F.col("first")).select("value").first()
+    cells = top[0].split(sep) if top else []
+    names = [c.strip('"') for c in cells] if header else [f"_c{i}" for i in range(len(cells))]
+    body = rest.filter(F.col("at") > F.col("first")) if header else rest
+    parsed = F.from_csv("value", schema or ", ".join(f"`{c}` string" for c in names) or "_c0 string", {"sep": sep})
+    return body.select(parsed.alias("r")).select("r.*")
 
 
 def write_delimited(df: DataFrame, path: str, header: bool = True, sep: str = "\t") -> None:
@@ -79,6 +91,16 @@ def read_scored_folds(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("fold", F.explode(lists).alias("x")).select("fold", F.col("x.score").alias("score"), F.col("x.label").cast("int").alias("label"), F.col("x.weight").alias("weight"))
 
 
+def read_method_predictions(spark: SparkSession, graph: Graph, path: str, value: str, sep: str = ",", id_format: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(a, b, probability; first, second of pairs that the graph lacks) of another method's table, whose index holds pair literals.
+
+    Pairs come in any order and are oriented as the graph's; of repeated pairs the last line counts.
+    """
+    rows = read_tuple_index(spark, path, value, sep).select("first", "second", F.col("score").alias("weight")).withColumn("line", F.monotonically_increasing_id())
+    pairs, unresolved = resolved_pairs(graph, rows, id_format)
+    return pairs.withColumnRenamed("weight", "probability"), unresolved
+
+
 def read_tuple_index(spark: SparkSession, path: str, value: str, sep: str = "\t") -> DataFrame:
     """first, second, score of a table whose first column is a pair literal such as ('A', 'B')."""
     raw = read_delimited(spark, path, sep=sep)

@@ -33,8 +33,17 @@ def explanation_graphs(graph: Graph, ranked: DataFrame, edges: DataFrame) -> Dat
     return rows.groupBy("a", "b", "rule_id").applyInPandas(make, "name string, xml string")
 
 
+#: Explanations in one file of a table of them.
+GRAPHS_A_FILE = 10_000
+
+
 def write_explanation_graphs(graphs: DataFrame, path: str) -> None:
-    """A folder per explanation, with its GraphML as the only text file."""
+    """A Parquet table of name and xml, in files of a bounded number of rows: there may be millions of explanations."""
+    graphs.write.mode("overwrite").option("maxRecordsPerFile", GRAPHS_A_FILE).parquet(path)
+
+
+def write_graph_files(graphs: DataFrame, path: str) -> None:
+    """A folder per explanation, with its GraphML as the only text file: for the few of single pairs."""
     graphs.repartition("name").write.mode("overwrite").partitionBy("name").text(path)
 
 

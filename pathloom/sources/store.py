@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
@@ -25,6 +27,8 @@ class StageStore:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, (root or f"{shared_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}")
+        #: Paths that this store has written, in order.
+        self.made: list[str] = []
 
     def path(self, stage: str, **made_from: object) -> str:
         key = hashlib.sha256(json.dumps(made_from, sort_keys=True, default=str).encode()).hexdigest()[:24]
@@ -32,8 +36,28 @@ class StageStore:
 
     def get_or_make(self, stage: str, make: Callable[[], DataFrame], refresh: bool = False, **made_from: object) -> DataFrame:
         path = self.path(stage, **made_from)
-        jvm = self.spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if refresh or not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        files, done = self._files(f"{path}/_SUCCESS")
+        if refresh or not files.exists(done):
             make().write.mode("overwrite").parquet(path)
+            self.made.append(path)
         return self.spark.read.parquet(path)
+
+    def drop_since(self, mark: int) -> None:
+        """Deletes the tables that were written after len(made) was mark; nothing may read them any more."""
+        while len(self.made) > mark:
+            files, path = self._files(self.made.pop())
+            files.delete(path, True)
+
+    def version(self, folder: str) -> str:
+        """A hash of the names, sizes and times of the files in a folder: what is made from it is made anew when it changes."""
+        files, path = self._files(folder)
+        seen, found = files.listFiles(path, True), []
+        while seen.hasNext():
+            f = seen.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()[:24]
+
+    def _files(self, path: str):
+        """(the file system of a path, the path) in the JVM."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop

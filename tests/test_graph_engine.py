@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pathloom.functions.expressions import evidence_level, first_of_pair
 from pathloom.operators import cover, evaluation, graph, labels, matching, mining, paths, studies, thresholds
 from pathloom.plans.engine import Engine, Model, Parameters
 from pathloom.sources import graphml
-from pathloom.sources.pairs import one_pair, prediction_table, read_pairs, read_scored_folds, read_tuple_index, write_predictions
-from pathloom.sources.sinks import append_run, explanation_graphs, held_out_table, read_runs
+from pathloom.sources.pairs import one_pair, prediction_table, read_delimited, read_method_predictions, read_pairs, read_scored_folds, read_tuple_index, write_predictions
+from pathloom.sources.sinks import append_run, explanation_graphs, held_out_table, read_runs, write_explanation_graphs, write_graph_files
+from pathloom.sources.store import StageStore
 from pathloom.sources.tables import Graph
 
 NODES = [("A", "Gene", 1.0), ("B", "Gene", 2.0), ("D", "Gene", 2.0), ("E", "Gene", float("nan")), ("X", "T1", 0.0), ("Y", "T2", 0.0), ("Z", "T1", 0.0), ("W", "Bad", 0.0)]
@@ -161,7 +163,7 @@ def test_unifications_and_closedness(tx):
                                 want.add((p, s, tuple(zip(part, choice))))
     got = {(int(r["a"][1:]), tuple(r["items"]), tuple((c["mp"], c["pos"]) for c in r["clause"])) for r in mining.unifications(occurrences, mining.path_nodes(found)).collect()}
     assert got == want
-    table = fixed(mining.pattern_table(mining.with_unifications(occurrences, mining.path_nodes(found), 0.1)))
+    table = fixed(mining.pattern_table(mining.with_unifications(occurrences, mining.unifications(occurrences, mining.path_nodes(found)), 0.1)))
     rows = table.collect()
     pats = [(tuple(r["items"]), tuple((c["mp"], c["pos"]) for c in r["clause"]), r["n_matches"]) for r in rows]
     level = lambda p: len(p[0]) + bool(p[1])
@@ -283,6 +285,128 @@ def test_engine_end_to_end(spark, learned, tmp_path):
         engine.train(samples.filter("label = 1"))
 
 
+def test_engines_keep_their_tables_apart(spark, learned):
+    """One engine after another, some of them gone: each has tables of its own."""
+    graph_, samples = learned
+    store, answers = StageStore(spark), []
+    for cutoff in (2, 1, 2, 1):
+        engine = Engine(graph_, Parameters(path_cutoff=cutoff, minsup_ratio=0.3, optimise_thresholds=None), store)
+        answers.append(engine.paths(samples).count())
+        del engine
+    assert answers[0] == answers[2] > answers[1] == answers[3]
+
+
+def test_stages_follow_their_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    store = StageStore(spark)
+    make = lambda: store.get_or_make("n", lambda: spark.read.parquet(str(tmp_path / "t")), version=store.version(str(tmp_path / "t"))).count()
+    assert make() == 3
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    mark = len(store.made)
+    assert make() == 5 and len(store.made) == mark + 1
+    store.drop_since(mark)
+    assert len(store.made) == mark and make() == 5
+
+
+def test_pairs_without_orientation(spark, learned):
+    """Some pairs are given from the other end: without orientation they are learned from and found all the same."""
+    graph_, samples = learned
+    graph_ = Graph(graph_.nodes, graph_.edges.withColumn("target_id", F.when(F.col("label") == "binds", F.col("dst"))))
+    turned_ = F.substring("a", 2, 5).cast("int") % 6 == 0
+    mixed = samples.select(F.when(turned_, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned_, F.col("a")).otherwise(F.col("b")).alias("b"), "label", "weight")
+    for strategy in (None, "GREEDY"):
+        engine = Engine(graph_, Parameters(minsup_ratio=0.9, orient_pairs=False, optimise_thresholds=strategy))
+        model = engine.train(mixed)
+        found = {(r["a"], r["b"]): r["predicted"] for r in engine.predict(model, mixed).collect()}
+        assert found == {(r["a"], r["b"]): r["label"] for r in mixed.collect()}
+        ranked, edges = engine.explain(model, mixed.filter("b = 'a0'"))
+        assert {(r["a"], r["b"], r["n_nodes"]) for r in ranked.collect()} == {("b0", "a0", 3)} and {r["eid"] for r in edges.collect()} == {"d0", "h0", "k0"}
+    oriented = Engine(graph_, Parameters(minsup_ratio=0.9, optimise_thresholds=None))
+    assert oriented.mine(*_found(oriented, mixed)).isEmpty()  # no set holds nine of ten pairs from one end
+
+
+def _found(engine, samples):
+    found, _ = paths.intern(engine.paths(samples))
+    return found, samples.filter("label = 1")
+
+
+def test_sets_of_either_direction_by_hand(spark):
+    """Every pattern holds a pair if all of its metapaths stand there as walked from one and the same end."""
+    rng = random.Random(6)
+    kinds = [(["e"], ["X", "Y"], [1]), (["e"], ["Y", "X"], [-1]), (["f", "g"], ["X", "Z", "Y"], [0, 1]), (["g", "f"], ["Y", "Z", "X"], [-1, 0]), (["h"], ["X", "X"], [0])]
+    turn = lambda k: (k[0][::-1], k[1][::-1], [-d for d in k[2][::-1]])
+    rows = [(f"p{i}", f"q{i}", k, ["z"] * (len(k[0]) - 1), 0.5) for i in range(30) for k in kinds if rng.random() < 0.5]
+    walked = spark.createDataFrame(rows, "a string, b string, mp struct<edges:array<string>,nodes:array<string>,dirs:array<int>>, mids array<string>, score double")
+    weights = spark.createDataFrame([(f"p{i}", f"q{i}", 1.0 + i % 3) for i in range(30)], "a string, b string, weight double")
+    found, names = paths.intern(mining.both_ways(walked))
+    levels = mining.apriori(mining.items_of(found, mining.turned(weights)), 8.0, 3, True)
+    spelled = {r["mp_id"]: (tuple(r["mp"]["edges"]), tuple(r["mp"]["nodes"]), tuple(r["mp"]["dirs"])) for r in names.collect()}
+    got = {tuple(sorted(spelled[i] for i in r["items"])): (r["support"], r["n_matches"]) for level, _ in levels for r in level.collect()}
+    fixed_ = lambda k: tuple(map(tuple, k))
+    held = {}
+    for a, _, k, *_ in rows:
+        for way, form in ((1, k), (-1, turn(k))):
+            held.setdefault((a, way), set()).add(fixed_(form))
+    every, want = sorted({x for v in held.values() for x in v}), {}
+    for n in (1, 2, 3):
+        for items in itertools.combinations(every, n):
+            mine = {a for (a, _), v in held.items() if set(items) <= v}
+            weight = sum(1.0 + int(a[1:]) % 3 for a in mine)
+            if weight >= 8.0:
+                want[tuple(sorted(items))] = (weight, len(mine))
+    assert got == want and len({len(k) for k in want}) == 3
+
+
+def test_positives_of_the_graph(spark):
+    nodes = [(g, "Gene", g, "G", v, {}) for g, v in (("g1", 3.0), ("g2", 1.0), ("g3", 2.0), ("g4", 5.0), ("g5", float("nan")))] + [(d, "Disease", d, "D", 0.0, {}) for d in ("d1", "d2")]
+    level = lambda fam, ts: {"FAMmanual": str(fam), "STATmeta": "0", "STATmanual": "x", "timestamp": str(ts)}
+    nodes += [(o, "OligogenicCombination", o, "O", 0.0, level(*x)) for o, x in (("o1", (1, 50)), ("o2", (3, 90.0)), ("o3", (2, 70)), ("o4", (3, 99)), ("o5", (2, 80)), ("o6", (0, 10)))]
+    ends = {"o1": "g1 g2 d1", "o2": "g2 g1 d1 d2", "o3": "g3 g4", "o4": "g1 g2 g3", "o5": "g4 g5 d2", "o6": "g2 g3"}
+    edges = [(f"{o}{x}", o, x, "involves", 1.0, None, None) for o, xs in ends.items() for x in xs.split()]
+    graph_ = Graph(spark.createDataFrame(nodes, "id string, type string, name string, abbrev string, orient_val double, props map<string,string>"), spark.createDataFrame(edges, "eid string, src string, dst string, label string, score double, target_id string, ctx array<string>"))
+    index = labels.evidence_index(graph_)
+    got = {r["evidence_id"]: (r["a"], r["b"], r["fam"], r["smanual"], r["ts"], sorted(r["contexts"])) for r in index.collect()}
+    assert got == {"o1": ("g2", "g1", 1, 0, 50, ["d1"]), "o2": ("g2", "g1", 3, 0, 90, ["d1", "d2"]), "o3": ("g3", "g4", 2, 0, 70, []), "o5": ("g4", "g5", 2, 0, 80, ["d2"]), "o6": ("g2", "g3", 0, 0, 10, [])}
+    rest, held = labels.graph_positives(index, n_held_out=1)
+    assert [(r["a"], r["b"], r["ts"]) for r in held.collect()] == [("g4", "g5", 80)]
+    assert sorted((r["a"], r["b"], round(r["weight"], 3), r["ts"], tuple(r["contexts"])) for r in rest.collect()) == [("g2", "g1", 1.0, 50, ("d1", "d2")), ("g3", "g4", 0.667, 70, ())]
+
+
+def test_greedy_thresholds_by_hand(spark):
+    """Sums from above over the scores that occur give the costs of all 101 values; three items, ties, matches without paths left."""
+    rng = random.Random(11)
+    rows, weights = [], []
+    for p in (1, 2, 3):
+        for i in range(12):
+            counts = []
+            for _ in range(p):
+                scores = [rng.choice([0, 10, 10, 35, 60, 99, 100]) for _ in range(rng.randint(1, 5))]
+                counts.append([sum(s >= v for s in scores) for v in range(101)])
+            rows.append((p, f"a{i}", f"b{i}", 1.0 + i % 2, counts))
+    m = spark.createDataFrame(rows, "pat_id int, a string, b string, weight double, counts array<array<bigint>>")
+    least = 4.0
+    for r in thresholds.greedy(m, least).collect():
+        mine = [(w, c) for p, _, _, w, c in rows if p == r["pat_id"]]
+        s0, wn0 = sum(w for w, _ in mine), sum(w * sum(k[0] for k in c) for w, c in mine)
+
+        def cost(x):
+            n = [(w, [k[v] for k, v in zip(c, x)]) for w, c in mine]
+            n = [(w, sum(k)) for w, k in n if all(k)]
+            s = sum(w for w, _ in n)
+            return 1.0 if s < least else round(((1 - s / s0) + sum(w * k for w, k in n) / s / (wn0 / s0)) / 2, 12)
+
+        x, free, best = [0] * r["pat_id"], set(range(r["pat_id"])), None
+        while free:
+            c, j, v = min((cost([v if k == j else x[k] for k in range(len(x))]), j, v) for j in sorted(free) for v in range(101))
+            if best is not None and c > best:
+                break
+            best = c
+            x[j] = v
+            free.discard(j)
+        assert r["x"] == x and r["cost"] == pytest.approx(best)
+        assert thresholds.evolve(m.filter(f"pat_id = {r['pat_id']}"), least).first()["cost"] <= 0.5
+
+
 def test_stream(spark, learned, tmp_path):
     from pathloom.streaming.scoring import score_stream
 
@@ -304,6 +428,7 @@ def test_graphml_round_trip(spark, g, tmp_path):
     assert sorted((r["src"], r["dst"], r["label"], r["score"], r["target_id"] or "") for r in back.edges.collect()) == sorted((e[1], e[2], e[3], e[4], e[5] or "") for e in EDGES)
     row = spark.range(1).select(graphml.context_list(F.lit("['u', \"v\"]")).alias("x"), graphml.context_list(F.lit(None).cast("string")).alias("y")).first()
     assert row["x"] == ["u", "v"] and row["y"] is None
+    assert [spark.range(1).select(graphml.context_list(F.lit(x)).alias("x")).first()["x"] for x in ("[]", "", "['']")] == [None, None, [""]]  # nothing listed is any context
 
 
 def test_pair_files(spark, g, tmp_path):
@@ -321,11 +446,17 @@ def test_pair_files(spark, g, tmp_path):
     assert "NaN" in "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
 
 
-def test_result_tables(spark, tmp_path):
+def test_result_tables(spark, g, tmp_path):
     (tmp_path / "f.tsv").write_text('predictions\ty\tsample_weights\n"[0.1, 0.9]"\t"[0, 1]"\t"[1, 0.5]"\n')
     assert sorted(tuple(r)[1:] for r in read_scored_folds(spark, str(tmp_path / "f.tsv")).collect()) == [(0.1, 0, 1.0), (0.9, 1, 0.5)]
     (tmp_path / "t.tsv").write_text("\tvalue\n('A', 'B')\t0.25\n")
     assert [tuple(r) for r in read_tuple_index(spark, str(tmp_path / "t.tsv"), "value").collect()] == [("A", "B", 0.25)]
+    (tmp_path / "c.tsv").write_text('# one\n# two\nname\tvalue\n#kept\t1\n"x y"\t2\n')
+    assert [tuple(r) for r in read_delimited(spark, str(tmp_path / "c.tsv"), comment="#", leading_only=True).collect()] == [("#kept", "1"), ("x y", "2")]
+    assert [tuple(r) for r in read_delimited(spark, str(tmp_path / "c.tsv"), comment="#").collect()] == [("x y", "2")]
+    (tmp_path / "m.csv").write_text(",p\n\"('b', 'a')\",0.25\n\"('a', 'no')\",1\n")
+    found, lost = read_method_predictions(spark, g, str(tmp_path / "m.csv"), "p")
+    assert [tuple(r) for r in found.collect()] == [("A", "B", 0.25)] and [tuple(r) for r in lost.collect()] == [("a", "no")]
 
 
 def test_run_tables(spark, g, tmp_path):
@@ -334,6 +465,10 @@ def test_run_tables(spark, g, tmp_path):
     rows = read_runs(spark, str(tmp_path / "runs"))
     assert rows.count() == 4 and rows.filter("figure = 'roc_auc'").agg(F.avg("value")).first()[0] == 0.625
     held = spark.createDataFrame([("A", "B", 1.0)], "a string, b string, weight double")
+    xmls = spark.createDataFrame([(f"n{i}", "<x/>") for i in range(5)], "name string, xml string")
+    write_explanation_graphs(xmls, str(tmp_path / "graphs"))
+    write_graph_files(xmls, str(tmp_path / "files"))
+    assert spark.read.parquet(str(tmp_path / "graphs")).count() == 5 and len(list((tmp_path / "files").glob("name=*"))) == 5
     assert tuple(held_out_table(g, held).first()) == ("a", "b", 1.0) and tuple(held_out_table(g, held, "id").first())[:2] == ("A", "B")
 
 
