@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -32,8 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-#: Per open step (see settled), the paths of the tables written in it.
-_STEPS: list[list[str]] = []
+class _Steps(threading.local):
+    """Per thread and open step (see settled), the paths of the tables written in it."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_STEPS = _Steps()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,26 +48,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _STEPS:
-        _STEPS[-1].append(path)
+    if _STEPS.open:
+        _STEPS.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What make gives, as a written table; the tables written on the way to it are deleted."""
-    _STEPS.append([])
+    _STEPS.open.append([])
     try:
         df = make()
         path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
     finally:
-        passing = _STEPS.pop()
+        passing = _STEPS.open.pop()
     for p in passing:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    if _STEPS:
-        _STEPS[-1].append(path)
+    if _STEPS.open:
+        _STEPS.open[-1].append(path)
     return out
 
 
