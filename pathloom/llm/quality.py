@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import unused
+from pathloom.llm._common import short_batches, unused
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 80, 512, 3e-3, 7
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     What comes to the driver is at most MAX_POSITIVE and MAX_UNLABELLED rows of numbers, however many rows share an id.
     """
+    short_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(~held_out("_id") & F.col("_id").isNotNull() & F.col("quality").isNotNull()).groupBy("_id").agg(F.max("quality").alias("quality"))
     stats = known.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
     if not stats["n"] or not stats["good"]:
@@ -155,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_documents(docs: DataFrame, model: PUModel | None, text_col: str = "text", score_col: str = "_score") -> DataFrame:
     """docs with score_col added; all its columns stay."""
+    short_batches(docs.sparkSession)
     names, types = docs.columns, docs.schema
     at = names.index(text_col)
 
