@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,12 @@ def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def give_back() -> None:
+    """At the end of a task: what its worker does not need any more goes back to the system, since the worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import short_batches, unused
+from pathloom.llm._common import give_back, short_batches, unused
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 80, 512, 3e-3, 7
@@ -167,6 +167,7 @@ def score_documents(docs: DataFrame, model: PUModel | None, text_col: str = "tex
             else:
                 score = model.scores(np.array([features(t.as_py()) for t in b.column(at)])) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*names, score_col])
+        give_back()
 
     return docs.mapInArrow(run, types.__class__([*types.fields]).add(score_col, "double"))
 
