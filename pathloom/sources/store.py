@@ -10,6 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: By application, the local folder that stands in for an unset spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -17,9 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    local = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
 
 
 class StageStore:
