@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def con():
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
