@@ -52,12 +52,23 @@ _STEPS = _Steps()
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if _STEPS.open:
         _STEPS.open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a written table; nothing may read it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -71,8 +82,7 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
     finally:
         passing = _STEPS.open.pop()
     for p in passing:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        dropped(spark, p)
     if _STEPS.open:
         _STEPS.open[-1].append(path)
     return out

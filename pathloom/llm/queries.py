@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, decontaminate, exact_dedup, html_extract, license_scan, lm_score, ngram_join, packing, quality, suffix_dedup, topk_search
+from pathloom.llm import bpe, centroids, decontaminate, exact_dedup, html_extract, license_scan, lm_score, ngram_join, packing, quality, suffix_dedup, topk_search
 from pathloom.llm._common import documents
 
 
@@ -56,6 +56,10 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans", "items")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
@@ -68,9 +72,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+
+def _clustered(k: int, rounds: int, seed: int, width: int) -> str:
+    """Plain k-means: every distance in every round."""
+    first = f"sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), x"
+    out = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY {first}) - 1 AS INTEGER) AS c, x FROM (SELECT vec_id, x FROM v ORDER BY {first} LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT row, c, d FROM (SELECT row, c, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{r} c)
+            QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
+        if r < rounds:
+            out.append(f"s{r} AS (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(1, {width + 1})) AS i FROM a{r} JOIN v USING (row)) GROUP BY c, i)")
+            out.append(f"m{r} AS (SELECT c, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END ORDER BY i) AS x FROM s{r} GROUP BY c)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (c))")
+    return f"""WITH {", ".join(out)} SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(p.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} p USING (c) JOIN v USING (row)"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_centroid_clustering": _clustered(centroids.K, centroids.ROUNDS, centroids.SEED, centroids.WIDTH),
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
              g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
