@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, centroids, decontaminate, exact_dedup, html_extract, license_scan, lm_score, ngram_join, packing, quality, suffix_dedup, topk_search
+from pathloom.llm import bpe, centroids, decontaminate, exact_dedup, html_extract, license_scan, lm_score, ngram_join, packing, quality, spelling, suffix_dedup, topk_search
 from pathloom.llm._common import documents
 
 
@@ -56,6 +56,10 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans", "items")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 

@@ -31,7 +31,7 @@ def test_against_sql(spark, con, name):
 
 def test_all_operators_are_registered():
     found = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in found) for k in range(1, 11)) and "pipeline" in found
+    assert all(any(n.startswith(f"op{k}_") for n in found) for k in range(1, 14)) and "pipeline" in found
 
 
 def test_pipeline_edges(spark, tmp_path):
