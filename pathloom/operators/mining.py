@@ -6,12 +6,15 @@ pair; patterns (items, clause), where a clause lists (mp, pos): the same node st
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.expressions import reversed_metapath
+from pathloom.operators import bitmaps
+from pathloom.sources.store import StageStore
 
 CLAUSE = "array<struct<mp:int,pos:int>>"
 
@@ -64,13 +67,15 @@ def frequent_metapaths(items: DataFrame, least: float, turning: bool = False) ->
     return supported(items, least, "mp_id", turning=turning)
 
 
-def candidates(previous: DataFrame, known: DataFrame) -> DataFrame:
-    """Occurrences one item longer: sets of one pair that agree but for their last items, all of whose subsets are frequent."""
+def longer_sets(known: DataFrame) -> DataFrame:
+    """items one longer than the known ones, and the two of these that it is made of (head: all but the last, tail: all but the
+    last but one): sets that agree but for their last items, all of whose subsets are known."""
     k = F.size("items")
-    left = previous.select("a", "b", "weight", F.slice("items", 1, k - 1).alias("stem"), F.element_at("items", -1).alias("last"))
-    right = previous.select("a", "b", F.slice("items", 1, k - 1).alias("stem"), F.element_at("items", -1).alias("next"))
-    longer = left.join(right, ["a", "b", "stem"]).filter("last < next").select("a", "b", "weight", F.concat("stem", F.array("last", "next")).alias("items"))
-    return longer.join(all_subsets_frequent(longer.select("items").distinct(), known), "items", "left_semi")
+    stem = F.slice("items", 1, k - 1).alias("stem")
+    left = known.select(stem, F.element_at("items", -1).alias("last"), F.col("items").alias("head"))
+    right = known.select(stem, F.element_at("items", -1).alias("next"), F.col("items").alias("tail"))
+    longer = left.join(right, "stem").filter("last < next").select(F.concat("head", F.array("next")).alias("items"), "head", "tail")
+    return longer.join(all_subsets_frequent(longer.select("items"), known), "items", "left_semi")
 
 
 def all_subsets_frequent(sets: DataFrame, known: DataFrame) -> DataFrame:
@@ -81,22 +86,67 @@ def all_subsets_frequent(sets: DataFrame, known: DataFrame) -> DataFrame:
     return hit.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") == n).select("items")
 
 
-def apriori(items: DataFrame, least: float, longest: int = 3, turning: bool = False, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[tuple[DataFrame, DataFrame]]:
+def written_once(df: DataFrame) -> DataFrame:
+    return StageStore(df.sparkSession).get_or_make("mining", lambda: df, run=uuid.uuid4().hex)
+
+
+class Transactions:
+    """The pairs (a, b, weight) of items as bitmaps: items and sets of items are words of pairs that hold them.
+
+    bits: (items, word, ahead, back).  Without turning, ahead has the pairs; with it, a pair and the turned pair share a bit,
+    in ahead if they are held as a <= b and in back otherwise.  Sets meet direction by direction, and a pair counts once.
+    """
+
+    def __init__(self, items: DataFrame, turning: bool, kept: Callable[[DataFrame], DataFrame]):
+        self.turning = turning
+        items = items.withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")} if turning else {"_x": F.col("a"), "_y": F.col("b")})
+        ends = items.groupBy("_x", "_y").agg(F.max("weight").alias("weight"))
+        self.pairs = kept(bitmaps.numbered(ends, ["_x", "_y"]))
+        self.weights = kept(bitmaps.weight_tables(self.pairs, weight=F.col("weight")))
+        ahead = (F.col("a") == F.col("_x")) if turning else F.lit(True)
+        by = items.join(self.pairs.select("_x", "_y", "word", "bit"), ["_x", "_y"]).groupBy(F.array("mp_id").alias("items"), "word")
+        self.bits = kept(by.agg(bitmaps.set_of(where=ahead).alias("ahead"), bitmaps.set_of(where=~ahead).alias("back")))
+
+    def supported(self, bits: DataFrame, least: float) -> DataFrame:
+        """items, support, n_matches of the sets whose weight reaches least, up to rounding of the sum."""
+        held = F.col("ahead").bitwiseOR(F.col("back"))
+        weighed = bits.join(self.weights, "word").select("items", bitmaps.weight_of(held, "weight").alias("w"), F.bit_count(held).alias("n"))
+        return weighed.groupBy("items").agg(F.sum("w").alias("support"), F.sum("n").cast("long").alias("n_matches")).filter(F.round("support", 9) >= round(least, 9))
+
+    def met(self, sets: DataFrame, bits: DataFrame) -> DataFrame:
+        """Bits of sets (items, head, tail) from those of their heads and tails."""
+        head = sets.join(bits.withColumnRenamed("items", "head"), "head")
+        both = head.join(bits.select(F.col("items").alias("tail"), "word", F.col("ahead").alias("_ahead"), F.col("back").alias("_back")), ["tail", "word"])
+        met = both.select("items", "word", F.col("ahead").bitwiseAND(F.col("_ahead")).alias("ahead"), F.col("back").bitwiseAND(F.col("_back")).alias("back"))
+        return met.filter("ahead <> 0 or back <> 0")
+
+    def occurrences(self, bits: DataFrame) -> DataFrame:
+        """a, b, weight, items: the pairs themselves, where a step asks for them."""
+        each = bits.join(self.pairs, "word")
+        ways = [F.when(bitmaps.has("ahead"), F.struct(F.col("_x").alias("a"), F.col("_y").alias("b")))]
+        if self.turning:
+            ways.append(F.when(bitmaps.has("back"), F.struct(F.col("_y").alias("a"), F.col("_x").alias("b"))))
+        each = each.select("items", "weight", F.explode(F.array_compact(F.array(*ways))).alias("p"))
+        return each.select("p.a", "p.b", "weight", "items")
+
+
+def apriori(items: DataFrame, least: float, longest: int = 3, turning: bool = False, kept: Callable[[DataFrame], DataFrame] = written_once) -> list[tuple[DataFrame, DataFrame]]:
     """Per size from 1, (patterns: items, support, n_matches; their occurrences).  Ends early when a level has fewer than two sets.
 
-    kept: writes a level's candidates, which are read for their support and for the occurrences of the next level.
+    Between levels there are bitmaps, a row a set and word of 64 pairs; single pairs come back where occurrences are read.
+    kept: writes what is read more than once: the pairs' numbers, a level's bits and its sets.
     """
-    single = frequent_metapaths(items, least, turning)
-    level = single.select(F.array("mp_id").alias("items"), "support", "n_matches")
-    occurrences = items.join(F.broadcast(single.select("mp_id")), "mp_id").select("a", "b", "weight", F.array("mp_id").alias("items"))  # metapaths of the schema
-    out = [(level, occurrences)]
-    for _ in range(2, longest + 1):
-        found = kept(candidates(occurrences, level))
-        level = supported(found, least, "items", turning=turning)
-        occurrences = found.join(level.select("items"), "items", "left_semi")
-        out.append((level, occurrences))
-        if level.limit(2).count() < 2:
+    known = Transactions(items, turning, kept)
+    bits = known.bits
+    level = kept(known.supported(bits, least))
+    out = []
+    for size in range(1, longest + 1):
+        bits = bits.join(level.select("items"), "items", "left_semi")
+        out.append((level, known.occurrences(bits)))
+        if size == longest or (size > 1 and level.limit(2).count() < 2):
             break
+        bits = kept(known.met(longer_sets(level.select("items")), bits))
+        level = kept(known.supported(bits, least))
     return out
 
 

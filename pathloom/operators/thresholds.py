@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS = 100
+#: Items of patterns for which every vector of thresholds is tried: 101 ** 3 vectors at most.
+GRID_ITEMS = 3
 #: Population, most generations, and the weight range and crossover rate of differential evolution.
 POPULATION, GENERATIONS, F_LOW, F_HIGH, CROSSOVER, TOLERANCE = 50, 1000, 0.5, 1.0, 0.7, 0.01
 
@@ -206,6 +208,59 @@ def _polished(matches: DataFrame, found: dict[int, tuple[list[int], float]], lea
     return done
 
 
+def grid_points(matches: DataFrame) -> DataFrame:
+    """pat_id, x, s, wn: what matches add to the weight and to weight times paths at x and at every vector below it.
+
+    With the tops of a match (the highest score of each item), its weight counts up to there; its paths of an item count up to
+    their own score on that item's axis and up to the tops on the others.  So a match adds a point per score that it has.
+    """
+    after = lambda c, v: F.coalesce(F.get(c, v + 1), F.lit(0).cast("long"))
+    bins = F.transform("counts", lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda v: F.struct(v.alias("v"), (F.get(c, v) - after(c, v)).alias("n"))), lambda e: e["n"] > 0))
+    each = matches.select("pat_id", "weight", bins.alias("bins"))
+    each = each.withColumn("top", F.transform("bins", lambda b: F.element_at(b, -1)["v"]))
+    moved = lambda j, v: F.transform("top", lambda t, k: F.when(k == j, v).otherwise(t))
+    paths = F.flatten(F.transform("bins", lambda b, j: F.transform(b, lambda e: F.struct(moved(j, e["v"]).alias("x"), F.lit(0.0).alias("s"), (F.col("weight") * e["n"]).alias("wn")))))
+    whole = F.array(F.struct(F.col("top").alias("x"), F.col("weight").cast("double").alias("s"), F.lit(0.0).alias("wn")))
+    points = each.select("pat_id", F.explode(F.concat(whole, paths)).alias("p")).select("pat_id", "p.x", "p.s", "p.wn")
+    return points.groupBy("pat_id", "x").agg(F.sum("s").alias("s"), F.sum("wn").alias("wn"))
+
+
+def grid(matches: DataFrame, least: float) -> DataFrame:
+    """pat_id, x, cost: the best of all vectors of thresholds, of equal ones the first; patterns of GRID_ITEMS items at most.
+
+    The points of all matches are summed from above along one axis after another, which leaves at each vector the sums over all
+    points above it.  Costs change only at coordinates that points have, so the grid has those alone, 101 an axis at most,
+    and a coordinate stands for the values down to the one before it.
+    """
+    points = grid_points(matches)
+    longest = matches.agg(F.coalesce(F.max(F.size("counts")), F.lit(0))).first()[0]
+    if longest > GRID_ITEMS:
+        raise ValueError(f"the grid has room for {GRID_ITEMS} items, not {longest}")
+    cells = points
+    for j in range(longest):
+        own = F.get("x", j)
+        axis = points.filter(F.size("x") > j).groupBy("pat_id").agg(F.sort_array(F.collect_set(own), asc=False).alias("axis"))  # 101 at most
+        others = F.transform("x", lambda v, k: F.when(k == j, -1).otherwise(v))
+        lines = cells.filter(F.size("x") > j).groupBy("pat_id", others.alias("x")).agg(F.map_from_entries(F.collect_list(F.struct(own, F.struct("s", "wn")))).alias("at"))  # 101 at most
+        none = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("wn"))
+
+        def summed(axis: Column, at: Column) -> Column:
+            step = lambda done, v: F.concat(done, F.array(F.struct(v.alias("v"), (F.try_element_at(done, F.lit(-1))["s"] + F.coalesce(F.try_element_at(at, v), none)["s"]).alias("s"), (F.try_element_at(done, F.lit(-1))["wn"] + F.coalesce(F.try_element_at(at, v), none)["wn"]).alias("wn"))))
+            start = F.array(F.struct(F.lit(None).cast("int").alias("v"), F.lit(0.0).alias("s"), F.lit(0.0).alias("wn")))
+            return F.slice(F.aggregate(axis, start, step), 2, STEPS + 1)
+
+        filled = lines.join(axis, "pat_id").select("pat_id", "x", F.explode(summed(F.col("axis"), F.col("at"))).alias("e"))
+        filled = filled.select("pat_id", F.transform("x", lambda v, k: F.when(k == j, F.col("e.v")).otherwise(v)).alias("x"), "e.s", "e.wn")
+        cells = filled.unionByName(cells.filter(F.size("x") <= j))
+    axes = points.select("pat_id", F.posexplode("x").alias("k", "v")).groupBy("pat_id", "k").agg(F.sort_array(F.collect_set("v")).alias("axis"))
+    axes = axes.groupBy("pat_id").agg(F.sort_array(F.collect_list(F.struct("k", "axis"))).alias("axes"))  # an entry an item
+    below = lambda axis, v: F.coalesce(F.array_max(F.filter(axis, lambda z: z < v)) + 1, F.lit(0))
+    low = F.zip_with("x", "axes", lambda v, a: below(a["axis"], v))
+    found = _cost(cells, base_values(matches), least, "x").join(axes, "pat_id")
+    best = found.groupBy("pat_id").agg(F.min(F.struct(F.round("cost", 12).alias("cost"), low.alias("x"))).alias("m"))
+    return best.select("pat_id", "m.x", "m.cost")
+
+
 def optimise(matches: DataFrame, least: float, strategy: str | None = "DE", turning: bool = False) -> DataFrame | None:
     if not strategy:
         return None
@@ -213,6 +268,11 @@ def optimise(matches: DataFrame, least: float, strategy: str | None = "DE", turn
         return evolve(matches, least, turning=turning)
     if strategy == "GREEDY":
         return greedy(matches, least, turning)
+    if strategy == "GRID":  # exact; the larger of two ways is no sum, and long patterns have too many vectors
+        short = F.size("counts") <= GRID_ITEMS
+        if turning:
+            return evolve(matches, least, turning=True)
+        return grid(matches.filter(short), least).unionByName(evolve(matches.filter(~short), least))
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

@@ -144,6 +144,12 @@ fixed AS (SELECT b.items, weight, f.slot, CASE f.slot WHEN 0 THEN b2 ELSE b1 END
 two AS (SELECT items, CAST(v AS INTEGER) AS v, {_tried("fixed, range(0, 101) t(v)", "open_bins", "n_fixed", "v")} GROUP BY items, v),
 second AS (SELECT items, v, cost FROM (SELECT items, v, {_COST} AS cost FROM two JOIN plain USING (items)) QUALIFY row_number() OVER (PARTITION BY items ORDER BY cost, v) = 1),
 chosen AS (SELECT f.items, f.slot, f.v AS v1, CASE WHEN s.cost <= f.cost THEN s.v ELSE 0 END AS v2, least(s.cost, f.cost) AS cost FROM first f JOIN second s USING (items))"""
+#: Every pair of thresholds of every frequent pair, from the counts of either item at each of the 101 values.
+_GRID = f"""
+cums AS MATERIALIZED (SELECT items, weight, list_transform(range(0, 101), lambda v: len(list_filter(b1, lambda z: z >= v))) AS c1, list_transform(range(0, 101), lambda v: len(list_filter(b2, lambda z: z >= v))) AS c2 FROM bins),
+tried AS (SELECT items, v1, v2, sum(CASE WHEN c1[v1 + 1] > 0 AND c2[v2 + 1] > 0 THEN weight ELSE 0 END) AS s, sum(CASE WHEN c1[v1 + 1] > 0 AND c2[v2 + 1] > 0 THEN weight * (c1[v1 + 1] + c2[v2 + 1]) ELSE 0 END) AS wn
+  FROM cums, range(0, 101) x(v1), range(0, 101) y(v2) GROUP BY items, v1, v2),
+best_of AS (SELECT items, v1, v2, cost FROM (SELECT items, v1, v2, {_COST} AS cost FROM tried JOIN plain USING (items)) QUALIFY row_number() OVER (PARTITION BY items ORDER BY cost, v1, v2) = 1)"""
 
 #: Steps that the cover's twin goes at most; it ends by itself where no rule gains.
 COVER_STEPS = 40
@@ -275,6 +281,7 @@ SQL: dict[str, str] = {
     "holdout_details": f"""WITH {_NODES}, {_SAMPLES}, {_DATED}, {_recent(5)} SELECT r.a, r.b, x.name AS name_a, y.name AS name_b, s.level, strftime(to_timestamp(r.ts) AT TIME ZONE 'UTC', '%d/%m/%Y') AS date
         FROM recent r JOIN samples s USING (a, b) JOIN nodes x ON x.id = r.a JOIN nodes y ON y.id = r.b""",
     "threshold_greedy": f"WITH {MINED}, {_BINS}, {_GREEDY} SELECT {_text('items')} AS items, CASE slot WHEN 0 THEN v1 || ',' || v2 ELSE v2 || ',' || v1 END AS x, round(cost, 6) AS cost FROM chosen",
+    "threshold_grid": f"WITH {MINED}, {_BINS}, {_GRID} SELECT {_text('items')} AS items, v1 || ',' || v2 AS x, round(cost, 6) AS cost FROM best_of",
     "set_cover_steps": f"WITH {RULED}, {_cover(COVER_STEPS)} SELECT CAST(step AS INTEGER) AS step, rule_id, round(marginal, 6) AS marginal FROM steps",
     "roc_mean_curve": f"""WITH {_SCORED}, {_BY_SCORE}, {_curve("fp / all_n", "tp / all_p", 0)} SELECT round(k / 100.0, 6) AS at, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM grid GROUP BY k""",
     "pr_mean_curve": f"""WITH {_SCORED}, {_BY_SCORE}, {_curve("tp / all_p", "tp / (tp + fp)", 1)} SELECT round(k / 100.0, 6) AS at, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM grid GROUP BY k""",

@@ -443,6 +443,13 @@ def threshold_evolution(spark, d):
     return named(found, spark, d).select(text("items"), text("x"), r6("cost"))
 
 
+@query
+def threshold_grid(spark, d):
+    """The best of all 10,201 vectors of each frequent pair."""
+    found = thresholds.grid(pair_counts(spark, d), mining.least_support(positives(spark, d), RATIO))
+    return named(found, spark, d).select(text("items"), text("x"), r6("cost"))
+
+
 @query
 def threshold_matches(spark, d):
     chosen = rules(spark, d).select(F.col("rule_id").alias("pat_id"), F.array(F.lit(30), F.lit(30)).alias("x"))
