@@ -5,10 +5,14 @@ coverage: rule_id, a, b, label, weight, a row per rule and training pair that it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pathloom.functions.expressions import ratio
+from pathloom.operators import bitmaps
+from pathloom.sources.store import StageStore
 
 
 def totals(samples: DataFrame) -> dict:
@@ -37,27 +41,77 @@ def set_weight(coverage: DataFrame, t: dict, alpha: float = 0.5) -> float:
     return alpha * (1 - rows["tp"] / t["wp"] if t["wp"] else 1.0) + (1 - alpha) * (rows["fp"] / t["wn"] if t["wn"] else 0.0)
 
 
-def set_cover(coverage: DataFrame, t: dict, alpha: float = 0.5, most: int | None = None) -> list[tuple[int, float]]:
-    """Rules in the order of choice, with the marginal weight of each: the smallest goes in, while it is below zero.
+class Coverage:
+    """Coverage as bitmaps of pairs, and the weight that each rule would still add to a set.
 
-    Ties go to the higher confidence, then to the higher id.  Each step is one aggregation over what is not yet covered;
-    one row comes to the driver.
+    gains: rule_id, tp, fp (weights of what the rule matches and no chosen rule does) and confidence; a row a rule.  bits:
+    rule_id, word, part, bits, in folders by part of the words, so that a step reads those of the words it changes; by_rule: the
+    same in the order of the rules, so that a chosen rule's words are found by their files' statistics.
     """
-    quality = confidences(coverage).select("rule_id", "confidence").persist()  # small: a row a rule, read in every step
-    left, chosen, weight = coverage, [], 1.0
-    while most is None or len(chosen) < most:
-        gains = rule_totals(left).join(quality, "rule_id")
+
+    PARTS = 32
+
+    def __init__(self, coverage: DataFrame, store: StageStore):
+        self.store, self.key, self.step = store, uuid.uuid4().hex, 0
+        ends = coverage.groupBy("a", "b", "label").agg(F.max("weight").alias("weight"))
+        pairs = self._kept("cover-pairs", bitmaps.numbered(ends, ["a", "b", "label"]))
+        part = F.pmod(F.xxhash64("word"), F.lit(self.PARTS)).cast("int").alias("part")
+        of = lambda label: F.when(F.col("label") == label, F.col("weight"))
+        self.weights = self._kept("cover-weights", bitmaps.weight_tables(pairs, tp=of(1), fp=of(0)))
+        held = coverage.select("rule_id", "a", "b", "label").join(pairs.select("a", "b", "label", "word", "bit"), ["a", "b", "label"]).groupBy("rule_id", "word").agg(bitmaps.set_of().alias("bits"))
+        self.by_rule = self._kept("cover-rules", held.repartitionByRange("rule_id").sortWithinPartitions("rule_id"))
+        self.bits = self._kept("cover-words", self.by_rule.select("rule_id", "word", "bits", part).repartition("part"), "part")
+        self.gains = self._kept("cover-gains", self._weighed(self.by_rule).withColumn("confidence", ratio(F.col("tp"), F.col("tp") + F.col("fp"))))
+        self.covered: DataFrame | None = None
+
+    def _kept(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        self.step += 1
+        return self.store.get_or_make(name, lambda: df, partition_by=by, run=self.key, step=self.step)
+
+    def _weighed(self, sets: DataFrame) -> DataFrame:
+        """rule_id, tp, fp of sets (rule_id, word, bits)."""
+        total = lambda name: F.sum(bitmaps.weight_of(F.col("bits"), name)).alias(name)
+        return sets.join(self.weights, "word").groupBy("rule_id").agg(total("tp"), total("fp"))
+
+    def best(self, t: dict, alpha: float, base: float) -> Row | None:
+        """The rule of least marginal weight, ties to the higher confidence, then to the higher id."""
         tp, fp = (F.col("tp") / t["wp"] if t["wp"] else F.lit(0.0)), (F.col("fp") / t["wn"] if t["wn"] else F.lit(0.0))
-        change = (1 - alpha) * fp - alpha * tp
-        if not chosen:
-            change = change + alpha - 1.0  # the empty set weighs 1, not alpha
-        best = gains.withColumn("marginal", F.round(change, 12)).orderBy("marginal", F.desc("confidence"), F.desc("rule_id")).first()
-        if best is None or best["marginal"] >= 0:
-            break
-        chosen.append((best["rule_id"], best["marginal"]))
-        covered = coverage.filter(F.col("rule_id").isin([r for r, _ in chosen])).select("a", "b").distinct()
-        left = coverage.filter(~F.col("rule_id").isin([r for r, _ in chosen])).join(covered, ["a", "b"], "left_anti")
-    quality.unpersist()
+        return self.gains.withColumn("marginal", F.round((1 - alpha) * fp - alpha * tp + base, 12)).orderBy("marginal", F.desc("confidence"), F.desc("rule_id")).first()
+
+    def choose(self, rule: int) -> None:
+        """What the rule adds is taken off the other rules' gains: only the words that it changes are read."""
+        mine = self.by_rule.filter(F.col("rule_id") == rule).select("word", "bits")
+        if self.covered is not None:
+            before = self.covered.join(mine.select("word"), "word", "left_semi").groupBy("word").agg(F.bit_or("bits").alias("before"))
+            mine = mine.join(before, "word", "left").select("word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("long")))).alias("bits"))
+        new = self._kept("cover-new", mine.filter("bits <> 0").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(self.PARTS)).cast("int")))
+        self.covered = new.select("word", "bits") if self.covered is None else self.covered.unionByName(new.select("word", "bits"))
+        hit = self.bits.join(new.select("part", "word", F.col("bits").alias("new")), ["part", "word"]).select("rule_id", "word", F.col("bits").bitwiseAND(F.col("new")).alias("bits")).filter("bits <> 0")
+        less = self._weighed(hit).select("rule_id", F.col("tp").alias("_tp"), F.col("fp").alias("_fp"))
+        left = lambda name: (F.col(name) - F.coalesce(F.col(f"_{name}"), F.lit(0.0))).alias(name)
+        rest = self.gains.filter(F.col("rule_id") != rule).join(less, "rule_id", "left")
+        self.gains = self._kept("cover-gains", rest.select("rule_id", left("tp"), left("fp"), "confidence"))
+
+
+def set_cover(coverage: DataFrame, t: dict, alpha: float = 0.5, most: int | None = None, store: StageStore | None = None) -> list[tuple[int, float]]:
+    """Rules in the order of choice, with the marginal weight of each: the smallest goes in, while it is below zero.
+
+    Each step starts from the written gains of the one before and reads the words of pairs that the last rule covered; one row
+    comes to the driver.  The tables of the search are deleted when it ends.
+    """
+    store = store or StageStore(coverage.sparkSession)
+    mark, chosen = len(store.made), []
+    try:
+        state = Coverage(coverage, store)
+        while most is None or len(chosen) < most:
+            best = state.best(t, alpha, 0.0 if chosen else alpha - 1.0)  # the empty set weighs 1, not alpha
+            if best is None or best["marginal"] >= 0:
+                break
+            chosen.append((best["rule_id"], best["marginal"]))
+            if most is None or len(chosen) < most:
+                state.choose(best["rule_id"])
+    finally:
+        store.drop_since(mark)
     return chosen
 
 

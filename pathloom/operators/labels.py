@@ -9,6 +9,9 @@ from pathloom.functions.expressions import evidence_level, first_of_pair
 from pathloom.operators.graph import adjacency
 from pathloom.sources.tables import Graph
 
+#: The types of nodes that say which pairs are positive.  A path through them would be the label itself.
+EVIDENCE_TYPES = ("OligogenicCombination", "Disease")
+
 
 def with_level(evidence: DataFrame) -> DataFrame:
     """Evidence rows (fam, smeta, smanual, ...) with their confidence level."""
@@ -21,7 +24,7 @@ def positive_pairs(evidence: DataFrame, least: int = 1, top: float = 3.0) -> Dat
     return best.filter(F.col("level") >= least).withColumn("weight", F.col("level") / F.lit(top))
 
 
-def evidence_index(graph: Graph, evidence_type: str = "OligogenicCombination", entity_type: str = "Gene", context_type: str = "Disease") -> DataFrame:
+def evidence_index(graph: Graph, evidence_type: str = EVIDENCE_TYPES[0], entity_type: str = "Gene", context_type: str = EVIDENCE_TYPES[1]) -> DataFrame:
     """evidence_id, a, b, fam, smeta, smanual, ts, contexts: evidence nodes with exactly two entity neighbours, oriented.
 
     contexts: ids of the neighbours of context_type.  Numbers come from the nodes' props; one that is missing counts as 0.

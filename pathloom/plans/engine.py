@@ -29,6 +29,7 @@ class Parameters:
     max_rule_length: int = 3
     alpha: float = 0.5
     excluded_types: tuple[str, ...] = ()
+    evidence_types: tuple[str, ...] = labels.EVIDENCE_TYPES  # excluded beside those: paths through them are the labels themselves
     compute_unifications: bool = True
     optimise_thresholds: str | None = "DE"
     max_fpr: float = 1.0
@@ -37,6 +38,11 @@ class Parameters:
     orient_pairs: bool = True  # False: a pattern may hold a pair as walked from either end
     reversal: str = "strict"  # how metapaths are reversed: strict or compat
 
+    @property
+    def blocked_types(self) -> tuple[str, ...]:
+        """Types of nodes that no path passes."""
+        return tuple(dict.fromkeys([*self.excluded_types, *self.evidence_types]))
+
     @classmethod
     def from_json(cls, text: str) -> Parameters:
         """Defaults with the given ones over them."""
@@ -87,7 +93,7 @@ class Engine:
     def paths(self, pairs: DataFrame) -> DataFrame:
         """a, b, mp, mids, score; without orientation, each path also as walked from its end, with a and b in turn."""
         p = self.parameters
-        found = self._kept("paths", paths.enumerate_paths(self.graph, pairs, p.path_cutoff, p.excluded_types, p.use_context, self.adjacency()))
+        found = self._kept("paths", paths.enumerate_paths(self.graph, pairs, p.path_cutoff, p.blocked_types, p.use_context, self.adjacency()))
         return found if p.orient_pairs else mining.both_ways(found, p.reversal == "compat")
 
     def _both(self, pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +39,11 @@ class StageStore:
         key = hashlib.sha256(json.dumps(made_from, sort_keys=True, default=str).encode()).hexdigest()[:24]
         return f"{self.root}/{stage}-{key}"
 
-    def get_or_make(self, stage: str, make: Callable[[], DataFrame], refresh: bool = False, **made_from: object) -> DataFrame:
+    def get_or_make(self, stage: str, make: Callable[[], DataFrame], refresh: bool = False, partition_by: Sequence[str] = (), **made_from: object) -> DataFrame:
         path = self.path(stage, **made_from)
         files, done = self._files(f"{path}/_SUCCESS")
         if refresh or not files.exists(done):
-            make().write.mode("overwrite").parquet(path)
+            make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
             self.made.append(path)
         return self.spark.read.parquet(path)
 
