@@ -43,8 +43,10 @@ class StageStore:
         path = self.path(stage, **made_from)
         files, done = self._files(f"{path}/_SUCCESS")
         if refresh or not files.exists(done):
-            make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            df = make()
+            df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
             self.made.append(path)
+            return self.spark.read.schema(df.schema).parquet(path)  # an empty table has no file to learn it from
         return self.spark.read.parquet(path)
 
     def drop_since(self, mark: int) -> None:

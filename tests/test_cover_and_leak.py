@@ -34,6 +34,7 @@ def test_cover_against_plain(spark, alpha, most):
     got = cover.set_cover(c, t, alpha, most, store)
     assert [r for r, _ in got] == [r for r, _ in want] and len(want) >= 4
     assert [m for _, m in got] == pytest.approx([m for _, m in want], abs=1e-11)
+    assert cover.set_cover(c.limit(0), t, alpha, most, store) == []
     assert not store.made  # the search leaves no tables
 
 
@@ -45,7 +46,7 @@ def evidence_graph(spark):
     for k in range(6):
         a, b, o = f"g{2 * k}", f"g{2 * k + 1}", f"o{k}"
         nodes.append((o, "OligogenicCombination", o, "O", 0.0, {"FAMmanual": "3", "timestamp": str(k)}))
-        edges += [(f"{o}a", o, a, "involves", 1.0, None, None), (f"{o}b", o, b, "involves", 1.0, None, None), (f"{o}d", o, "d1", "causes", 1.0, None, None), (f"da{k}", "d1", a, "links", 1.0, None, None)]
+        edges += [(f"b{k}", a, b, "binds", 0.5, None, None), (f"{o}a", o, a, "involves", 1.0, None, None), (f"{o}b", o, b, "involves", 1.0, None, None), (f"{o}d", o, "d1", "causes", 1.0, None, None), (f"da{k}", "d1", a, "links", 1.0, None, None)]
     schema = "id string, type string, name string, abbrev string, orient_val double, props map<string,string>"
     return Graph(spark.createDataFrame(nodes, schema), spark.createDataFrame(edges, "eid string, src string, dst string, label string, score double, target_id string, ctx array<string>"))
 
@@ -82,4 +83,4 @@ def test_command_line_excludes_evidence(spark, evidence_graph, tmp_path):
     train = spark.createDataFrame(train.collect(), train.schema)
     Engine(graph, cli.parameters(args)).train(train).save(str(tmp_path / "model"))
     rules = Model.load(spark, str(tmp_path / "model")).rules.collect()
-    assert not {n for r in rules for mp in r["mps"] for n in mp["nodes"]} & set(labels.EVIDENCE_TYPES)
+    assert rules and not {n for r in rules for mp in r["mps"] for n in mp["nodes"]} & set(labels.EVIDENCE_TYPES)
