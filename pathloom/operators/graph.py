@@ -144,7 +144,7 @@ def classify_networks(steps: DataFrame, networks: Sequence[tuple[str, str, Seque
     A keep network holds all types; a drop network has none of them.
     """
     def inside(mode: str, kinds: Sequence[str]) -> Column:
-        listed = F.array(*(F.lit(k) for k in kinds))
+        listed = F.array(*(F.lit(k) for k in kinds)).cast("array<string>")
         return F.size(F.array_except("types", listed)) == 0 if mode == "keep" else ~F.arrays_overlap("types", listed)
 
     names = F.array(*(F.when(inside(mode, kinds), F.lit(name)) for name, mode, kinds in networks))

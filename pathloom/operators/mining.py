@@ -6,7 +6,6 @@ pair; patterns (items, clause), where a clause lists (mp, pos): the same node st
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.expressions import reversed_metapath
 from pathloom.operators import bitmaps
-from pathloom.sources.store import StageStore
+from pathloom.sources.store import written_once
 
 CLAUSE = "array<struct<mp:int,pos:int>>"
 
@@ -86,10 +85,6 @@ def all_subsets_frequent(sets: DataFrame, known: DataFrame) -> DataFrame:
     return hit.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") == n).select("items")
 
 
-def written_once(df: DataFrame) -> DataFrame:
-    return StageStore(df.sparkSession).get_or_make("mining", lambda: df, run=uuid.uuid4().hex)
-
-
 class Transactions:
     """The pairs (a, b, weight) of items as bitmaps: items and sets of items are words of pairs that hold them.
 

@@ -1,20 +1,26 @@
-"""All simple paths of bounded length between the two nodes of each pair.
+"""All simple paths of bounded length between the two nodes of each pair, and their distances.
 
 One plan per length.  Three hops are walked from both ends: for each first node x and each type of second node, either
 the few neighbours of x or the few neighbours of the far end are taken, whichever are fewer, and one join on both keys
 closes the path.  So no path ever fans out through a hub.
+
+Four hops and more close with a wedge x - y - z between a walk from one end and the last node before the other: each pair
+(x, z) is looked at once, however many walks end in it, from the side with fewer neighbours of the type of y.  Where both sides
+are hubs, their lists are dealt out in pieces of HEAVY (a salt by the neighbour's hash), so no task holds a whole one.
+Distances up to four hops ask the same wedges whether they exist.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.expressions import consistent, log_score, metapath_key, shared_context
-from pathloom.operators.graph import adjacency
+from pathloom.operators.graph import adjacency, classify_networks
+from pathloom.sources.store import written_once
 from pathloom.sources.tables import Graph
 
 
@@ -72,6 +78,52 @@ def _three(prefix: DataFrame, adj: DataFrame, far: DataFrame, done: list[str], m
     return _finished(out, hops, [*mids, "y"])
 
 
+#: Neighbours of one node and type that go to one task; longer lists are dealt out.
+HEAVY = 20_000
+
+
+def _dealt(asked: DataFrame, lists: DataFrame, keys: Sequence[str], width: str) -> DataFrame:
+    """asked (keys, width) joined with lists (keys, y, ...): the neighbours y of each; long lists in pieces of about HEAVY."""
+    pieces = F.ceil(F.col(width) / HEAVY).cast("int")
+    sizes = asked.filter(F.col(width) > HEAVY).groupBy(*keys).agg(F.max(pieces).alias("_pieces"))
+    salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
+    placed = lists.join(sizes, list(keys), "left").withColumn("_salt", F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("y"), F.col("_pieces")).cast("int"))).drop("_pieces")
+    return salted.join(placed, [*keys, "_salt"]).drop("_salt")
+
+
+def wedges(ends: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, x, z, y and both steps (x1..., with the columns of edges beside u, v and their types; z1...) of every wedge x - y - z.
+
+    ends: keys, x, z, a row a pair.  edges: keys, u, u_type, v, v_type and more.  The side with fewer neighbours of a type is
+    walked, and its edges meet the other side's on both of their nodes.
+    """
+    more = [c for c in edges.columns if c not in (*keys, "u", "v", "u_type", "v_type")]
+    here = edges.select(*keys, F.col("u").alias("x"), F.col("v").alias("y"), F.col("v_type").alias("t"), *(F.col(c).alias(f"x_{c}") for c in more))
+    there = edges.select(*keys, F.col("v").alias("z"), F.col("u").alias("y"), F.col("u_type").alias("t"), *(F.col(c).alias(f"z_{c}") for c in more))
+    n, m = here.groupBy(*keys, "x", "t").agg(F.count("*").alias("n")), there.groupBy(*keys, "z", "t").agg(F.count("*").alias("m"))
+    asked = ends.join(n, [*keys, "x"]).join(m, [*keys, "z", "t"])
+    by_x = _dealt(asked.filter("n <= m").drop("m"), here, [*keys, "x", "t"], "n").drop("n").join(there, [*keys, "y", "z", "t"])
+    by_z = _dealt(asked.filter("n > m").drop("n"), there, [*keys, "z", "t"], "m").drop("m").join(here, [*keys, "x", "y", "t"])
+    return by_x.unionByName(by_z)
+
+
+def _wedged(prefix: DataFrame, adj: DataFrame, last: DataFrame, done: list[str], mids: list[str], use_context: bool) -> DataFrame:
+    """Closes paths whose last node so far is column x over y and z to b.  last: the last hops (b, z, hop columns z)."""
+    ends = prefix.join(last, "b").filter((F.col("z") != F.col("a")) & (F.col("z") != F.col("b")) & ~F.col("z").isin(*(F.col(m) for m in mids)))
+    if use_context:
+        ends = ends.filter(consistent(_joined_ctx([*done, "z"])))
+    found = wedges(ends.select("x", "z").distinct(), adj.select("u", "v", "u_type", "v_type", "step", "s", "ctx"))
+    hops = {"x_step": "ey", "x_s": "sy", "x_ctx": "cy", "z_step": "ew", "z_s": "sw", "z_ctx": "cw"}
+    middle = found.select("x", "z", "y", *(F.col(c).alias(name) for c, name in hops.items()))
+    if use_context:
+        middle = middle.filter(consistent(shared_context(F.col("cy"), F.col("cw"))))
+    out = ends.join(middle, ["x", "z"]).filter((F.col("y") != F.col("a")) & (F.col("y") != F.col("b")) & (F.col("y") != F.col("z")) & ~F.col("y").isin(*(F.col(m) for m in mids)))
+    order = [*done, "y", "w", "z"]
+    if use_context:
+        out = out.filter(consistent(_joined_ctx(order)))
+    return _finished(out, order, [*mids, "y", "z"])
+
+
 def enumerate_paths(graph: Graph, pairs: DataFrame, cutoff: int = 3, excluded: Sequence[str] = (), use_context: bool = True, adj: DataFrame | None = None) -> DataFrame:
     """a, b, mp (edges, nodes, dirs), mids, score: all simple paths of at most cutoff edges; of equal paths the best score.
 
@@ -102,15 +154,17 @@ def enumerate_paths(graph: Graph, pairs: DataFrame, cutoff: int = 3, excluded: S
         prefix, done, mids = one, ["1"], ["x1"]
         prefix = prefix.withColumn("x1", F.col("x"))
         found.append(_three(prefix, adj, far, done, mids, use_context))
+        last = far.select("b", F.col("y").alias("z"), "ez", "sz", "cz")
         for length in range(4, cutoff + 1):
-            k = str(length - 2)
-            step = _hop(adj, k, "x", "next")
-            prefix = prefix.join(step, "x").filter((F.col("next") != F.col("a")) & (F.col("next") != F.col("b")) & ~F.col("next").isin(*(F.col(m) for m in mids)))
-            prefix = prefix.withColumn("x", F.col("next")).withColumnRenamed("next", f"x{k}")
-            done, mids = [*done, k], [*mids, f"x{k}"]
-            if use_context:
-                prefix = prefix.filter(consistent(_joined_ctx(done)))
-            found.append(_three(prefix, adj, far, done, mids, use_context))
+            if length > 4:
+                k = str(length - 3)
+                step = _hop(adj, k, "x", "next")
+                prefix = prefix.join(step, "x").filter((F.col("next") != F.col("a")) & (F.col("next") != F.col("b")) & ~F.col("next").isin(*(F.col(m) for m in mids)))
+                prefix = prefix.withColumn("x", F.col("next")).withColumnRenamed("next", f"x{k}")
+                done, mids = [*done, k], [*mids, f"x{k}"]
+                if use_context:
+                    prefix = prefix.filter(consistent(_joined_ctx(done)))
+            found.append(_wedged(prefix, adj, last, done, mids, use_context))
     both = reduce(DataFrame.unionByName, found)
     if parallel:
         both = both.groupBy("a", "b", "steps", "mids").agg(F.max("score").alias("score"))
@@ -139,36 +193,64 @@ def pairs_without_path(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(paths.select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
-def distances(graph: Graph, pairs: DataFrame, most: int = 4, excluded: Sequence[str] = ()) -> DataFrame:
-    """a, b, distance (null if beyond most hops): breadth first from both ends, so that no frontier goes beyond half way."""
-    adj = adjacency(graph, excluded).select("u", "v").distinct()
-    ends = pairs.select("a", "b").distinct()
+Network = tuple[str, str, Sequence[str]]
+
 
-    def ball(starts: DataFrame, hops: int) -> DataFrame:
-        out = starts.select(F.col("n").alias("start"), F.col("n").alias("at"), F.lit(0).alias("d"))
-        edge = out
-        for d in range(1, hops + 1):
-            edge = edge.join(adj, F.col("at") == F.col("u")).select("start", F.col("v").alias("at"), F.lit(d).alias("d")).distinct()
-            edge = edge.join(out, ["start", "at"], "left_anti")
-            out = out.unionByName(edge)
-        return out
-
-    # Walks in reverse need the reached end checked, not the start; types are symmetric but for the two ends.
-    left = ball(ends.select(F.col("a").alias("n")).distinct(), most - most // 2)
-    right = ball(ends.select(F.col("b").alias("n")).distinct(), most // 2)
-    if excluded:
-        ok = graph.nodes.filter(~F.col("type").isin(*excluded)).select(F.col("id").alias("start"))
-        right = right.join(ok, "start", "left_semi")
-    met = ends.join(left.select(F.col("start").alias("a"), "at", F.col("d").alias("dl")), "a").join(right.select(F.col("start").alias("b"), "at", F.col("d").alias("dr")), ["b", "at"])
-    best = met.groupBy("a", "b").agg(F.min(F.col("dl") + F.col("dr")).alias("distance"))
-    return ends.join(best, ["a", "b"], "left")
+def network_distances(graph: Graph, pairs: DataFrame, networks: Sequence[Network], most: int = 4, kept: Callable[[DataFrame], DataFrame] = written_once) -> DataFrame:
+    """network, a, b, distance (null if beyond most hops, four at the largest): hops between the ends inside each named network.
+
+    A network (name, 'keep' or 'drop', types) has the edges whose label and node types are all, or none, of some types.  All
+    networks go through a step together.  Only pairs that shorter walks leave open go on: to common neighbours (two hops), to
+    wedges between a neighbour of the narrower end and the other end (three), and between neighbours of both (four).  Each
+    question is asked once, whatever number of pairs it stands for, and from its narrower side, so hubs never fan out.
+    """
+    if not 1 <= most <= 4:
+        raise ValueError("distances go up to four hops")
+    typed = adjacency(graph).select("u", "u_type", "v", "v_type", F.array("u_type", "label", "v_type").alias("types"))
+    edges = kept(classify_networks(typed, networks).select("network", "u", "u_type", "v", "v_type").distinct())
+    names = F.array(*(F.lit(n) for n, _, _ in networks))
+    left = kept(pairs.select("a", "b").distinct().select(F.explode(names).alias("network"), "a", "b"))
+    width = kept(edges.groupBy("network", F.col("u").alias("x")).agg(F.count("*").alias("w")))
+    near = edges.select("network", F.col("u").alias("n"), F.col("v").alias("m"))
+    key, found = ["network", "a", "b"], []
+
+    def joined(asked: DataFrame) -> DataFrame:
+        """network, a, b of those of asked (network, a, b, x, z) with a wedge between x and z."""
+        exist = kept(wedges(asked.select("network", "x", "z").distinct(), edges, ["network"]).select("network", "x", "z").distinct())
+        return asked.join(exist, ["network", "x", "z"], "left_semi").select(*key).distinct()
+
+    def beside(rows: DataFrame, end: str, name: str) -> DataFrame:
+        return rows.join(near.select("network", F.col("n").alias(end), F.col("m").alias(name)), ["network", end])
+
+    for hops in range(most + 1):
+        if hops == 0:
+            hit = left.filter("a = b")
+        elif hops == 1:
+            hit = left.join(near.select("network", F.col("n").alias("a"), F.col("m").alias("b")), key, "left_semi")
+        elif hops == 2:
+            hit = joined(left.select(*key, F.col("a").alias("x"), F.col("b").alias("z")))
+        elif hops == 3:
+            sides = left.join(width.select("network", F.col("x").alias("a"), F.col("w").alias("wa")), ["network", "a"]).join(width.select("network", F.col("x").alias("b"), F.col("w").alias("wb")), ["network", "b"])
+            from_a = beside(sides.filter("wa <= wb"), "a", "x").select(*key, "x", F.col("b").alias("z"))
+            from_b = beside(sides.filter("wa > wb"), "b", "z").select(*key, F.col("a").alias("x"), "z")
+            hit = joined(from_a.unionByName(from_b))
+        else:
+            hit = joined(beside(beside(left, "a", "x"), "b", "z"))
+        hit = kept(hit)
+        found.append(hit.withColumn("distance", F.lit(hops)))
+        left = kept(left.join(hit, key, "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).unionByName(left.withColumn("distance", F.lit(None).cast("int")))
+
+
+def distances(graph: Graph, pairs: DataFrame, most: int = 4, excluded: Sequence[str] = ()) -> DataFrame:
+    """a, b, distance (null if beyond most hops) without nodes of some types."""
+    return network_distances(graph, pairs, [("all", "drop", tuple(excluded))], most).drop("network")
 
 
 def reachability(found: DataFrame, most: int = 4) -> DataFrame:
-    """hops, n_pairs, cumulative: how many pairs are joined within so many hops."""
-    steps = found.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("hops"))
-    by = found.filter("distance is not null and distance > 0").groupBy("distance").agg(F.count("*").alias("n"))
-    return (
-        steps.join(F.broadcast(by), F.col("distance") <= F.col("hops"), "left")  # a row per distance
-        .groupBy("hops").agg(F.coalesce(F.sum(F.when(F.col("distance") == F.col("hops"), F.col("n"))), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("cumulative"))
-    )
+    """network, hops, n_pairs, cumulative: how many pairs are joined within so many hops, for each network that was asked."""
+    by = found.groupBy("network").agg(*(F.count_if(F.col("distance") == h).alias(f"h{h}") for h in range(1, most + 1)))
+    rows = F.array(*(F.struct(F.lit(h).alias("hops"), F.col(f"h{h}").alias("n_pairs"), sum((F.col(f"h{k}") for k in range(2, h + 1)), F.col("h1")).alias("cumulative")) for h in range(1, most + 1)))
+    return by.select("network", F.explode(rows).alias("r")).select("network", "r.hops", "r.n_pairs", "r.cumulative")

@@ -48,10 +48,13 @@ _ANY = "['A', 'N', 'R']"
 
 def _paths(excluded: str = "", context: bool = True, lengths: tuple[int, ...] = (1, 2, 3)) -> str:
     adj = f"(SELECT * FROM adj WHERE v_type NOT IN ({excluded}))" if excluded else "adj"
-    s1, s2, s3 = (_STEP.format(k=k) for k in ("h1", "h2", "h3"))
+    s1, s2, s3, s4 = (_STEP.format(k=k) for k in ("h1", "h2", "h3", "h4"))
     c2 = f"AND len(list_intersect(coalesce(h1.ctx, {_ANY}), coalesce(h2.ctx, {_ANY}))) > 0" if context else ""
     c3 = f"AND len(list_intersect(list_intersect(coalesce(h1.ctx, {_ANY}), coalesce(h2.ctx, {_ANY})), coalesce(h3.ctx, {_ANY}))) > 0" if context else ""
+    any_ = lambda k: f"coalesce(h{k}.ctx, {_ANY})"
+    c4 = f"AND len(list_intersect(list_intersect({any_(1)}, {any_(2)}), list_intersect({any_(3)}, {any_(4)}))) > 0" if context else ""
     parts = {
+        4: f"SELECT p.a, p.b, [h1.label, h2.label, h3.label, h4.label], [h1.u_type, h1.v_type, h2.v_type, h3.v_type, h4.v_type], [h1.dir, h2.dir, h3.dir, h4.dir], h1.u_type || {s1} || {s2} || {s3} || {s4}, [h1.v, h2.v, h3.v], exp((ln(h1.score + 1e-7) + ln(h2.score + 1e-7) + ln(h3.score + 1e-7) + ln(h4.score + 1e-7)) / 4) FROM samples p JOIN {adj} h1 ON h1.u = p.a JOIN {adj} h2 ON h2.u = h1.v JOIN {adj} h4 ON h4.v = p.b JOIN {adj} h3 ON h3.u = h2.v AND h3.v = h4.u WHERE h1.v <> p.a AND h1.v <> p.b AND h2.v <> p.a AND h2.v <> p.b AND h3.v <> p.a AND h3.v <> p.b AND h1.v <> h2.v AND h1.v <> h3.v AND h2.v <> h3.v {c4}",
         1: f"SELECT p.a, p.b, [h1.label] AS edges, [h1.u_type, h1.v_type] AS nodes, [h1.dir] AS dirs, h1.u_type || {s1} AS metapath, CAST([] AS VARCHAR[]) AS mids, exp(ln(h1.score + 1e-7)) AS score FROM samples p JOIN {adj} h1 ON h1.u = p.a AND h1.v = p.b",
         2: f"SELECT p.a, p.b, [h1.label, h2.label], [h1.u_type, h1.v_type, h2.v_type], [h1.dir, h2.dir], h1.u_type || {s1} || {s2}, [h1.v], exp((ln(h1.score + 1e-7) + ln(h2.score + 1e-7)) / 2) FROM samples p JOIN {adj} h1 ON h1.u = p.a JOIN {adj} h2 ON h2.u = h1.v AND h2.v = p.b WHERE h1.v <> p.a AND h1.v <> p.b {c2}",
         3: f"SELECT p.a, p.b, [h1.label, h2.label, h3.label], [h1.u_type, h1.v_type, h2.v_type, h3.v_type], [h1.dir, h2.dir, h3.dir], h1.u_type || {s1} || {s2} || {s3}, [h1.v, h2.v], exp((ln(h1.score + 1e-7) + ln(h2.score + 1e-7) + ln(h3.score + 1e-7)) / 3) FROM samples p JOIN {adj} h1 ON h1.u = p.a JOIN {adj} h3 ON h3.v = p.b JOIN {adj} h2 ON h2.u = h1.v AND h2.v = h3.u WHERE h1.v <> p.a AND h1.v <> p.b AND h2.v <> p.a AND h2.v <> p.b AND h1.v <> h2.v {c3}",
@@ -67,6 +70,17 @@ _IDS = """
 kinds AS (SELECT DISTINCT edges, nodes, dirs, metapath FROM paths),
 dictionary AS (SELECT *, CAST(row_number() OVER (ORDER BY edges, nodes, dirs) AS INTEGER) AS mp_id FROM kinds),
 ipaths AS MATERIALIZED (SELECT a, b, mp_id, mids, score FROM paths JOIN dictionary USING (edges, nodes, dirs, metapath))"""
+#: Edges of the named networks, the pairs asked in each, and what lies within one and two hops of their ends.
+_NETWORKS = """
+typed_adj AS (SELECT DISTINCT u, v, [u_type, label, v_type] AS types FROM adj),
+net AS MATERIALIZED (SELECT DISTINCT network, u, v FROM typed_adj, (VALUES ('all', false, CAST([] AS VARCHAR[])), ('no-places', false, ['Nation', 'Region', 'Segment']), ('trade', true, ['Customer', 'Part', 'Supplier', 'purchases', 'supplies']),
+    ('likeness', true, ['Customer', 'Part', 'Brand', 'purchases', 'resembles', 'hasBrand']), ('places', true, ['Customer', 'Nation', 'Region', 'locatedIn', 'sameRegion', 'inRegion']),
+    ('people', true, ['Customer', 'refers']), ('segments', true, ['Customer', 'Segment', 'inSegment', 'refers'])) w(network, keep, listed)
+  WHERE CASE WHEN keep THEN list_has_all(listed, types) ELSE NOT list_has_any(types, listed) END),
+asked AS (SELECT network, a, b FROM samples, (VALUES ('all'), ('no-places'), ('trade'), ('likeness'), ('places'), ('people'), ('segments')) w(network)),
+starts AS (SELECT DISTINCT network, unnest([a, b]) AS a FROM asked),
+r1 AS MATERIALIZED (SELECT network, a, v FROM starts JOIN net USING (network) WHERE u = a),
+r2 AS MATERIALIZED (SELECT DISTINCT r.network, a, n.v FROM r1 r JOIN net n ON n.network = r.network AND n.u = r.v)"""
 #: Positives, the items of each, and the frequent sets of one, two and three metapaths at 2 % of the weight.
 _MINED = """
 pos AS (SELECT * FROM samples WHERE label = 1),
@@ -203,6 +217,7 @@ SQL: dict[str, str] = {
     "paths_len1": f"WITH {PAIRED}, {_paths(lengths=(1,))} SELECT a, b, metapath, {_text('mids')} AS mids, round(score, 6) AS score FROM paths",
     "paths_len2": f"WITH {PAIRED}, {_paths(lengths=(1, 2))} SELECT a, b, metapath, {_text('mids')} AS mids, round(score, 6) AS score FROM paths",
     "paths_len3": f"WITH {PATHS} SELECT a, b, metapath, {_text('mids')} AS mids, round(score, 6) AS score FROM paths",
+    "paths_len4": f"WITH {PAIRED}, {_paths(lengths=(1, 2, 3, 4)).split(',' + chr(10) + 'paths AS')[0]} SELECT metapath, count(*) AS n_paths, round(max(score), 6) AS best, round(min(score), 6) AS worst, round(avg(score), 6) AS mean FROM allpaths GROUP BY metapath",
     "paths_excluded_types": f"WITH {PAIRED}, {_paths(excluded="'Nation', 'Segment'")} SELECT a, b, metapath, {_text('mids')} AS mids FROM paths",
     "paths_any_context": f"WITH {PAIRED}, {_paths(context=False)} SELECT metapath, count(*) AS n_paths FROM paths GROUP BY metapath",
     "path_scores": f"WITH {PATHS} SELECT metapath, count(*) AS n_paths, round(max(score), 6) AS best, round(min(score), 6) AS worst, round(avg(score), 6) AS mean FROM paths GROUP BY metapath",
@@ -211,10 +226,12 @@ SQL: dict[str, str] = {
     "metapath_dictionary": f"WITH {INTERNED} SELECT mp_id, metapath FROM dictionary",
     "reversed_metapaths": f"WITH {INTERNED} SELECT mp_id, {_text('list_reverse(edges)')} AS edges, {_text('list_reverse(nodes)')} AS nodes, {_text('list_transform(list_reverse(dirs), lambda d: -d)')} AS dirs FROM dictionary",
     "reversed_metapaths_compat": f"WITH {INTERNED} SELECT mp_id, {_text('list_reverse(edges)')} AS edges, {_text('list_reverse(nodes)')} AS nodes, {_text('list_transform(dirs, lambda d: -d)')} AS dirs FROM dictionary",
-    "reachability_by_network": f"""WITH RECURSIVE {PAIRED}, net AS (SELECT DISTINCT u, v FROM adj WHERE v_type NOT IN ('Segment', 'Nation', 'Region', 'Brand')),
-        r1 AS (SELECT DISTINCT a, v FROM (SELECT DISTINCT a FROM samples) JOIN net ON u = a), r2 AS (SELECT DISTINCT a, n.v FROM r1 JOIN net n ON n.u = r1.v), r3 AS (SELECT DISTINCT a, n.v FROM r2 JOIN net n ON n.u = r2.v),
-        d AS (SELECT a, b, CASE WHEN (a, b) IN (SELECT (a, v) FROM r1) THEN 1 WHEN (a, b) IN (SELECT (a, v) FROM r2) THEN 2 WHEN (a, b) IN (SELECT (a, v) FROM r3) THEN 3 END AS distance FROM samples)
-        SELECT CAST(h AS INTEGER) AS hops, count(*) FILTER (distance = h) AS n_pairs, count(*) FILTER (distance <= h) AS cumulative FROM d, range(1, 4) t(h) GROUP BY h""",
+    "reachability_by_network": f"""WITH {PAIRED}, {_NETWORKS},
+        hit AS (SELECT network, a, b, 1 AS d FROM asked JOIN r1 USING (network, a) WHERE v = b UNION ALL SELECT DISTINCT q.network, q.a, b, 2 FROM asked q JOIN r1 y ON y.network = q.network AND y.a = q.b JOIN r1 x ON x.network = q.network AND x.a = q.a AND x.v = y.v
+          UNION ALL SELECT DISTINCT q.network, q.a, b, 3 FROM asked q JOIN r1 y ON y.network = q.network AND y.a = q.b JOIN r2 x ON x.network = q.network AND x.a = q.a AND x.v = y.v
+          UNION ALL SELECT DISTINCT q.network, q.a, b, 4 FROM asked q JOIN r2 y ON y.network = q.network AND y.a = q.b JOIN r2 x ON x.network = q.network AND x.a = q.a AND x.v = y.v),
+        d AS (SELECT network, a, b, (SELECT min(d) FROM hit h WHERE h.network = q.network AND h.a = q.a AND h.b = q.b) AS distance FROM asked q)
+        SELECT network, CAST(h AS INTEGER) AS hops, count(*) FILTER (distance = h) AS n_pairs, count(*) FILTER (distance <= h) AS cumulative FROM d, range(1, 5) t(h) GROUP BY network, h""",
     "evidence_level": f"WITH {_SAMPLES.lstrip()} SELECT a, b, fam, smeta, smanual, level FROM samples",
     "positive_pairs": f"WITH {_SAMPLES.lstrip()} SELECT a, b, level, round(level / 3.0, 6) AS weight FROM samples WHERE label = 1 AND level >= 1",
     "max_scaled_weights": f"WITH {_SAMPLES.lstrip()} SELECT a, b, round(raw_weight / (SELECT max(raw_weight) FROM evidence), 6) AS weight FROM evidence",

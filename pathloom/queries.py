@@ -234,6 +234,13 @@ def paths_len3(spark, d):
     return _flat(stage_paths(spark, d), r6("score"))
 
 
+@query
+def paths_len4(spark, d):
+    """Simple paths of up to four edges, by metapath: there are too many to list, and all of them are walked."""
+    by = paths.keyed(walked(spark, d, 4)).groupBy("metapath")
+    return by.agg(F.count("*").alias("n_paths"), r6(F.max("score"), "best"), r6(F.min("score"), "worst"), r6(F.avg("score"), "mean"))
+
+
 @query
 def paths_excluded_types(spark, d):
     return _flat(walked(spark, d, 3, ("Nation", "Segment")))
@@ -285,9 +292,18 @@ def reversed_metapaths_compat(spark, d):
     return _reversed(spark, d, True)
 
 
+#: Named parts of the projected graph: all types they keep, or all they drop.
+NETWORKS = [
+    ("all", "drop", ()), ("no-places", "drop", ("Nation", "Region", "Segment")), ("trade", "keep", ("Customer", "Part", "Supplier", "purchases", "supplies")),
+    ("likeness", "keep", ("Customer", "Part", "Brand", "purchases", "resembles", "hasBrand")), ("places", "keep", ("Customer", "Nation", "Region", "locatedIn", "sameRegion", "inRegion")),
+    ("people", "keep", ("Customer", "refers")), ("segments", "keep", ("Customer", "Segment", "inSegment", "refers")),
+]
+
+
 @query
 def reachability_by_network(spark, d):
-    return paths.reachability(paths.distances(stage_graph(spark, d), stage_samples(spark, d), 3, ["Segment", "Nation", "Region", "Brand"]), 3)
+    """Pairs joined within one to four hops, in seven networks at once, hubs included."""
+    return paths.reachability(paths.network_distances(stage_graph(spark, d), stage_samples(spark, d), NETWORKS))
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def written_once(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a written table of its own."""
+    return StageStore(df.sparkSession).get_or_make(name, lambda: df, run=uuid.uuid4().hex)
+
+
 class StageStore:
     """Results of stages, written once under a name made of the stage and all that it was made from."""
 
