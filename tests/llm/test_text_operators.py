@@ -459,3 +459,33 @@ def test_risk_is_not_negative_and_learns():
     model = quality.fit(good[:300], np.concatenate([good[300:600], bad[:600]]), 1 / 3)
     right = (model.scores(good[600:]) > 0.5).mean() + (model.scores(bad[600:]) <= 0.5).mean()
     assert right > 1.8
+
+
+def test_hidden_is_read_from_names_and_style_only():
+    from pathloom.llm.html_blocks import blocks
+
+    shown = '<article title="the hidden cost of tea">a</article><div class="md:flex hidden lg:block">b</div><div data-state="hidden" aria-hidden="false">c</div><p title="display:none" id=hidden>d</p><p data-hidden>e</p>'
+    gone = '<p hidden>x</p><p HIDDEN="">x</p><p aria-hidden="TRUE">x</p><p style="color:red;display : none">x</p><div hidden=until-found><p>x</p></div>f<b hidden>x</b>'
+    assert [b.text for b in blocks(shown + gone)] == list("abcdef")
+
+
+def test_broken_tags_keep_the_text_behind_them():
+    from pathloom.llm.html_blocks import blocks
+
+    text = lambda html: "|".join(b.text for b in blocks(html))
+    assert text('<p title="oops>one</p><p>two</p>') == "one|two"
+    assert text("a < b and <c") == "a < b and <c"
+    assert text("<p>x</p><p y='") == "x|<p y='"
+    assert text("<a href=/x/>in<br/>side") == "in side"
+    assert text("<ul><li>one<li>two</ul><table><tr><td>3<td>4</table>") == "one|two|3|4"
+
+
+@pytest.mark.parametrize("html", ["<a " * 330_000, '<a t="' * 140_001, "<p title='" * 100_001 + ">", "<a x=" * 200_000 + ">", "<div>" * 100_000 + "</x>" * 100_000, "<li><div>" * 100_000, "<p><td>" + "<div>" * 100_000 + "</p>" * 100_000, "<b hidden>" * 100_000, "<a" + " " * 1_000_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    from pathloom.llm.html_blocks import blocks
+
+    began = time.thread_time()
+    blocks(html + "<p>the end</p>")
+    assert time.thread_time() - began < 6  # a quadratic scan of a megabyte takes hours
