@@ -13,6 +13,7 @@ from pathloom.plans.engine import Engine, Model, Parameters
 from pathloom.sources import graphml
 from pathloom.sources.pairs import one_pair, prediction_table, read_pairs, write_delimited, write_predictions
 from pathloom.sources.sinks import append_run, explanation_graphs, held_out_table, write_explanation_graphs, write_graph_files
+from pathloom.sources.store import StageStore
 from pathloom.sources.tables import Graph
 
 
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--alpha", type=float)
     p.add_argument("--excluded_type", action="append", default=[])
     p.add_argument("--parameters", help="JSON that overrides defaults")
+    p.add_argument("--stages", help="folder for adjacency and paths that later runs on the same graph and pairs find again")
     p.add_argument("--folds", type=int, default=10)
     p.add_argument("--overwrite", action="store_true")
     return p
@@ -77,7 +79,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("pathloom").getOrCreate()
     graph = graphml.read(spark, args.kg)
-    engine = Engine(graph, parameters(args))
+    engine = Engine(graph, parameters(args), StageStore(spark, args.stages) if args.stages else None)
     if args.action in ("train", "test", "evaluate"):
         train, held = samples(spark, graph, args)
     if args.action == "train":
@@ -105,6 +107,7 @@ def main(argv: list[str] | None = None) -> None:
         write_predictions(prediction_table(graph, engine.predict(model, pairs), unresolved), f"{args.output}/predictions")
         if args.action != "predict":
             explained(engine, model, pairs, args.output, args.action == "explain")
+    engine.close(shared=not args.stages)
 
 
 if __name__ == "__main__":

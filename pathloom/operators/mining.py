@@ -195,18 +195,35 @@ def closed(patterns: DataFrame, strict: bool = False) -> DataFrame:
     The level is the number of items, and one more with a clause.  A pattern goes if one a level up that holds its first
     item has as many matches (strict: that holds all its items and parts of its clause).
     """
-    level = F.size("items") + F.when(F.size("clause") > 0, 1).otherwise(0)
-    up = patterns.select(F.col("items").alias("up_items"), F.col("clause").alias("up_clause"), F.col("n_matches").alias("up_n"), (level - 1).alias("level"))
-    base = patterns.withColumn("level", level)
     if strict:
-        pairs = base.select("items", "clause", "n_matches", "level", F.element_at("items", 1).alias("mp")).join(up.withColumn("mp", F.explode("up_items")), ["level", "mp"])
-        pairs = pairs.filter((F.size(F.array_except("items", "up_items")) == 0) & (F.size(F.array_except("clause", "up_clause")) == 0) & (F.col("up_n") >= F.col("n_matches")))
-        return patterns.join(pairs.select("items", "clause").distinct(), ["items", "clause"], "left_anti")
+        most = held_below(patterns).groupBy("items", "clause").agg(F.max("up_n").alias("up_n"))
+        return patterns.join(most, ["items", "clause"], "left").filter(F.col("up_n").isNull() | (F.col("up_n") < F.col("n_matches"))).select(patterns.columns)
+    level = F.size("items") + F.when(F.size("clause") > 0, 1).otherwise(0)
+    up = patterns.select(F.col("items").alias("up_items"), F.col("n_matches").alias("up_n"), (level - 1).alias("level"))
     most = up.select("level", F.explode("up_items").alias("mp"), "up_n").groupBy("level", "mp").agg(F.max("up_n").alias("up_n"))
-    keyed = base.withColumn("mp", F.element_at("items", 1))
+    keyed = patterns.withColumn("level", level).withColumn("mp", F.element_at("items", 1))
     return keyed.join(most, ["level", "mp"], "left").filter(F.col("up_n").isNull() | (F.col("up_n") < F.col("n_matches"))).select(patterns.columns)
 
 
+def held_below(patterns: DataFrame) -> DataFrame:
+    """items, clause, up_n: every pattern one level down that each pattern holds, whole, with the matches of the latter.
+
+    Without a clause these are its sets of one item less.  With one, its items without a clause, and its sets of one item less
+    with every part of the clause that these items leave: two places at least.  Patterns have a handful of items, so these
+    are few, and a pattern meets those that hold it by one join on its whole key.
+    """
+    n = F.size("items")
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.slice("items", 1, i - 1), F.slice("items", i + 1, n)))
+    none = F.array().cast(CLAUSE)
+    plain = patterns.filter(F.size("clause") == 0).select(F.explode(less).alias("items"), none.alias("clause"), F.col("n_matches").alias("up_n"))
+    tied = patterns.filter(F.size("clause") > 0)
+    whole = tied.select("items", none.alias("clause"), F.col("n_matches").alias("up_n"))
+    parts = F.expr("filter(transform(sequence(1, cast(pow(2, size(clause)) as int) - 1), m -> filter(clause, (c, i) -> shiftright(m, i) % 2 = 1)), p -> size(p) >= 2)")
+    part = tied.select(F.explode(less).alias("items"), parts.alias("parts"), F.col("n_matches").alias("up_n")).select("items", F.explode("parts").alias("clause"), "up_n")
+    part = part.filter(F.forall("clause", lambda c: F.array_contains("items", c["mp"])))
+    return plain.unionByName(whole).unionByName(part)
+
+
 def pattern_table(occurrences: DataFrame, turning: bool = False) -> DataFrame:
     occurrences = once(occurrences, "items", "clause") if turning else occurrences
     return occurrences.groupBy("items", "clause").agg(F.count("*").alias("n_matches"), F.sum("weight").alias("support"))

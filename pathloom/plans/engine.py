@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import cover, evaluation, labels, matching, mining, paths, thresholds
 from pathloom.operators.graph import adjacency
 from pathloom.plans.tuning import tuned
-from pathloom.sources.store import StageStore
+from pathloom.sources.store import StageStore, fingerprint
 from pathloom.sources.tables import Graph
 
 
@@ -74,26 +74,58 @@ class Model:
 
 
 class Engine:
+    """Steps over one graph.  The adjacency and the paths of a table of pairs are known by what they are made from: a hash of the
+    graph's rows and of the pairs, and the parameters that paths depend on.  So engines that share a store, such as those of
+    a parameter study, walk each table of pairs once, and a changed edge walks it anew.  All other stages are an engine's own.
+    """
+
     def __init__(self, graph: Graph, parameters: Parameters | None = None, store: StageStore | None = None):
         self.graph, self.parameters = graph, parameters or Parameters()
         self.store = store or StageStore(tuned(graph.nodes.sparkSession))
-        #: No two engines have the same, so none reads the tables of another, nor two steps those of each other.
-        self._key, self._stage, self._adjacency = uuid.uuid4().hex, 0, None
+        #: No two engines have the same, so none reads the own stages of another, nor two steps those of each other.
+        self._key, self._stage, self._adjacency, self._content = uuid.uuid4().hex, 0, None, None
+        self._own: list[str] = []
+        self._shared: list[str] = []
+
+    def _noted(self, paths: list[str], name: str, make: Callable[[], DataFrame], **made_from: object) -> DataFrame:
+        mark = len(self.store.made)
+        out = self.store.get_or_make(name, make, **made_from)
+        paths += self.store.made[mark:]
+        return out
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         """df as a written table: later steps start from it, and a lost executor costs no more than its tasks."""
         self._stage += 1
-        return self.store.get_or_make(name, lambda: df, engine=self._key, step=self._stage)
+        return self._noted(self._own, name, lambda: df, engine=self._key, step=self._stage)
+
+    def close(self, shared: bool = False) -> None:
+        """Deletes the stages of this engine, models that were not saved among them; shared: adjacency and paths that it wrote, too."""
+        own = dict.fromkeys([*self._own, *(self._shared if shared else [])])
+        self.store.drop([p for p in own if p in self.store.made])
+        self._own, self._adjacency = [], None
+        self._shared = [] if shared else self._shared
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def content(self) -> dict[str, str]:
+        if self._content is None:
+            self._content = {"nodes": fingerprint(self.graph.nodes.select("id", "type")), "edges": fingerprint(self.graph.edges.select("src", "dst", "label", "score", "target_id", "ctx"))}
+        return self._content
 
     def adjacency(self) -> DataFrame:
         if self._adjacency is None:
-            self._adjacency = self._kept("adjacency", adjacency(self.graph))
+            self._adjacency = self._noted(self._shared, "adjacency", lambda: adjacency(self.graph), **self.content())
         return self._adjacency
 
     def paths(self, pairs: DataFrame) -> DataFrame:
         """a, b, mp, mids, score; without orientation, each path also as walked from its end, with a and b in turn."""
-        p = self.parameters
-        found = self._kept("paths", paths.enumerate_paths(self.graph, pairs, p.path_cutoff, p.blocked_types, p.use_context, self.adjacency()))
+        p, ends = self.parameters, pairs.select("a", "b").distinct()
+        walk = lambda: paths.enumerate_paths(self.graph, ends, p.path_cutoff, p.blocked_types, p.use_context, self.adjacency())
+        found = self._noted(self._shared, "paths", walk, pairs=fingerprint(ends), cutoff=p.path_cutoff, blocked=sorted(p.blocked_types), context=p.use_context, **self.content())
         return found if p.orient_pairs else mining.both_ways(found, p.reversal == "compat")
 
     def _both(self, pairs: DataFrame) -> DataFrame:
