@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cumulated(scored: DataFrame, *by: str) -> DataFrame:
-    """A row per distinct score: the weight of either label at that score or above, and all of it.
+#: Ranges of values that are dealt to different tasks.
+RANGES = 100
+
 
-    Scores are dealt to 100 ranges; sums run over the ranges, then inside each, so no task sees them all.
+def ranged(points: DataFrame, column: str, *by: str) -> DataFrame:
+    """points with range: 0 to RANGES - 1, rising with the column, about as many points in each, however the values lie.
+
+    The bounds are approximate quantiles of the points of each group; equal values share a range.
     """
-    part = lambda label: F.sum(F.when(F.col("label") == label, F.col("weight")).otherwise(0.0))
-    points = scored.groupBy(*by, "score").agg(part(1).alias("p"), part(0).alias("n"))
-    points = points.withColumn("_range", F.floor(F.col("score") * 100))
-    ranges = points.groupBy(*by, "_range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    above = Window.partitionBy(*by).orderBy(F.desc("_range"))
-    before = above.rowsBetween(Window.unboundedPreceding, -1)
+    shares = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    found = F.array_distinct(F.percentile_approx(column, shares, 10_000)).alias("_bounds")
+    bounds = points.groupBy(*by).agg(found) if by else points.agg(found)
+    both = points.join(bounds, list(by)) if by else points.crossJoin(F.broadcast(bounds))  # one row
+    return both.withColumn("range", F.size(F.filter("_bounds", lambda b: b < F.col(column)))).drop("_bounds")
+
+
+def summed_below(points: DataFrame, column: str, sums: dict[str, Column], *by: str, falling: bool = False) -> DataFrame:
+    """points (with range) and, for each of sums, its sum over all points before (its name) and over all of the group (all_ and its name).
+
+    Before: by rising column, or falling.  Sums run over the ranges first and then inside each, so no task sees all points.
+    """
+    direction = F.desc if falling else F.asc
+    ranges = points.groupBy(*by, "range").agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+    order = Window.partitionBy(*by).orderBy(direction("range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
     whole = Window.partitionBy(*by)
-    ranges = ranges.select(*by, "_range", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"b{c}") for c in ("rp", "rn")), F.sum("rp").over(whole).alias("all_p"), F.sum("rn").over(whole).alias("all_n"))
-    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = points.join(ranges, [*by, "_range"])
-    return out.select(*by, "score", (F.sum("p").over(inside) + F.col("brp")).alias("tp"), (F.sum("n").over(inside) + F.col("brn")).alias("fp"), "all_p", "all_n", F.col("_range").alias("_r"))
+    ranges = ranges.select(*by, "range", *(F.coalesce(F.sum(name).over(order), F.lit(0.0)).alias(f"_{name}") for name in sums), *(F.sum(name).over(whole).alias(f"all_{name}") for name in sums))
+    inside = Window.partitionBy(*by, "range").orderBy(direction(column)).rowsBetween(Window.unboundedPreceding, -1)
+    out = points.join(ranges, [*by, "range"])
+    return out.withColumns({name: F.coalesce(F.sum(c).over(inside), F.lit(0.0)) + F.col(f"_{name}") for name, c in sums.items()}).drop(*(f"_{name}" for name in sums))
+
+
+def cumulated(scored: DataFrame, *by: str) -> DataFrame:
+    """A row per distinct score: the weight of either label at that score (p, n), at it or above (tp, fp), and all of it; range."""
+    part = lambda label: F.sum(F.when(F.col("label") == label, F.col("weight")).otherwise(0.0))
+    points = ranged(scored.groupBy(*by, "score").agg(part(1).alias("p"), part(0).alias("n")), "score", *by)
+    sums = summed_below(points, "score", {"tp": F.col("p"), "fp": F.col("n")}, *by, falling=True)
+    return sums.select(*by, "score", "p", "n", (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("n")).alias("fp"), F.col("all_tp").alias("all_p"), F.col("all_fp").alias("all_n"), "range")
 
 
 def roc_points(scored: DataFrame, *by: str) -> DataFrame:
     c = cumulated(scored, *by)
-    return c.select(*by, "score", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_n").alias("fpr"))
+    return c.select(*by, "score", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_n").alias("fpr"), "range")
 
 
 def _segments(points: DataFrame, x: str, y: str, start: tuple[float, float], by: tuple[str, ...]) -> DataFrame:
-    """by, x0, y0, x1, y1: each point with the one of the next higher score, start where there is none.
+    """by, x0, y0, x1, y1: each point (with its range) with the one of the next higher score, start where there is none.
 
     A point finds the one before it inside its range of scores, the first of a range takes the last of the range before: no
     task sees all points.
     """
     here = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    dealt = points.select(*by, "score", here.alias("p"), F.floor(F.col("score") * 100).alias("_range"))
+    dealt = points.select(*by, "score", here.alias("p"), F.col("range").alias("_range"))
     ends = dealt.groupBy(*by, "_range").agg(F.min_by("p", "score").alias("end"))
     ends = ends.select(*by, "_range", F.lag("end").over(Window.partitionBy(*by).orderBy(F.desc("_range"))).alias("_before"))
     inside = F.lag("p").over(Window.partitionBy(*by, "_range").orderBy(F.desc("score")))
@@ -55,17 +76,14 @@ def roc_auc(scored: DataFrame, *by: str) -> DataFrame:
 
     Summed over distinct scores, with the weight above each from the cumulated sums: sums need no order.
     """
-    c = cumulated(scored, *by)
-    part = lambda label: F.sum(F.when(F.col("label") == label, F.col("weight")).otherwise(0.0))
-    at = scored.groupBy(*by, "score").agg(part(1).alias("p"), part(0).alias("n"))
-    both = c.join(at, [*by, "score"])
+    both = cumulated(scored, *by)
     wins = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
     return both.groupBy(*by).agg(F.try_divide(wins, F.max("all_p") * F.max("all_n")).alias("roc_auc"))
 
 
 def pr_points(scored: DataFrame, *by: str) -> DataFrame:
     c = cumulated(scored, *by)
-    return c.select(*by, "score", F.try_divide("tp", "all_p").alias("recall"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), "all_n")
+    return c.select(*by, "score", F.try_divide("tp", "all_p").alias("recall"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), "all_n", "range")
 
 
 def pr_auc(scored: DataFrame, *by: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators import evaluation
+
 
 def parameter_study(runs: DataFrame, keys: list[str], metric: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.count("*").alias("n_runs"))
@@ -26,27 +28,80 @@ def ablation(runs: DataFrame, name: str, pattern: str, metrics: list[str]) -> Da
     return keyed.groupBy("metaedge").agg(*(f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
-def rank_sum(values: DataFrame, group: str, value: str, member: str) -> DataFrame:
+def ranks(values: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, value, t (rows of that value) and rank (the mean of their places): a row a distinct value; n (all rows)."""
+    ties = evaluation.ranged(values.groupBy(*by, value).agg(F.count("*").cast("double").alias("t")), value, *by)
+    below = evaluation.summed_below(ties, value, {"before": F.col("t")}, *by)
+    return below.select(*by, value, "t", (F.col("before") + (F.col("t") + 1) / 2).alias("rank"), F.col("all_before").alias("n"))
+
+
+def _tested(sums: DataFrame, keys: list[str], corrected: bool) -> DataFrame:
+    """The rank-sum test from n1, n (counts), r1 (ranks of the members), ss (squared ranks of all) and tie."""
+    n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
+    n2, u = n - n1, F.col("r1") - n1 * (n1 + 1) / 2
+    variance = n1 * n2 / 12 * ((n + 1) - (F.try_divide(F.col("tie"), n * (n - 1)) if corrected else F.lit(0.0)))
+    z = F.try_divide(u - n1 * n2 / 2 - (0.5 if corrected else 0.0), F.sqrt(variance))
+    spread = F.sqrt(n1 * n2 * (F.col("ss") / n - ((n + 1) / 2) * ((n + 1) / 2)))
+    correlation = F.try_divide(F.col("r1") - n1 * (n + 1) / 2, spread)
+    out = sums.select(*keys, F.col("n1").cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("u"), (F.try_divide(2 * u, n1 * n2) - 1).alias("effect"), correlation.alias("correlation"), normal_tail(z).alias("p_value"))
+    tests = out.agg(F.count("*").alias("_k"))
+    return out.crossJoin(F.broadcast(tests)).withColumn("p_adjusted", F.least(F.col("p_value") * F.col("_k"), F.lit(1.0))).drop("_k")  # one row
+
+
+def rank_sum(values: DataFrame, group: str, value: str, member: str, corrected: bool = False) -> DataFrame:
     """Per group: one-sided rank-sum test that member rows have larger values than the rest.
 
-    group, n1, n2, u, effect (rank-biserial), p_value (normal approximation with tie correction), p_adjusted (Bonferroni).
+    group, n1, n2, u, effect (rank-biserial), correlation (of ranks and membership), p_value (normal approximation; corrected:
+    for ties and continuity), p_adjusted (Bonferroni).
+    """
+    members = values.groupBy(group, value).agg(F.count_if(F.col(member)).cast("double").alias("m"))
+    both = ranks(values, value, group).join(members, [group, value])
+    square = F.col("rank") * F.col("rank") * F.col("t")
+    sums = both.groupBy(group).agg(F.sum("m").alias("n1"), F.max("n").alias("n"), F.sum(F.col("rank") * F.col("m")).alias("r1"), F.sum(square).alias("ss"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
+    return _tested(sums, [group], corrected)
+
+
+def influence(rules: DataFrame, confidences: DataFrame, corrected: bool = False) -> DataFrame:
+    """Per metapath: whether the rules (rule_id, items) that hold it have a higher confidence (rule_id, confidence) than the others.
+
+    mp_id and the columns of rank_sum.  All metapaths are tested on the same rules, so these are ranked once, and a metapath
+    adds up the ranks of its own: nothing pairs metapaths with rules that lack them.
+    """
+    known = rules.select("rule_id", "items").join(confidences.select("rule_id", "confidence"), "rule_id")
+    ranked = ranks(known, "confidence")
+    square, tie = F.col("rank") * F.col("rank") * F.col("t"), F.col("t") * F.col("t") * F.col("t") - F.col("t")
+    all_ = ranked.agg(F.max("n").alias("n"), F.sum(square).alias("ss"), F.sum(tie).alias("tie"))
+    own = known.select("rule_id", "confidence", F.explode(F.array_distinct("items")).alias("mp_id")).join(ranked.select("confidence", "rank"), "confidence")
+    sums = own.groupBy("mp_id").agg(F.count("*").alias("n1"), F.sum("rank").alias("r1")).crossJoin(F.broadcast(all_))  # one row
+    return _tested(sums, ["mp_id"], corrected)
+
+
+def element_shares(tested: DataFrame, notations: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """element, n, share (in percent): in how many notations of significant metapaths (mp_id, p_adjusted) an element stands between the ends.
+
+    notations: mp_id, notation.  Elements are runs of capitals, and what stands between two of them.
     """
-    ties = values.groupBy(group, value).agg(F.count("*").alias("t"), F.count_if(F.col(member)).alias("m"))
-    up = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("rank", F.coalesce(F.sum("t").over(up), F.lit(0)) + (F.col("t") + 1) / 2)
-    sums = ranked.groupBy(group).agg(F.sum("m").alias("n1"), (F.sum("t") - F.sum("m")).alias("n2"), F.sum(F.col("rank") * F.col("m")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie"), n * (n - 1))))
-    z = F.try_divide(u - n1 * n2 / 2 - 0.5, sigma)
-    out = sums.select(group, "n1", "n2", u.alias("u"), (F.try_divide(2 * u, n1 * n2) - 1).alias("effect"), (1 - normal_cdf(z)).alias("p_value"))
-    groups = out.agg(F.count("*").alias("_k"))
-    return out.crossJoin(F.broadcast(groups)).withColumn("p_adjusted", F.least(F.col("p_value") * F.col("_k"), F.lit(1.0))).drop("_k")  # one row
-
-
-def normal_cdf(z: F.Column) -> F.Column:
-    """The standard normal distribution, by the logistic form of Page's approximation (error under 2e-4)."""
-    return 1 / (1 + F.exp(-2 * F.sqrt(F.lit(2 / 3.141592653589793)) * (z + 0.044715 * z * z * z)))
+    kept = notations.join(tested.filter(F.col("p_adjusted") < alpha).select("mp_id"), "mp_id")
+    parts = F.regexp_extract_all("notation", F.lit("[A-Z]+|[^A-Z]+"), F.lit(0))
+    inner = kept.select(F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).alias("parts"))
+    total = kept.agg(F.count("*").alias("_n"))
+    by = inner.select(F.explode("parts").alias("element")).groupBy("element").agg(F.count("*").alias("n"))
+    return by.crossJoin(F.broadcast(total)).select("element", "n", (100.0 * F.col("n") / F.col("_n")).alias("share"))  # one row
+
+
+#: Coefficients of the Chebyshev fit of the complementary error function, in rising order.
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_tail(z: F.Column) -> F.Column:
+    """How often a standard normal value exceeds z, to a relative error of about 1e-7 on both sides, far tails included."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + x / 2)
+    fit = F.lit(_ERFC[-1])
+    for c in reversed(_ERFC[:-1]):
+        fit = fit * t + c
+    upper = t * F.exp(-x * x + fit) / 2
+    return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
 def cross_table(df: DataFrame, row: str, condition: F.Column) -> DataFrame:

@@ -200,6 +200,22 @@ def _curve(x: str, y: str, start: int) -> str:
         grid AS (SELECT fold, k, y0 + (y1 - y0) * (k / 100.0::DOUBLE - x0) / (x1 - x0) AS value FROM seg, range(0, 101) t(k) WHERE x1 > x0 AND k <= floor(x1 * 100) AND (x0 = 0 OR k >= floor(x0 * 100) + 1))"""
 
 
+#: The rank-sum test from n1, n, r1 and ss, its tail by Simpson's rule on 2,000 steps, and the columns that are compared.
+_TESTED = """
+zs AS (SELECT *, n - n1 AS n2, r1 - n1 * (n1 + 1) / 2 AS u FROM s),
+zed AS (SELECT *, (u - n1 * n2 / 2) / sqrt(n1 * n2 * (n + 1) / 12) AS z, (r1 - n1 * (n + 1) / 2) / sqrt(n1 * n2 * (ss / n - ((n + 1) / 2) ** 2)) AS correlation FROM zs),
+tested AS (SELECT *, 0.5 - z / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(0 - (z * i / 2000) * (z * i / 2000) / 2))) / sqrt(2 * pi()) AS p FROM zed)"""
+_TEST_COLUMNS = "CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 6) AS u, round(2 * u / (n1 * n2) - 1, 6) AS effect, round(correlation, 6) AS correlation, round(p, 6) AS p_value, round(least(p * (SELECT count(*) FROM tested), 1), 6) AS p_adjusted"
+_INFLUENCE = """
+conf AS (SELECT rule_id, items, round(tp / (tp + fp), 9) AS confidence FROM rt JOIN rules USING (rule_id)),
+ranked AS (SELECT *, avg(place) OVER (PARTITION BY confidence) AS rank FROM (SELECT *, row_number() OVER (ORDER BY confidence) AS place FROM conf)),
+s AS (SELECT mp_id, count(*)::DOUBLE AS n1, (SELECT count(*) FROM conf)::DOUBLE AS n, sum(rank)::DOUBLE AS r1, (SELECT sum(rank * rank) FROM ranked)::DOUBLE AS ss FROM (SELECT rank, unnest(items) AS mp_id FROM ranked) GROUP BY mp_id)"""
+_NOTATION = """
+ab AS (SELECT type, min(abbrev) AS abbrev FROM nodes GROUP BY type),
+st AS (SELECT d.mp_id, i, CASE WHEN d.nodes[i] = d.nodes[i + 1] AND d.dirs[i] = -1 THEN '<' ELSE '' END || d.edges[i][1] || regexp_replace(d.edges[i][2:], '[^A-Z]', '', 'g') || CASE WHEN d.nodes[i] = d.nodes[i + 1] AND d.dirs[i] = 1 THEN '>' ELSE '' END || ab.abbrev AS part
+  FROM dictionary d, range(1, 4) t(i) JOIN ab ON ab.type = d.nodes[i + 1] WHERE i <= len(d.edges)),
+notation AS (SELECT d.mp_id, any_value(ab.abbrev) || string_agg(part, '' ORDER BY i) AS notation FROM dictionary d JOIN st USING (mp_id) JOIN ab ON ab.type = d.nodes[1] GROUP BY d.mp_id)"""
+
 SQL: dict[str, str] = {
     "node_type_counts": f"WITH {_NODES} SELECT type, count(*) AS n_nodes FROM nodes GROUP BY type",
     "edge_type_dictionary": f"WITH {GRAPH}, l AS (SELECT DISTINCT label FROM edges) SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS edge_type_idx FROM l",
@@ -286,14 +302,15 @@ SQL: dict[str, str] = {
     "param_study_topk": "WITH s AS (SELECT l_linenumber, l_returnflag, l_linestatus, avg(l_discount) AS mean FROM lineitem GROUP BY ALL), m AS (SELECT *, max(mean) OVER (PARTITION BY l_returnflag) AS best FROM s) SELECT l_linenumber, l_returnflag, l_linestatus, round(mean, 6) AS mean FROM m WHERE round(best - mean, 12) <= 0.0005",
     "ablation_summary": "SELECT CASE WHEN regexp_extract(p_name, '^small (.*)$', 1) = '' THEN 'Baseline' ELSE regexp_extract(p_name, '^small (.*)$', 1) END AS metaedge, round(avg(p_retailprice), 6) AS price_mean, round(stddev_samp(p_retailprice), 6) AS price_std FROM part GROUP BY 1",
     "pivot_mean_std": "SELECT l_returnflag, round(avg(l_tax) FILTER (l_linestatus = 'F'), 6) AS F_mean, round(2 * stddev_pop(l_tax) FILTER (l_linestatus = 'F'), 6) AS F_two_sigma, round(avg(l_tax) FILTER (l_linestatus = 'O'), 6) AS O_mean, round(2 * stddev_pop(l_tax) FILTER (l_linestatus = 'O'), 6) AS O_two_sigma FROM lineitem GROUP BY l_returnflag",
-    "metapath_ranksum": """WITH t AS (SELECT l_linenumber AS grp, l_quantity AS v, count(*) AS t, count(*) FILTER (l_returnflag = 'R') AS m FROM lineitem GROUP BY ALL), r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY grp ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM t),
-        s AS (SELECT grp, sum(m) AS n1, sum(t) - sum(m) AS n2, sum(rank * m) AS r1 FROM r GROUP BY grp) SELECT grp, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(r1 - n1 * (n1 + 1) / 2, 6) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) AS effect FROM s""",
+    "metapath_ranksum": f"""WITH t AS (SELECT l_linenumber AS grp, l_quantity AS v, count(*) AS t, count(*) FILTER (l_returnflag = 'R') AS m FROM lineitem GROUP BY ALL), r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY grp ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM t),
+        s AS (SELECT grp, sum(m)::DOUBLE AS n1, sum(t)::DOUBLE AS n, sum(rank * m)::DOUBLE AS r1, sum(rank * rank * t)::DOUBLE AS ss FROM r GROUP BY grp), {_TESTED} SELECT grp, {_TEST_COLUMNS} FROM tested""",
+    "metapath_influence": f"""WITH {RULED}, {_INFLUENCE}, {_TESTED} SELECT mp_id, {_TEST_COLUMNS} FROM tested""",
+    "influential_elements": f"""WITH {RULED}, {_INFLUENCE}, {_TESTED}, {_NOTATION},
+        kept AS (SELECT mp_id, regexp_extract_all(notation, '[A-Z]+|[^A-Z]+') AS parts FROM notation JOIN tested USING (mp_id) WHERE least(p * (SELECT count(*) FROM tested), 1) < 0.9)
+        SELECT element, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM kept), 6) AS share FROM (SELECT DISTINCT mp_id, unnest(parts[2:-2]) AS element FROM kept) GROUP BY element""",
     "cross_table": "SELECT l_returnflag, count(*) FILTER (l_quantity > 25) AS n_true, count(*) FILTER (NOT l_quantity > 25) AS n_false FROM lineitem GROUP BY l_returnflag",
     "melted_means": "WITH l AS (SELECT p_partkey, 'p_retailprice' AS variable, p_retailprice AS value FROM part UNION ALL SELECT p_partkey, 'p_size', p_size FROM part) SELECT p_partkey, variable, round(value, 6) AS value, round(avg(value) OVER (PARTITION BY variable), 6) AS mean FROM l",
-    "metapath_abbreviations": f"""WITH {INTERNED}, ab AS (SELECT type, min(abbrev) AS abbrev FROM nodes GROUP BY type),
-        st AS (SELECT d.mp_id, i, CASE WHEN d.nodes[i] = d.nodes[i + 1] AND d.dirs[i] = -1 THEN '<' ELSE '' END || d.edges[i][1] || regexp_replace(d.edges[i][2:], '[^A-Z]', '', 'g') || CASE WHEN d.nodes[i] = d.nodes[i + 1] AND d.dirs[i] = 1 THEN '>' ELSE '' END || ab.abbrev AS part
-          FROM dictionary d, range(1, 4) t(i) JOIN ab ON ab.type = d.nodes[i + 1] WHERE i <= len(d.edges))
-        SELECT d.mp_id, any_value(ab.abbrev) || string_agg(part, '' ORDER BY i) AS notation FROM dictionary d JOIN st USING (mp_id) JOIN ab ON ab.type = d.nodes[1] GROUP BY d.mp_id""",
+    "metapath_abbreviations": f"WITH {INTERNED}, {_NOTATION} SELECT mp_id, notation FROM notation",
     "holdout_greedy": f"WITH {_SAMPLES.lstrip()}, {_DATED}, {_recent(5)} SELECT a, b, ts FROM recent",
     "holdout_details": f"""WITH {_NODES}, {_SAMPLES}, {_DATED}, {_recent(5)} SELECT r.a, r.b, x.name AS name_a, y.name AS name_b, s.level, strftime(to_timestamp(r.ts) AT TIME ZONE 'UTC', '%d/%m/%Y') AS date
         FROM recent r JOIN samples s USING (a, b) JOIN nodes x ON x.id = r.a JOIN nodes y ON y.id = r.b""",

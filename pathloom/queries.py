@@ -619,7 +619,24 @@ def pivot_mean_std(spark, d):
 @query
 def metapath_ranksum(spark, d):
     rows = tables.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("grp"), F.col("l_quantity").alias("v"), (F.col("l_returnflag") == "R").alias("m"))
-    return studies.rank_sum(rows, "grp", "v", "m").select("grp", "n1", "n2", r6("u"), r6("effect"))
+    return studies.rank_sum(rows, "grp", "v", "m").select("grp", "n1", "n2", *(r6(c) for c in ("u", "effect", "correlation", "p_value", "p_adjusted")))
+
+
+def _influence(spark: SparkSession, d: str) -> DataFrame:
+    return studies.influence(rules(spark, d), cover.confidences(coverage(spark, d)).withColumn("confidence", F.round("confidence", 9)))
+
+
+@query
+def metapath_influence(spark, d):
+    """Whether rules with a metapath have higher confidences than those without."""
+    return _influence(spark, d).select("mp_id", "n1", "n2", *(r6(c) for c in ("u", "effect", "correlation", "p_value", "p_adjusted")))
+
+
+@query
+def influential_elements(spark, d):
+    """What the notations of the metapaths of small p-values are made of, at a level that these tables reach."""
+    notations = graph.abbreviate(stage_graph(spark, d), interned(spark, d)[1]).select("mp_id", "notation")
+    return studies.element_shares(_influence(spark, d), notations, 0.9).withColumn("share", r6("share"))
 
 
 @query
