@@ -66,17 +66,40 @@ def metapath_key(mp: Column) -> Column:
     return F.concat(F.element_at(mp["nodes"], 1), F.array_join(steps, ""))
 
 
+def _bare(node: Column) -> Column:
+    """The type in a node such as Gene#1."""
+    return F.element_at(F.split(node, "#"), 1)
+
+
+def _spelled(names: Column, node: Column) -> Column:
+    """The abbreviation of a node's type; what stands behind a # follows an underscore."""
+    variable = F.try_element_at(F.split(node, "#"), F.lit(2))
+    return F.concat(F.coalesce(F.element_at(names, _bare(node)), _bare(node)), F.when(variable.isNull() | (variable == ""), F.lit("")).otherwise(F.concat(F.lit("_"), variable)))
+
+
+def _arrows(same: Column, direction: Column, edge: Column) -> Column:
+    """edge with < or > where it is directed and joins two nodes of one type."""
+    return F.concat(F.when(same & (direction == -1), "<").otherwise(""), edge, F.when(same & (direction == 1), ">").otherwise(""))
+
+
 def abbreviated_metapath(mp: Column, node_names: Column, edge_names: Column) -> Column:
     """Abbreviations in a row; < and > only where a directed edge joins two nodes of one type.  Names are maps."""
-    def name(names: Column, key: Column) -> Column:
-        return F.coalesce(F.element_at(names, key), key)
 
     def step(i: Column) -> Column:
-        same = F.element_at(mp["nodes"], i) == F.element_at(mp["nodes"], i + 1)
-        d = F.element_at(mp["dirs"], i)
-        return F.concat(F.when(same & (d == -1), "<").otherwise(""), name(edge_names, F.element_at(mp["edges"], i)), F.when(same & (d == 1), ">").otherwise(""), name(node_names, F.element_at(mp["nodes"], i + 1)))
+        left, right, edge = F.element_at(mp["nodes"], i), F.element_at(mp["nodes"], i + 1), F.element_at(mp["edges"], i)
+        return F.concat(_arrows(_bare(left) == _bare(right), F.element_at(mp["dirs"], i), F.coalesce(F.element_at(edge_names, edge), edge)), _spelled(node_names, right))
+
+    return F.concat(_spelled(node_names, F.element_at(mp["nodes"], 1)), F.array_join(F.transform(F.sequence(F.lit(1), F.size(mp["edges"])), step), ""))
+
+
+def abbreviated_metaedge(first: Column, edge: Column, second: Column, direction: Column, node_names: Column, edge_names: Column) -> Column:
+    short = lambda names, key: F.coalesce(F.element_at(names, key), key)
+    return F.concat(short(node_names, first), _arrows(first == second, direction, short(edge_names, edge)), short(node_names, second))
+
 
-    return F.concat(name(node_names, F.element_at(mp["nodes"], 1)), F.array_join(F.transform(F.sequence(F.lit(1), F.size(mp["edges"])), step), ""))
+def pretty_metaedge(first: Column, edge: Column, second: Column, direction: Column) -> Column:
+    """Whole names, with -- between them."""
+    return F.concat_ws("--", first, _arrows(first == second, direction, edge), second)
 
 
 def jaccard(x: Column, y: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.expressions import abbreviated_metapath, first_of_pair, jaccard, step_direction
+from pathloom.functions.expressions import abbreviated_metaedge, abbreviated_metapath, first_of_pair, jaccard, pretty_metaedge, step_direction
 from pathloom.sources.tables import Graph
 
 
@@ -138,6 +138,15 @@ def abbreviate(graph: Graph, metapaths: DataFrame) -> DataFrame:
     return metapaths.withColumn("notation", abbreviated_metapath(F.col("mp"), kinds, labels))
 
 
+def metaedge_notation(graph: Graph) -> DataFrame:
+    """src_type, label, dst_type, dir, notation, pretty: every metaedge of the graph as walked from its source; dir 1: directed."""
+    kinds, labels = abbreviations(graph)
+    way = step_direction(F.col("target_id"), F.col("dst")).alias("dir")
+    found = edges_typed(graph).select("src_type", "label", "dst_type", way).distinct()
+    of = [F.col(c) for c in ("src_type", "label", "dst_type", "dir")]
+    return found.select(*of, abbreviated_metaedge(*of, kinds, labels).alias("notation"), pretty_metaedge(*of).alias("pretty"))
+
+
 def classify_networks(steps: DataFrame, networks: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
     """Rows with types (array) crossed with named networks (name, 'keep' or 'drop', types) that they fall into.
 

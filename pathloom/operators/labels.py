@@ -25,7 +25,7 @@ def positive_pairs(evidence: DataFrame, least: int = 1, top: float = 3.0) -> Dat
 
 
 def evidence_index(graph: Graph, evidence_type: str = EVIDENCE_TYPES[0], entity_type: str = "Gene", context_type: str = EVIDENCE_TYPES[1]) -> DataFrame:
-    """evidence_id, a, b, fam, smeta, smanual, ts, contexts: evidence nodes with exactly two entity neighbours, oriented.
+    """evidence_id, a, b, fam, smeta, smanual, ts, contexts, publications: evidence nodes with exactly two entity neighbours, oriented.
 
     contexts: ids of the neighbours of context_type.  Numbers come from the nodes' props; one that is missing counts as 0.
     """
@@ -36,9 +36,9 @@ def evidence_index(graph: Graph, evidence_type: str = EVIDENCE_TYPES[0], entity_
     both = ends.filter("n = 2").join(value.select(F.col("id").alias("id1"), F.col("orient_val").alias("v1")), "id1").join(value.select(F.col("id").alias("id2"), F.col("orient_val").alias("v2")), "id2")
     first = first_of_pair(F.col("id1"), F.col("v1"), F.col("id2"), F.col("v2"))
     number = lambda name, kind: F.coalesce(F.try_element_at("props", F.lit(name)).try_cast(kind), F.lit(0).cast(kind))
-    known = graph.nodes.filter(F.col("type") == evidence_type).select(F.col("id").alias("evidence_id"), number("FAMmanual", "int").alias("fam"), number("STATmeta", "int").alias("smeta"), number("STATmanual", "int").alias("smanual"), number("timestamp", "double").cast("long").alias("ts"))
+    known = graph.nodes.filter(F.col("type") == evidence_type).select(F.col("id").alias("evidence_id"), number("FAMmanual", "int").alias("fam"), number("STATmeta", "int").alias("smeta"), number("STATmanual", "int").alias("smanual"), number("timestamp", "double").cast("long").alias("ts"), F.regexp_extract_all(F.coalesce(F.try_element_at("props", F.lit("PMIDs")), F.lit("")), F.lit(r"\d+"), F.lit(0)).alias("publications"))
     a, b = F.when(first, F.col("id1")).otherwise(F.col("id2")), F.when(first, F.col("id2")).otherwise(F.col("id1"))
-    return both.join(known, "evidence_id").select("evidence_id", a.alias("a"), b.alias("b"), "fam", "smeta", "smanual", "ts", "contexts")
+    return both.join(known, "evidence_id").select("evidence_id", a.alias("a"), b.alias("b"), "fam", "smeta", "smanual", "ts", "contexts", "publications")
 
 
 def graph_positives(index: DataFrame, least: int = 1, n_held_out: int = 15, least_held_out: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -92,21 +92,44 @@ def training_set(positives: DataFrame, negatives: DataFrame, held_out: DataFrame
 
 
 def level_statistics(evidence: DataFrame) -> DataFrame:
-    """Rows, distinct pairs and distinct entities of each level, and of all levels from 1 ('selected')."""
+    """Of each level, and of all levels from 1 ('selected'): rows, pairs, entities and contexts (such as diseases).
+
+    A row counts at its own level, with its contexts (array, if the column is there); a pair and its entities at the highest
+    level of the pair's rows.
+    """
     rows = with_level(evidence)
-    entity = F.explode(F.array("a", "b")).alias("entity")
-    pair = F.concat_ws("|", "a", "b")
-    named = rows.select(F.col("level").cast("string").alias("grp"), "a", "b").unionByName(rows.filter("level >= 1").select(F.lit("selected").alias("grp"), "a", "b"))
-    counts = named.groupBy("grp").agg(F.count("*").alias("n_rows"), F.count_distinct(pair).alias("n_pairs"))
-    return counts.join(named.select("grp", entity).groupBy("grp").agg(F.count_distinct("entity").alias("n_entities")), "grp")
+    contexts = F.col("contexts") if "contexts" in evidence.columns else F.array().cast("array<string>")
+    rows = rows.select("a", "b", "level", contexts.alias("contexts"))
+    pairs = rows.groupBy("a", "b").agg(F.max("level").alias("level"))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        groups = F.array_compact(F.array(F.col("level").cast("string"), F.when(F.col("level") >= 1, F.lit("selected"))))
+        return df.withColumn("grp", F.explode(groups)).drop("level")
+
+    counts = grouped(rows).groupBy("grp").agg(F.count("*").alias("n_rows"))
+    n_contexts = grouped(rows).select("grp", F.explode("contexts").alias("c")).groupBy("grp").agg(F.count_distinct("c").alias("n_contexts"))
+    n_pairs = grouped(pairs).groupBy("grp").agg(F.count("*").alias("n_pairs"))
+    n_entities = grouped(pairs).select("grp", F.explode(F.array("a", "b")).alias("entity")).groupBy("grp").agg(F.count_distinct("entity").alias("n_entities"))
+    out = counts.join(n_pairs, "grp", "left").join(n_entities, "grp", "left").join(n_contexts, "grp", "left")
+    return out.select("grp", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_rows", "n_pairs", "n_entities", "n_contexts")))
 
 
 def holdout_details(evidence: DataFrame, graph_nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Names, level and date of chosen pairs."""
+    """Names, level and date of chosen pairs, the names of their contexts and their publications, over all rows of evidence.
+
+    contexts (ids) and publications are arrays; where evidence lacks one of them, it stays empty.
+    """
     n = graph_nodes.select("id", "name")
-    best = positive_pairs(evidence, 0).join(pairs.select("a", "b"), ["a", "b"], "left_semi")
+    of = lambda c: F.col(c) if c in evidence.columns else F.array().cast("array<string>")
+    mine = evidence.join(pairs.select("a", "b").distinct(), ["a", "b"], "left_semi").withColumns({c: of(c) for c in ("contexts", "publications")})
+    best = positive_pairs(mine, 0)
     named = best.join(n.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a", "left").join(n.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b", "left")
-    return named.select("a", "b", "name_a", "name_b", "level", F.date_format(F.timestamp_seconds("ts"), "dd/MM/yyyy").alias("date"))
+    listed = lambda c, name: F.array_join(F.sort_array(F.collect_set(c)), name)
+    seen = mine.select("a", "b", F.explode("contexts").alias("id")).join(n, "id").groupBy("a", "b").agg(listed("name", "-").alias("contexts"))
+    told = mine.select("a", "b", F.explode("publications").alias("p")).groupBy("a", "b").agg(listed("p", ";").alias("publications"))
+    out = named.join(seen, ["a", "b"], "left").join(told, ["a", "b"], "left")
+    texts = (F.coalesce(c, F.lit("")).alias(c) for c in ("contexts", "publications"))
+    return out.select("a", "b", "name_a", "name_b", "level", F.date_format(F.timestamp_seconds("ts"), "dd/MM/yyyy").alias("date"), *texts)
 
 
 def folds(samples: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:

@@ -257,7 +257,12 @@ SQL: dict[str, str] = {
         SELECT mp_id, 'trade' AS network FROM t WHERE list_has_all(['Customer', 'Part', 'purchases', 'resembles'], types)
         UNION ALL SELECT mp_id, 'no-places' FROM t WHERE NOT list_has_any(types, ['Nation', 'Region', 'Segment']) UNION ALL SELECT mp_id, 'people' FROM t WHERE list_has_all(['Customer', 'refers'], types)""",
     "evidence_level_stats": f"""WITH {_SAMPLES.lstrip()}, g AS (SELECT CAST(level AS VARCHAR) AS grp, a, b FROM samples WHERE label = 1 UNION ALL SELECT 'selected', a, b FROM samples WHERE label = 1 AND level >= 1),
-        e AS (SELECT grp, count(DISTINCT entity) AS n_entities FROM (SELECT grp, unnest([a, b]) AS entity FROM g) GROUP BY grp) SELECT grp, count(*) AS n_rows, count(DISTINCT a || '|' || b) AS n_pairs, any_value(n_entities) AS n_entities FROM g JOIN e USING (grp) GROUP BY grp""",
+        e AS (SELECT grp, count(DISTINCT entity) AS n_entities, count(DISTINCT c_nationkey) AS n_contexts FROM (SELECT grp, unnest([a, b]) AS entity FROM g) JOIN customer ON entity = 'C' || c_custkey GROUP BY grp)
+        SELECT grp, count(*) AS n_rows, count(DISTINCT a || '|' || b) AS n_pairs, any_value(n_entities) AS n_entities, any_value(n_contexts) AS n_contexts FROM g JOIN e USING (grp) GROUP BY grp""",
+    "metaedge_notation": f"""WITH {WALKED}, ab AS (SELECT type, min(abbrev) AS abbrev FROM nodes GROUP BY type),
+        m AS (SELECT DISTINCT src_type, label, dst_type, CASE WHEN target_id IS NULL THEN 0 WHEN target_id = dst THEN 1 ELSE -1 END AS dir FROM typed),
+        t AS (SELECT *, CASE WHEN src_type = dst_type AND dir = -1 THEN '<' ELSE '' END AS lt, CASE WHEN src_type = dst_type AND dir = 1 THEN '>' ELSE '' END AS gt FROM m)
+        SELECT src_type, label, dst_type, dir, x.abbrev || lt || label[1] || regexp_replace(label[2:], '[^A-Z]', '', 'g') || gt || y.abbrev AS notation, src_type || '--' || lt || label || gt || '--' || dst_type AS pretty FROM t JOIN ab x ON x.type = src_type JOIN ab y ON y.type = dst_type""",
     "stratified_folds": f"WITH {_SAMPLES.lstrip()} SELECT a, b, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || a || '|' || b)) - 1) % 10 AS INTEGER) AS fold FROM samples",
     "frequent_metapaths": f"WITH {MINED} SELECT mp_id, round(support, 6) AS support, n_matches FROM f1",
     "frequent_pairs": f"WITH {MINED} SELECT {_text('items')} AS items, round(support, 6) AS support, n_matches FROM f2",
@@ -312,7 +317,9 @@ SQL: dict[str, str] = {
     "melted_means": "WITH l AS (SELECT p_partkey, 'p_retailprice' AS variable, p_retailprice AS value FROM part UNION ALL SELECT p_partkey, 'p_size', p_size FROM part) SELECT p_partkey, variable, round(value, 6) AS value, round(avg(value) OVER (PARTITION BY variable), 6) AS mean FROM l",
     "metapath_abbreviations": f"WITH {INTERNED}, {_NOTATION} SELECT mp_id, notation FROM notation",
     "holdout_greedy": f"WITH {_SAMPLES.lstrip()}, {_DATED}, {_recent(5)} SELECT a, b, ts FROM recent",
-    "holdout_details": f"""WITH {_NODES}, {_SAMPLES}, {_DATED}, {_recent(5)} SELECT r.a, r.b, x.name AS name_a, y.name AS name_b, s.level, strftime(to_timestamp(r.ts) AT TIME ZONE 'UTC', '%d/%m/%Y') AS date
+    "holdout_details": f"""WITH {_NODES}, {_SAMPLES}, {_DATED}, {_recent(5)} SELECT r.a, r.b, x.name AS name_a, y.name AS name_b, s.level, strftime(to_timestamp(r.ts) AT TIME ZONE 'UTC', '%d/%m/%Y') AS date,
+        (SELECT string_agg(n_name, '-' ORDER BY n_name) FROM (SELECT DISTINCT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE 'C' || c_custkey IN (r.a, r.b))) AS contexts,
+        coalesce((SELECT string_agg(k, ';' ORDER BY k) FROM (SELECT CAST(min(o_orderkey) AS VARCHAR) AS k FROM orders WHERE 'C' || o_custkey IN (r.a, r.b) GROUP BY o_custkey)), '') AS publications
         FROM recent r JOIN samples s USING (a, b) JOIN nodes x ON x.id = r.a JOIN nodes y ON y.id = r.b""",
     "threshold_greedy": f"WITH {MINED}, {_BINS}, {_GREEDY} SELECT {_text('items')} AS items, CASE slot WHEN 0 THEN v1 || ',' || v2 ELSE v2 || ',' || v1 END AS x, round(cost, 6) AS cost FROM chosen",
     "threshold_grid": f"WITH {MINED}, {_BINS}, {_GRID} SELECT {_text('items')} AS items, v1 || ',' || v2 AS x, round(cost, 6) AS cost FROM best_of",

@@ -277,6 +277,11 @@ def metapath_abbreviations(spark, d):
     return graph.abbreviate(stage_graph(spark, d), interned(spark, d)[1]).select("mp_id", "notation")
 
 
+@query
+def metaedge_notation(spark, d):
+    return graph.metaedge_notation(stage_graph(spark, d))
+
+
 def _reversed(spark: SparkSession, d: str, compat: bool) -> DataFrame:
     turned = mining.directed(interned(spark, d)[1].withColumn("mids", F.array().cast("array<string>")), -1, compat)
     return turned.select("mp_id", F.array_join("mp.edges", ",").alias("edges"), F.array_join("mp.nodes", ",").alias("nodes"), F.array_join(F.transform("mp.dirs", lambda x: x.cast("string")), ",").alias("dirs"))
@@ -330,6 +335,16 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return both.select("a", "b", "fam", "smeta", "smanual", F.coalesce(F.least("ta", "tb"), F.lit(0)).alias("ts"))
 
 
+def _told(spark: SparkSession, d: str, evidence: DataFrame) -> DataFrame:
+    """Evidence with contexts (the nations of both customers) and publications (the first order of either)."""
+    c = tables.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("home"))
+    o = tables.table(spark, d, "orders").groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("id")).agg(F.min("o_orderkey").cast("string").alias("told"))
+    known = c.join(o, "id", "left")
+    of = lambda k: known.select(F.col("id").alias(k), F.col("home").alias(f"home_{k}"), F.col("told").alias(f"told_{k}"))
+    both = evidence.join(of("a"), "a").join(of("b"), "b")
+    return both.select(*evidence.columns, F.array_distinct(F.array("home_a", "home_b")).alias("contexts"), F.array_compact(F.array("told_a", "told_b")).alias("publications"))
+
+
 @query
 def positive_pairs(spark, d):
     return labels.positive_pairs(_evidence(spark, d)).select("a", "b", "level", r6("weight"))
@@ -342,7 +357,7 @@ def holdout_greedy(spark, d):
 
 @query
 def holdout_details(spark, d):
-    return labels.holdout_details(_evidence(spark, d), tables.nodes(spark, d), holdout_greedy(spark, d))
+    return labels.holdout_details(_told(spark, d, _evidence(spark, d)), tables.nodes(spark, d), holdout_greedy(spark, d))
 
 
 @query
@@ -366,7 +381,7 @@ def trainset_union(spark, d):
 
 @query
 def evidence_level_stats(spark, d):
-    return labels.level_statistics(positives(spark, d))
+    return labels.level_statistics(_told(spark, d, positives(spark, d)))
 
 
 @query

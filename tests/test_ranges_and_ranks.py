@@ -43,10 +43,10 @@ def test_areas_of_concentrated_scores(spark, low, high):
 
 
 def test_normal_tail(spark):
-    zs = [-9.0, -3.2, -1.0, -1e-9, 0.0, 0.5, 1.96, 2.6, 4.0, 6.0, 9.0, 12.0]
+    zs = [-9.0, -3.2, -3.0, 2.999999, 3.0, 3.1, -1.0, -1e-9, 0.0, 0.5, 1.96, 2.6, 4.0, 6.0, 9.0, 12.0]
     got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", studies.normal_tail(F.col("z")).alias("p")).collect()
     for r in got:
-        assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=3e-7)
+        assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=1e-11)
 
 
 def _plain(values, member):
@@ -87,3 +87,27 @@ def test_influence_against_plain(spark):
     names = spark.createDataFrame([(1, "GaTbG"), (2, "GcT"), (3, "G<aG")], "mp_id int, notation string")
     tested = spark.createDataFrame([(1, 0.001), (2, 0.002), (3, 0.5)], "mp_id int, p_adjusted double")
     assert {r["element"]: (r["n"], r["share"]) for r in studies.element_shares(tested, names).collect()} == {"a": (1, 50.0), "T": (1, 50.0), "b": (1, 50.0), "c": (1, 50.0)}
+
+
+def test_level_statistics_and_details(spark):
+    """A pair counts at its highest level, its rows and their contexts at their own."""
+    from pathloom.operators import labels
+
+    rows = [("a", "b", 1, 0, 0, 50, ["d1"], ["7"]), ("a", "b", 3, 0, 0, 40, ["d2"], ["9", "7"]), ("a", "c", 0, 0, 0, 30, ["d3"], []), ("c", "d", 2, 0, 0, 20, ["d2"], None)]
+    e = spark.createDataFrame(rows, "a string, b string, fam int, smeta int, smanual int, ts long, contexts array<string>, publications array<string>")
+    got = {r["grp"]: tuple(r)[1:] for r in labels.level_statistics(e).collect()}
+    assert got == {"0": (1, 1, 2, 1), "1": (1, 0, 0, 1), "2": (1, 1, 2, 1), "3": (1, 1, 2, 1), "selected": (3, 2, 4, 2)}
+    nodes = spark.createDataFrame([(x, x.upper()) for x in ("a", "b", "c", "d", "d1", "d2", "d3")], "id string, name string")
+    found = {r["a"] + r["b"]: (r["level"], r["date"], r["contexts"], r["publications"]) for r in labels.holdout_details(e, nodes, e.filter("fam > 1").select("a", "b")).collect()}
+    assert found == {"ab": (3, "01/01/1970", "D1-D2", "7;9"), "cd": (2, "01/01/1970", "D2", "")}
+    assert labels.level_statistics(e.drop("contexts")).filter("n_contexts > 0").count() == 0
+
+
+def test_notation(spark):
+    from pathloom.functions.expressions import abbreviated_metaedge, abbreviated_metapath, pretty_metaedge
+
+    names, edges = F.create_map(F.lit("Gene"), F.lit("G"), F.lit("Term"), F.lit("T")), F.create_map(F.lit("binds"), F.lit("b"), F.lit("has"), F.lit("h"))
+    mp = F.struct(F.array(F.lit("binds"), F.lit("has"), F.lit("other")).alias("edges"), F.array(F.lit("Gene#1"), F.lit("Gene"), F.lit("Term#x"), F.lit("Odd")).alias("nodes"), F.array(F.lit(-1), F.lit(1), F.lit(0)).alias("dirs"))
+    edge = lambda f, d, *more: f(F.lit("Gene"), F.lit("binds"), F.lit("Gene"), F.lit(d), *more)
+    r = spark.range(1).select(abbreviated_metapath(mp, names, edges), edge(abbreviated_metaedge, -1, names, edges), edge(abbreviated_metaedge, 0, names, edges), edge(pretty_metaedge, 1), pretty_metaedge(F.lit("Gene"), F.lit("has"), F.lit("Term"), F.lit(1))).first()
+    assert tuple(r) == ("G_1<bGhT_xotherOdd", "G<bG", "GbG", "Gene--binds>--Gene", "Gene--has--Term")
