@@ -44,7 +44,8 @@ def set_weight(coverage: DataFrame, t: dict, alpha: float = 0.5) -> float:
 class Coverage:
     """Coverage as bitmaps of pairs, and the weight that each rule would still add to a set.
 
-    gains: rule_id, tp, fp (weights of what the rule matches and no chosen rule does) and confidence; a row a rule.  bits:
+    gains: rule_id, tp, fp (weights of what the rule matches and no chosen rule does) and confidence; a row a rule.  A step is one
+    written table with the gains after it and, without a rule_id, the words and bits that it newly covered.  bits:
     rule_id, word, part, bits, in folders by part of the words, so that a step reads those of the words it changes; by_rule: the
     same in the order of the rules, so that a chosen rule's words are found by their files' statistics.
     """
@@ -61,8 +62,9 @@ class Coverage:
         held = coverage.select("rule_id", "a", "b", "label").join(pairs.select("a", "b", "label", "word", "bit"), ["a", "b", "label"]).groupBy("rule_id", "word").agg(bitmaps.set_of().alias("bits"))
         self.by_rule = self._kept("cover-rules", held.repartitionByRange("rule_id").sortWithinPartitions("rule_id"))
         self.bits = self._kept("cover-words", self.by_rule.select("rule_id", "word", "bits", part).repartition("part"), "part")
-        self.gains = self._kept("cover-gains", self._weighed(self.by_rule).withColumn("confidence", ratio(F.col("tp"), F.col("tp") + F.col("fp"))))
-        self.covered: DataFrame | None = None
+        gains = self._weighed(self.by_rule).withColumn("confidence", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+        self.gains = self._kept("cover-gains", gains.withColumns({"word": F.lit(None).cast("long"), "bits": F.lit(None).cast("long")}))
+        self.steps: list[str] = []
 
     def _kept(self, name: str, df: DataFrame, *by: str) -> DataFrame:
         self.step += 1
@@ -80,17 +82,19 @@ class Coverage:
 
     def choose(self, rule: int) -> None:
         """What the rule adds is taken off the other rules' gains: only the words that it changes are read."""
-        mine = self.by_rule.filter(F.col("rule_id") == rule).select("word", "bits")
-        if self.covered is not None:
-            before = self.covered.join(mine.select("word"), "word", "left_semi").groupBy("word").agg(F.bit_or("bits").alias("before"))
+        spark, mine = self.bits.sparkSession, self.by_rule.filter(F.col("rule_id") == rule).select("word", "bits")
+        if self.steps:
+            seen = spark.read.schema(self.gains.schema).parquet(*self.steps).filter("rule_id is null").join(mine.select("word"), "word", "left_semi")
+            before = seen.groupBy("word").agg(F.bit_or("bits").alias("before"))
             mine = mine.join(before, "word", "left").select("word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("long")))).alias("bits"))
-        new = self._kept("cover-new", mine.filter("bits <> 0").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(self.PARTS)).cast("int")))
-        self.covered = new.select("word", "bits") if self.covered is None else self.covered.unionByName(new.select("word", "bits"))
+        new = mine.filter("bits <> 0").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(self.PARTS)).cast("int"))
         hit = self.bits.join(new.select("part", "word", F.col("bits").alias("new")), ["part", "word"]).select("rule_id", "word", F.col("bits").bitwiseAND(F.col("new")).alias("bits")).filter("bits <> 0")
         less = self._weighed(hit).select("rule_id", F.col("tp").alias("_tp"), F.col("fp").alias("_fp"))
         left = lambda name: (F.col(name) - F.coalesce(F.col(f"_{name}"), F.lit(0.0))).alias(name)
-        rest = self.gains.filter(F.col("rule_id") != rule).join(less, "rule_id", "left")
-        self.gains = self._kept("cover-gains", rest.select("rule_id", left("tp"), left("fp"), "confidence"))
+        rest = self.gains.filter(F.col("rule_id") != rule).join(less, "rule_id", "left").select("rule_id", left("tp"), left("fp"), "confidence", "word", "bits")
+        step = self._kept("cover-step", rest.unionByName(new.select("word", "bits"), allowMissingColumns=True))
+        self.steps.append(self.store.made[-1])
+        self.gains = step.filter("rule_id is not null")
 
 
 def set_cover(coverage: DataFrame, t: dict, alpha: float = 0.5, most: int | None = None, store: StageStore | None = None) -> list[tuple[int, float]]:
