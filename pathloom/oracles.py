@@ -288,6 +288,11 @@ SQL: dict[str, str] = {
         SELECT DISTINCT r.rule_id, p.a, p.b FROM rules r JOIN places p ON p.mp_id = r.clause[1] AND p.pos = r.clause[2] JOIN places q ON q.mp_id = r.clause[3] AND q.pos = r.clause[4] AND q.a = p.a AND q.b = p.b AND q.node = p.node""",
     "fpr_pruned_rules": f"WITH {RULED} SELECT rule_id, round(fp, 6) AS fp FROM (SELECT rule_id, coalesce(fp, 0) AS fp FROM rules LEFT JOIN rt USING (rule_id)), tot WHERE round(fp, 9) <= round(0.05 * wn, 9)",
     "rule_confidence": f"WITH {RULED} SELECT rule_id, round(tp, 6) AS tp, round(fp, 6) AS fp, round(tp / (tp + fp), 6) AS confidence FROM rt",
+    "significant_rules": f"""WITH {RULED}, k AS (SELECT rule_id, count(*) FILTER (label = 1) AS tp, count(*) AS hits FROM coverage GROUP BY rule_id),
+        terms AS (SELECT rule_id, hits, np, nn, unnest(range(tp, least(hits, np) + 1)) AS x FROM k, tot),
+        p AS (SELECT rule_id, least(sum(CASE WHEN hits - x > nn THEN 0 ELSE exp(lgamma(np + 1) - lgamma(x + 1) - lgamma(np - x + 1) + lgamma(nn + 1) - lgamma(greatest(hits - x, 0) + 1) - lgamma(greatest(nn - hits + x, 0) + 1)
+          - lgamma(np + nn + 1) + lgamma(hits + 1) + lgamma(np + nn - hits + 1)) END), 1) AS p FROM terms GROUP BY rule_id)
+        SELECT rule_id, round(p, 6) AS p_value FROM p WHERE p <= 0.05""",
     "rule_support_ratio": f"WITH {RULED} SELECT rule_id, round(tp / wp, 6) AS support, round(tp / (tp + np / nn * fp), 6) AS confidence FROM rt, tot",
     "explanation_subgraph": f"""WITH {RULED}, f AS (SELECT m.rule_id, m.a, m.b, p.mp_id, p.mids FROM matches m JOIN rules r USING (rule_id) JOIN ipaths p ON p.a = m.a AND p.b = m.b AND p.mp_id IN (r.items[1], r.items[2])),
         w AS (SELECT rule_id, a, b, mp_id, list_concat(list_concat([a], mids), [b]) AS walk FROM f), h AS (SELECT DISTINCT w.rule_id, w.a, w.b, d.edges[i] AS label, w.walk[i] AS u, w.walk[i + 1] AS v FROM w JOIN dictionary d USING (mp_id), range(1, 4) t(i) WHERE i <= len(d.edges))
