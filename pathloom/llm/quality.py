@@ -3,20 +3,20 @@
 Trusted positives are rows labelled 1; the unlabelled set is plain web text whose labels are not looked at.  A small
 network minimises the non-negative unbiased risk: with class prior p, the loss of calling unlabelled rows bad, less p
 times that of calling positives bad, is kept from falling below zero (when it does, the step goes the other way).
-The class prior is the share of ones among the labelled training rows.
+The class prior is estimated from positives and unlabelled rows alone, labels of 0 are not needed and not read (class_prior).
 
 What it learns from is bounded: at most MAX_POSITIVE trusted rows and MAX_UNLABELLED others, those with the smallest
 hash of their id.  Scores are computed for every row from its whole text.
 
 Defined results: a null text counts as empty and gets the score of the empty text; equal texts get equal scores; without
-any labelled training row every score is 0.5 (predicted 1); repeated rows are scored each, and of rows that share an id one
+any training row labelled 1 every score is 0.5 (predicted 1); with fewer than MIN_FOLD rows in a fold the prior is 0.5; repeated rows are scored each, and of rows that share an id one
 is learned from; rows with a null id are scored and not learned from; very long texts are read whole; an empty table gives
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from pathloom.llm._common import give_back, short_batches, unused
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 80, 512, 3e-3, 7
+#: Epochs of the networks that only order rows for the prior, the least number of rows of a fold, and the confidence of its bound.
+PRIOR_EPOCHS, MIN_FOLD, PRIOR_DELTA = 20, 5, 0.1
 
 _LETTER, _UPPER, _DIGIT, _SPACE, _WIDE = (np.zeros(256, bool) for _ in range(5))
 _LETTER[[*range(65, 91), *range(97, 123)]] = _UPPER[65:91] = _DIGIT[48:58] = _SPACE[[9, 10, 11, 12, 13, 32]] = _WIDE[128:] = True
@@ -91,8 +93,49 @@ def risk_gradient(z: np.ndarray, n: int, prior: float) -> tuple[float, np.ndarra
     return good + max(0.0, bad), g
 
 
+def apart_gradient(z: np.ndarray, n: int) -> np.ndarray:
+    """The logistic loss of telling positives (the first n) from unlabelled rows, both sides weighing the same."""
+    s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    return np.concatenate([(s[:n] - 1) / n, s[n:] / (len(z) - n)]) / 2
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> PUModel:
-    """Adam on the non-negative risk with the logistic loss; the same input gives the same model."""
+    """The network of least non-negative risk with the logistic loss; the same input gives the same model."""
+    return _network(positive, unlabelled, prior, lambda z, n: risk_gradient(z, n, prior)[1], EPOCHS)
+
+
+def _tail_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of unlabelled over that of positive scores from a threshold on, at the threshold of least upper bound.
+
+    Where only positives score, that ratio is their share among the unlabelled; elsewhere it is more.  The bound keeps the
+    threshold away from tails of few rows (the best-bin estimator of mixture proportions).
+    """
+    at = np.unique(positive)
+    q_p = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    q_u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    slack = sum(np.sqrt(np.log(4 / PRIOR_DELTA) / (2 * n)) for n in (len(positive), len(unlabelled)))
+    best = np.argmin((q_u + slack) / q_p)
+    return float(q_u[best] / q_p[best])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, by features of both.
+
+    Each half of the rows is ordered by a network that learned from the other half to tell positives from unlabelled rows;
+    the two estimates are averaged and kept within 0.01 and 0.99.
+    """
+    halves = [(positive[i::2], unlabelled[i::2]) for i in (0, 1)]
+    if min(len(x) for half in halves for x in half) < MIN_FOLD:
+        return 0.5
+    found = []
+    for own, other in (halves, halves[::-1]):
+        model = _network(*other, 0.5, apart_gradient, PRIOR_EPOCHS)
+        found.append(_tail_ratio(model.logits(own[0]), model.logits(own[1])))
+    return min(0.99, max(0.01, sum(found) / 2))
+
+
+def _network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, gradient: Callable[[np.ndarray, int], np.ndarray], epochs: int) -> PUModel:
+    """Adam on a gradient of the logits of some positives and then some unlabelled rows."""
     rng = np.random.default_rng(SEED)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-3
@@ -101,7 +144,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> PUModel:
     model = PUModel(mean, scale, params, prior)
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     p_all, u_all = (np.clip((a - mean) / scale, -8, 8) for a in (positive, unlabelled))
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         u_order = rng.permutation(len(u_all))
         for at in range(0, len(u_order), BATCH):
             u = u_all[u_order[at : at + BATCH]]
@@ -109,7 +152,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> PUModel:
             x = np.concatenate([p, u])
             h = np.tanh(x @ params[0] + params[1])
             z = h @ params[2] + params[3]
-            g = risk_gradient(z, len(p), prior)[1]
+            g = gradient(z, len(p))
             gh = np.outer(g, params[2]) * (1 - h * h)
             grads = [x.T @ gh + 1e-4 * params[0], gh.sum(0), h.T @ g + 1e-4 * params[2], g.sum()]
             step += 1
@@ -131,15 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     What comes to the driver is at most MAX_POSITIVE and MAX_UNLABELLED rows of numbers, however many rows share an id.
     """
     short_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(~held_out("_id") & F.col("_id").isNotNull() & F.col("quality").isNotNull()).groupBy("_id").agg(F.max("quality").alias("quality"))
-    stats = known.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
-    if not stats["n"] or not stats["good"]:
-        return None
-    prior = min(0.99, max(0.01, stats["good"] / stats["n"]))
+    known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(~held_out("_id") & F.col("_id").isNotNull() & (F.col("quality") == 1)).select("_id").distinct()
     order = F.xxhash64("_id")
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(~held_out("_id") & F.col("_id").isNotNull())
     # Ids first, texts after: the sort for the sample moves no texts.
-    good = known.filter("quality = 1").select("_id").orderBy(order, "_id").limit(MAX_POSITIVE).withColumn("trusted", F.lit(1))
+    good = known.orderBy(order, "_id").limit(MAX_POSITIVE).withColumn("trusted", F.lit(1))
     plain = base.select("_id").distinct().orderBy(order, "_id").limit(MAX_UNLABELLED).withColumn("trusted", F.lit(0))
     asked = good.unionByName(plain)
 
@@ -151,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = base.join(F.broadcast(asked), "_id").select("_id", "trusted", "_text").mapInArrow(run, "_id long, trusted int, x binary").groupBy("_id", "trusted").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["trusted"], r["_id"]))
     sets = [np.array([np.frombuffer(r["x"]) for r in rows if r["trusted"] == t]) for t in (1, 0)]
-    return fit(sets[0], sets[1], prior) if len(sets[0]) and len(sets[1]) else None
+    return fit(sets[0], sets[1], class_prior(*sets)) if len(sets[0]) and len(sets[1]) else None
 
 
 def score_documents(docs: DataFrame, model: PUModel | None, text_col: str = "text", score_col: str = "_score") -> DataFrame:

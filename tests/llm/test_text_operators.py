@@ -415,6 +415,40 @@ def test_classifier(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_prior_of_planted_mixtures():
+    """Positives and unlabelled rows alone give the share, within 0.1 of the truth."""
+    rng = np.random.default_rng(11)
+    for share in (0.2, 0.5, 0.8):
+        n = int(4_000 * share)
+        mixed = rng.permutation(np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (4_000 - n, 4))]))
+        assert quality.class_prior(rng.normal(1.5, 1, (2_000, 4)), mixed) == pytest.approx(share, abs=0.1)
+    assert quality.class_prior(rng.normal(1, 1, (4, 4)), mixed) == 0.5
+
+
+def test_apart_gradient_by_differences():
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 1, 20)
+    cost = lambda z: (np.logaddexp(0, -z[:8]).mean() + np.logaddexp(0, z[8:]).mean()) / 2
+    for k, g in enumerate(quality.apart_gradient(z, 8)):
+        step = np.zeros(20)
+        step[k] = 1e-6
+        assert g == pytest.approx((cost(z + step) - cost(z - step)) / 2e-6, abs=1e-7)
+
+
+def test_classifier_without_negative_labels(spark):
+    """Labels of 1 alone: junk is rejected all the same."""
+    rng = np.random.default_rng(2)
+    words = ["the", "river", "carries", "water", "from", "hills", "to", "towns", "and", "people", "drink", "it", "every", "day"]
+    good = [" ".join(rng.choice(words, 40)).capitalize() + "." for _ in range(900)]
+    junk = ["".join(rng.choice(list("$#@!0123456789 |"), 200)) for _ in range(600)]
+    d = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 900, 2)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(d, labels).collect()
+    assert quality.train(d, labels).prior == pytest.approx(0.6, abs=0.1)
+    assert np.mean([r["predicted"] for r in rows if r["doc_id"] >= 900]) < 0.02
+    assert np.mean([r["predicted"] for r in rows if r["doc_id"] < 900]) > 0.98
+
+
 def test_classifier_edges(spark):
     labels = spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.classify(docs(spark), labels).collect()} == {0.5}
