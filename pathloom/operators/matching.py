@@ -5,6 +5,9 @@ rules: rule_id, items, clause, thr (one threshold per item; null: none).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +56,43 @@ def folded(matches: DataFrame, pairs: DataFrame, *more: str) -> DataFrame:
     return matches.unionByName(back).join(known, ["a", "b"], "left_semi").select("rule_id", "a", "b", *more).distinct()
 
 
-def matching_paths(rules: DataFrame, paths: DataFrame) -> DataFrame:
+def matching_paths(rules: DataFrame, paths: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """rule_id, a, b, node, slot, mp_id, mids, score: the paths of each match, per qualifying node where there is a clause.
 
+    found: the matches, where something else than match decides on them.
+
     A metapath outside the clause has its paths under a null node, once any node qualifies.
     """
-    found, s = match(rules, paths), slots(rules)
+    found, s = match(rules, paths) if found is None else found, slots(rules)
     hit = paths.join(s, "mp_id").filter(_enough("score")).join(found, ["rule_id", "a", "b"], "left_semi")
     free = hit.filter("pos is null").withColumn("node", F.lit(None).cast("string"))
     tied = hit.filter("pos is not null").withColumn("node", F.get("mids", F.col("pos") - 1)).join(clause_nodes(rules, paths), ["rule_id", "a", "b", "node"], "left_semi")
     return free.unionByName(tied, allowMissingColumns=True).select("rule_id", "a", "b", "node", "slot", "mp_id", "mids", "score")
 
 
+class Matcher(Protocol):
+    """Decides which pairs a rule holds.  An engine takes any object with these two methods in place of MetapathMatcher."""
+
+    def match(self, rules: DataFrame, paths: DataFrame) -> DataFrame:
+        """rule_id, a, b, each once.  rules: rule_id, items, clause, thr; paths: a, b, mp_id, mids, score."""
+        ...
+
+    def matching_paths(self, rules: DataFrame, paths: DataFrame) -> DataFrame:
+        """rule_id, a, b, node, slot, mp_id, mids, score: the paths that explain each of the matches."""
+        ...
+
+
+@dataclass(frozen=True)
+class MetapathMatcher:
+    """All items over their thresholds, and the shared nodes of the clause."""
+
+    def match(self, rules: DataFrame, paths: DataFrame) -> DataFrame:
+        return match(rules, paths)
+
+    def matching_paths(self, rules: DataFrame, paths: DataFrame) -> DataFrame:
+        return matching_paths(rules, paths)
+
+
 def low_fpr(rules: DataFrame, negative_matches: DataFrame, weights: DataFrame, most: float = 1.0) -> DataFrame:
     """Rules whose weighted negative matches are at most a share of all negative weight; with that weight."""
     hit = negative_matches.join(weights.select("a", "b", "weight"), ["a", "b"]).groupBy("rule_id").agg(F.sum("weight").alias("fp"))

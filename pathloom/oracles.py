@@ -297,6 +297,15 @@ SQL: dict[str, str] = {
     "explanation_subgraph": f"""WITH {RULED}, f AS (SELECT m.rule_id, m.a, m.b, p.mp_id, p.mids FROM matches m JOIN rules r USING (rule_id) JOIN ipaths p ON p.a = m.a AND p.b = m.b AND p.mp_id IN (r.items[1], r.items[2])),
         w AS (SELECT rule_id, a, b, mp_id, list_concat(list_concat([a], mids), [b]) AS walk FROM f), h AS (SELECT DISTINCT w.rule_id, w.a, w.b, d.edges[i] AS label, w.walk[i] AS u, w.walk[i + 1] AS v FROM w JOIN dictionary d USING (mp_id), range(1, 4) t(i) WHERE i <= len(d.edges))
         SELECT DISTINCT h.rule_id, h.a, h.b, e.label || '|' || e.src || '|' || e.dst AS eid FROM h JOIN edges e ON e.label = h.label AND ((e.src = h.u AND e.dst = h.v) OR (e.src = h.v AND e.dst = h.u))""",
+    "explanation_graphml": f"""WITH {RULED}, f AS (SELECT m.rule_id, m.a, m.b, p.mp_id, p.mids FROM matches m JOIN rules r USING (rule_id) JOIN ipaths p ON p.a = m.a AND p.b = m.b AND p.mp_id IN (r.items[1], r.items[2])),
+        w AS (SELECT rule_id, a, b, mp_id, list_concat(list_concat([a], mids), [b]) AS walk FROM f), h AS (SELECT DISTINCT w.rule_id, w.a, w.b, d.edges[i] AS label, w.walk[i] AS u, w.walk[i + 1] AS v FROM w JOIN dictionary d USING (mp_id), range(1, 4) t(i) WHERE i <= len(d.edges)),
+        x AS (SELECT DISTINCT h.rule_id, h.a, h.b, e.label || '|' || e.src || '|' || e.dst AS eid, e.src, e.dst, e.label, round(e.score, 6) AS score, e.target_id FROM h JOIN edges e ON e.label = h.label AND ((e.src = h.u AND e.dst = h.v) OR (e.src = h.v AND e.dst = h.u))),
+        v AS (SELECT DISTINCT rule_id, a, b, unnest([src, dst]) AS id FROM x),
+        nt AS (SELECT rule_id, a, b, count(*) AS n_nodes, string_agg('<node id="' || id || '"><data key="n_id">' || id || '</data><data key="n_labels">:' || n.type || '</data><data key="n_name">' || n.name || '</data></node>', '' ORDER BY id) AS t FROM v JOIN nodes n USING (id) GROUP BY ALL),
+        et AS (SELECT rule_id, a, b, count(*) AS n_edges, string_agg('<edge source="' || src || '" target="' || dst || '"><data key="e_label">' || label || '</data><data key="e_score">' || CAST(score AS VARCHAR) || '</data>' || coalesce('<data key="e_target">' || target_id || '</data>', '') || '</edge>', '' ORDER BY eid) AS t FROM x GROUP BY ALL)
+        SELECT a, b, rule_id, CAST(n_nodes AS INTEGER) AS n_nodes, CAST(n_edges AS INTEGER) AS n_edges, '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="n_id" for="node" attr.name="id" attr.type="string"/><key id="n_labels" for="node" attr.name="labels" attr.type="string"/>'
+          || '<key id="n_name" for="node" attr.name="name" attr.type="string"/><key id="e_label" for="edge" attr.name="label" attr.type="string"/><key id="e_score" for="edge" attr.name="score" attr.type="double"/><key id="e_target" for="edge" attr.name="target" attr.type="string"/><graph edgedefault="directed">'
+          || nt.t || et.t || '</graph></graphml>' AS xml FROM nt JOIN et USING (rule_id, a, b)""",
     "subgraph_sizes": f"""WITH {RULED}, f AS (SELECT m.rule_id, m.a, m.b, p.mp_id, p.mids FROM matches m JOIN rules r USING (rule_id) JOIN ipaths p ON p.a = m.a AND p.b = m.b AND p.mp_id IN (r.items[1], r.items[2])),
         n AS (SELECT rule_id, a, b, count(DISTINCT n) AS n_nodes FROM (SELECT rule_id, a, b, unnest(list_concat(list_concat([a], mids), [b])) AS n FROM f) GROUP BY ALL) SELECT rule_id, a, b, count(*) AS n_paths, any_value(n_nodes) AS n_nodes FROM f JOIN n USING (rule_id, a, b) GROUP BY ALL""",
     "explanation_rank": f"WITH {RULED} SELECT a, b, rule_id, round(probability, 6) AS probability, CAST(dense_rank() OVER (PARTITION BY a, b ORDER BY probability DESC) AS INTEGER) AS rank FROM matches JOIN prob USING (rule_id)",

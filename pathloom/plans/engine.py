@@ -77,10 +77,11 @@ class Engine:
     """Steps over one graph.  The adjacency and the paths of a table of pairs are known by what they are made from: a hash of the
     graph's rows and of the pairs, and the parameters that paths depend on.  So engines that share a store, such as those of
     a parameter study, walk each table of pairs once, and a changed edge walks it anew.  All other stages are an engine's own.
+    matcher: what decides which pairs a rule holds; candidates and thresholds are found by metapaths in any case.
     """
 
-    def __init__(self, graph: Graph, parameters: Parameters | None = None, store: StageStore | None = None):
-        self.graph, self.parameters = graph, parameters or Parameters()
+    def __init__(self, graph: Graph, parameters: Parameters | None = None, store: StageStore | None = None, matcher: matching.Matcher | None = None):
+        self.graph, self.parameters, self.matcher = graph, parameters or Parameters(), matcher or matching.MetapathMatcher()
         self.store = store or StageStore(tuned(graph.nodes.sparkSession))
         #: No two engines have the same, so none reads the own stages of another, nor two steps those of each other.
         self._key, self._stage, self._adjacency, self._content = uuid.uuid4().hex, 0, None, None
@@ -167,7 +168,7 @@ class Engine:
         patterns = self.mine(found, positives)
         took["mining"], clock = time.perf_counter() - clock, time.perf_counter()
         rules = patterns.select(F.col("pat_id").alias("rule_id"), "items", "clause", "thr")
-        matches = self._kept("matches", self._folded(matching.match(rules, found), samples))
+        matches = self._kept("matches", self._folded(self.matcher.match(rules, found), samples))
         kept = self._kept("rules", matching.low_fpr(rules, matches.join(negatives.select("a", "b"), ["a", "b"], "left_semi"), negatives, p.max_fpr))
         coverage = self._kept("coverage", matches.join(kept.select("rule_id"), "rule_id", "left_semi").join(samples.select("a", "b", "label", "weight"), ["a", "b"]))
         t = cover.totals(samples)
@@ -188,7 +189,7 @@ class Engine:
         walked = self.paths(pairs) if walked is None else walked
         known = model.rules.select(F.explode(F.arrays_zip("items", "mps")).alias("e")).select(F.col("e.items").alias("mp_id"), F.col("e.mps").alias("mp")).distinct()
         found = self._kept("new-paths", walked.join(F.broadcast(known), "mp").select("a", "b", "mp_id", "mids", "score"))  # metapaths of the schema
-        return self._kept("new-matches", self._folded(matching.match(model.rules, found), pairs)), found
+        return self._kept("new-matches", self._folded(self.matcher.match(model.rules, found), pairs)), found
 
     def _default(self, model: Model) -> DataFrame:
         return model.rules.sparkSession.createDataFrame([(model.default,)], "default_probability double")
@@ -199,7 +200,7 @@ class Engine:
     def explain(self, model: Model, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(a, b, rule_id, probability, rank, n_paths, n_nodes; the edges rule_id, a, b, eid of each explanation)."""
         matches, found = self._matches(model, pairs)
-        shown = matching.matching_paths(model.rules, found)
+        shown = self.matcher.matching_paths(model.rules, found)
         ranked = cover.explanations(matches, model.rules.select("rule_id", "probability"))
         known = model.rules.select(F.explode(F.arrays_zip("items", "mps")).alias("e")).select(F.col("e.items").alias("mp_id"), F.col("e.mps").alias("mp")).distinct()
         sizes, edges = matching.subgraph_sizes(shown), matching.explanation_edges(self.graph, shown, known)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.tables import explanation_rows, explanation_texts
 from pathloom.operators import cover, evaluation, graph, labels, matching, mining, paths, studies, thresholds
 from pathloom.operators.mining import CLAUSE
 from pathloom.oracles import SQL
@@ -542,6 +543,14 @@ def explanation_subgraph(spark, d):
     return matching.explanation_edges(stage_graph(spark, d), matching.matching_paths(rules(spark, d), p), ids)
 
 
+@query
+def explanation_graphml(spark, d):
+    """Each explanation as GraphML, by the table function of SQL; scores with six digits."""
+    g = stage_graph(spark, d)
+    rows = explanation_rows(g, explanation_subgraph(spark, d))
+    return explanation_texts(rows.withColumn("score", F.round("score", 6)))
+
+
 @query
 def subgraph_sizes(spark, d):
     return matching.subgraph_sizes(matching.matching_paths(rules(spark, d), interned(spark, d)[0]))

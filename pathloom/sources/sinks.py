@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.tables import explanation_rows
 from pathloom.plans.engine import Parameters
 from pathloom.sources.graphml import to_xml
 from pathloom.sources.tables import Graph
@@ -19,11 +20,8 @@ def explanation_graphs(graph: Graph, ranked: DataFrame, edges: DataFrame) -> Dat
 
     ranked: a, b, rule_id, rank, probability, n_paths; edges: rule_id, a, b, eid.  A group holds one explanation.
     """
-    n = graph.nodes.select("id", "type", "name")
-    full = edges.join(graph.edges.select("eid", "src", "dst", "label", "score", "target_id"), "eid")
-    named = full.join(n.select(F.col("id").alias("src"), F.col("type").alias("src_type"), F.col("name").alias("src_name")), "src").join(n.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.col("name").alias("dst_name")), "dst")
     title = F.concat(F.concat_ws("-", "a", "b", F.col("rank").cast("string"), F.format_string("%.3f", "probability"), F.col("n_paths").cast("string")), F.lit(".graphml"))
-    rows = named.join(ranked.select("a", "b", "rule_id", title.alias("title")), ["a", "b", "rule_id"])
+    rows = explanation_rows(graph, edges).join(ranked.select("a", "b", "rule_id", title.alias("title")), ["a", "b", "rule_id"])
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = {r[f"{end}"]: {"id": r[end], "type": r[f"{end}_type"], "name": r[f"{end}_name"]} for r in pdf.to_dict("records") for end in ("src", "dst")}
