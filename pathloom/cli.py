@@ -1,4 +1,4 @@
-"""Command line: train, predict, explain, test, evaluate over a GraphML file and files of pairs."""
+"""Command line: train, predict, explain, test, evaluate, and reach over a GraphML file and files of pairs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.operators import labels
+from pathloom.operators import labels, networks, paths
 from pathloom.plans.engine import Engine, Model, Parameters
 from pathloom.sources import graphml
 from pathloom.sources.pairs import one_pair, prediction_table, read_pairs, write_delimited, write_predictions
@@ -19,10 +19,10 @@ from pathloom.sources.tables import Graph
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pathloom", description=__doc__)
-    p.add_argument("action", choices=["train", "predict", "explain", "test", "evaluate"])
+    p.add_argument("action", choices=["train", "predict", "explain", "test", "evaluate", "reach"])
     p.add_argument("--kg", required=True, help="GraphML file")
     p.add_argument("--model", help="folder of the model")
-    p.add_argument("--input", help="file of pairs (predict) or one pair (explain)")
+    p.add_argument("--input", help="file of pairs (predict, reach) or one pair (explain)")
     p.add_argument("--positives", help="file of positive pairs with header first, second, weight; without, they come from the evidence nodes of the graph")
     p.add_argument("--negatives", help="file of negative pairs with header first, second, weight")
     p.add_argument("--id_format", choices=["id", "name"], default="name")
@@ -75,10 +75,19 @@ def explained(engine: Engine, model: Model, pairs: DataFrame, out: str, single:
     write_delimited(edges.join(engine.graph.edges.select("eid", "src", "dst", "label", "score", "target_id"), "eid"), f"{out}/explanation_edges")
 
 
+def reached(graph: Graph, pairs: DataFrame, out: str) -> None:
+    """Pairs joined within one to four hops of each named network, and the types that networks list and the graph lacks."""
+    write_delimited(paths.reachability(paths.network_distances(graph, pairs, networks.by_types())), f"{out}/reachability")
+    write_delimited(networks.unknown_types(graph), f"{out}/unknown_types")
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("pathloom").getOrCreate()
     graph = graphml.read(spark, args.kg)
+    if args.action == "reach":
+        reached(graph, read_pairs(spark, graph, args.input, args.id_format, args.delimiter)[0], args.output)
+        return
     engine = Engine(graph, parameters(args), StageStore(spark, args.stages) if args.stages else None)
     if args.action in ("train", "test", "evaluate"):
         train, held = samples(spark, graph, args)

@@ -112,3 +112,18 @@ def test_gene_networks(spark):
     missing = {(r["network"], r["type"]) for r in networks.unknown_types(graph).collect()}
     assert ("SEQSIM", "seqSimilar") in missing and ("ALL", "Disease") in missing and not any(t in ("Gene", "hasUnit") for _, t in missing)
     assert networks.unknown_types(graph, networks.GENE_NETWORKS[1:3]).count() == 0
+
+
+def test_reach_on_the_command_line(spark, tmp_path):
+    from pathloom import cli
+    from pathloom.sources import graphml
+
+    nodes = [{"id": i, "type": t, "name": i} for i, t in (("g1", "Gene"), ("g2", "Gene"), ("g3", "Gene"), ("d", "ProteinDomain"))]
+    edges = [{"src": s, "dst": t, "label": e, "score": 1.0, "target_id": None} for s, t, e in (("g1", "g2", "coexpresses"), ("g1", "d", "hasUnit"), ("g3", "d", "hasUnit"))]
+    (tmp_path / "kg.graphml").write_text(graphml.to_xml(nodes, edges))
+    (tmp_path / "pairs.tsv").write_text("g1\tg2\ng1\tg3\n")
+    cli.main(["reach", "--kg", str(tmp_path / "kg.graphml"), "--input", str(tmp_path / "pairs.tsv"), "--output", str(tmp_path)])
+    rows = spark.read.csv(str(tmp_path / "reachability"), header=True, sep="\t", inferSchema=True).collect()
+    got = {(r["network"], r["hops"]): r["cumulative"] for r in rows}
+    assert (got["COEXP", 1], got["COEXP", 4], got["DOMAIN", 1], got["DOMAIN", 2], got["ALL", 1], got["ALL", 2], got["SEQSIM", 4]) == (1, 1, 0, 1, 1, 2, 0)
+    assert "seqSimilar" in {r["type"] for r in spark.read.csv(str(tmp_path / "unknown_types"), header=True, sep="\t").collect()}
