@@ -226,6 +226,8 @@ SQL: dict[str, str] = {
     "typed_subgraph": f"WITH {WALKED} SELECT src, dst, label FROM typed WHERE src_type IN ('Customer', 'Part') AND dst_type IN ('Customer', 'Part') AND label IN ('purchases', 'refers')",
     "subgraph_dropped": f"WITH {WALKED} SELECT src, dst, label FROM typed WHERE src_type NOT IN ('Part') AND dst_type NOT IN ('Part') AND label NOT IN ('locatedIn')",
     "subgraph_by_nodes": f"WITH {WALKED} SELECT src, dst, label FROM typed WHERE src IN (SELECT id FROM nodes WHERE orient_val < 1500) AND dst IN (SELECT id FROM nodes WHERE orient_val < 1500)",
+    "graphml_round_trip": f"""WITH {WALKED} SELECT e.label || '|' || e.src || '|' || e.dst AS eid, e.src, s.type AS src_type, s.name AS src_name, round(s.orient_val, 6) AS src_value, e.dst, t.type AS dst_type, t.name AS dst_name,
+        round(t.orient_val, 6) AS dst_value, e.label, round(e.score, 6) AS score, e.target_id, array_to_string(e.ctx, ',') AS ctx FROM edges e JOIN nodes s ON e.src = s.id JOIN nodes t ON e.dst = t.id""",
     "oriented_pairs": f"WITH {_SAMPLES.lstrip()} SELECT a, b FROM samples",
     "resolved_names": f"WITH {_NODES} SELECT name AS key, id AS node_id FROM nodes WHERE type = 'Customer'",
     "neighbor_coverage": f"WITH {PAIRED}, e AS (SELECT DISTINCT unnest([a, b]) AS id FROM samples WHERE label = 1), s AS (SELECT DISTINCT u, v_type FROM adj WHERE u IN (SELECT id FROM e)) SELECT v_type, count(*) AS n_entities, round(count(*) / (SELECT count(DISTINCT u) FROM s), 6) AS coverage FROM s GROUP BY v_type",

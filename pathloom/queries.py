@@ -13,8 +13,8 @@ from pathloom.operators import cover, evaluation, graph, labels, matching, minin
 from pathloom.operators.mining import CLAUSE
 from pathloom.oracles import SQL
 from pathloom.plans.tuning import tuned
-from pathloom.sources import tables
-from pathloom.sources.store import StageStore
+from pathloom.sources import graphml, tables
+from pathloom.sources.store import StageStore, shared_dir
 
 #: Share of the positives' weight that a frequent set needs in these queries.
 RATIO = 0.02
@@ -191,6 +191,17 @@ def subgraph_by_nodes(spark, d):
     return graph.induced(g, g.nodes.filter("orient_val < 1500"), g.edges).edges.select("src", "dst", "label")
 
 
+@query
+def graphml_round_trip(spark, d):
+    """Every edge of the graph, with the types and names of its ends, after a way through GraphML documents and back."""
+    path = f"{shared_dir(spark).rstrip('/')}/graphml-{uuid.uuid4().hex}"
+    graphml.write(stage_graph(spark, d), path)
+    back = graphml.read(spark, path, source="graphml")
+    end = lambda k: back.nodes.select(F.col("id").alias(k), F.col("type").alias(f"{k}_type"), F.col("name").alias(f"{k}_name"), r6("orient_val", f"{k}_value"))
+    joined = back.edges.join(end("src"), "src").join(end("dst"), "dst")
+    return joined.select("eid", "src", "src_type", "src_name", "src_value", "dst", "dst_type", "dst_name", "dst_value", "label", r6("score"), "target_id", F.array_join("ctx", ",").alias("ctx"))
+
+
 @query
 def oriented_pairs(spark, d):
     key = lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
