@@ -6,7 +6,7 @@ import gc
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -96,9 +96,11 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Whole texts go to Python in batches of so many rows: batches of 10,000, the default, hold too many long ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def short(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, without a copy: batches of 10,000, the default, hold too many long texts to work on at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def give_back() -> None:

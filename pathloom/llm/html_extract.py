@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pathloom.llm._common import short_batches
+from pathloom.llm._common import short
 from pathloom.llm.html_blocks import Block, blocks
 
 PATH_SLOTS, LEAF_SLOTS, WORD_SLOTS, SHARES = 512, 32, 32, 9
@@ -376,11 +376,10 @@ def texts_of(pages: list[str | None], model: Labeller) -> list[str]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    short_batches(pages.sparkSession, 2 * LABEL_PAGES)
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches, 2 * LABEL_PAGES):
             texts: list[str] = []
             for lo in range(0, b.num_rows, LABEL_PAGES):
                 texts += texts_of(b.column(2).slice(lo, LABEL_PAGES).to_pylist(), model)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import give_back, short_batches, unused
+from pathloom.llm._common import give_back, short, unused
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 80, 512, 3e-3, 7
@@ -173,7 +173,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     What comes to the driver is at most MAX_POSITIVE and MAX_UNLABELLED rows of numbers, however many rows share an id.
     """
-    short_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(~held_out("_id") & F.col("_id").isNotNull() & (F.col("quality") == 1)).select("_id").distinct()
     order = F.xxhash64("_id")
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(~held_out("_id") & F.col("_id").isNotNull())
@@ -183,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     asked = good.unionByName(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["_id", "trusted", "x"])
 
     # Of rows that share an id, one counts: that of the smallest features.
@@ -195,12 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_documents(docs: DataFrame, model: PUModel | None, text_col: str = "text", score_col: str = "_score") -> DataFrame:
     """docs with score_col added; all its columns stay."""
-    short_batches(docs.sparkSession)
     names, types = docs.columns, docs.schema
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             if model is None:
                 score = np.full(b.num_rows, 0.5)
             else:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import numbered, short_batches, shuffle_partitions, small, unused, written
+from pathloom.llm._common import numbered, short, shuffle_partitions, small, unused, written
 
 WINDOW, GRAM = 100, 32
 GRAMS = WINDOW - GRAM + 1
@@ -378,7 +378,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
             columns = ([n] + [None] * len(keys), [size] + [None] * len(keys), [count] + [None] * len(keys), [None, *keys], [None, *c])
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
-        for batch in batches:
+        for batch in short(batches):
             n += batch.num_rows
             for texts in _texts(batch.column(1)):
                 size += sum(map(len, texts))
@@ -414,7 +414,7 @@ def _equal_runs(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int
             spread = np.isin(rows["anchor"], hot)
             yield _packed(RUN, _part(np.where(spread, rows["anchor"] ^ rows["body_hash"], rows["anchor"]), buckets), rows)
 
-        for batch in batches:
+        for batch in short(batches):
             done = 0
             for part in _texts(batch.column(1)):
                 anchor, body, text, start, n = runs(part)
@@ -561,7 +561,6 @@ def _kept(texts: DataFrame, removed: DataFrame, with_text: bool) -> DataFrame:
 def _dedup(docs: DataFrame, with_text: bool) -> DataFrame:
     """Per row of docs (doc_id, text), of which no two share a doc_id: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
     spark = docs.sparkSession
-    short_batches(spark)
     statistics = written(_statistics(docs), "anchors")
     total = statistics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "bytes", "anchors"))).first()
     least = max(MOST_RUNS / 4, HOT_SHARE * total["docs"])
@@ -596,7 +595,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], names=["_id", "_kept"])
 
     rows, key = numbered(docs)
