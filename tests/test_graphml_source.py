@@ -1,10 +1,11 @@
 """GraphML as a data source: byte ranges, folders, odd texts, streams."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.sources import graphml
-from pathloom.sources.graphml_source import GraphmlSource
+from pathloom.sources.graphml_source import GraphmlReader, GraphmlSource, dicts_of, maps_of
 from pathloom.sources.tables import Graph
 
 ODD = ["", " spaced ", "<a & b>", "\"quoted\" 'both'", "line\r\nbreak\ttab", "\u00e9\U0001f600", "]]>", None]
@@ -94,3 +95,20 @@ def test_stream_writes_each_batch_once(spark, tmp_path):
         stream.writeStream.format("graphml").option("element", "node").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert len({p.name.split("-")[1] for p in (tmp_path / "out").glob("nodes-batch*")}) == 4
     assert seen(spark.read.format("graphml").load(str(tmp_path / "out"))) == given(rows)
+
+
+def test_a_scan_for_nodes_does_not_parse_edges(tmp_path):
+    path = tmp_path / "edges.graphml"
+    path.write_text('<graphml><graph>' + "".join(f'<edge source="a{i}" target="b"/>' for i in range(50)) + "</graph></graphml>")
+    with open(path, "rb") as f:
+        assert GraphmlReader(str(path), "node", 1 << 20)._first(f, 0, path.stat().st_size) is None
+        assert GraphmlReader(str(path), "edge", 1 << 20)._first(f, 0, path.stat().st_size) == 16
+
+
+def test_maps_go_by_whole_columns():
+    rows = [{"a": "1", "b": ""}, {}, {"a": "x"}, {"c": None}]
+    column = maps_of(rows)
+    assert list(dicts_of(column)) == rows
+    assert list(dicts_of(column.slice(1, 2))) == rows[1:3]
+    missing = pa.array([None, [("k", "v")]], column.type)
+    assert list(dicts_of(missing)) == [{}, {"k": "v"}]
