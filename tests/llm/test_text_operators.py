@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html as html_
 import math
+import os
 import random
 import re
 import zlib
@@ -277,6 +278,34 @@ def test_lm_rare_and_deep_contexts(spark):
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
+def test_lm_hot_words(spark, monkeypatch):
+    """Tokens after a very common word are dealt out, and the sums of its contexts meet again: the scores stay the same."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices(["the", "of", "a", "cat", "dog", "sat", f"w{rng.randrange(40)}"], weights=[9, 4, 3, 2, 2, 1, 2], k=rng.randint(0, 60))) for _ in range(120)]
+    scores = lambda: {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs(spark, texts)).collect()}
+    want = scores()
+    monkeypatch.setattr(lm_score, "HOT", 100)
+    monkeypatch.setattr(lm_score, "BUCKET", 500)
+    assert len(lm_score.train(docs(spark, texts), "doc_id", "text")[1].hot) > 3
+    assert scores() == pytest.approx(want, rel=1e-12)
+
+
+def test_lm_tables_stay_small(spark, monkeypatch):
+    """What is written on the way follows the text, not its different grams: under twice its bytes; its grams, a row each, took more than that."""
+    rng = random.Random(22)
+    texts = [" ".join(f"word{int(rng.paretovariate(0.5)) % 5_000}" for _ in range(4_000)) for _ in range(40)]
+    sizes, plain = [], lm_score.written
+
+    def measured(df, name):
+        out = plain(df, name)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(lm_score, "written", measured)
+    assert lm_score.score_documents(docs(spark, texts)).count() == 40
+    assert sum(sizes) < 2 * sum(map(len, texts))
+
+
 # ---------------------------------------------------------------- packing
 
 
