@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ DEPTH, LEAST, MIN_DIVERGENCE, SMOOTHING = 3, 2, 0.02, 1.0
 #: Characters and rows of texts worked on at once.
 CHUNK, CHUNK_ROWS = 6_000_000, 1 << 20
 #: Tokens of a bucket, on average, and those after one word that make it a hot one.
-BUCKET, HOT = 1_000_000, 2_500_000
+BUCKET, HOT = 1_000_000, 3_000_000
 
 #: No word holds white space, so this one is free to stand for the end.
 END = b"\n"
@@ -57,6 +56,14 @@ def tokens(text: str) -> list[bytes]:
     return out
 
 
+class _Numbers(dict):
+    """Words by number, from 0, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
@@ -94,13 +101,12 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = "chunk long, n int, ids array<long>, train binary, sizes binary, words array<long>, seconds array<int>, counts array<long>, codes binary"
 
     def one(chunk: int, texts: list[str], ids: list[int | None], train: list[bool]) -> pa.RecordBatch:
-        split = [tokens(t) for t in texts]
-        sizes, flat = np.fromiter(map(len, split), np.int64, len(split)), list(chain.from_iterable(split))
-        known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        codes, mine = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)), np.array(train, bool)
+        known = _Numbers()
+        split = [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in map(tokens, texts)]
+        sizes, codes, mine = np.fromiter(map(len, split), np.int64, len(split)), np.concatenate(split), np.array(train, bool)
         counts = np.bincount(codes, np.repeat(mine, sizes), len(known)).astype(np.int64)
         digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), "<i8").reshape(-1, 2)
-        row = [[chunk], [len(flat)], [ids], [mine.tobytes()], [_packed(sizes)], [np.ascontiguousarray(digests[:, 0])], [(digests[:, 1] & 0x7FFFFFFF).astype(np.int32)], [counts], [_packed(codes)]]
+        row = [[chunk], [len(codes)], [ids], [mine.tobytes()], [_packed(sizes)], [np.ascontiguousarray(digests[:, 0])], [(digests[:, 1] & 0x7FFFFFFF).astype(np.int32)], [counts], [_packed(codes)]]
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
