@@ -3,7 +3,7 @@
 Every match has, per item, a histogram of its path scores summed from above: counts[x] = paths with a score of x/100 or
 more.  The cost of a threshold vector is ((1 - S/S0) + P/P0) / 2, with S the weight of the matches that keep a path of
 each item and P their weighted mean of paths; it is 1 where S falls below the least support.
-Candidates are evaluated in Spark: each match scores them all, and sums travel, not matches.
+Candidates are evaluated in Spark: matches become points of the grid of scores, which are summed, and sums travel, not matches.
 """
 
 from __future__ import annotations
@@ -83,11 +83,26 @@ def costs(matches: DataFrame, candidates: DataFrame, least: float, turning: bool
 
     turning: matches hold pairs and turned pairs, of which the one with more paths left counts.
     """
+    if not turning:
+        return point_costs(grid_points(matches), base_values(matches), candidates, least)
     lists = candidates.groupBy("pat_id").agg(F.collect_list(F.struct("candidate", "x")).alias("asked"))  # some hundreds a pattern, whatever the data
     each = matches.join(lists, "pat_id").select("pat_id", "a", "b", "weight", "counts", F.explode("asked").alias("c")).select("pat_id", "c.candidate", "a", "b", "weight", n_after(F.col("counts"), F.col("c.x")).alias("n"))
-    each = _better_way(each, "pat_id", "candidate") if turning else each
+    each = _better_way(each, "pat_id", "candidate")
     sums = each.groupBy("pat_id", "candidate").agg(F.sum(F.when(F.col("n") > 0, F.col("weight")).otherwise(0.0)).alias("s"), F.sum(F.col("weight") * F.col("n")).alias("wn"))
-    return _cost(sums, base_values(matches, turning), least, "candidate")
+    return _cost(sums, base_values(matches, True), least, "candidate")
+
+
+def point_costs(points: DataFrame, base: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """Costs of candidates from the grid points of the matches and their base values: sums over the points from x on.
+
+    Matches themselves, with all their counts, do not travel: of two items there are 10,201 points a pattern at most.
+    """
+    lists = candidates.groupBy("pat_id").agg(F.collect_list(F.struct("candidate", "x")).alias("asked"))  # some hundreds a pattern, whatever the data
+    above = lambda c: F.forall(F.zip_with("x", c["x"], lambda p, v: p >= v), lambda held: held)
+    met = points.join(lists, "pat_id").select("pat_id", F.explode(F.transform(F.filter("asked", above), lambda c: c["candidate"])).alias("candidate"), "s", "wn")
+    none = candidates.select("pat_id", "candidate", F.lit(0.0).alias("s"), F.lit(0.0).alias("wn"))  # a vector may leave no point
+    sums = met.unionByName(none).groupBy("pat_id", "candidate").agg(F.sum("s").alias("s"), F.sum("wn").alias("wn"))
+    return _cost(sums, base, least, "candidate")
 
 
 def slot_costs(matches: DataFrame, state: DataFrame, least: float) -> DataFrame:
@@ -216,7 +231,7 @@ def grid_points(matches: DataFrame) -> DataFrame:
     """
     after = lambda c, v: F.coalesce(F.get(c, v + 1), F.lit(0).cast("long"))
     bins = F.transform("counts", lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda v: F.struct(v.alias("v"), (F.get(c, v) - after(c, v)).alias("n"))), lambda e: e["n"] > 0))
-    each = matches.select("pat_id", "weight", bins.alias("bins"))
+    each = matches.select("pat_id", "weight", bins.alias("bins")).filter(~F.exists("bins", lambda b: F.size(b) == 0))  # without a path of an item it never counts
     each = each.withColumn("top", F.transform("bins", lambda b: F.element_at(b, -1)["v"]))
     moved = lambda j, v: F.transform("top", lambda t, k: F.when(k == j, v).otherwise(t))
     paths = F.flatten(F.transform("bins", lambda b, j: F.transform(b, lambda e: F.struct(moved(j, e["v"]).alias("x"), F.lit(0.0).alias("s"), (F.col("weight") * e["n"]).alias("wn")))))
@@ -277,5 +292,5 @@ def optimise(matches: DataFrame, least: float, strategy: str | None = "DE", turn
 
 
 def surviving(matches: DataFrame, chosen: DataFrame) -> DataFrame:
-    """pat_id, a, b, n_paths: matches that keep paths of every item."""
-    return matches.join(chosen, "pat_id").select("pat_id", "a", "b", n_after(F.col("counts"), F.col("x")).alias("n_paths")).filter("n_paths > 0")
+    """pat_id, a, b, n_paths: matches that keep paths of every item.  chosen: a row a pattern."""
+    return matches.join(F.broadcast(chosen), "pat_id").select("pat_id", "a", "b", n_after(F.col("counts"), F.col("x")).alias("n_paths")).filter("n_paths > 0")
