@@ -8,10 +8,14 @@ Candidates are evaluated in Spark: matches become points of the grid of scores,
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.sources.store import StageStore
+
 STEPS = 100
 #: Items of patterns for which every vector of thresholds is tried: 101 ** 3 vectors at most.
 GRID_ITEMS = 3
@@ -166,6 +170,9 @@ def evolve(matches: DataFrame, least: float, seed: int = 0, turning: bool = Fals
     it gains, the best value of the best item is taken, all others as they are.
     """
     spark = matches.sparkSession
+    store = StageStore(spark)
+    kept = lambda df: store.get_or_make("points", lambda: df, run=uuid.uuid4().hex)
+    points, base = (None, None) if turning else (kept(grid_points(matches)), kept(base_values(matches)))
     sizes = {r["pat_id"]: r["n"] for r in matches.groupBy("pat_id").agg(F.max(F.size("counts")).alias("n")).collect()}  # a row a pattern
     rngs = {p: np.random.default_rng([seed, p]) for p in sizes}
 
@@ -179,11 +186,14 @@ def evolve(matches: DataFrame, least: float, seed: int = 0, turning: bool = Fals
     def score(vectors: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         asked = [(p, k, [int(v) for v in x]) for p, xs in vectors.items() for k, x in enumerate(xs)]
         out = {p: np.ones(len(xs)) for p, xs in vectors.items()}
-        for r in costs(matches, spark.createDataFrame(asked, "pat_id int, candidate int, x array<int>"), least, turning).collect():  # POPULATION rows a pattern
+        trials = spark.createDataFrame(asked, "pat_id int, candidate int, x array<int>")
+        scored = costs(matches, trials, least, True) if turning else point_costs(points, base, trials, least)
+        for r in scored.collect():  # POPULATION rows a pattern
             out[r["pat_id"]][r["candidate"]] = r["cost"]
         return out
 
     if not sizes:
+        store.drop_since(0)
         return spark.createDataFrame([], "pat_id int, x array<int>, cost double")
     x = {p: first(p) for p in sizes}
     cost = score(x)
@@ -203,6 +213,7 @@ def evolve(matches: DataFrame, least: float, seed: int = 0, turning: bool = Fals
         for p, c in score(trial).items():
             better = c <= cost[p]
             x[p][better], cost[p][better] = trial[p][better], c[better]
+    store.drop_since(0)
     found = {p: ([int(v) for v in x[p][cost[p].argmin()]], float(cost[p].min())) for p in x}
     return spark.createDataFrame([(p, v, c) for p, (v, c) in _polished(matches, found, least, turning).items()], "pat_id int, x array<int>, cost double")
 

@@ -57,3 +57,15 @@ def test_a_match_without_paths_of_an_item(spark):
     m = spark.createDataFrame([(1, "a", "b", 1.0, [some, some]), (1, "c", "d", 1.0, [some, none])], "pat_id int, a string, b string, weight double, counts array<array<bigint>>")
     points = thresholds.grid_points(m).agg(F.sum("s").alias("s"), F.sum("wn").alias("wn")).first()
     assert (points["s"], points["wn"]) == (1.0, 4.0)
+
+
+def test_evolution_asks_points(spark, tmp_path, monkeypatch):
+    _, m = _matches(spark, str(tmp_path / "counts"), 2, random.Random(3))
+
+    def from_matches(*_, **__):
+        raise AssertionError("a generation went over the matches")
+
+    monkeypatch.setattr(thresholds, "costs", from_matches)
+    zeros = {r["pat_id"]: r["cost"] for r in thresholds.point_costs(thresholds.grid_points(m), thresholds.base_values(m), spark.createDataFrame([(p, 0, [0, 0]) for p in range(3)], "pat_id int, candidate int, x array<int>"), 1.0).collect()}
+    for r in thresholds.evolve(m, 1.0, generations=3).collect():
+        assert r["cost"] <= zeros[r["pat_id"]] + 1e-9
