@@ -13,6 +13,21 @@ from pathloom.sources.tables import Cliques, Graph
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("name", ["typed_subgraph"])
+def test_groups_are_not_listed_for_parts_without_them(spark, monkeypatch, name):
+    edges = Cliques.edges
+    monkeypatch.setattr(queries, "stage", lambda spark, d, name, make, **made_from: make().localCheckpoint())
+    monkeypatch.setattr(Cliques, "edges", lambda self: edges(self).withColumn("src", F.raise_error(F.lit("pairs were listed")).cast("string")))
+    assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(("types", "names", "keep"), [(["Customer", "Part"], ["purchases", "refers"], True), (["Part"], ["locatedIn"], False), (["Part", "Nation"], ["resembles", "sameRegion"], True), ([], [], False)])
+def test_lasting_kinds_leave_the_same_part(spark, types, names, keep):
+    nodes = tables.nodes(spark, SF)
+    rows = lambda kinds: sorted(map(repr, graph.typed_subgraph(Graph(nodes, tables.edges(spark, SF, kinds)), types, names, keep).edges.select("eid", "score").collect()))
+    assert rows(graph.lasting_kinds(tables.KINDS, types, names, keep)) == rows(tables.KINDS)
+
+
 def test_induced_lists_groups_of_the_nodes_that_stay(spark, monkeypatch):
     rng = random.Random(2)
     members = [(i % 4, f"P{i}", i, float(rng.randint(1, 9))) for i in range(40)]
