@@ -13,7 +13,7 @@ from pathloom.sources.tables import Cliques, Graph
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["typed_subgraph"])
+@pytest.mark.parametrize("name", ["typed_subgraph", "subgraph_dropped"])
 def test_groups_are_not_listed_for_parts_without_them(spark, monkeypatch, name):
     edges = Cliques.edges
     monkeypatch.setattr(queries, "stage", lambda spark, d, name, make, **made_from: make().localCheckpoint())
