@@ -35,8 +35,12 @@ class ExplanationGraph:
 
 
 def explanation_rows(graph: Graph, edges: DataFrame) -> DataFrame:
-    """rule_id, a, b, eid with the edge's own columns and the type and name of both its ends: what explanation_graph takes."""
-    full = edges.select("rule_id", "a", "b", "eid").join(graph.edges.select("eid", "src", "dst", "label", "score", "target_id"), "eid")
+    """rule_id, a, b, eid with the edge's own columns and the type and name of both its ends: what explanation_graph takes.
+
+    edges: rule_id, a, b, eid; with the edge's own columns beside them (matching.explanation_steps), the graph's edges are not read.
+    """
+    own = ["src", "dst", "label", "score", "target_id"]
+    full = edges if set(own) <= set(edges.columns) else edges.select("rule_id", "a", "b", "eid").join(graph.edges.select("eid", *own), "eid")
     for end in ("src", "dst"):
         named = graph.nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"), F.col("name").alias(f"{end}_name"))
         full = full.join(named, end)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.mining import path_nodes
-from pathloom.sources.tables import Graph
+from pathloom.sources.tables import Cliques, Graph
 
 
 def slots(rules: DataFrame) -> DataFrame:
@@ -121,12 +121,28 @@ def significant(rules: DataFrame, tp: str, fp: str, positives: int, negatives: i
     return rules.withColumn("p_value", F.least(p, F.lit(1.0))).filter(F.col("p_value") <= alpha)
 
 
-def explanation_edges(graph: Graph, found: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """rule_id, a, b, eid: every edge (parallel ones too) of the wanted type along the matching paths."""
+#: What an explanation tells of an edge.
+EDGE = ("eid", "src", "dst", "label", "score", "target_id")
+
+
+def explanation_edges(graph: Graph, found: DataFrame, dictionary: DataFrame, cliques: Cliques | None = None) -> DataFrame:
+    """rule_id, a, b, eid: every edge (parallel ones too) of the wanted type along the matching paths.
+
+    cliques: further edges, listed for the steps of the paths alone.
+    """
+    return explanation_steps(graph, found, dictionary, cliques).select("rule_id", "a", "b", "eid").distinct()
+
+
+def explanation_steps(graph: Graph, found: DataFrame, dictionary: DataFrame, cliques: Cliques | None = None) -> DataFrame:
+    """rule_id, a, b and the columns EDGE of these edges; the edges themselves stay as they are, steps are asked both ways."""
     hops = found.select("rule_id", "a", "b", "mp_id", F.concat(F.array("a"), "mids", F.array("b")).alias("walk")).distinct().join(F.broadcast(dictionary), "mp_id")  # metapaths of the schema
     each = hops.select("rule_id", "a", "b", F.posexplode("mp.edges").alias("i", "label"), "walk").select("rule_id", "a", "b", "label", F.get("walk", F.col("i")).alias("u"), F.get("walk", F.col("i") + 1).alias("v")).distinct()
-    ways = graph.edges.select("eid", "label", F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))).alias("w")).select("eid", "label", "w.u", "w.v")
-    return each.join(ways, ["label", "u", "v"]).select("rule_id", "a", "b", "eid").distinct()
+    edges = graph.edges.select(*EDGE)
+    if cliques is not None:
+        edges = edges.unionByName(cliques.among(each.filter(F.col("label") == cliques.kind[1])).select(*EDGE))
+    ways = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
+    asked = each.select("rule_id", "a", "b", "label", F.explode(F.array_distinct(ways)).alias("w")).select("rule_id", "a", "b", "label", "w.src", "w.dst").distinct()
+    return asked.join(edges, ["label", "src", "dst"]).select("rule_id", "a", "b", *EDGE)
 
 
 def subgraph_sizes(found: DataFrame) -> DataFrame:
