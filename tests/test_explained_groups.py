@@ -30,7 +30,7 @@ def test_explanations_through_groups(spark):
     assert rows(steps) == rows(told)
 
 
-@pytest.mark.parametrize("name", ["explanation_subgraph"])
+@pytest.mark.parametrize("name", ["explanation_subgraph", "explanation_graphml"])
 def test_groups_are_not_listed_for_explanations(spark, monkeypatch, name):
     edges = Cliques.edges
     monkeypatch.setattr(Cliques, "edges", lambda self: edges(self).withColumn("src", F.raise_error(F.lit("pairs were listed")).cast("string")))
