@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from pathloom import queries
+from pathloom.operators import paths
 from pathloom.sources.store import StageStore, written_once
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +38,15 @@ def test_shuffle_files_go_with_the_write(spark, tmp_path):
     assert seen and found() <= old and spark.conf.get(key) == before
 
 
+def test_lists_meet_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(queries, "stage", lambda spark, d, name, make, **made_from: make().localCheckpoint())
+    rows = lambda: sorted(map(repr, queries.QUERIES["paths_len3"](spark, SF).collect()))
+    want, met, one = rows(), [], paths._met
+    monkeypatch.setattr(paths, "SLICE", 10)
+    monkeypatch.setattr(paths, "_met", lambda *a: met.append(1) or one(*a))
+    assert rows() == want and len(met) == paths.SLICES
+
+
 def test_mining_leaves_its_stages_alone(spark):
     root = StageStore(spark).root.removeprefix("file:")
     before = set(os.listdir(root)) if os.path.isdir(root) else set()
